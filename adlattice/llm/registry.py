@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, pii, quality_rules, sharding
+from . import (
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dedup,
+    nearest,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece,
+    sharding,
+)
 from .common import table
 
 
@@ -50,8 +61,39 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and whether decoding gives the text again."""
+    model = sentencepiece.load()
+    docs = table(spark, sf_dir, "documents").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    ids = sentencepiece.encode(docs, ["doc_id", "text_md5"], model)
+    return sentencepiece.decode(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.md5("decoded") == F.col("text_md5")).alias("round_trip")
+    )
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model)
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_sharding, op5_line_dedup, op6_quality_rules, op7_mixing, op8_pii)
+    f.__name__: f for f in (
+        op1_license_scan, op2_nearest, op3_sentencepiece, op4_sharding, op5_line_dedup, op6_quality_rules, op7_mixing,
+        op8_pii, op9_quality_classifier, op10_near_dedup,
+    )
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
 
