@@ -33,6 +33,7 @@ BLANK = "▁"
 CHUNK = 16_384  # characters
 GIANT = 4 * CHUNK
 SHORT = 64  # characters of a run that is merged at once; the lattice is linear beyond
+NEVER = 1 << 30  # the rank of a pair that makes no piece
 MOST_CACHED = 400_000  # words a task remembers
 
 
@@ -73,6 +74,89 @@ class Segmenter:
         self.stable = lru_cache(1 << 17)(self._stable)
         self.whole = lru_cache(1 << 17)(lambda p: self._merged(p) == [p])
         self.cache: dict[str, bytes] = {}
+        self._table()
+
+    def _table(self) -> None:
+        """For merges of many runs at once: a number for each character and piece, and
+        for each pair of them that makes a piece its rank and the piece, sorted by pair."""
+        names = {p: i for i, p in enumerate(self.ids)}
+        self.names = list(self.ids)
+        self.of_char = np.arange(0x110000, dtype=np.int64) + len(names)  # no piece
+        for p, i in names.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        order = {x: i for i, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = {}
+        for p, i in names.items():
+            for k in range(1, len(p)):
+                a, b = names.get(p[:k]), names.get(p[k:])
+                a = self.of_char[ord(p[:k])] if a is None and k == 1 else a
+                b = self.of_char[ord(p[k:])] if b is None and k == len(p) - 1 else b
+                if a is not None and b is not None:
+                    pairs[int(a) << 32 | int(b)] = (order[self.scores[p]], i)
+        self.keys = np.array(sorted(pairs) or [0], dtype=np.int64)
+        self.ranks = np.array([pairs[k][0] for k in sorted(pairs)] or [0], dtype=np.int64)
+        self.makes = np.array([pairs[k][1] for k in sorted(pairs)] or [0], dtype=np.int64)
+        self.packed = [np.array([self.ids[p]], dtype="<i4").tobytes() for p in self.names]
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair; the rank is NEVER if it makes none."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.ranks[at], NEVER), self.makes[at]
+
+    def merge_many(self, runs: list[str]) -> None:
+        """Remembers the ids of short runs, merged side by side: in each round, every run
+        makes its best merge, the leftmost among equals."""
+        sizes = np.array([len(r) for r in runs])
+        symbols = self.of_char[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        run = np.repeat(np.arange(len(runs)), sizes)
+        rank = np.full(len(symbols), NEVER)
+        make = np.zeros(len(symbols), dtype=np.int64)
+        if len(symbols) > 1:
+            rank[:-1], make[:-1] = self._pairs(symbols[:-1], symbols[1:])
+            rank[:-1][run[1:] != run[:-1]] = NEVER
+        left: dict[int, np.ndarray] = {}
+        while len(symbols):
+            first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(rank)), first)
+            done = best >= NEVER << 32
+            if done.any():
+                for i, j in zip(first[done].tolist(), np.append(first[1:], len(symbols))[done].tolist(), strict=True):
+                    left[int(run[i])] = symbols[i:j]
+                go = np.repeat(~done, np.diff(np.append(first, len(symbols))))
+                shift = np.cumsum(go) - 1
+                at = shift[(best & 0xFFFFFFFF)[~done]]
+                symbols, run, rank, make = symbols[go], run[go], rank[go], make[go]
+            else:
+                at = best & 0xFFFFFFFF
+            if not len(symbols):
+                break
+            symbols[at] = make[at]
+            stay = np.ones(len(symbols), dtype=bool)
+            stay[at + 1] = False
+            at = (np.cumsum(stay) - 1)[at]
+            symbols, run, rank, make = symbols[stay], run[stay], rank[stay], make[stay]
+            for i in (at - 1, at):  # the pairs on either side of a merge are new
+                i = i[(i >= 0) & (i + 1 < len(symbols))]
+                rank[i], make[i] = self._pairs(symbols[i], symbols[i + 1])
+                rank[i[run[i] != run[i + 1]]] = NEVER
+            rank[at[at + 1 == len(symbols)]] = NEVER
+        n, packed = len(self.names), self.packed
+        for i, own in left.items():
+            self.cache[runs[i]] = b"".join([packed[x] if x < n else self.numbers([chr(x - n)]) for x in own.tolist()])
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [self.run.findall(self.normal(t)) for t in texts]
+        if self.bpe:
+            if len(self.cache) >= MOST_CACHED:
+                self.cache.clear()
+            new = [r for r in set().union(*parts).difference(self.cache) if len(r) <= SHORT]
+            if new:
+                self.merge_many(new)
+        held, find = self.cache, self.of_run
+        return [np.frombuffer(b"".join([held[r] if r in held else find(r) for r in rs]), dtype="<i4") for rs in parts]
 
     def _merged(self, text: str) -> list[str]:
         """The merges of BPE, best score first, leftmost first among equals."""
@@ -166,9 +250,7 @@ class Segmenter:
         return BLANK + text if text and self.prefix else text
 
     def encode(self, text: str | None) -> np.ndarray:
-        held, find = self.cache, self.of_run
-        runs = self.run.findall(self.normal(text))
-        return np.frombuffer(b"".join([held[r] if r in held else find(r) for r in runs]), dtype="<i4")
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.out
@@ -300,7 +382,7 @@ def encode(docs: DataFrame, keep: list[str], model: dict, chunk: int = CHUNK, gi
     def whole(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         own = made()
         for part in parts:
-            yield {"doc": part["doc"], "ids": [own.encode(t) for t in part["text"]]}
+            yield {"doc": part["doc"], "ids": own.encode_many(part["text"])}
 
     def windows(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         own = made()
