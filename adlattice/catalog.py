@@ -5,21 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import columns, jobs
+
+
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    return {**columns.queries(), **jobs.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per host."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.groupBy(F.split("url", "/")[2].alias("host")).agg(F.count("*").alias("pages"))
+    """Ads by detected network."""
+    return queries()["d01_affiliate_network"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return {name: made for name, (made, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return {name: sql for name, (_, sql) in _all().items() if sql}
