@@ -7,9 +7,12 @@ which follows edit similarity. Documents that share a sketch are candidates; a b
 alignment of their k-mers decides; classes are the connected components of the links.
 
 Equal texts are one node. Within a sketch's bucket, members are first compared with
-two leaders only. Members of one component then need no further comparison, so what
-is left of a large group of copies is small; for buckets that still hold several
-components, pairs across components are compared, so no link is lost.
+its leader only, the member that shares most sketches with others, which stands near
+the middle of a group of copies. Members of the leader's component need no further
+comparison with each other. Each other member, a stray, is compared with those members
+that an exact bound lets in: two texts share at most what both share with the leader
+and what both have beyond it, k-mers that no other text has aside. So no link is lost,
+and pairs within a large group are not made.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import cut, map_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES, ORDER = 32, 4
+SKETCHES, ORDER = 24, 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -148,26 +151,40 @@ def sketched(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = docs.select(text_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
-    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")))
+def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of keys with n_a, n_b and both, their k-mers and those that they
+    share, and whether their texts are similar."""
     side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         last, grams = None, None  # rows of one leader mostly follow each other
         for part in parts:
-            keep = []
-            for i, (a, ta, tb) in enumerate(zip(part["a"], part["text_a"], part["text_b"], strict=True)):
+            out: dict[str, list] = {"a": part["a"], "b": part["b"], "n_a": [], "n_b": [], "both": [], "similar": []}
+            for a, ta, tb in zip(part["a"], part["text_a"], part["text_b"], strict=True):
                 if a != last:
                     last, grams = a, kmers(ta)
-                if similarity(grams, kmers(tb), least) >= least:
-                    keep.append(i)
-            yield {"a": [part["a"][i] for i in keep], "b": [part["b"][i] for i in keep]}
+                other = kmers(tb)
+                out["n_a"].append(len(grams))
+                out["n_b"].append(len(other))
+                out["both"].append(len(np.intersect1d(grams, other, assume_unique=True)))
+                out["similar"].append(similarity(grams, other, least) >= least)
+            yield out
+
+    schema = "a binary, b binary, n_a long, n_b long, both long, similar boolean"
+    return cut(map_rows(rows.select("a", "text_a", "b", "text_b"), run, schema, step=64))
+
+
+def own_kmers(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, own): how many k-mers of each text are in none of the others."""
+
+    def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for part in parts:
+            yield {"key": part["key"], "grams": [kmers(t).astype(np.int64) for t in part["text"]]}
 
-    return cut(map_rows(both.select("a", "text_a", "b", "text_b"), run, "a binary, b binary", step=64))
+    grams = map_rows(texts.join(keys, "key", "left_semi").select("key", "text"), run, "key binary, grams array<long>", step=64)
+    once = grams.select("key", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    return once.groupBy("key").agg(F.count("*").alias("own"))
 
 
 def _sum_of(edges: DataFrame):
@@ -201,42 +218,58 @@ def components(links: DataFrame) -> DataFrame:
 def similar_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(key, root) for the distinct texts that are similar to another."""
     nodes = cut(sketched(docs))
-    members = nodes.select("key", "n", F.explode("sketches").alias("sketch"))
-    leaders = (
-        members.groupBy("sketch")
-        .agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
-        .where("size > 1")
-    )
-    shared = cut(members.join(leaders, "sketch"))
-    ends = F.explode(F.array("low", "high"))
-    star = shared.select("key", ends.alias("leader")).where("key <> leader")
-    star = star.select(F.greatest("key", "leader").alias("b"), F.least("key", "leader").alias("a")).distinct()
-    links = verified(star, docs, least)
+    members = nodes.select("key", F.explode("sketches").alias("sketch"))
+    sizes = members.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(members.join(sizes, "sketch"))
+    weight = shared.groupBy("key").agg(F.sum("size").alias("weight"))
+    leaders = shared.join(weight, "key").groupBy("sketch").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"))
+    led = cut(shared.join(leaders, "sketch"))
+    star = led.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    wanted = star.select(F.col("a").alias("key")).union(star.select("b")).distinct()
+    texts = docs.select(text_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
+    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")))
+    met = compared(star, texts, least)
+    links = met.where("similar").select("a", "b")
     roots = components(links)
-    # buckets with several components that are too large for two leaders to have met all pairs
-    known = shared.where("size > 3").select("sketch", "key", "n", "size").join(roots, "key", "left")
-    known = known.withColumn("root", F.coalesce("root", "key"))
-    mixed = known.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
-    left = cut(known.join(mixed, "sketch"))
-    if left.isEmpty():
+    pairs = cut(strays(led, nodes, roots, met, texts, least))
+    if pairs.isEmpty():
         return roots
-    more = verified(across(left, least).join(star, ["a", "b"], "left_anti"), docs, least)
+    more = compared(pairs, texts, least).where("similar").select("a", "b")
     return roots if more.isEmpty() else components(links.union(more))
 
 
-def across(left: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Distinct pairs of keys that share a bucket, in different components, of sizes that
-    allow similarity. Large buckets are cut into blocks, so a task meets two blocks at
-    most."""
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = left.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    side = lambda s: dealt.select("sketch", "_i", "_j", *(F.col(c).alias(c + s) for c in ("key", "n", "root", "_own")))
-    fits = F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2")
-    met = side("1").join(side("2"), ["sketch", "_i", "_j"]).where((F.col("key1") < F.col("key2")) & (F.col("root1") != F.col("root2")) & fits)
-    met = met.where((F.col("_i") == F.col("_j")) | (F.col("_own1") != F.col("_own2")))
-    return met.select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct()
+def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, texts: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """Distinct pairs of keys in a bucket that were not compared, aren't in one component
+    and may be similar by the bound.
+
+    Pairs within the leader's component are never made: one side is a stray. The members
+    of a large bucket are dealt to salted parts, so no task holds a whole bucket.
+    """
+    known = led.where("size > 2").join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of_leader = roots.select(F.col("key").alias("leader"), F.col("root").alias("head"))
+    known = known.join(of_leader, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
+    known = cut(known.join(known.where("root <> head").select("sketch").distinct(), "sketch", "left_semi"))
+    own = own_kmers(texts, known.select("key").distinct())
+    with_leader = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "both")
+    rows = (
+        known.join(with_leader, ["leader", "key"], "left")
+        .join(nodes.select("key", "n").join(own, "key", "left"), "key")
+        .withColumn("both", F.coalesce("both", "n"))  # the leader itself
+        .withColumn("beyond", F.col("n") - F.col("both") - F.coalesce("own", F.lit(0)))
+        .where((F.col("both") + F.col("beyond")) >= F.lit(least) * F.col("n"))
+        .withColumn("_parts", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    )
+    here = rows.where("root <> head").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    there = rows.withColumn("_part", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
+    names = ("key", "root", "n", "both", "beyond")
+    x = here.select("sketch", "_part", *(F.col(c).alias(f"{c}_x") for c in names))
+    y = there.select("sketch", "_part", *(F.col(c).alias(f"{c}_y") for c in names))
+    most = F.least("both_x", "both_y") + F.least("beyond_x", "beyond_y")
+    needed = F.lit(least / (1 + least)) * (F.col("n_x") + F.col("n_y")) - F.lit(1e-6)
+    found = x.join(y, ["sketch", "_part"]).where((F.col("root_x") != F.col("root_y")) & (most >= needed))
+    found = found.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.join(done, ["a", "b"], "left_anti")
 
 
 def rooted(docs: DataFrame, roots: DataFrame) -> DataFrame:
