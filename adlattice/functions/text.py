@@ -34,5 +34,9 @@ def language(text: Column) -> Column:
     """Arabic script first, else the language with most of its stop words; ties and
     none go to the first in order, which is English."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    votes = F.array(*(F.struct(F.size(F.filter(words, lambda w, s=stop: w.isin(*s))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stop) in enumerate(STOP_WORDS.items())))
-    return F.when(arabic(text), F.lit("ar")).otherwise(F.array_max(votes)["lang"])
+
+    def votes(stop: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stop)))
+
+    ranked = F.array(*(F.struct(votes(stop).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stop) in enumerate(STOP_WORDS.items())))
+    return F.when(arabic(text), F.lit("ar")).otherwise(F.array_max(ranked)["lang"])

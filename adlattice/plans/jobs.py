@@ -386,10 +386,14 @@ def _(s, d):
     return k.join(n, "t").select("id", "others")
 
 
-@query("i09_link_content", f"{ANCHORS_SQL} SELECT a.id AS page_id, p.id AS target FROM (SELECT id, {ABS} AS link FROM a) a JOIN ads p ON p.url = a.link")
+ORIGIN = "concat(array_to_string(list_slice(string_split({u}, '/'), 1, 3), '/'), '/')"
+
+
+@query("i09_link_content", f"{ANCHORS_SQL}, l AS (SELECT DISTINCT id, {ORIGIN.format(u=ABS)} AS o FROM a), f AS (SELECT {ORIGIN.format(u='url')} AS o, min(id) AS front, min(length(html)) AS least FROM ads GROUP BY 1) SELECT l.id AS page_id, f.front, f.least FROM l JOIN f USING (o)")
 def _(s, d):
-    links = G.anchors(t(s, d, "pages")).select("page_id", F.col("absolute").alias("link"))
-    return links.join(t(s, d, "pages").select(F.col("page_id").alias("target"), F.col("url").alias("u")), F.col("link") == F.col("u")).select("page_id", "target")
+    links = G.anchors(t(s, d, "pages")).select("page_id", U.origin(F.col("absolute")).alias("o")).distinct()
+    fronts = B.ads(s, d).groupBy(U.origin(F.col("url")).alias("o")).agg(F.min("id").alias("front"), F.min(F.length("html").cast("long")).alias("least"))
+    return links.join(fronts, "o").select("page_id", "front", "least")
 
 
 @query("i10_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", ads=False)
