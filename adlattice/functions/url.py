@@ -126,10 +126,14 @@ def origin(url: Column) -> Column:
 
 def peel(url: Column, depth: int = 3) -> Column:
     """The innermost URL carried in a destination parameter, at most `depth` deep."""
-    for _ in range(depth):
-        inner = first_param(url, R.TARGET_PARAMS)
-        url = F.when(F.coalesce(inner.startswith("http"), F.lit(False)), inner).otherwise(url)
-    return url
+
+    def step(u: Column, _: Column) -> Column:
+        inner = first_param(u, R.TARGET_PARAMS)
+        carried = F.when(u.contains("=http") & inner.startswith("http"), inner)
+        return F.coalesce(carried, u)
+
+    # a fold, as nesting the step would repeat it at every use
+    return F.aggregate(F.array(*map(F.lit, range(depth))), url, step)
 
 
 def peel_ad_server(url: Column) -> Column:

@@ -66,23 +66,35 @@ def match_hosts(df: DataFrame, key: str, host: str, rules: DataFrame) -> DataFra
     return suffixes.join(_bounded(rules), "pattern").groupBy(key).agg(F.min_by("entity", "prio").alias("entity"))
 
 
+def by_host(host: Column, rules: dict[str, list[str]]) -> Column:
+    """The entity that names the host or the nearest parent domain: look-ups in one
+    constant map, whatever the number of rules."""
+    names = F.create_map(*(F.lit(x) for name, domains in rules.items() for d in domains for x in (d, name)))
+    found = F.transform(U.host_suffixes(host), lambda s: F.try_element_at(names, s))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def by_pattern(text: Column, rules: dict[str, list[str]]) -> Column:
+    """The entity of the first pattern in text, from one constant array."""
+    table = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(name).alias("entity")) for name, ps in rules.items() for p in ps))
+    return F.get(F.filter(table, lambda r: text.contains(r["pattern"])), F.lit(0))["entity"]
+
+
 def affiliate_network(url: Column) -> Column:
-    """struct(network, confidence): hosts are certain, generic marks are not."""
-    text, host = F.lower(url), U.host(url)
-    named = F.coalesce(*(F.when(reduce(lambda a, b: a | b, ((host == d) | host.endswith("." + d) for d in ds)), F.lit(n)) for n, ds in R.AFFILIATE_HOSTS.items()))
-    return F.coalesce(
-        F.when(named.isNotNull(), F.struct(named.alias("network"), F.lit("high").alias("confidence"))),
-        F.when(contains_any(text, R.GENERIC_TRACKERS), F.struct(F.lit("Unknown Affiliate").alias("network"), F.lit("medium").alias("confidence"))),
-        F.struct(F.lit(None).cast("string").alias("network"), F.lit("unknown").alias("confidence")),
+    """struct(network, confidence): named hosts are certain, generic marks are not."""
+    named = F.coalesce(by_host(U.host(url), R.AFFILIATE_HOSTS), by_pattern(F.lower(url), R.AFFILIATE_HOSTS))
+    generic = contains_any(F.lower(url), R.GENERIC_TRACKERS)
+    return F.struct(
+        F.coalesce(named, F.when(generic, F.lit("Unknown Affiliate"))).alias("network"),
+        F.when(named.isNotNull(), "high").when(generic, "medium").otherwise("unknown").alias("confidence"),
     )
 
 
 def tracking_tool(url: Column) -> Column:
     """The tracker by click-id parameters, host, pattern, then analytics tags."""
-    text, host = F.lower(url), U.host(url)
-    by_host = F.coalesce(*(F.when(reduce(lambda a, b: a | b, ((host == d) | host.endswith("." + d) for d in ds)), F.lit(n)) for n, ds in R.TRACKER_HOSTS.items()))
+    text = F.lower(url)
     return F.coalesce(
-        first_regex(text, R.PARAM_TRACKERS), by_host, first_match(text, list(R.TRACKER_PATTERNS.items())),
+        first_regex(text, R.PARAM_TRACKERS), by_host(U.host(url), R.TRACKER_HOSTS), by_pattern(text, R.TRACKER_PATTERNS),
         F.when(text.contains("utm_"), F.lit("Google Analytics")),
     )
 

@@ -148,5 +148,9 @@ def tracking_tool(u: str) -> str:
     return f"coalesce({first_regex(t, R.PARAM_TRACKERS)}, {host_rule(u, R.TRACKER_HOSTS)}, {first_match(t, list(R.TRACKER_PATTERNS.items()))}, CASE WHEN contains({t}, 'utm_') THEN 'Google Analytics' END)"
 
 
+def named_network(u: str) -> str:
+    return f"coalesce({host_rule(u, R.AFFILIATE_HOSTS)}, {first_match(f'lower({u})', list(R.AFFILIATE_HOSTS.items()))})"
+
+
 def affiliate_network(u: str) -> str:
-    return f"coalesce({host_rule(u, R.AFFILIATE_HOSTS)}, CASE WHEN {any_in(f'lower({u})', R.GENERIC_TRACKERS)} THEN 'Unknown Affiliate' END)"
+    return f"coalesce({named_network(u)}, CASE WHEN {any_in(f'lower({u})', R.GENERIC_TRACKERS)} THEN 'Unknown Affiliate' END)"

@@ -77,7 +77,7 @@ SCALARS: dict[str, dict[str, tuple[Column, str]]] = {
     "c17_bot_challenge": {"challenge": (F.lower(F.col("html")).rlike("just a moment|checking your browser|verify you are human|cloudflare"), "regexp_matches(lower(html), 'just a moment|checking your browser|verify you are human|cloudflare')")},
     "c18_arabic": {"arabic": (T.arabic(TT), r"regexp_matches(title, '[\x{0600}-\x{06FF}]')")},
     "c19_deep_article": {"deep": (((F.length(F.col("url")) > 65) & F.col("url").contains("-")) | F.col("url").rlike("20[12][0-9]"), "(length(url) > 65 AND contains(url, '-')) OR regexp_matches(url, '20[12][0-9]')")},
-    "d01_affiliate_network": {"affiliate": (O.affiliate_network(L)["network"], B.affiliate_network("landing")), "confidence": (O.affiliate_network(L)["confidence"], f"CASE WHEN {B.host_rule('landing', R.AFFILIATE_HOSTS)} IS NOT NULL THEN 'high' WHEN {B.any_in('lower(landing)', R.GENERIC_TRACKERS)} THEN 'medium' ELSE 'unknown' END")},
+    "d01_affiliate_network": {"affiliate": (O.affiliate_network(L)["network"], B.affiliate_network("landing")), "confidence": (O.affiliate_network(L)["confidence"], f"CASE WHEN {B.named_network('landing')} IS NOT NULL THEN 'high' WHEN {B.any_in('lower(landing)', R.GENERIC_TRACKERS)} THEN 'medium' ELSE 'unknown' END")},
     "d02_tracking_tool": {"tracker": (O.tracking_tool(L), B.tracking_tool("landing"))},
     "d04_param_tracker": {"tracker": (O.first_regex(F.lower(L), R.PARAM_TRACKERS), B.first_regex("lower(landing)", R.PARAM_TRACKERS))},
     "d08_known_offer": {"program": (F.coalesce(O.first_match(U.two_labels(Z), [(n, [d]) for d, n in R.KNOWN_OFFERS]), F.when(U.first_param(Z, ["aff_id"]).isNotNull(), F.lit("Direct Affiliate"))), f"coalesce({B.first_match(B.two_labels('final_url'), [(n, [d]) for d, n in R.KNOWN_OFFERS])}, CASE WHEN {B.param('final_url', 'aff_id')} IS NOT NULL THEN 'Direct Affiliate' END)")},

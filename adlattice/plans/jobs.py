@@ -487,7 +487,7 @@ def _(s, d):
     return t(s, d, "customer").agg(F.count("*").alias("users"), F.count_if(F.col("c_mktsegment") != "BUILDING").alias("paid"))
 
 
-@query("j14_confirmed", f"SELECT count(*) FILTER ({B.host_rule('landing', R.AFFILIATE_HOSTS)} IS NOT NULL) AS confirmed FROM ads")
+@query("j14_confirmed", f"SELECT count(*) FILTER ({B.named_network('landing')} IS NOT NULL) AS confirmed FROM ads")
 def _(s, d):
     return B.ads(s, d).agg(F.count_if(O.affiliate_network(F.col("landing"))["confidence"] == "high").alias("confirmed"))
 
