@@ -253,7 +253,7 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
     with_leader = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "both")
     rows = (
         known.join(with_leader, ["leader", "key"], "left")
-        .join(nodes.select("key", "n").join(own, "key", "left"), "key")
+        .join(nodes.join(own, "key", "left"), "key")
         .withColumn("both", F.coalesce("both", "n"))  # the leader itself
         .withColumn("beyond", F.col("n") - F.col("both") - F.coalesce("own", F.lit(0)))
         .where((F.col("both") + F.col("beyond")) >= F.lit(least) * F.col("n"))
@@ -261,12 +261,14 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
     )
     here = rows.where("root <> head").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     there = rows.withColumn("_part", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
-    names = ("key", "root", "n", "both", "beyond")
+    names = ("key", "root", "n", "both", "beyond", "sketches")
     x = here.select("sketch", "_part", *(F.col(c).alias(f"{c}_x") for c in names))
     y = there.select("sketch", "_part", *(F.col(c).alias(f"{c}_y") for c in names))
     most = F.least("both_x", "both_y") + F.least("beyond_x", "beyond_y")
     needed = F.lit(least / (1 + least)) * (F.col("n_x") + F.col("n_y")) - F.lit(1e-6)
-    found = x.join(y, ["sketch", "_part"]).where((F.col("root_x") != F.col("root_y")) & (most >= needed))
+    # of the buckets that a pair shares, the one with the least sketch makes it
+    once = F.col("sketch") == F.array_min(F.array_intersect("sketches_x", "sketches_y"))
+    found = x.join(y, ["sketch", "_part"]).where((F.col("root_x") != F.col("root_y")) & (most >= needed) & once)
     found = found.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
     done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.join(done, ["a", "b"], "left_anti")

@@ -206,7 +206,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5) -
     ).where(F.size("v") == dim)
     wanted = asked.select("v").distinct()
     first = wanted.withColumn("_q", F.xxhash64("v")).mapInPandas(place(False), "v array<double>, _q long, leaf long, p array<double>")
-    blocks = max(1, math.ceil(n / 20 / QUERY_BLOCK))
+    blocks = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
 
     def visit(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("q", "leaf", "p", "ids", "score", "bound")}
