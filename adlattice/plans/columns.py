@@ -16,14 +16,13 @@ from ..operators import score as S
 from ..rules import tables as R
 from . import base as B
 
-L, Z, TT = F.col("landing"), F.col("final_url"), F.col("title")
 
 
-def _same_page() -> tuple[Column, str]:
-    place = lambda u: f"concat(lower({B.part(u, 2)}), regexp_replace(lower({B.part(u, 3)}), '/+$', ''))"
-    return U.same_page(F.concat(F.col("url"), F.lit("?x=1")), F.col("url")), f"{place('concat(url, chr(63), chr(120))')} = {place('url')}"
+def _place(u: str) -> str:
+    return f"concat(lower({B.part(u, 2)}), regexp_replace(lower({B.part(u, 3)}), '/+$', ''))"
 
 
+_SAME = f"{_place('concat(url, chr(63), chr(120))')} = {_place('url')}"
 _KEPT = "list_filter(string_split({q}, '&'), lambda p: length(p) > 0 AND (lower(split_part(p, '=', 1)) IN ({keep}) OR lower(split_part(p, '=', 1)) NOT IN ({drop})))".format(
     q=B.part("landing", 4), keep=", ".join(B.q(x.lower()) for x in R.KEEP_PARAMS), drop=", ".join(B.q(x.lower()) for x in R.DROP_PARAMS)
 )
@@ -40,82 +39,228 @@ def _has(n: str) -> str:
     return f"{B.param('landing', n)} IS NOT NULL"
 
 
-_SAME = _same_page()
-#: query: {column: (Spark column, SQL expression)}, over the ad table.
-SCALARS: dict[str, dict[str, tuple[Column, str]]] = {
-    "b01_split_url": {"scheme": (U.scheme(L), f"lower({B.part('landing', 1)})"), "netloc": (U.netloc(L), B.part("landing", 2)), "path": (U.path(L), B.part("landing", 3)), "query": (U.query(L), B.part("landing", 4)), "fragment": (U.fragment(F.col("url")), B.part("url", 5))},
-    "b02_query_map": {"aff_id": (F.try_element_at(U.params(L), F.lit("aff_id")), B.param("landing", "aff_id")), "sub1": (F.try_element_at(U.params(L), F.lit("sub1")), B.param("landing", "sub1")), "empty": (F.try_element_at(U.params(L), F.lit("empty")), B.param("landing", "empty"))},
-    "b03_registered_domain": {"domain": (U.two_labels(L), B.two_labels("landing"))},
-    "b04_host": {"host": (U.host(L), B.host("landing"))},
-    "b05_strip_tracking": {"clean": (U.strip_tracking(L), _STRIPPED)},
-    "b06_landing_key": {"key": (U.landing_key(L), "split_part(split_part(landing, '?', 1), '#', 1)")},
-    "b07_blank_macros": {"blanked": (U.blank_macros(L), r"regexp_replace(landing, '=(\{[^}]+\}|__[A-Z]+__)', '=', 'g')")},
-    "b08_same_page": {"same": _SAME, "other": (U.same_page(L, Z), "concat(lower({a}), regexp_replace(lower({b}), '/+$', '')) = concat(lower({c}), regexp_replace(lower({d}), '/+$', ''))".format(a=B.part("landing", 2), b=B.part("landing", 3), c=B.part("final_url", 2), d=B.part("final_url", 3)))},
-    "b09_absolute": {"rooted": (U.absolute(F.col("url"), F.lit("/a/b?c=1")), f"concat(lower({B.part('url', 1)}), '://', {B.part('url', 2)}, '/a/b?c=1')"), "relative": (U.absolute(F.lit("https://h.example.com/x/y"), F.concat(F.lit("p"), F.col("id").cast("string"))), "concat('https://h.example.com/x/p', id)"), "other": (U.absolute(F.col("url"), L), f"CASE WHEN starts_with(landing, '//') THEN concat(lower({B.part('url', 1)}), ':', landing) ELSE landing END")},
-    "b10_with_scheme": {"fixed": (U.with_scheme(L), "CASE WHEN starts_with(landing, '//') THEN concat('https:', landing) ELSE landing END")},
-    "b11_origin": {"origin": (U.origin(L), "concat(array_to_string(list_slice(string_split(landing, '/'), 1, 3), '/'), '/')")},
-    "b13_peel_ad_server": {"target": (U.peel_ad_server(L), "coalesce(" + ", ".join(f"CASE WHEN ends_with({B.host('landing')}, {B.q(s)}) THEN {B.first_param('landing', ns)} END" for s, ns in R.AD_SERVERS) + ", landing)")},
-    "b14_thumbnail": {"image": (U.clean_thumbnail(F.concat(F.lit("https://i.example.net/ui/?src=%2F%2Fcdn.example.net%2Fa"), F.col("id").cast("string"), F.lit(".jpg&w=1"))), "concat('https://cdn.example.net/a', id, '.jpg')")},
-    "b15_plausible_host": {"plausible": (U.plausible(L), f"contains({B.host('landing')}, '.')")},
-    "b16_unescape": {"decoded": (U.unescape(L), "url_decode(landing)")},
-    "b17_canonical": {"canonical": (U.strip_tracking(F.coalesce(F.when(O.meaningful(Z), Z), L)), _STRIPPED.replace("landing", f"coalesce(CASE WHEN {B.meaningful('final_url')} THEN final_url END, landing_)").replace("landing_", "landing"))},
-    "c01_meaningful": {"landing_ok": (O.meaningful(L), B.meaningful("landing")), "final_ok": (O.meaningful(Z), B.meaningful("final_url"))},
-    "c02_valid_offer": {"reason": (O.reject_reason(Z), B.reject_reason("final_url")), "landing_reason": (O.reject_reason(L), B.reject_reason("landing"))},
-    "c03_ad_tech_host": {"ad_tech": (O.contains_any(U.host(Z), R.AD_TECH_HOSTS), B.any_in(B.host("final_url"), R.AD_TECH_HOSTS))},
-    "c04_intermediary": {"intermediary": (O.contains_any(U.host(L), R.INTERMEDIARIES), B.any_in(B.host("landing"), R.INTERMEDIARIES))},
-    "c05_prelander": {"prelander": (O.prelander(L), f"{B.host('landing')} IN ({', '.join(map(B.q, R.PRELANDERS))}) OR ({_has('cep')} AND ({_has('lptoken')} OR {_has('widget_id')} OR {_has('boost_id')}))")},
-    "c06_macro": {"macro": (O.has_macro(L), B.macro("landing"))},
-    "c07_tracking_redirect": {"redirect": (O.contains_any(F.lower(L), R.TRACKING_REDIRECTS), B.any_in("lower(landing)", R.TRACKING_REDIRECTS))},
-    "c08_dead_end": {"dead": (L.isNull() | O.contains_any(F.lower(L), R.DEAD_ENDS), f"landing IS NULL OR {B.any_in('lower(landing)', R.DEAD_ENDS)}")},
-    "c09_noise": {"noise": (O.contains_any(F.lower(Z), R.NOISE), B.any_in("lower(final_url)", R.NOISE))},
-    "c10_api_endpoint": {"api": (Z.isNull() | O.contains_any(F.lower(Z), R.API_ENDPOINTS), f"final_url IS NULL OR {B.any_in('lower(final_url)', R.API_ENDPOINTS)}")},
-    "c11_potential_offer": {"n": (F.size(F.filter(F.array(L, Z, F.col("url")), lambda u: O.contains_any(F.lower(u), R.OFFER_WORDS))).cast("long"), "len(list_filter([landing, final_url, url], lambda u: " + B.any_in("lower(u)", R.OFFER_WORDS) + "))")},
-    "c12_valid_cta": {"valid": (T.valid_cta(TT), "trim(title) <> '' AND NOT regexp_matches(title, '(?i)privacy|terms|cookie|contact|disclaimer|trending')")},
-    "c14_skip_domain": {"skip": (F.get(O.matches(U.host(Z), R.STRICT_BLOCK), F.lit(0)), B.first_match(B.host("final_url"), [(w, [w]) for w in R.STRICT_BLOCK]))},
-    "c15_junk_title": {"junk": (O.contains_any(F.lower(TT), ["trending", "order now"]) & (F.length(TT) < 20), f"{B.any_in('lower(title)', ['trending', 'order now'])} AND length(title) < 20")},
-    "c16_bogus_landing": {"bogus": (O.contains_any(U.host(L), ["outbrain.com", "taboola.com", "mgid.com"]), B.any_in(B.host("landing"), ["outbrain.com", "taboola.com", "mgid.com"]))},
-    "c17_bot_challenge": {"challenge": (F.lower(F.col("html")).rlike("just a moment|checking your browser|verify you are human|cloudflare"), "regexp_matches(lower(html), 'just a moment|checking your browser|verify you are human|cloudflare')")},
-    "c18_arabic": {"arabic": (T.arabic(TT), r"regexp_matches(title, '[\x{0600}-\x{06FF}]')")},
-    "c19_deep_article": {"deep": (((F.length(F.col("url")) > 65) & F.col("url").contains("-")) | F.col("url").rlike("20[12][0-9]"), "(length(url) > 65 AND contains(url, '-')) OR regexp_matches(url, '20[12][0-9]')")},
-    "d01_affiliate_network": {"affiliate": (O.affiliate_network(L)["network"], B.affiliate_network("landing")), "confidence": (O.affiliate_network(L)["confidence"], f"CASE WHEN {B.named_network('landing')} IS NOT NULL THEN 'high' WHEN {B.any_in('lower(landing)', R.GENERIC_TRACKERS)} THEN 'medium' ELSE 'unknown' END")},
-    "d02_tracking_tool": {"tracker": (O.tracking_tool(L), B.tracking_tool("landing"))},
-    "d04_param_tracker": {"tracker": (O.first_regex(F.lower(L), R.PARAM_TRACKERS), B.first_regex("lower(landing)", R.PARAM_TRACKERS))},
-    "d08_known_offer": {"program": (F.coalesce(O.first_match(U.two_labels(Z), [(n, [d]) for d, n in R.KNOWN_OFFERS]), F.when(U.first_param(Z, ["aff_id"]).isNotNull(), F.lit("Direct Affiliate"))), f"coalesce({B.first_match(B.two_labels('final_url'), [(n, [d]) for d, n in R.KNOWN_OFFERS])}, CASE WHEN {B.param('final_url', 'aff_id')} IS NOT NULL THEN 'Direct Affiliate' END)")},
-    "d10_html_trackers": {"trackers": (F.array_join(F.filter(F.array(*(F.when(F.col("html").rlike(p), F.lit(n)) for n, p in R.HTML_TRACKERS)), lambda x: x.isNotNull()), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(html, {B.q(p)}) THEN {B.q(n)} END" for n, p in R.HTML_TRACKERS) + ")")},
-    "d11_cloaking": {"changed": (O.cloaking(L, Z)["changed"], f"{B.two_labels('landing')} <> {B.two_labels('final_url')}"), "kind": (O.cloaking(L, Z)["kind"], f"CASE WHEN {B.two_labels('landing')} = {B.two_labels('final_url')} THEN NULL WHEN {B.any_in('lower(landing)', R.TRACKER_MARKS)} THEN 'tracker_to_offer' WHEN {B.any_in('lower(final_url)', R.AFFILIATE_PARAMS)} THEN 'news_to_sales' ELSE 'domain_change' END")},
-    "d12_vertical": {"vertical": (F.coalesce(O.first_match(F.lower(Z), R.VERTICALS), F.lit("Unknown")), f"coalesce({B.first_match('lower(final_url)', R.VERTICALS)}, 'Unknown')")},
-    "d13_title_vertical": {"vertical": (F.coalesce(O.first_match(F.lower(TT), R.VERTICALS), F.lit("General")), f"coalesce({B.first_match('lower(title)', R.VERTICALS)}, 'General')")},
-    "d14_page_type": {"page_type": (F.coalesce(O.first_match(F.lower(Z), [(n, [p]) for p, n in R.PAGE_TYPES]), F.lit("Landing Page")), f"coalesce({B.first_match('lower(final_url)', [(n, [p]) for p, n in R.PAGE_TYPES])}, 'Landing Page')")},
-    "d15_traffic_source": {"source": (F.when(U.param(L, "rc_uuid").isNotNull(), "Revcontent").when(U.param(L, "tblci").isNotNull(), "Taboola").when(L.contains("mgid"), "MGID").when(L.contains("outbrain"), "Outbrain").otherwise("Unknown"), f"CASE WHEN {_has('rc_uuid')} THEN 'Revcontent' WHEN {_has('tblci')} THEN 'Taboola' WHEN contains(landing, 'mgid') THEN 'MGID' WHEN contains(landing, 'outbrain') THEN 'Outbrain' ELSE 'Unknown' END")},
-    "d16_quick_type": {"quick": (F.when(F.lower(F.col("html")).contains("next page"), "Arbitrage").when(F.lower(F.col("html")).contains("buy"), "CPA").when(F.lower(F.col("html")).contains("sign"), "Lead Gen").otherwise("Unknown"), "CASE WHEN contains(lower(html), 'next page') THEN 'Arbitrage' WHEN contains(lower(html), 'buy') THEN 'CPA' WHEN contains(lower(html), 'sign') THEN 'Lead Gen' ELSE 'Unknown' END")},
-    "d17_cms": {"wordpress": (F.col("html").contains("wp-content"), "contains(html, 'wp-content')"), "comments": (F.lower(F.col("html")).contains("comment"), "contains(lower(html), 'comment')")},
-    "d18_merge_trackers": {"trackers": (F.array_join(F.array_sort(F.array_union(F.array(F.lit("Voluum")), F.filter(F.array(O.tracking_tool(L)), lambda x: x.isNotNull()))), ","), f"array_to_string(list_sort(list_distinct(['Voluum', {B.tracking_tool('landing')}])), ',')")},
-    "e04_widget_config": {"widget_id": (U.param(L, "widget_id"), B.param("landing", "widget_id")), "lptoken": (U.param(L, "lptoken"), B.param("landing", "lptoken")), "tracker": (F.when(U.param(L, "lptoken").isNotNull(), F.lit("Custom/In-house")), f"CASE WHEN {_has('lptoken')} THEN 'Custom/In-house' END")},
-    "e05_clickbank": {"affiliate_id": (P.clickbank_ids(L)["affiliate_id"], f"CASE WHEN {_CB} THEN coalesce({B.param('landing', 'hop')}, CASE WHEN {_HOP} THEN split_part({B.host('landing')}, '.', 1) END) END"), "offer_id": (P.clickbank_ids(L)["offer_id"], f"CASE WHEN {_HOP} AND len(string_split({B.host('landing')}, '.')) >= 5 THEN split_part({B.host('landing')}, '.', 2) END"), "click_id": (P.clickbank_ids(L)["click_id"], f"CASE WHEN {_CB} THEN {B.param('landing', 'hopId')} END")},
-    "e06_everflow": {k: (P.everflow_ids(L)[k], f"CASE WHEN {_EF} THEN {B.param('landing', p)} END") for k, p in (("offer_id", "oid"), ("affiliate_id", "affid"), ("offer_domain", "event_source_url"))},
-    "e07_hasoffers": {k: (P.hasoffers_ids(L)[k], f"CASE WHEN {_HO} THEN {B.param('landing', p)} END") for k, p in (("offer_id", "offer_id"), ("affiliate_id", "aff_id"))},
-    "e08_impact": {k: (P.impact_ids(L)[k], f"CASE WHEN {_IM} THEN {B.param('landing', p)} END") for k, p in (("affiliate_id", "irpid"), ("click_id", "irclickid"))},
-    "e09_digistore": {"offer_id": (P.digistore_ids(L)["offer_id"], f"CASE WHEN {_DS} THEN nullif(regexp_extract({B.part('landing', 3)}, '/(?:redir|order|product)/([0-9]+)', 1), '') END"), "affiliate_id": (P.digistore_ids(L)["affiliate_id"], f"CASE WHEN {_DS} THEN {B.first_param('landing', ['aff', 'affiliate'])} END")},
-    "e10_generic_ids": {k: (P.generic_ids(L)[k], B.first_param("landing", names)) for k, names in (("affiliate_id", R.AFFILIATE_ALIASES), ("offer_id", R.OFFER_ALIASES), ("sub_id1", R.SUB_ALIASES), ("click_id", R.CLICK_ALIASES))},
-    "e11_second_ids": {k: (P.second_ids(L)[k], B.first_param("landing", names)) for k, names in R.SECOND_ALIASES.items()},
-    "d07_param_ladder": {"by_params": (P.network_by_params(L), f"CASE WHEN {_has('hop')} OR {_has('hopId')} THEN 'ClickBank' WHEN {_has('effp')} OR {_has('ef_click_id')} THEN 'Everflow' WHEN {_has('awinaffid')} THEN 'Awin' WHEN {_has('irclickid')} OR {_has('irpid')} THEN 'Impact' WHEN {_has('offer_id')} AND {_has('aff_id')} THEN 'Tune/HasOffers' WHEN {_has('aff_id')} OR {_has('affid')} THEN 'Direct Affiliate' END")},
-    "f01_ad_score": {"score": (S.ad_score(L, Z, F.col("html")), S.ad_score_sql("landing", "final_url", "html")), "verdict": (S.score_verdict(S.ad_score(L, Z, F.col("html")), F.col("html")), f"CASE WHEN {S.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate' WHEN {S.ad_score_sql('landing', 'final_url', 'html')} <= -2 THEN 'Arbitrage' ELSE {S.vote_sql('html')} END")},
-    "f02_keyword_vote": {"vote": (S.keyword_vote(F.col("html")), S.vote_sql("html")), "title_vote": (S.keyword_vote(TT), S.vote_sql("title"))},
-    "f03_arbitrage_url": {"score": (F.when(F.col("html").contains('class="ad"'), O.weighted(F.lower(L), R.ARBITRAGE_URLS)).otherwise(0), f"CASE WHEN contains(html, 'class=\"ad\"') THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} ELSE 0 END")},
-    "f06_offer_type": {"best": (S.offer_type(F.col("html"))["best"], S.offer_type_sql("html")[0]), "score": (S.offer_type(F.col("html"))["score"], S.offer_type_sql("html")[1])},
-    "f09_density_override": {"verdict": (F.when((F.col("ad_type") != "Affiliate") & F.col("html").contains('class="ad"'), "Arbitrage").otherwise(F.col("ad_type")), "CASE WHEN ad_type <> 'Affiliate' AND contains(html, 'class=\"ad\"') THEN 'Arbitrage' ELSE ad_type END")},
-    "f12_certainty": {"offer": (F.when(O.reject_reason(Z).isNull() & (Z != L), Z), f"CASE WHEN {B.reject_reason('final_url')} IS NULL AND final_url <> landing THEN final_url END")},
-    "o02_title_norm": {"norm": (T.normal_title(TT), r"regexp_replace(lower(trim(title)), '\s+', ' ', 'g')")},
-    "o03_clip": {"short": (T.clip(TT, 12), "CASE WHEN length(title) > 12 THEN concat(substring(title, 1, 12), '...') ELSE title END")},
-    "o04_phrase_score": {"score": (O.weighted(F.lower(TT), [("trending", 2), ("crypto", 3), ("now", 1)]), B.weighted("lower(title)", [("trending", 2), ("crypto", 3), ("now", 1)]))},
-    "n03_arabic_fix": {"language": (F.when(T.arabic(TT), "ar").otherwise(F.col("language")), r"CASE WHEN regexp_matches(title, '[\x{0600}-\x{06FF}]') THEN 'ar' ELSE language END")},
-    "n09_review_flag": {"needs_review": ((F.col("ad_type") == "Affiliate") & F.col("affiliate_network").isNull(), "ad_type = 'Affiliate' AND affiliate_network IS NULL")},
+#: query: {column: (Spark column when called, SQL expression)}, over the ad table. Columns
+#: are made when a query runs, as they need a session.
+SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
+    "b01_split_url": {
+        'scheme': (lambda: U.scheme(F.col('landing')), f'lower({B.part('landing', 1)})'),
+        'netloc': (lambda: U.netloc(F.col('landing')), B.part('landing', 2)),
+        'path': (lambda: U.path(F.col('landing')), B.part('landing', 3)),
+        'query': (lambda: U.query(F.col('landing')), B.part('landing', 4)),
+        'fragment': (lambda: U.fragment(F.col('url')), B.part('url', 5)),
+    },
+    "b02_query_map": {
+        'aff_id': (lambda: F.try_element_at(U.params(F.col('landing')), F.lit('aff_id')), B.param('landing', 'aff_id')),
+        'sub1': (lambda: F.try_element_at(U.params(F.col('landing')), F.lit('sub1')), B.param('landing', 'sub1')),
+        'empty': (lambda: F.try_element_at(U.params(F.col('landing')), F.lit('empty')), B.param('landing', 'empty')),
+    },
+    "b03_registered_domain": {
+        'domain': (lambda: U.two_labels(F.col('landing')), B.two_labels('landing')),
+    },
+    "b04_host": {
+        'host': (lambda: U.host(F.col('landing')), B.host('landing')),
+    },
+    "b05_strip_tracking": {
+        'clean': (lambda: U.strip_tracking(F.col('landing')), _STRIPPED),
+    },
+    "b06_landing_key": {
+        'key': (lambda: U.landing_key(F.col('landing')), "split_part(split_part(landing, '?', 1), '#', 1)"),
+    },
+    "b07_blank_macros": {
+        'blanked': (lambda: U.blank_macros(F.col('landing')), "regexp_replace(landing, '=(\\{[^}]+\\}|__[A-Z]+__)', '=', 'g')"),
+    },
+    "b08_same_page": {
+        'same': (lambda: U.same_page(F.concat(F.col("url"), F.lit("?x=1")), F.col("url")), _SAME),
+        'other': (lambda: U.same_page(F.col('landing'), F.col('final_url')), "concat(lower({a}), regexp_replace(lower({b}), '/+$', '')) = concat(lower({c}), regexp_replace(lower({d}), '/+$', ''))".format(a=B.part('landing', 2), b=B.part('landing', 3), c=B.part('final_url', 2), d=B.part('final_url', 3))),
+    },
+    "b09_absolute": {
+        'rooted': (lambda: U.absolute(F.col('url'), F.lit('/a/b?c=1')), f"concat(lower({B.part('url', 1)}), '://', {B.part('url', 2)}, '/a/b?c=1')"),
+        'relative': (lambda: U.absolute(F.lit('https://h.example.com/x/y'), F.concat(F.lit('p'), F.col('id').cast('string'))), "concat('https://h.example.com/x/p', id)"),
+        'other': (lambda: U.absolute(F.col('url'), F.col('landing')), f"CASE WHEN starts_with(landing, '//') THEN concat(lower({B.part('url', 1)}), ':', landing) ELSE landing END"),
+    },
+    "b10_with_scheme": {
+        'fixed': (lambda: U.with_scheme(F.col('landing')), "CASE WHEN starts_with(landing, '//') THEN concat('https:', landing) ELSE landing END"),
+    },
+    "b11_origin": {
+        'origin': (lambda: U.origin(F.col('landing')), "concat(array_to_string(list_slice(string_split(landing, '/'), 1, 3), '/'), '/')"),
+    },
+    "b13_peel_ad_server": {
+        'target': (lambda: U.peel_ad_server(F.col('landing')), 'coalesce(' + ', '.join((f'CASE WHEN ends_with({B.host('landing')}, {B.q(s)}) THEN {B.first_param('landing', ns)} END' for s, ns in R.AD_SERVERS)) + ', landing)'),
+    },
+    "b14_thumbnail": {
+        'image': (lambda: U.clean_thumbnail(F.concat(F.lit('https://i.example.net/ui/?src=%2F%2Fcdn.example.net%2Fa'), F.col('id').cast('string'), F.lit('.jpg&w=1'))), "concat('https://cdn.example.net/a', id, '.jpg')"),
+    },
+    "b15_plausible_host": {
+        'plausible': (lambda: U.plausible(F.col('landing')), f"contains({B.host('landing')}, '.')"),
+    },
+    "b16_unescape": {
+        'decoded': (lambda: U.unescape(F.col('landing')), 'url_decode(landing)'),
+    },
+    "b17_canonical": {
+        'canonical': (lambda: U.strip_tracking(F.coalesce(F.when(O.meaningful(F.col('final_url')), F.col('final_url')), F.col('landing'))), _STRIPPED.replace('landing', f'coalesce(CASE WHEN {B.meaningful('final_url')} THEN final_url END, landing_)').replace('landing_', 'landing')),
+    },
+    "c01_meaningful": {
+        'landing_ok': (lambda: O.meaningful(F.col('landing')), B.meaningful('landing')),
+        'final_ok': (lambda: O.meaningful(F.col('final_url')), B.meaningful('final_url')),
+    },
+    "c02_valid_offer": {
+        'reason': (lambda: O.reject_reason(F.col('final_url')), B.reject_reason('final_url')),
+        'landing_reason': (lambda: O.reject_reason(F.col('landing')), B.reject_reason('landing')),
+    },
+    "c03_ad_tech_host": {
+        'ad_tech': (lambda: O.contains_any(U.host(F.col('final_url')), R.AD_TECH_HOSTS), B.any_in(B.host('final_url'), R.AD_TECH_HOSTS)),
+    },
+    "c04_intermediary": {
+        'intermediary': (lambda: O.contains_any(U.host(F.col('landing')), R.INTERMEDIARIES), B.any_in(B.host('landing'), R.INTERMEDIARIES)),
+    },
+    "c05_prelander": {
+        'prelander': (lambda: O.prelander(F.col('landing')), f'{B.host('landing')} IN ({', '.join(map(B.q, R.PRELANDERS))}) OR ({_has('cep')} AND ({_has('lptoken')} OR {_has('widget_id')} OR {_has('boost_id')}))'),
+    },
+    "c06_macro": {
+        'macro': (lambda: O.has_macro(F.col('landing')), B.macro('landing')),
+    },
+    "c07_tracking_redirect": {
+        'redirect': (lambda: O.contains_any(F.lower(F.col('landing')), R.TRACKING_REDIRECTS), B.any_in('lower(landing)', R.TRACKING_REDIRECTS)),
+    },
+    "c08_dead_end": {
+        'dead': (lambda: F.col('landing').isNull() | O.contains_any(F.lower(F.col('landing')), R.DEAD_ENDS), f'landing IS NULL OR {B.any_in('lower(landing)', R.DEAD_ENDS)}'),
+    },
+    "c09_noise": {
+        'noise': (lambda: O.contains_any(F.lower(F.col('final_url')), R.NOISE), B.any_in('lower(final_url)', R.NOISE)),
+    },
+    "c10_api_endpoint": {
+        'api': (lambda: F.col('final_url').isNull() | O.contains_any(F.lower(F.col('final_url')), R.API_ENDPOINTS), f'final_url IS NULL OR {B.any_in('lower(final_url)', R.API_ENDPOINTS)}'),
+    },
+    "c11_potential_offer": {
+        'n': (lambda: F.size(F.filter(F.array(F.col('landing'), F.col('final_url'), F.col('url')), lambda u: O.contains_any(F.lower(u), R.OFFER_WORDS))).cast('long'), 'len(list_filter([landing, final_url, url], lambda u: ' + B.any_in('lower(u)', R.OFFER_WORDS) + '))'),
+    },
+    "c12_valid_cta": {
+        'valid': (lambda: T.valid_cta(F.col('title')), "trim(title) <> '' AND NOT regexp_matches(title, '(?i)privacy|terms|cookie|contact|disclaimer|trending')"),
+    },
+    "c14_skip_domain": {
+        'skip': (lambda: F.get(O.matches(U.host(F.col('final_url')), R.STRICT_BLOCK), F.lit(0)), B.first_match(B.host('final_url'), [(w, [w]) for w in R.STRICT_BLOCK])),
+    },
+    "c15_junk_title": {
+        'junk': (lambda: O.contains_any(F.lower(F.col('title')), ['trending', 'order now']) & (F.length(F.col('title')) < 20), f'{B.any_in('lower(title)', ['trending', 'order now'])} AND length(title) < 20'),
+    },
+    "c16_bogus_landing": {
+        'bogus': (lambda: O.contains_any(U.host(F.col('landing')), ['outbrain.com', 'taboola.com', 'mgid.com']), B.any_in(B.host('landing'), ['outbrain.com', 'taboola.com', 'mgid.com'])),
+    },
+    "c17_bot_challenge": {
+        'challenge': (lambda: F.lower(F.col('html')).rlike('just a moment|checking your browser|verify you are human|cloudflare'), "regexp_matches(lower(html), 'just a moment|checking your browser|verify you are human|cloudflare')"),
+    },
+    "c18_arabic": {
+        'arabic': (lambda: T.arabic(F.col('title')), "regexp_matches(title, '[\\x{0600}-\\x{06FF}]')"),
+    },
+    "c19_deep_article": {
+        'deep': (lambda: (F.length(F.col('url')) > 65) & F.col('url').contains('-') | F.col('url').rlike('20[12][0-9]'), "(length(url) > 65 AND contains(url, '-')) OR regexp_matches(url, '20[12][0-9]')"),
+    },
+    "d01_affiliate_network": {
+        'affiliate': (lambda: O.affiliate_network(F.col('landing'))['network'], B.affiliate_network('landing')),
+        'confidence': (lambda: O.affiliate_network(F.col('landing'))['confidence'], f"CASE WHEN {B.named_network('landing')} IS NOT NULL THEN 'high' WHEN {B.any_in('lower(landing)', R.GENERIC_TRACKERS)} THEN 'medium' ELSE 'unknown' END"),
+    },
+    "d02_tracking_tool": {
+        'tracker': (lambda: O.tracking_tool(F.col('landing')), B.tracking_tool('landing')),
+    },
+    "d04_param_tracker": {
+        'tracker': (lambda: O.first_regex(F.lower(F.col('landing')), R.PARAM_TRACKERS), B.first_regex('lower(landing)', R.PARAM_TRACKERS)),
+    },
+    "d08_known_offer": {
+        'program': (lambda: F.coalesce(O.first_match(U.two_labels(F.col('final_url')), [(n, [d]) for d, n in R.KNOWN_OFFERS]), F.when(U.first_param(F.col('final_url'), ['aff_id']).isNotNull(), F.lit('Direct Affiliate'))), f"coalesce({B.first_match(B.two_labels('final_url'), [(n, [d]) for d, n in R.KNOWN_OFFERS])}, CASE WHEN {B.param('final_url', 'aff_id')} IS NOT NULL THEN 'Direct Affiliate' END)"),
+    },
+    "d10_html_trackers": {
+        'trackers': (lambda: F.array_join(F.filter(F.array(*(F.when(F.col('html').rlike(p), F.lit(n)) for n, p in R.HTML_TRACKERS)), lambda x: x.isNotNull()), ','), "concat_ws(',', " + ', '.join((f'CASE WHEN regexp_matches(html, {B.q(p)}) THEN {B.q(n)} END' for n, p in R.HTML_TRACKERS)) + ')'),
+    },
+    "d11_cloaking": {
+        'changed': (lambda: O.cloaking(F.col('landing'), F.col('final_url'))['changed'], f'{B.two_labels('landing')} <> {B.two_labels('final_url')}'),
+        'kind': (lambda: O.cloaking(F.col('landing'), F.col('final_url'))['kind'], f"CASE WHEN {B.two_labels('landing')} = {B.two_labels('final_url')} THEN NULL WHEN {B.any_in('lower(landing)', R.TRACKER_MARKS)} THEN 'tracker_to_offer' WHEN {B.any_in('lower(final_url)', R.AFFILIATE_PARAMS)} THEN 'news_to_sales' ELSE 'domain_change' END"),
+    },
+    "d12_vertical": {
+        'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), R.VERTICALS), F.lit('Unknown')), f"coalesce({B.first_match('lower(final_url)', R.VERTICALS)}, 'Unknown')"),
+    },
+    "d13_title_vertical": {
+        'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('title')), R.VERTICALS), F.lit('General')), f"coalesce({B.first_match('lower(title)', R.VERTICALS)}, 'General')"),
+    },
+    "d14_page_type": {
+        'page_type': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), [(n, [p]) for p, n in R.PAGE_TYPES]), F.lit('Landing Page')), f"coalesce({B.first_match('lower(final_url)', [(n, [p]) for p, n in R.PAGE_TYPES])}, 'Landing Page')"),
+    },
+    "d15_traffic_source": {
+        'source': (lambda: F.when(U.param(F.col('landing'), 'rc_uuid').isNotNull(), 'Revcontent').when(U.param(F.col('landing'), 'tblci').isNotNull(), 'Taboola').when(F.col('landing').contains('mgid'), 'MGID').when(F.col('landing').contains('outbrain'), 'Outbrain').otherwise('Unknown'), f"CASE WHEN {_has('rc_uuid')} THEN 'Revcontent' WHEN {_has('tblci')} THEN 'Taboola' WHEN contains(landing, 'mgid') THEN 'MGID' WHEN contains(landing, 'outbrain') THEN 'Outbrain' ELSE 'Unknown' END"),
+    },
+    "d16_quick_type": {
+        'quick': (lambda: F.when(F.lower(F.col('html')).contains('next page'), 'Arbitrage').when(F.lower(F.col('html')).contains('buy'), 'CPA').when(F.lower(F.col('html')).contains('sign'), 'Lead Gen').otherwise('Unknown'), "CASE WHEN contains(lower(html), 'next page') THEN 'Arbitrage' WHEN contains(lower(html), 'buy') THEN 'CPA' WHEN contains(lower(html), 'sign') THEN 'Lead Gen' ELSE 'Unknown' END"),
+    },
+    "d17_cms": {
+        'wordpress': (lambda: F.col('html').contains('wp-content'), "contains(html, 'wp-content')"),
+        'comments': (lambda: F.lower(F.col('html')).contains('comment'), "contains(lower(html), 'comment')"),
+    },
+    "d18_merge_trackers": {
+        'trackers': (lambda: F.array_join(F.array_sort(F.array_union(F.array(F.lit('Voluum')), F.filter(F.array(O.tracking_tool(F.col('landing'))), lambda x: x.isNotNull()))), ','), f"array_to_string(list_sort(list_distinct(['Voluum', {B.tracking_tool('landing')}])), ',')"),
+    },
+    "e04_widget_config": {
+        'widget_id': (lambda: U.param(F.col('landing'), 'widget_id'), B.param('landing', 'widget_id')),
+        'lptoken': (lambda: U.param(F.col('landing'), 'lptoken'), B.param('landing', 'lptoken')),
+        'tracker': (lambda: F.when(U.param(F.col('landing'), 'lptoken').isNotNull(), F.lit('Custom/In-house')), f"CASE WHEN {_has('lptoken')} THEN 'Custom/In-house' END"),
+    },
+    "e05_clickbank": {
+        'affiliate_id': (lambda: P.clickbank_ids(F.col('landing'))['affiliate_id'], f"CASE WHEN {_CB} THEN coalesce({B.param('landing', 'hop')}, CASE WHEN {_HOP} THEN split_part({B.host('landing')}, '.', 1) END) END"),
+        'offer_id': (lambda: P.clickbank_ids(F.col('landing'))['offer_id'], f"CASE WHEN {_HOP} AND len(string_split({B.host('landing')}, '.')) >= 5 THEN split_part({B.host('landing')}, '.', 2) END"),
+        'click_id': (lambda: P.clickbank_ids(F.col('landing'))['click_id'], f'CASE WHEN {_CB} THEN {B.param('landing', 'hopId')} END'),
+    },
+    "e06_everflow": {k: (lambda k=k: P.everflow_ids(F.col('landing'))[k], f'CASE WHEN {_EF} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'oid'), ('affiliate_id', 'affid'), ('offer_domain', 'event_source_url'))},
+    "e07_hasoffers": {k: (lambda k=k: P.hasoffers_ids(F.col('landing'))[k], f'CASE WHEN {_HO} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'offer_id'), ('affiliate_id', 'aff_id'))},
+    "e08_impact": {k: (lambda k=k: P.impact_ids(F.col('landing'))[k], f'CASE WHEN {_IM} THEN {B.param('landing', p)} END') for k, p in (('affiliate_id', 'irpid'), ('click_id', 'irclickid'))},
+    "e09_digistore": {
+        'offer_id': (lambda: P.digistore_ids(F.col('landing'))['offer_id'], f"CASE WHEN {_DS} THEN nullif(regexp_extract({B.part('landing', 3)}, '/(?:redir|order|product)/([0-9]+)', 1), '') END"),
+        'affiliate_id': (lambda: P.digistore_ids(F.col('landing'))['affiliate_id'], f'CASE WHEN {_DS} THEN {B.first_param('landing', ['aff', 'affiliate'])} END'),
+    },
+    "e10_generic_ids": {k: (lambda k=k: P.generic_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in (('affiliate_id', R.AFFILIATE_ALIASES), ('offer_id', R.OFFER_ALIASES), ('sub_id1', R.SUB_ALIASES), ('click_id', R.CLICK_ALIASES))},
+    "e11_second_ids": {k: (lambda k=k: P.second_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in R.SECOND_ALIASES.items()},
+    "d07_param_ladder": {
+        'by_params': (lambda: P.network_by_params(F.col('landing')), f"CASE WHEN {_has('hop')} OR {_has('hopId')} THEN 'ClickBank' WHEN {_has('effp')} OR {_has('ef_click_id')} THEN 'Everflow' WHEN {_has('awinaffid')} THEN 'Awin' WHEN {_has('irclickid')} OR {_has('irpid')} THEN 'Impact' WHEN {_has('offer_id')} AND {_has('aff_id')} THEN 'Tune/HasOffers' WHEN {_has('aff_id')} OR {_has('affid')} THEN 'Direct Affiliate' END"),
+    },
+    "f01_ad_score": {
+        'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), S.ad_score_sql('landing', 'final_url', 'html')),
+        'verdict': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), F.col('html')), f"CASE WHEN {S.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate' WHEN {S.ad_score_sql('landing', 'final_url', 'html')} <= -2 THEN 'Arbitrage' ELSE {S.vote_sql('html')} END"),
+    },
+    "f02_keyword_vote": {
+        'vote': (lambda: S.keyword_vote(F.col('html')), S.vote_sql('html')),
+        'title_vote': (lambda: S.keyword_vote(F.col('title')), S.vote_sql('title')),
+    },
+    "f03_arbitrage_url": {
+        'score': (lambda: F.when(F.col('html').contains('class="ad"'), O.weighted(F.lower(F.col('landing')), R.ARBITRAGE_URLS)).otherwise(0), f"""CASE WHEN contains(html, 'class="ad"') THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} ELSE 0 END"""),
+    },
+    "f06_offer_type": {
+        'best': (lambda: S.offer_type(F.col('html'))['best'], S.offer_type_sql('html')[0]),
+        'score': (lambda: S.offer_type(F.col('html'))['score'], S.offer_type_sql('html')[1]),
+    },
+    "f09_density_override": {
+        'verdict': (lambda: F.when((F.col('ad_type') != 'Affiliate') & F.col('html').contains('class="ad"'), 'Arbitrage').otherwise(F.col('ad_type')), 'CASE WHEN ad_type <> \'Affiliate\' AND contains(html, \'class="ad"\') THEN \'Arbitrage\' ELSE ad_type END'),
+    },
+    "f12_certainty": {
+        'offer': (lambda: F.when(O.reject_reason(F.col('final_url')).isNull() & (F.col('final_url') != F.col('landing')), F.col('final_url')), f'CASE WHEN {B.reject_reason('final_url')} IS NULL AND final_url <> landing THEN final_url END'),
+    },
+    "o02_title_norm": {
+        'norm': (lambda: T.normal_title(F.col('title')), "regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')"),
+    },
+    "o03_clip": {
+        'short': (lambda: T.clip(F.col('title'), 12), "CASE WHEN length(title) > 12 THEN concat(substring(title, 1, 12), '...') ELSE title END"),
+    },
+    "o04_phrase_score": {
+        'score': (lambda: O.weighted(F.lower(F.col('title')), [('trending', 2), ('crypto', 3), ('now', 1)]), B.weighted('lower(title)', [('trending', 2), ('crypto', 3), ('now', 1)])),
+    },
+    "n03_arabic_fix": {
+        'language': (lambda: F.when(T.arabic(F.col('title')), 'ar').otherwise(F.col('language')), "CASE WHEN regexp_matches(title, '[\\x{0600}-\\x{06FF}]') THEN 'ar' ELSE language END"),
+    },
+    "n09_review_flag": {
+        'needs_review': (lambda: (F.col('ad_type') == 'Affiliate') & F.col('affiliate_network').isNull(), "ad_type = 'Affiliate' AND affiliate_network IS NULL"),
+    },
 }
 
 
 def queries() -> dict[str, tuple[Callable, str]]:
-    def made(columns: dict[str, tuple[Column, str]]) -> tuple[Callable, str]:
-        spark_side = lambda spark, sf_dir: B.ads(spark, sf_dir).select("id", *(c.alias(n) for n, (c, _) in columns.items()))
+    def made(columns: dict[str, tuple[Callable[[], Column], str]]) -> tuple[Callable, str]:
+        spark_side = lambda spark, sf_dir: B.ads(spark, sf_dir).select("id", *(c().alias(n) for n, (c, _) in columns.items()))
         return spark_side, f"WITH {B.ADS_SQL} SELECT id, " + ", ".join(f"{sql} AS {n}" for n, (_, sql) in columns.items()) + " FROM ads"
 
     return {name: made(columns) for name, columns in SCALARS.items()}
