@@ -20,7 +20,7 @@ from ..sources import html as G
 from ..streaming import sightings as ST
 from . import base as B
 from . import columns
-from .jobs import ABS, ANCHORS_SQL, HOPS_SQL, QUERIES, _hops, query
+from .jobs import ANCHORS_SQL, HOPS_SQL, QUERIES, _hops, query
 
 t = B.table
 
