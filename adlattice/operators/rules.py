@@ -4,6 +4,7 @@ an equality join. The first rule in priority order wins."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,10 @@ MOST_BROADCAST = 100_000
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether one of the words is in text; null: no."""
+    """Whether one of the words is in text; null: no. Long lists are one alternation, so
+    that the generated code stays small."""
+    if len(words) > 8:
+        return F.coalesce(text.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
     return F.coalesce(reduce(lambda a, b: a | b, (text.contains(w) for w in words)), F.lit(False))
 
 

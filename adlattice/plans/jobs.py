@@ -150,9 +150,9 @@ def _(s, d):
     return O.match_hosts(rows, "id", "host", O.rule_table(s, R.AFFILIATE_HOSTS))
 
 
-@query("c13_likely_cta", f"{ANCHORS_SQL} SELECT id AS page_id, pos FROM a WHERE regexp_matches(text, '(?i)buy|order|next|read|more')")
+@query("c13_likely_cta", f"{ANCHORS_SQL} SELECT id AS page_id, pos FROM a WHERE regexp_matches(text, '(?i)^(buy|order|next|read|more|to|in)')")
 def _(s, d):
-    return G.anchors(t(s, d, "pages")).where(F.col("text").rlike("(?i)buy|order|next|read|more")).select("page_id", F.col("pos").cast("long"))
+    return G.anchors(t(s, d, "pages")).where(F.col("text").rlike("(?i)^(buy|order|next|read|more|to|in)")).select("page_id", F.col("pos").cast("long"))
 
 
 @query("c20_review_queue", "SELECT id FROM ads WHERE ad_type = 'Affiliate' AND affiliate_network IS NULL")
