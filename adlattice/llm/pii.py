@@ -24,8 +24,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|password|passwd)\b\x20?[=:]\x20?[\x22']?([A-Za-z0-9_/+=-]{16,256})")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")  # a start, and the most that may follow
+_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|password|passwd)\b\x20?[=:]\x20?[\x22']?([A-Za-z0-9_/+=-]{16,}+)")
+
+#: Characters of an account by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23,
+    "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31,
+    "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 #: Fixed words that speak for a kind when they stand nearby.
 CONTEXT = {
@@ -84,9 +93,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _account(text: str, start: int, most: int, length: int | None) -> int | None:
+    """End of the account of this length that starts here and goes to `most` at the
+    furthest; without a length, the last end for which mod-97 holds. Ends are at token
+    borders."""
+    ends, n = [], 0
+    for i in range(start, most):
+        if text[i] != " ":
+            n += 1
+            after = text[i + 1 : i + 2]
+            if n >= 15 and length in (None, n) and not (after.isascii() and after.isalnum()):
+                ends.append(i + 1)
+    return next((e for e in reversed(ends) if mod97(text[start:e])), None)
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Accounts of countries in the list, by length, and of others in what is left. Where a
+    start gives none, the search goes on right after it."""
+    starts = [(m.start(), m.end(1)) for m in _IBAN.finditer(text)]  # what follows a start is looked at, not consumed
+    found, end = [], 0
+    for start, most in starts:
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        if length and start >= end and (e := _account(text, start, most, length)):
+            found.append((start, e))
+            end = e
+    listed_, end, k = list(found), 0, 0
+    for start, most in starts:
+        while k < len(listed_) and listed_[k][0] <= start:
+            end, k = max(end, listed_[k][1]), k + 1
+        most = min(most, listed_[k][0]) if k < len(listed_) else most
+        if start >= end and text[start : start + 2] not in IBAN_LENGTHS and (e := _account(text, start, most, None)):
+            found.append((start, e))
+            end = e
+    return found
+
+
 def more_spans(text: str) -> list[tuple[int, int, int]]:
     """Kinds of the method's own: bank accounts by mod-97, named secrets."""
-    spans = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    spans = [(s, 4, e) for s, e in _ibans(text)]
     if "=" in text or ":" in text:
         spans += [(m.start(1), 5, m.end(1)) for m in _SECRET.finditer(text)]
     return spans

@@ -185,6 +185,25 @@ def test_pii_extra_kinds():
     assert not any(pii.KINDS[s[1]] == "iban" for s in pii.find("DE88 3704 0044 0532 0130 00"))
 
 
+def test_pii_ibans_before_upper_case_words():
+    found = lambda text: [text[s:e] for s, k, e, _ in pii.find(text) if pii.KINDS[k] == "iban"]
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", ".", " EUR 500", " BIC COBADEFF", " I think", " A B C D E F G H I J K L M N O P", " " + iban):
+            assert found(iban + after)[0] == iban
+        for before in ("AB12 CD34 ", "XX00 ABCD EFGH ", "BIC COBADEFF "):
+            assert found(before + iban + " EUR 5")[-1] == iban
+        assert found(f"{iban} {iban} EUR {iban}") == [iban] * 3
+    # a country that isn't listed, and ends within a token
+    digits = next(f"{i:02d}" for i in range(2, 99) if pii.mod97(f"ZZ{i:02d}ABCD1234567890"))
+    assert found(f"ZZ{digits} ABCD 1234 5678 90 OK") == [f"ZZ{digits} ABCD 1234 5678 90"]
+    assert found("DE89370400440532013000EUR") == [] == found("xDE89370400440532013000")
+
+
+def test_pii_whole_long_secrets():
+    token = "aB3_" * 5000
+    assert pii.redact(f"token={token} end") == "token=[secret] end"
+
+
 def plain_phrases(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
