@@ -15,6 +15,7 @@ from ..operators import params as P
 from ..operators import rules as O
 from ..operators import score as S
 from ..operators import store as N
+from ..operators import titles as TT
 from ..rules import tables as R
 from ..sources import html as G
 from ..streaming import sightings as ST
@@ -202,6 +203,11 @@ def _(s, d):
     return k.join(n, ["h", "t"]).select("id", "others")
 
 
+@query("i08b_fuzzy_title_contained", f"k AS (SELECT id, {B.host('url')} AS h, trim(regexp_replace(lower(coalesce(title, '')), {B.q(TT.SPACE)}, ' ', 'g')) AS t FROM ads) SELECT a.id, count(*) - 1 AS others FROM k a JOIN k b ON a.h = b.h AND (a.t = b.t OR (length(a.t) > 10 AND length(b.t) > 10 AND (contains(a.t, substring(b.t, 1, 20)) OR contains(b.t, substring(a.t, 1, 20))))) GROUP BY a.id HAVING count(*) > 1")
+def _(s, d):
+    return TT.alike(B.ads(s, d).select("id", U.host(F.col("url")).alias("h"), "title"), "id", "h", "title")
+
+
 # ---- streams: run to the end over the events table ----
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import url as U
-from adlattice.operators import chains, params, rules, store
+from adlattice.operators import chains, params, rules, store, titles
 from adlattice.sources import feeds
 from adlattice.streaming import sightings
 
@@ -93,3 +93,18 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out/v{run.lastProgress['batchId']}").select("user_id", "impressions", "first_seen", "last_seen")
     want = store.fold_sightings(batch, ["user_id"], "ts", ["event_type"]).select("user_id", "impressions", "first_seen", "last_seen")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_titles_alike_by_containment(spark):
+    lead = "abcdefghij klmnopqrst"  # its first 20 characters are the lead
+    names = [
+        "trending now 3", "trending now 39", "Trending   Now\t3 ", "see: trending now 3!", "short", "SHORT ", "sho", None, "", "exactly ten", "exactly te",
+        lead + " one", lead + " two", "x " + lead, lead[:15], "abcdefghij k", "aaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaa b", "b aaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+    ]
+    table = [(i, f"h{i % 2 if i > 99 else 0}", x) for i, x in enumerate(names + names[:4])] + [(100 + i, "h1", x) for i, x in enumerate(names)] + [(900, None, "short"), (901, None, "short")]
+    norm = lambda x: " ".join((x or "").lower().split())
+    link = lambda a, b: a == b or (len(a) > 10 and len(b) > 10 and (b[:20] in a or a[:20] in b))
+    want = {i: n for i, g, a in table if (n := sum(g == h and i != j and link(norm(a), norm(b)) for j, h, b in table)) and g}
+    got = titles.alike(spark.createDataFrame(table, "id int, h string, title string"), "id", "h", "title").collect()
+    assert {r.id: r.others for r in got} == want and len(got) == len(want)
+    assert want[0] > 3 and want[4] and want[13]
