@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -127,7 +127,20 @@ def _feed(shape: str, image: str, wrap: Callable) -> tuple[Callable, str]:
 
 QUERIES["a01_feed_keyed_list"] = _feed("list", "'i.jpg'", lambda title, link: F.to_json(F.struct(F.array(F.struct(F.lit("").alias("title"), title.alias("text"), link.alias("clickUrl"), F.lit("i.jpg").alias("image"))).alias("items"))))
 QUERIES["a02_feed_script"] = _feed("script", "'t.jpg'", lambda title, link: F.concat(F.lit("callback("), F.to_json(F.array(F.struct(title.alias("name"), link.alias("url"), F.array(F.struct(F.lit("t.jpg").alias("url"))).alias("thumbnail")))), F.lit(");")))
-QUERIES["a03_feed_nested"] = _feed("nested", "'n.jpg'", lambda title, link: F.concat(F.lit("OB("), F.to_json(F.struct(F.struct(F.array(F.struct(title.alias("content"), link.alias("url"), F.struct(F.lit("n.jpg").alias("url")).alias("image"))).alias("documents")).alias("a"))), F.lit(")")))
+
+
+def _nested(title: Column, link: Column) -> Column:
+    """Payloads with several wrapper names, depths and list keys, and empty lists beside."""
+    item = F.to_json(F.struct(title.alias("content"), link.alias("url"), F.struct(F.lit("n.jpg").alias("url")).alias("image")))
+    key = F.element_at(F.array(*map(F.lit, ("documents", "items", "ads", "listings", "doc", "cards"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    inner = F.concat(F.lit('{"'), key, F.lit('":['), item, F.lit("]}"))
+    shapes = ('{"a":%}', "%", '{"response":{"x":%,"items":[]}}', '{"ads":[],"r":{"s":{"t":{"u":{"v":%}}}},"z":[1,"x",null]}')
+    n = (F.col("o_orderkey") / 6).cast("long") % len(shapes)
+    whole = F.element_at(F.array(*(F.concat(F.lit(x.split("%")[0]), inner, F.lit(x.split("%")[1])) for x in shapes)), (n + 1).cast("int"))
+    return F.concat(F.lit("OB("), whole, F.lit(")"))
+
+
+QUERIES["a03_feed_nested"] = _feed("nested", "'n.jpg'", _nested)
 QUERIES["a04_feed_content"] = _feed("content", "'c.jpg'", lambda title, link: F.to_json(F.struct(F.array(F.struct(title.alias("headline"), link.alias("url"), F.lit("c.jpg").alias("image"))).alias("content"))))
 
 # ---- URL, rule tables ----

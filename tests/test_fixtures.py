@@ -73,6 +73,27 @@ def test_bad_feeds_give_no_rows(spark):
     assert feeds.normalise(bad, "id", "p").count() == 0
 
 
+def test_feeds_at_any_depth(spark):
+    item = lambda n: f'{{"title":"t{n}","url":"u{n}","thumbnail":[{{"url":"i{n}"}}]}}'
+    deep = item(1)
+    for i in range(40):
+        deep = f'{{"w{i}":{deep}}}' if i else f'{{"listings":[{deep}]}}'
+    rows = {
+        "two lists": (f'{{"items":[{item(1)},{item(2)}],"b":{{"documents":[{item(3)}],"doc":[{item(4)}]}}}}', {"u1", "u2", "u3", "u4"}),
+        "another wrapper": (f'cb({{"other":{{"ads":[{item(1)}]}}}});', {"u1"}),
+        "an object under a list key": (f'{{"documents":{{"doc":[{item(1)}],"n":1}}}}', {"u1"}),
+        "another key": (f'{{"x":[{item(1)},{{"url":"no title"}},5]}}', {"u1"}),
+        "deep": (deep, {"u1"}),
+        "empty first": (f'{{"ads":[],"items":[{item(1)}],"content":"text"}}', {"u1"}),
+        "root": (f"[{item(1)},{item(2)}]", {"u1", "u2"}),
+        "none": ('{"a":{"b":null,"c":[1,null,[2]]}}', set()),
+    }
+    got = feeds.normalise(spark.createDataFrame([(k, p) for k, (p, _) in rows.items()], "id string, p string"), "id", "p").collect()
+    for k, (_, want) in rows.items():
+        mine = [r for r in got if r.id == k]
+        assert {r.landing for r in mine} == want and len({r.pos for r in mine}) == len(mine) == len(want), k
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, n int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 1)], "k long, v string, n int")
