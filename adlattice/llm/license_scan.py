@@ -2,8 +2,9 @@
 
 The automaton holds every substring of the licence templates and phrases. A document
 is streamed through it word by word; at each word it gives the length of the longest
-match that ends there (the matching statistics). Long maximal matches are chained in
-text and template order into spans, and a label is given where a chain covers enough
+match that ends there (the matching statistics). Where long matches lie, each template
+that may be there is matched on its own, so one that is part of another isn't hidden by
+it; its long maximal matches are chained in text and template order into spans, and a label is given where a chain covers enough
 of a template. Phrases are found on the way: one ends at a word if it is a suffix of
 the match there.
 """
@@ -50,6 +51,10 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _runs(text: list[bytes]) -> Iterator[tuple[bytes, ...]]:
+    return zip(*(text[i:] for i in range(LEAST_MATCH)), strict=False)
+
+
 class Automaton:
     """A generalised suffix automaton of word sequences.
 
@@ -74,8 +79,9 @@ class Automaton:
                 self.ends[last].setdefault(k, at)
         for sequence, _ in names:
             last = 0
-            for word in sequence:
+            for at, word in enumerate(sequence):
                 last = self._extend(last, word)
+                self.ends[last].setdefault(-1, at)  # a template may be part of a phrase
         order = sorted(range(1, len(self.next)), key=lambda s: self.length[s])
         for s in reversed(order):  # a suffix stands wherever the longer string does
             for k, at in self.ends[s].items():
@@ -87,6 +93,12 @@ class Automaton:
             for word in sequence:
                 s = self.next[s][word]
             own.setdefault(s, []).append((len(sequence), label))
+        #: each template's own automaton, and the templates that hold a run of LEAST_MATCH words
+        self.alone = [Automaton((t,), ()) for t in templates] if len(templates) > 1 or phrases else []
+        self.holders: dict[tuple[bytes, ...], set[int]] = {}
+        for k, (_, t) in enumerate(templates if self.alone else ()):
+            for run in _runs(words(t)):
+                self.holders.setdefault(run, set()).add(k)
         self.phrases: list[tuple[tuple[int, str], ...]] = [()] * len(self.next)
         for s in order:
             self.phrases[s] = (*self.phrases[self.link[s]], *own.get(s, ())) if self.link[s] >= 0 else ()
@@ -121,7 +133,29 @@ class Automaton:
         return new
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
-        """Phrases (start, label), and maximal matches (template, start, template start, words)."""
+        """Phrases (start, label), and each template's maximal matches (template, start, template
+        start, words)."""
+        found, seeds = self._scan(text)
+        return found, self._each(text, seeds) if self.alone else seeds
+
+    def _each(self, text: list[bytes], seeds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Matches of every template on its own. They lie within the matches of all templates
+        together, so only these parts of the text are read again."""
+        parts: list[list[int]] = []
+        for _, start, _, n in seeds:
+            if parts and start < parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], start + n)
+            else:
+                parts.append([start, start + n])
+        out = []
+        for start, end in parts:
+            part = text[start:end]
+            for k in sorted(set().union(*(self.holders.get(run, ()) for run in _runs(part)))):
+                out += [(k, start + s, at, n) for _, s, at, n in self.alone[k]._scan(part)[1]]
+        return out
+
+    def _scan(self, text: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
+        """Phrases, and matches that are maximal over all templates together."""
         found: list[tuple[int, str]] = []
         seeds: list[tuple[int, int, int, int]] = []
         following, link, length, phrases = self.next, self.link, self.length, self.phrases

@@ -233,3 +233,27 @@ def test_automaton_finds_longest_matches():
     found, seeds = automaton.scan(b"q a b c d f g".split())
     assert found == [(2, "z")]
     assert (0, 1, 0, 4) in seeds and (1, 3, 0, 4) in seeds
+
+
+def test_templates_within_others(docs):
+    notice = 'Licensed under the Apache License, Version 2.0'
+    texts = [f'{notice} (the "License")', f"{notice} the end", f"See. {notice} the License you may not use this. {notice}", notice]
+    got = {r["doc_id"]: r for r in rows(license_scan.scan(docs([(i, t, "a") for i, t in enumerate(texts)])))}
+    assert [got[i]["score"] for i in range(4)] == [1.0] * 4
+    assert [got[i]["spans"] for i in (0, 1, 3)] == ["apache:0:8"] * 3
+    assert "apache:1:9" in got[2]["spans"].split(",") and "apache:16:24" in got[2]["spans"].split(",")
+
+
+def test_each_template_is_matched_as_if_alone():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        templates = tuple((f"t{k}", " ".join(rng.choice(list("abcd"), rng.integers(3, 12)))) for k in range(4))
+        text = " ".join(rng.choice([*"abcd", "x"], rng.integers(0, 40), p=[0.24] * 4 + [0.04])).encode().split()
+        every = license_scan.Automaton(templates, ((" ".join(rng.choice(list("abcd"), 6)), "p"),))
+        want = [(k, *seed[1:]) for k, t in enumerate(templates) for seed in license_scan.Automaton((t,), ()).scan(text)[1]]
+        assert sorted(every.scan(text)[1]) == sorted(want)
+        # the longest match of a template is never shorter than by brute force
+        for k, (_, t) in enumerate(templates):
+            t = t.encode().split()
+            longest = max((n for n in range(3, len(t) + 1) for i in range(len(t) - n + 1) for j in range(len(text) - n + 1) if text[j : j + n] == t[i : i + n]), default=0)
+            assert max((n for m, _, _, n in every.scan(text)[1] if m == k), default=0) == longest
