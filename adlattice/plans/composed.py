@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import chains as H
+from ..operators import links as K
 from ..operators import params as P
 from ..operators import rules as O
 from ..operators import score as S
@@ -150,6 +151,11 @@ def _(s, d):
     return t(s, d, "pages").select("page_id", best.alias("b")).select("page_id", "b.*")
 
 
+@query("g03b_static_links")
+def _(s, d):
+    return K.best_links(t(s, d, "pages"), "page_id")
+
+
 @query("h05_validate_fallback", f"{HOPS_SQL}, g AS (SELECT id, arg_max(url, hop) AS url FROM hops WHERE {B.reject_reason('url')} IS NULL GROUP BY id) SELECT ads.id, CASE WHEN {B.reject_reason('ads.final_url')} IS NULL THEN ads.final_url ELSE g.url END AS offer FROM ads LEFT JOIN g ON g.id = ads.id")
 def _(s, d):
     good = _hops(s, d).where(O.reject_reason(F.col("url")).isNull()).groupBy("id").agg(F.max_by("url", "hop").alias("good"))

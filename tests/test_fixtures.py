@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import url as U
-from adlattice.operators import chains, params, rules, store, titles
+from adlattice.operators import chains, links, params, rules, store, titles
 from adlattice.sources import feeds
 from adlattice.streaming import sightings
 
@@ -129,3 +129,20 @@ def test_titles_alike_by_containment(spark):
     got = titles.alike(spark.createDataFrame(table, "id int, h string, title string"), "id", "h", "title").collect()
     assert {r.id: r.others for r in got} == want and len(got) == len(want)
     assert want[0] > 3 and want[4] and want[13]
+
+
+def test_best_links_by_pattern(spark):
+    good = lambda n: f"https://shop{n}.com/p?x={n}"
+    rows = [
+        (1, f'<a class="big Offer-Link" href="{good(1)}">x</a><div data-offer="{good(2)}">', good(1), "class", 10),
+        (2, f"<div title='a > b' data-url='{good(2)}'><script>var offerUrl = '{good(3)}';</script>", good(2), "data", 9),
+        (3, f'<script>x={{url:"{good(3)}"}}</script><a href="https://y.com/p?aff_id=1">', good(3), "script", 8),
+        (4, '<a href="https://www.digistore24.com/redir/1/x"><p data-link="https://y.com/p">', "https://www.digistore24.com/redir/1/x", "network", 10),
+        (5, f'<a href="https://y.com/p?a=1&amp;aff_id=1"><meta http-equiv="refresh" content="0; url={good(6)}">', "https://y.com/p?a=1&aff_id=1", "param", 7),
+        (6, f"<meta content=\"0;URL='{good(6)}'\" http-equiv=Refresh><a href='{good(7)}'>", good(6), "refresh", 6),
+        (7, '<a href="https://hop-apps.clickbank.net/x?destinationUrl=https%3A%2F%2Fshop7.com%2Fp%3Fx%3D7">', good(7), "destination", 10),
+        (8, f'<a class=offlink href="https://x.com/a.jpg"><p data-href="{good(8)}">', good(8), "data", 9),  # the best isn't valid
+    ]
+    pages = spark.createDataFrame([(i, h) for i, h, *_ in rows] + [(9, '<a href="https://trkflstr.com/1"><a href="https://trkflstr.com/2">'), (10, None), (11, "")], "page_id long, html string")
+    got = {r.page_id: tuple(r)[1:] for r in links.best_links(pages, "page_id").collect()}
+    assert got == {i: (u, m, n, None) for i, _, u, m, n in rows} | {9: (None, None, None, "https://trkflstr.com/2"), 10: (None,) * 4, 11: (None,) * 4}
