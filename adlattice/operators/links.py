@@ -1,4 +1,4 @@
-"""Offer links of stored pages by eight patterns."""
+"""Offer links of stored pages by eight patterns, and the walk through pre-landers."""
 
 from __future__ import annotations
 
@@ -50,3 +50,18 @@ def best_links(pages: DataFrame, *keep: str) -> DataFrame:
     best = F.get(F.filter("_found", lambda f: O.reject_reason(f["link"]).isNull()), F.lit(0))
     tracker = F.get(F.reverse(F.filter(a, lambda u: O.contains_any(u, L.TRACKER_LINKS))), F.lit(0))
     return rows.select(*keep, best.alias("_b"), tracker.alias("_t")).select(*keep, "_b.*", F.when(F.col("_b").isNull(), F.col("_t")).alias("tracker"))
+
+
+def prelander_walk(starts: DataFrame, key: str, pages: DataFrame, most: int = 3) -> DataFrame:
+    """(key, final, hops, arrived) of each of starts(key, url): while the URL is a
+    pre-lander, its page's best link is taken, at most `most` times. arrived tells whether
+    final is a valid offer and no pre-lander. Of several pages of a URL the one with the
+    smallest page_id that has a link counts. One equality join on URLs a hop.
+    """
+    ways = best_links(pages.where(O.prelander(F.col("url"))), "page_id", "url").where("link is not null")
+    ways = ways.groupBy(F.col("url").alias("from")).agg(F.min_by("link", "page_id").alias("to"))
+    rows = starts.select(key, F.col("url").alias("final"), F.lit(0).cast("long").alias("hops"))
+    for _ in range(most):
+        rows = rows.join(ways, F.col("final") == F.col("from"), "left")
+        rows = rows.select(key, F.coalesce("to", "final").alias("final"), (F.col("hops") + F.col("to").isNotNull().cast("long")).alias("hops"))
+    return rows.withColumn("arrived", O.reject_reason(F.col("final")).isNull() & ~O.prelander(F.col("final")))

@@ -171,6 +171,11 @@ def _(s, d):
     return H.follow(edges, edges.select(F.col("from_url").alias("url")), most=3)
 
 
+@query("h09b_prelander_pages")
+def _(s, d):
+    return K.prelander_walk(B.ads(s, d).select("id", F.col("landing").alias("url")), "id", t(s, d, "pages"))
+
+
 @query("h13_layered", f"SELECT a.id, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN final_url WHEN p.target <> a.landing THEN p.target WHEN {B.meaningful('landing')} THEN landing END AS offer, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN 1 WHEN p.target <> a.landing THEN 2 WHEN {B.meaningful('landing')} THEN 3 ELSE 0 END AS layer FROM ads a JOIN {sub('b12_peel')} p ON p.id = a.id")
 def _(s, d):
     a = B.ads(s, d).withColumn("target", U.peel(F.col("landing")))

@@ -146,3 +146,18 @@ def test_best_links_by_pattern(spark):
     pages = spark.createDataFrame([(i, h) for i, h, *_ in rows] + [(9, '<a href="https://trkflstr.com/1"><a href="https://trkflstr.com/2">'), (10, None), (11, "")], "page_id long, html string")
     got = {r.page_id: tuple(r)[1:] for r in links.best_links(pages, "page_id").collect()}
     assert got == {i: (u, m, n, None) for i, _, u, m, n in rows} | {9: (None, None, None, "https://trkflstr.com/2"), 10: (None,) * 4, 11: (None,) * 4}
+
+
+def test_prelander_walk_by_pages(spark):
+    lander = lambda n: f"https://wellnesspeek.com/{n}"
+    link = lambda u: f'<a class="offlink" href="{u}">'
+    offers = [f"https://shop{n}.com/p?x=1" for n in range(5)]
+    pages = [
+        (1, lander(1), link(offers[1])), (2, lander(2), link(offers[2])), (3, lander(3), link(lander(1))), (4, lander(4), link(lander(3))), (5, lander(5), link(lander(4))),
+        (6, lander(6), "<p>no link"), (7, offers[1], link(offers[2])), (8, lander(2), link(offers[3])), (9, lander(8), link(lander(8))),
+    ]
+    starts = [(i, u) for i, u in enumerate([lander(1), lander(2), lander(3), lander(4), lander(5), lander(6), offers[1], "https://x.com/none", lander(1), lander(8), None])]
+    got = links.prelander_walk(spark.createDataFrame(starts, "id long, url string"), "id", spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = [(offers[1], 1, True), (offers[2], 1, True), (offers[1], 2, True), (offers[1], 3, True), (lander(1), 3, False), (lander(6), 0, False), (offers[1], 0, True), ("https://x.com/none", 0, True), (offers[1], 1, True), (lander(8), 3, False)]
+    mine = {r.id: tuple(r)[1:] for r in got}
+    assert len(got) == len(starts) and [mine[i] for i in range(10)] == want and not mine[10][2]
