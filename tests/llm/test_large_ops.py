@@ -38,6 +38,35 @@ def test_nearest_against_brute_force(spark):
     assert set(got.query_id) == {i for i in fine if i % 20 == 0}
 
 
+def test_nearest_test_closes_leaves_and_prunes(spark, monkeypatch):
+    """Groups that lie apart: the test closes most leaves, at a recall of 0.9 at least."""
+    monkeypatch.setattr(nearest, "LEAF", 64)
+    rng = np.random.default_rng(3)
+    base = 3.0 * rng.standard_normal((24, 32))
+    data = [(i, (base[i % 24] + 0.3 * rng.standard_normal(32)).tolist(), 0.0) for i in range(1920)]
+    table, counts = vectors(spark, data), {}
+    got = nearest.search(table, table.where("vec_id % 20 = 0"), counts=counts).toPandas()
+    fine = np.array([np.asarray(v, dtype=np.float32) for _, v, _ in data], dtype=float)
+    hits = 0
+    for q in range(0, 1920, 20):
+        scores = fine @ fine[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & set(got.vec_id[got.query_id == q]))
+    assert hits / (20 * 96) >= 0.9
+    assert counts["visits"] < 0.6 * counts["queries"] * counts["leaves"]
+    assert counts["verified"] < 0.2 * counts["queries"] * counts["vectors"]
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Repeated rows count once on either side; a vec_id of two vectors is two queries."""
+    rows = [(i, [1.0 + i, 1.0], 0.0) for i in range(6)]
+    once = vectors(spark, rows)
+    found = lambda t: sorted(tuple(r) for r in nearest.search(t, t.where("vec_id % 2 = 0"), k=3).collect())
+    assert found(vectors(spark, rows * 3)) == found(once)
+    two = found(vectors(spark, [*rows, (0, [-1.0, 0.5], 0.0)]))
+    assert [r[:2] for r in two if r[0] == 0] == [(0, 1), (0, 1), (0, 2), (0, 2), (0, 3), (0, 3)]
+
+
 def test_nearest_of_few_or_no_rows(spark):
     few = vectors(spark, [(0, [1.0, 2.0], 0.0), (1, [2.0, 1.0], 0.0), (20, [1.0, 2.0], 0.0)])
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest.search(few, few.where("vec_id % 20 = 0")).collect())
