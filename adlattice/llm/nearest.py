@@ -297,9 +297,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5, c
                 hits.append((at + i, row, score))
                 done += n
         at, row, score = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        made = [visits["h1"].take(pa.array(at)), visits["h2"].take(pa.array(at)), pa.array(score), rows["ids"].take(pa.array(row))]
-        report = [pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (float(done), pa.float64()), (None, pa.list_(pa.int64())))]
-        names = ["h1", "h2", "score", "ids"]
+        made = [visits["h1"].take(pa.array(at)), visits["h2"].take(pa.array(at)), pa.array(score), rows["h1"].take(pa.array(row)), rows["ids"].take(pa.array(row))]
+        report = [pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (float(done), pa.float64()), (None, pa.int64()), (None, pa.list_(pa.int64())))]
+        names = ["h1", "h2", "score", "own", "ids"]
         return pa.concat_tables([pa.table(report, names=names), pa.table([c.cast(r.type) for c, r in zip(made, report, strict=True)], names=names)])
 
     best, seen = None, 0
@@ -313,8 +313,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5, c
         visits = asks.mapInArrow(wanted(seen, last, np.maximum(blocks, 1)), f"leaf long, part int, block int, {state}")
         there = index.join(per_leaf("blocks", blocks), "leaf").where("blocks > 0").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         keys = ["leaf", "part", "block"]
-        found = there.select(*keys, "ids", "v", "p").groupBy(*keys).cogroup(visits.groupBy(*keys))
-        found = found.applyInArrow(visit, "h1 long, h2 long, score double, ids array<long>")
+        found = there.select(*keys, "h1", "ids", "v", "p").groupBy(*keys).cogroup(visits.groupBy(*keys))
+        found = found.applyInArrow(visit, "h1 long, h2 long, score double, own long, ids array<long>")
         if counts is not None:
             found = cut(found)
             counts["visits"] = counts.get("visits", 0) + sum(loads.values())
@@ -339,11 +339,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 5, c
     if counts is not None:
         counts |= {"leaves": len(box_leaf), "queries": asks.count(), "vectors": int(boxes["n"].sum())}
 
-    hits = best.groupBy("h1", "h2").agg(F.collect_list(F.struct("score", "ids")).alias("hits"))
+    hits = best.groupBy("h1", "h2").agg(F.collect_list(F.struct("score", "own", "ids")).alias("hits"))
     # a vector that many queries share is spread by salts; each salt gets its hits once
     asked = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
     there = asked.select("h1", "h2", "salt").distinct().join(hits, ["h1", "h2"])
     pairs = asked.join(there, ["h1", "h2", "salt"]).select("query_id", "h1", F.explode("hits").alias("h"))
-    pairs = pairs.select("query_id", "h1", "h.score", F.explode("h.ids").alias("vec_id")).where("vec_id <> query_id")
+    pairs = pairs.select("query_id", "h1", "h.score", "h.own", F.explode("h.ids").alias("vec_id")).where("vec_id <> query_id OR own <> h1")
     rank = Window.partitionBy("query_id", "h1").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -65,6 +65,7 @@ def test_nearest_of_repeated_rows(spark):
     assert found(vectors(spark, rows * 3)) == found(once)
     two = found(vectors(spark, [*rows, (0, [-1.0, 0.5], 0.0)]))
     assert [r[:2] for r in two if r[0] == 0] == [(0, 1), (0, 1), (0, 2), (0, 2), (0, 3), (0, 3)]
+    assert (0, 1, 0, -0.5) in two  # the other vector of its own id is a candidate
 
 
 def test_nearest_of_few_or_no_rows(spark):
