@@ -119,6 +119,32 @@ def test_lattice_equals_merges(own):
         assert own.back(states, len(word), next(iter(states[-1])), 0) == own._merged(word)
 
 
+def test_neighbours_stay_apart_as_merges_say(own):
+    rng = np.random.default_rng(4)
+    left, right = (rng.choice(np.flatnonzero(own.rank_at[:-1, 0] < sentencepiece.NEVER), 3000) for _ in range(2))
+    whole = [own._merged(p) == [p] for p in (own.names[i] for i in left)]
+    for x, y, got, w in zip(left, right, own._apart(left, right), whole, strict=True):
+        a, b = own.names[x], own.names[y]
+        if w and own._merged(b) == [b]:
+            assert got == (own._merged(a + b) == [a, b]), (a, b)
+
+
+def test_scores_decide_for_unigram_models():
+    pieces = [("<unk>", 0.0, 2), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("aba", -7.5, 1), ("ba", -3.5, 1)]
+    own = sentencepiece.Segmenter({"bpe": False, "prefix": False, "pieces": pieces})
+    score = {p: s for p, s, k in pieces if k == 1}
+
+    def best(t):
+        ways = [(score.get(t[:i], own.penalty if i == 1 else -1e9), t[i:]) for i in range(1, len(t) + 1)]
+        return max((s + best(rest) for s, rest in ways), default=0.0)
+
+    for text in ("ab", "aba", "abab", "bbaab", "axb", "abaabab"):
+        ids = own.encode(text).tolist()
+        assert "".join(pieces[i][0] if i else "x" for i in ids) == text
+        assert abs(sum(pieces[i][1] if i else own.penalty for i in ids) - best(text)) < 1e-9
+        assert abs(sum(own.scores.get(p, own.penalty) for p in own.segment(text)) - best(text)) < 1e-9
+
+
 def chunked(own, text, chunk):
     text, parts = own.normal(text), []
     for at in range(0, len(text), chunk):
@@ -152,6 +178,18 @@ def test_encode_with_giants(docs, none, model, library):
     assert sentencepiece.encode(none, ["doc_id"], model).count() == 0
 
 
+def test_giants_through_a_tall_tree(docs, model, library, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "FAN", 3)
+    table = [(1, LONG[:9000], "a"), (2, "q" * 2500, "a"), (3, LONG[:9000], "b"), (4, None, "a"), (5, "é漢 " * 700, "a")]
+    rows = sentencepiece.encode(docs(table), ["doc_id"], model, chunk=300, giant=1000, check=True).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in rows) == [(i, library.encode(t or "")) for i, t, _ in table]
+    assert all(r.round_trip for r in rows)
+    many = docs([(i, t, "a") for i, t in enumerate(texts(300, 20, 9))])
+    own = sentencepiece.Segmenter(model)
+    for r in sentencepiece.encode(many, ["doc_id", "text"], model, check=True).collect():
+        assert r.round_trip == (own.decode(np.array(r.ids)) == r.text)
+
+
 def grams(text):
     words = (text or "").split()
     k = min(5, len(words))
