@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """rows with the columns of facts, which has one row for each of `keys`. A key that
+    many rows share is spread by a hash of their columns `by`; each part gets its facts
+    once, so no task holds all rows of a key."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    asked = dealt.select(*keys, "_salt").distinct()
+    return dealt.join(asked.join(facts, keys), [*keys, "_salt"], how).drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of other than white space; null: none."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")).cast("long")
