@@ -4,8 +4,12 @@ Every line is good or bad. Its features describe the line and its neighbours; th
 chain couples neighbouring lines. A document's score is the mean of its lines'
 forward-backward marginals for good, weighted by their length.
 
-The field is trained on a bounded sample of labelled documents, each line taking its
-document's label; only features of that sample reach the driver.
+Only documents are labelled, so line labels are latent. The field is first fitted with
+each line taking its document's label; then lines of bad documents that look good by
+themselves count as good by half, up to half of a document's text, and the field is
+fitted again, so that it learns where good and bad lines meet. The sample of labelled
+documents is bounded; of a very long one, runs of lines spread over all of it are taken.
+Only features of that sample reach the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Bounds of the training sample: documents, and lines of each.
-TRAIN_DOCS, TRAIN_LINES = 4000, 200
+#: Bounds of the training sample: documents; lines of a document that is taken whole; and of
+#: a longer one, runs of lines, evenly spread from its first line to its last, and their length.
+TRAIN_DOCS, TRAIN_LINES, RUNS, RUN = 4000, 200, 8, 25
 THRESHOLD = 0.7
 
 _SYMBOLS = b"#*$%&|<>"
@@ -110,39 +115,68 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> dict:
-    """Weights by gradient ascent (Adam) on the mean log likelihood of whole chains;
-    a document counts the same whatever its length, and both labels alike."""
+def line_labels(own: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How good the lines of a bad document are taken to be, from their own scores of good
+    over bad: half, where good is likelier, but not for the worst lines that make up
+    half of the text."""
+    order = np.argsort(own, kind="stable")
+    worst = int(np.searchsorted(np.cumsum(weights[order]), weights.sum() / 2)) + 1
+    good = own > 0
+    good[order[:worst]] = False
+    return 0.5 * good
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: list[np.ndarray] | None = None, steps: tuple[int, ...] = (150, 80), rate: float = 0.1, ridge: float = 1e-3) -> dict:
+    """Weights by gradient ascent (Adam) on the mean log likelihood of whole chains, once
+    with the documents' labels and then with lines' labels; a document counts the same
+    whatever its length, and both labels alike."""
     if not rows or len(set(labels.tolist())) < 2:  # nothing to tell apart: every line at the base rate
         share = float(np.mean(labels)) if len(labels) else 0.5
         w = np.zeros(WIDTH)
         w[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return {"w": w, "trans": np.zeros((2, 2)), "mean": np.zeros(WIDTH), "scale": np.ones(WIDTH)}
+    weights = [np.ones(len(x)) for x in rows] if weights is None else weights
     every = np.concatenate(rows)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
     mean[0], scale[0] = 0.0, 1.0
-    order = np.argsort([len(r) for r in rows])
-    groups = []
-    for at in range(0, len(order), 256):
-        pick = order[at : at + 256]
-        x, sizes = padded([(rows[i] - mean) / scale for i in pick])
-        groups.append((x, sizes, labels[pick].astype(float)))
+    rows = [(x - mean) / scale for x in rows]
+    lines = [np.full(len(x), float(y)) for x, y in zip(rows, labels, strict=True)]
+    order = np.argsort([len(x) for x in rows])
     share = labels.mean()
-    theta, m, v = np.zeros(WIDTH + 4), 0.0, 0.0
-    for t in range(1, steps + 1):
-        grad = -ridge * theta
-        for x, sizes, y in groups:
-            good, _, pairs = marginals(x @ theta[:WIDTH], sizes, theta[WIDTH:].reshape(2, 2))
-            live = np.arange(x.shape[1])[None, :] < sizes[:, None]
-            weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / (len(rows) * sizes)
-            grad[:WIDTH] += np.einsum("nl,nld->d", (y[:, None] - good) * live * weight[:, None], x)
-            steps_of = np.array([[((sizes - 1) * (1 - y)).sum(), 0.0], [0.0, ((sizes - 1) * y).sum()]])
-            grad[WIDTH:] += ((steps_of - pairs) / max(1.0, sizes.sum())).ravel() * len(sizes) / len(rows)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    theta = np.zeros(WIDTH + 4)
+    for stage, n in enumerate(steps):
+        if stage:
+            for i in np.flatnonzero(labels == 0):
+                lines[i] = line_labels(rows[i] @ theta[:WIDTH], weights[i])
+        groups = []
+        for at in range(0, len(order), 256):
+            pick = order[at : at + 256]
+            x, sizes = padded([rows[i] for i in pick])
+            y, _ = padded([lines[i] for i in pick])
+            a, b = (z[np.arange(x.shape[1] - 1)[None, :] < sizes[:, None] - 1] for z in (y[:, :-1], y[:, 1:]))
+            met = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
+            weight = np.where(labels[pick] > 0, 0.5 / share, 0.5 / (1 - share)) / (len(rows) * sizes)
+            groups.append((x, sizes, y, met, weight))
+        m, v = 0.0, 0.0
+        for t in range(1, n + 1):
+            grad = -ridge * theta
+            for x, sizes, y, met, weight in groups:
+                good, _, pairs = marginals(x @ theta[:WIDTH], sizes, theta[WIDTH:].reshape(2, 2))
+                live = np.arange(x.shape[1])[None, :] < sizes[:, None]
+                grad[:WIDTH] += np.einsum("nl,nld->d", (y - good) * live * weight[:, None], x)
+                grad[WIDTH:] += ((met - pairs) / max(1.0, sizes.sum())).ravel() * len(sizes) / len(rows)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return {"w": theta[:WIDTH], "trans": theta[WIDTH:].reshape(2, 2), "mean": mean, "scale": scale}
 
 
+def sampled(n: int) -> list[slice]:
+    """The runs of a document's n lines that are trained on."""
+    if n <= TRAIN_LINES:
+        return [slice(0, n)]
+    return [slice(at, at + RUN) for at in ((n - RUN) * i // (RUNS - 1) for i in range(RUNS))]
+
+
 def held_out(doc_id: str) -> Column:
     """Rows whose crc32(doc_id as text) mod 4 is 2; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -150,7 +184,12 @@ def held_out(doc_id: str) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
     """The model from at most `most` labelled rows that aren't held out: those with the
-    smallest hashes of doc_id. A doc_id with several labels counts with their mean's side."""
+    smallest hashes of doc_id. A doc_id with several labels counts with their mean's side.
+
+    Null labels and doc_ids take no part; a null text is one empty line; of repeated
+    documents all rows up to `most` are taken. Without rows, or with one label only,
+    every text scores at the base rate. Only doc_id, text and quality are read.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -158,14 +197,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in parts:
-            made = [features(t)[0][:TRAIN_LINES] for t in part["text"]]
-            yield {"doc_id": part["doc_id"], "good": part["_good"], "x": [x.astype("<f4").tobytes() for x in made]}
+            made = [features(t) for t in part["text"]]
+            yield {
+                "doc_id": part["doc_id"],
+                "good": part["_good"],
+                "x": [[x[r].astype("<f4").tobytes() for r in sampled(len(x))] for x, _ in made],
+                "w": [[w[r].astype("<f4").tobytes() for r in sampled(len(w))] for _, w in made],
+            }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_rows(rows.select("doc_id", "text", "_good"), run, f"doc_id {kind}, good int, x binary")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    x = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH).astype(np.float64) for r in got]
-    return fit(x, np.array([r.good for r in got], dtype=int))
+    got = map_rows(rows.select("doc_id", "text", "_good"), run, f"doc_id {kind}, good int, x array<binary>, w array<binary>")
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(most).collect()
+    pieces = [(r.good, x, w) for r in got for x, w in zip(r.x, r.w, strict=True)]
+    x = [np.frombuffer(x, "<f4").reshape(-1, WIDTH).astype(np.float64) for _, x, _ in pieces]
+    return fit(x, np.array([g for g, _, _ in pieces], dtype=int), [np.frombuffer(w, "<f4").astype(np.float64) for _, _, w in pieces])
 
 
 def score_texts(texts: list[str | None], model: dict) -> list[float]:

@@ -321,3 +321,31 @@ def test_marginals_against_enumeration():
     assert np.allclose(np.log(z), total[0])
     for i in range(5):
         assert np.allclose(good[0, i], sum(w for y, w in weights.items() if y[i]) / z)
+
+
+def test_real_labels_held_out_and_lines_apart(spark):
+    """On documents that training doesn't see; and within one text good and bad lines differ."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).where("held_out").join(labels.where("quality IS NOT NULL"), "doc_id").toPandas()
+    rank, good = got.score.rank(), got.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc >= 0.99
+    assert (got.predicted == got.quality).mean() >= 0.98
+    fine = "The words of this line read like those of any other text, and it ends so."
+    junk = "and*** of### the$$$ here&&& we*** that### it%%% go|| on||"
+    x, _ = quality_classifier.features("\n".join([fine] * 6 + [junk] * 6))
+    emit = ((x - model["mean"]) / model["scale"]) @ model["w"]
+    lines = quality_classifier.marginals(emit[None, :], np.array([12]), model["trans"])[0][0]
+    assert lines[:3].min() > 0.6 and lines[6:].max() < 0.4  # features of neighbours reach over the border
+
+
+def test_training_takes_runs_from_a_whole_text():
+    for n in (1, 200, 201, 1000, 12_345):
+        runs = quality_classifier.sampled(n)
+        assert runs[0].start == 0 and runs[-1].stop == n
+        assert all(a.stop <= b.start for a, b in zip(runs, runs[1:]))  # noqa: B905
+    own = np.array([3.0, -2.0, 1.0, 4.0])
+    assert quality_classifier.line_labels(own, np.ones(4)).tolist() == [0.5, 0.0, 0.0, 0.5]
+    assert quality_classifier.line_labels(own[:1], np.ones(1)).tolist() == [0.0]
