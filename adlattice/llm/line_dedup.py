@@ -5,8 +5,9 @@ lines that the second filter may hold, the suspects, are shuffled, by a 128-bit
 digest of the whole key, which gives the exact number of documents and the one that
 keeps the line.
 
-The filters have a fixed size, at most MOST_BITS each; when they fill up, more lines
-are suspects and are shuffled, and the result stays the same.
+The filters' size follows the number of lines, up to what can be broadcast (MOST_BITS
+each). Beyond that they fill up: more lines are suspects and are shuffled, at 24 bytes
+each, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .common import cut, map_rows
 LEAST_CHARS = 40
 LEAST_DOCS = 5
 SEGMENT = 1 << 16
-LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
-BITS_PER_DOC = 128
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
+BITS_PER_LINE = 16
+FLUSH = 1 << 20  # cells that a task holds besides its filters
 #: Confirmed lines up to this number are broadcast (24 bytes each); beyond, they are joined.
 MOST_BROADCAST = 200_000
 _STRIP = " \t\n\x0b\x0c\r"
@@ -52,18 +54,25 @@ def _bits(digests: list[bytes], n_bits: int) -> np.ndarray:
 
 
 def _seen(n_bits: int):
+    """The cells that a task's documents set once and twice, by segment. A task holds sorted
+    cells only, no digests; a cell that two lines share counts as seen twice."""
+
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        once: set[bytes] = set()
-        twice: set[bytes] = set()
+        ones, twos, new = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def flush() -> None:
+            nonlocal ones, twos, new
+            cells, n = np.unique(np.concatenate([ones, *new]), return_counts=True)
+            ones, twos, new = cells, np.union1d(twos, cells[n > 1]), []
+
         for part in parts:
             for text in part["text"]:
-                new = _digests(text)
-                twice |= once & new
-                once |= new
-        if not once:
-            return
-        ones = np.unique(_bits(list(once), n_bits))
-        twos = np.unique(_bits(list(twice), n_bits)) if twice else np.empty(0, np.int64)
+                if own := _digests(text):
+                    new.append(np.unique(_bits(list(own), n_bits)))
+            if sum(map(len, new)) > FLUSH:
+                flush()
+        if new:
+            flush()
         segments = np.unique(ones // SEGMENT)
         cells = lambda a, s: zlib.compress((a[np.searchsorted(a, s * SEGMENT) : np.searchsorted(a, (s + 1) * SEGMENT)] % SEGMENT).astype("<u2").tobytes(), 1)
         for at in range(0, len(segments), 256):
@@ -97,8 +106,13 @@ def twice_filter(docs: DataFrame, n_bits: int) -> np.ndarray:
     return bits
 
 
-def filter_bits(n_docs: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n_docs * BITS_PER_DOC) - 1).bit_length()))
+def filter_bits(n_lines: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n_lines * BITS_PER_LINE) - 1).bit_length()))
+
+
+def n_lines(docs: DataFrame) -> int:
+    """Lines of all texts that may be long enough to count."""
+    return docs.agg(F.sum(F.least(F.length("text") / LEAST_CHARS, 1 + F.length("text") - F.length(F.translate("text", "\n", ""))))).first()[0] or 0
 
 
 def suspects(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -135,10 +149,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A line whose key is found in at least LEAST_DOCS rows stays only in rows with the
     largest doc_id that holds it; null is smaller than any doc_id. Null and empty
-    texts are one empty line. Equal rows count each, and stay or lose lines alike.
+    texts are one empty line. Equal rows count each, and stay or lose lines alike. An empty
+    table gives none. Names of docs' columns can't clash.
     """
     spark = docs.sparkSession
-    bits = twice_filter(docs, filter_bits(docs.count()))
+    bits = twice_filter(docs, filter_bits(int(n_lines(docs))))
     found = suspects(docs, bits)
     shared = cut(
         found.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("keeper")).where(F.col("_n") >= LEAST_DOCS)
@@ -183,12 +198,18 @@ def _apply(docs: DataFrame, keepers, drops: DataFrame | None) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """docs with the kept text; n_chars, if there, follows it. A null text becomes empty."""
-    out = dedup_lines(docs).select("doc.*", F.col("kept_text").alias("_kept"))
-    out = out.withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs with the kept text; n_chars, if there, follows it. A null text becomes empty;
+    repeated rows stay repeated; other columns pass, whatever their names."""
+    out = dedup_lines(docs)
+
+    def column(name: str):
+        if name == "text":
+            return F.col("kept_text").alias("text")
+        if name == "n_chars":
+            return F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col("doc")[name].alias(name)
+
+    return out.select(*(column(c) for c in docs.columns))
 
 
 ORACLE = rf"""

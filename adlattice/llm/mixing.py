@@ -89,38 +89,37 @@ def position(epoch: Column) -> Column:
     return F.when(F.get(F.col("passes"), epoch) > 0, demand_inverse(share, F.col("slope"))).otherwise(F.lit(1.0) + rest)
 
 
-def _key(df: DataFrame, size: str) -> Column:
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", size)
-
-
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: docs' columns, a row for each pass that takes the document,
     range-sorted by training position. The last copy of a source may be cut to its
     leading words, joined by blanks; n_chars, if there, follows the text.
 
-    Documents without words are in no pass and go. Rows that repeat a doc_id take
-    the plans of that doc_id one each.
+    Documents without words are in no pass and go; a null source is one of its own; an
+    empty table stays so. Rows that repeat doc_id, source and size take the plans of
+    these one each, in the order of their hashes. Names of docs' columns can't clash.
     """
-    plan = assign(docs)
-    copies = (
-        plan.select("*", F.posexplode("passes").alias("_epoch", "_words"))
-        .where("_words > 0")
-        .select(_key(plan, "size").alias("_key"), "_epoch", "_words", position(F.col("_epoch")).alias("_position"), "start")
-    )
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    rows = rows.withColumn("_key", _key(rows, "_size"))
-    repeated = rows.select("_key").groupBy("_key").count().where("count > 1")
-    if repeated.isEmpty():
-        rows = rows.join(copies.drop("start"), "_key")
-    else:  # number the rows of a key on both sides
-        copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_epoch").orderBy("start")))
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"))))
-        rows = rows.join(copies.drop("start"), ["_key", "_nth"])
-    words = F.array_remove(F.split("text", SPACE + "+"), "")
-    head = F.array_join(F.slice(words, 1, F.greatest(F.col("_words").cast("int"), F.lit(1))), " ")
-    out = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return (
-        out.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
-    )
+    keys = ["doc_id", "source", "size"]
+    copies = assign(docs).select("*", F.posexplode("passes").alias("epoch", "words")).where("words > 0")
+    copies = copies.select(*(F.col(k).alias(f"of_{k}") for k in keys), "epoch", "words", position(F.col("epoch")).alias("place"), "start")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():  # number the rows of a key on both sides
+        copies = copies.withColumn("of_nth", F.row_number().over(Window.partitionBy(*(f"of_{k}" for k in keys), "epoch").orderBy("start")))
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.to_json("row")))))
+        match &= F.col("nth") == F.col("of_nth")
+    rows = rows.join(copies, match).select("row", "doc_id", "place", "words", "size")
+    text = F.col("row.text")
+    head = F.array_join(F.slice(F.array_remove(F.split(text, SPACE + "+"), ""), 1, F.greatest(F.col("words").cast("int"), F.lit(1))), " ")
+    rows = rows.withColumn("cut_text", F.when(F.col("words") < F.col("size"), head).otherwise(text))
+    rows = rows.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("cut_text").alias("text")
+        if name == "n_chars":
+            return F.length("cut_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col("row")[name].alias(name)
+
+    return rows.select(*(column(c) for c in docs.columns))

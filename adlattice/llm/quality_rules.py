@@ -18,9 +18,19 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 MOST_LOST = 50  # per cent of the words' characters
 
-#: Fixed phrases of menus and footers.
-NAVIGATION = r"(?i)^(skip to (main )?content|read more|click here|share this|next page|previous page|back to top|sign in|log in|sign up|main menu)\b"
-BOILERPLATE = r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|powered by|enable javascript|subscribe to our|this site uses cookies)"
+#: Fixed phrases of menus and footers, in English, German, French and Spanish.
+NAVIGATION = (
+    r"(?i)^(skip to (main )?content|read more|click here|share this|next page|previous page|back to top|sign in|log in|sign up|main menu"
+    r"|zum inhalt( springen)?|mehr lesen|weiterlesen|hier klicken|nächste seite|vorherige seite|nach oben|anmelden|registrieren|hauptmenü"
+    r"|aller au contenu|lire la suite|cliquez ici|page suivante|page précédente|haut de page|se connecter|s'inscrire|menu principal"
+    r"|ir al contenido|leer más|haga clic aquí|página siguiente|página anterior|volver arriba|iniciar sesión|registrarse|menú principal)\b"
+)
+BOILERPLATE = (
+    r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|powered by|enable javascript|subscribe to our|this site uses cookies"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|diese website verwendet cookies|newsletter abonnieren"
+    r"|tous droits réservés|politique de confidentialité|conditions d'utilisation|ce site utilise des cookies|abonnez-vous à"
+    r"|todos los derechos reservados|política de privacidad|condiciones de uso|este sitio utiliza cookies|suscríbase a)"
+)
 #: A line of some length holds one of these.
 SENTENCE_END = r"[.!?:;…。！？]"
 
@@ -77,49 +87,70 @@ def line_fails(line: Column) -> Column:
     )
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "kept", "clean_text")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """(row, verdict): docs' rows as structs, beside structs of the ADDED columns."""
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    out = out.select("row", "text", _words(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
+    out = out.withColumn("n_words", F.size("words").cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    out = out.withColumn("n_symbols", _count(F.col("text"), r"[^#*$%&|<>]+").cast("long"))
+    out = out.withColumn("full", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn("n_dup_lines", (F.size("full") - F.size(F.array_distinct("full"))).cast("long"))
+    out = out.withColumn("hashes", window_hashes(F.col("words")))
+    out = out.withColumn("windows", sorted_windows(F.col("hashes")))
+    out = out.withColumn("n_repeat_words", covered_words(F.col("windows")))
+    out = out.withColumn("good", F.filter("lines", lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))))
+    out = out.withColumn("clean_text", F.array_join("good", "\n"))
+    out = out.withColumn("left", _count(F.col("clean_text"), SPACE + "+").cast("long"))
+    out = out.withColumn(
+        "base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
+    )
+    lost = (F.col("word_chars") - F.col("left")) * 100 > F.col("word_chars") * MOST_LOST
+    out = out.withColumn("n_removed_lines", (F.size("lines") - F.size("good")).cast("long"))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~lost)
+    return out.select("row", F.struct(*ADDED).alias("verdict"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """docs with the measures, `base_failed`, `kept` and `clean_text`.
+    """docs with the measures, `base_failed`, `kept`, `n_removed_lines` and `clean_text`.
 
     Null and empty texts have no words, so they fail. Lines without words stay as they
     are. Other columns pass unchanged; a column of docs that has the name of an added
-    one is replaced. Repeated rows are judged each for itself.
+    one is replaced, no other name can clash. Repeated rows are judged each for itself; an
+    empty table stays so.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", _words(F.col("_text")))
-    out = out.withColumn("_lines", F.split("_text", "\n"))
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    out = out.withColumn("n_symbols", _count(F.col("_text"), r"[^#*$%&|<>]+").cast("long"))
-    out = out.withColumn("_full", F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
-    out = out.withColumn("_hashes", window_hashes(F.col("_words")))
-    out = out.withColumn("_windows", sorted_windows(F.col("_hashes")))
-    out = out.withColumn("n_repeat_words", covered_words(F.col("_windows")))
-    out = out.withColumn("_good", F.filter("_lines", lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))))
-    out = out.withColumn("clean_text", F.array_join("_good", "\n"))
-    out = out.withColumn("_left", _count(F.col("clean_text"), SPACE + "+").cast("long"))
-    out = out.withColumn(
-        "base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    )
-    lost = (F.col("word_chars") - F.col("_left")) * 100 > F.col("word_chars") * MOST_LOST
-    out = out.withColumn("n_removed_lines", (F.size("_lines") - F.size("_good")).cast("long"))
-    # The always true term isn't deterministic, so that a filter on the verdict is not
-    # pushed below these projections, where it would repeat all of them inline.
-    out = out.withColumn("kept", ~F.col("base_failed") & ~lost & (F.monotonically_increasing_id() >= 0))
-    return out.drop("_text", "_words", "_lines", "_full", "_hashes", "_windows", "_good", "_left")
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED]
+    return _verdicts(docs).select(*rest, *(F.col("verdict")[c].alias(c) for c in ADDED))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their failed lines; docs' columns."""
-    judged = judge(docs.withColumn("_all", F.struct(*docs.columns))).where("kept")
-    out = judged.select("_all.*", F.col("clean_text").alias("_clean"))
-    out = out.withColumn("text", F.col("_clean"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("_clean").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The documents that are kept, without their failed lines; docs' columns, whatever
+    their names. n_chars, if there, follows the text."""
+    # a generator keeps what passes: a filter would be pushed below the projections and
+    # compute all of them again
+    out = _verdicts(docs).select("row", F.explode(F.filter(F.array("verdict"), lambda v: v["kept"])).alias("verdict"))
+    text = F.col("verdict.clean_text")
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text.alias("text")
+        if name == "n_chars":
+            return F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col("row")[name].alias(name)
+
+    return out.select(*(column(c) for c in docs.columns))
 
 
 _SPACE = r"[\x20\x09-\x0D]"
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
 #: DuckDB's form of `judge`, for the contract's columns.
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -137,7 +168,7 @@ l1 AS (SELECT r, l, len(list_filter(regexp_split_to_array(l, '{_SPACE}+'), lambd
   length(regexp_replace(l, '[^a-z]+', '', 'g')) AS lo, length(regexp_replace(l, '[^!?]+', '', 'g')) AS mk FROM l0),
 l2 AS (SELECT r, l, n, n > 0 AND ((sy >= 3 AND sy * 3 >= n) OR (up >= 20 AND up >= lo * 3) OR (mk >= 6 AND mk * 2 >= n)
   OR (n >= 8 AND NOT regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}]'))
-  OR (n <= 12 AND (regexp_matches(b, '{NAVIGATION}') OR regexp_matches(l, '{BOILERPLATE}')))) AS bad FROM l1),
+  OR (n <= 12 AND (regexp_matches(b, '{_sql(NAVIGATION)}') OR regexp_matches(l, '{_sql(BOILERPLATE)}')))) AS bad FROM l1),
 l3 AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup,
   coalesce(sum(length(regexp_replace(l, '{_SPACE}+', '', 'g'))) FILTER (NOT bad), 0) AS lft FROM l2 GROUP BY r),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

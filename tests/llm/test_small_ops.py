@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from adlattice.llm import license_scan, line_dedup, mixing, pii, quality_rules, sharding
+from adlattice.llm import license_scan, line_dedup, mixing, near_dedup, pii, quality_rules, sharding
 
 from .conftest import LONG, ODD
 
@@ -257,3 +257,27 @@ def test_each_template_is_matched_as_if_alone():
             t = t.encode().split()
             longest = max((n for n in range(3, len(t) + 1) for i in range(len(t) - n + 1) for j in range(len(text) - n + 1) if text[j : j + n] == t[i : i + n]), default=0)
             assert max((n for m, _, _, n in every.scan(text)[1] if m == k), default=0) == longest
+
+
+CLASHES = ("row", "verdict", "words", "_words", "_text", "_clean", "_kept", "_d", "_key", "key", "left", "place", "size", "kept_text", "doc", "nth", "epoch", "cut_text")
+
+
+def test_names_of_columns_never_clash(spark):
+    """Columns with the names of helper columns pass unharmed through what the pipeline calls."""
+    text = lambda i: " ".join(f"t{i}w{k}" for k in range(30)) + "."
+    frame = spark.createDataFrame([(i, text(i), "a", *(f"{c}{i}" for c in CLASHES)) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    for stage in (quality_rules.clean, line_dedup.documents, near_dedup.keep_one, mixing.mixed_documents):
+        got = stage(frame)
+        assert got.columns == frame.columns
+        rows = {r.doc_id: r for r in got.collect()}
+        assert set(rows) == set(range(8))
+        assert all(r[c] == f"{c}{i}" for i, r in rows.items() for c in CLASHES)
+    judged = quality_rules.judge(frame).first()
+    assert judged["_words"] == f"_words{judged.doc_id}" and judged["left"] == f"left{judged.doc_id}"
+
+
+def test_quality_phrases_of_four_languages(docs):
+    long = " ".join(f"w{i}" for i in range(40)) + "."
+    lines = ["Mehr lesen über uns", "Tous droits réservés", "Haga clic aquí", "Zum Inhalt springen", "Click here", "S'inscrire", "ein Satz, der bleibt."]
+    got = quality_rules.judge(docs([(1, "\n".join([*lines, long]), "a")])).first()
+    assert got.clean_text == f"ein Satz, der bleibt.\n{long}" and got.n_removed_lines == 6
