@@ -4,13 +4,16 @@ The automaton holds every substring of the licence templates and phrases. A docu
 is streamed through it word by word; at each word it gives the length of the longest
 match that ends there (the matching statistics). Where long matches lie, each template
 that may be there is matched on its own, so one that is part of another isn't hidden by
-it; its long maximal matches are chained in text and template order into spans, and a label is given where a chain covers enough
-of a template. Phrases are found on the way: one ends at a word if it is a suffix of
-the match there.
+it; its long maximal matches, at every place of the template where they stand, are
+chained in text and template order into the spans that cover most of it, and a label is
+given where a chain covers enough. Phrases are found on the way: one ends at a word if
+it is a suffix of the match there. A text's words are read in pieces and kept as numbers,
+four bytes each.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -36,6 +39,19 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # whole texts and notices
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("wtfpl", "do what the fuck you want to public license terms and conditions for copying distribution and modification"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
 )
 
 LEAST_MATCH = 3  # words of a match that is chained
@@ -46,12 +62,21 @@ _KEEP = bytes(b for b in range(256) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <=
 _TABLE = bytes(b if b in set(_KEEP) else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
+PIECE = 1 << 20  # bytes of a text that are words at a time
+
+
+def words(text: str | None) -> Iterator[bytes]:
     """Lower-cased words: runs of ASCII letters, digits and anything beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + PIECE)
+        end = len(raw) if end < 0 else end
+        yield from raw[at:end].split()
+        at = end
 
 
-def _runs(text: list[bytes]) -> Iterator[tuple[bytes, ...]]:
+def _runs(text: array) -> Iterator[tuple[int, ...]]:
     return zip(*(text[i:] for i in range(LEAST_MATCH)), strict=False)
 
 
@@ -59,15 +84,16 @@ class Automaton:
     """A generalised suffix automaton of word sequences.
 
     next[s] maps a word number to a state, link[s] is the suffix link, length[s] the
-    longest string of the state. ends[s] names, by template, the end of one place of
-    the state's strings; phrases[s] the (words, label) of phrases that end there.
+    longest string of the state. ends[s] names, by template, the ends of all places of
+    the state's strings; phrases[s] the (words, label) of phrases that end there. Words
+    that aren't in ids are 0 and match nothing.
     """
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
-        self.ids: dict[bytes, int] = {}
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, ids: dict[bytes, int] | None = None):
+        self.ids: dict[bytes, int] = {} if ids is None else ids
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         self.labels = [label for label, _ in templates]
         sequences = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)] for _, t in templates]
         names = [([self.ids.setdefault(w, len(self.ids) + 1) for w in words(p)], label) for p, label in phrases]
@@ -76,17 +102,16 @@ class Automaton:
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(k, at)
+                self.ends[last].setdefault(k, set()).add(at)
         for sequence, _ in names:
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(-1, at)  # a template may be part of a phrase
         order = sorted(range(1, len(self.next)), key=lambda s: self.length[s])
         for s in reversed(order):  # a suffix stands wherever the longer string does
-            for k, at in self.ends[s].items():
-                if self.link[s] > 0:
-                    self.ends[self.link[s]].setdefault(k, at)
+            if self.link[s] > 0:
+                for k, at in self.ends[s].items():
+                    self.ends[self.link[s]].setdefault(k, set()).update(at)
         own: dict[int, list[tuple[int, str]]] = {}
         for sequence, label in names:
             s = 0
@@ -94,10 +119,10 @@ class Automaton:
                 s = self.next[s][word]
             own.setdefault(s, []).append((len(sequence), label))
         #: each template's own automaton, and the templates that hold a run of LEAST_MATCH words
-        self.alone = [Automaton((t,), ()) for t in templates] if len(templates) > 1 or phrases else []
-        self.holders: dict[tuple[bytes, ...], set[int]] = {}
-        for k, (_, t) in enumerate(templates if self.alone else ()):
-            for run in _runs(words(t)):
+        self.alone = [Automaton((t,), (), self.ids) for t in templates] if len(templates) > 1 or phrases else []
+        self.holders: dict[tuple[int, ...], set[int]] = {}
+        for k, sequence in enumerate(sequences if self.alone else ()):
+            for run in _runs(array("i", sequence)):
                 self.holders.setdefault(run, set()).add(k)
         self.phrases: list[tuple[tuple[int, str], ...]] = [()] * len(self.next)
         for s in order:
@@ -132,13 +157,20 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
         return new
 
-    def scan(self, text: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
+    def numbers(self, text: str | None) -> array:
+        """The text's words."""
+        find = self.ids.get
+        return array("i", (find(w, 0) for w in words(text)))
+
+    def scan(self, text: array | list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
         """Phrases (start, label), and each template's maximal matches (template, start, template
         start, words)."""
+        if not isinstance(text, array):
+            text = array("i", (self.ids.get(w, 0) for w in text))
         found, seeds = self._scan(text)
         return found, self._each(text, seeds) if self.alone else seeds
 
-    def _each(self, text: list[bytes], seeds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    def _each(self, text: array, seeds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Matches of every template on its own. They lie within the matches of all templates
         together, so only these parts of the text are read again."""
         parts: list[list[int]] = []
@@ -154,14 +186,14 @@ class Automaton:
                 out += [(k, start + s, at, n) for _, s, at, n in self.alone[k]._scan(part)[1]]
         return out
 
-    def _scan(self, text: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
+    def _scan(self, text: array) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, int]]]:
         """Phrases, and matches that are maximal over all templates together."""
         found: list[tuple[int, str]] = []
         seeds: list[tuple[int, int, int, int]] = []
         following, link, length, phrases = self.next, self.link, self.length, self.phrases
         state = matched = 0
-        for at, word in enumerate(map(self.ids.get, text)):
-            if word is None:
+        for at, word in enumerate(text):
+            if not word:
                 if matched >= LEAST_MATCH:
                     self._seed(seeds, state, matched, at)
                 state = matched = 0
@@ -174,7 +206,7 @@ class Automaton:
                     state = link[state]
                     matched = length[state]
                     step = following[state].get(word)
-                if step is None:  # a word always has a state, so this is the root
+                if step is None:  # a word of other templates only
                     matched = 0
                     continue
             state, matched = step, matched + 1
@@ -186,35 +218,42 @@ class Automaton:
         return found, seeds
 
     def _seed(self, seeds: list, state: int, matched: int, end: int) -> None:
-        for k, at in self.ends[state].items():
-            seeds.append((k, end - matched, at - matched + 1, matched))
+        for k, places in self.ends[state].items():
+            seeds += [(k, end - matched, at - matched + 1, matched) for at in sorted(places)]
 
     def spans(self, seeds: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """(label, start, end, share of the template) of the chains that cover enough.
 
-        A match extends the open chain of its template if it follows in both, within
-        MOST_GAP words; else a new chain begins.
+        A match follows another of its template if it does so in both, at most MOST_GAP
+        words behind; what overlaps counts once. Of each template the chain that covers
+        most comes first, and then others where none has been found before.
         """
-        open_: dict[int, list[int]] = {}
-        done: list[tuple[str, int, int, float]] = []
-
-        def close(k: int) -> None:
-            start, end, _, covered = open_.pop(k)
-            if covered >= LEAST_COVER * self.sizes[k]:
-                done.append((self.labels[k], start, end, min(1.0, covered / self.sizes[k])))
-
+        by: dict[int, list[tuple[int, int, int]]] = {}
         for k, start, at, n in seeds:
-            if k in open_:
-                _, end, t_end, _ = open_[k]
-                over = max(0, t_end - at, end - start)
-                if over < n and start - end <= MOST_GAP and at + over >= t_end and at - t_end <= MOST_GAP:
-                    open_[k][1:] = [start + n, at + n, open_[k][3] + n - over]
-                    continue
-                close(k)
-            open_[k] = [start, start + n, at + n, n]
-        for k in list(open_):
-            close(k)
-        return sorted(done, key=lambda x: (x[1], x[2], x[0]))
+            by.setdefault(k, []).append((start, at, n))
+        out: list[tuple[str, int, int, float]] = []
+        for k, own in by.items():
+            own.sort()
+            best, before, first = [n for _, _, n in own], [-1] * len(own), [s for s, _, _ in own]
+            low = 0  # the first match that may still be followed
+            longest = max(n for _, _, n in own)
+            for i, (start, at, n) in enumerate(own):
+                while own[low][0] + longest + MOST_GAP < start:
+                    low += 1
+                for j in range(low, i):
+                    end, t_end = own[j][0] + own[j][2], own[j][1] + own[j][2]
+                    over = max(0, end - start, t_end - at)
+                    if over < n and own[j][1] < at and start - end <= MOST_GAP and at - t_end <= MOST_GAP and best[j] + n - over > best[i]:
+                        best[i], before[i], first[i] = best[j] + n - over, j, first[j]
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(own)), key=lambda i: (-best[i], own[i])):
+                if best[i] < LEAST_COVER * self.sizes[k]:
+                    break
+                end = own[i][0] + own[i][2]
+                if all(end <= a or b <= first[i] for a, b in taken):
+                    taken.append((first[i], end))
+                    out.append((self.labels[k], first[i], end, min(1.0, best[i] / self.sizes[k])))
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
@@ -231,7 +270,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
         for part in parts:
             out: dict[str, list] = {n: [] for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
             for text in part["text"]:
-                tokens = words(text)
+                tokens = automaton.numbers(text)
                 base, seeds = automaton.scan(tokens)
                 spans = automaton.spans(seeds) if seeds else []
                 out["n_words"].append(len(tokens))

@@ -90,8 +90,8 @@ def line_fails(line: Column) -> Column:
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "kept", "clean_text")
 
 
-def _verdicts(docs: DataFrame) -> DataFrame:
-    """(row, verdict): docs' rows as structs, beside structs of the ADDED columns."""
+def _verdicts(docs: DataFrame, fields: tuple[str, ...] = ADDED) -> DataFrame:
+    """(row, verdict): docs' rows as structs, beside structs of ADDED columns."""
     out = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = out.select("row", "text", _words(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     out = out.withColumn("n_words", F.size("words").cast("long"))
@@ -111,7 +111,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     lost = (F.col("word_chars") - F.col("left")) * 100 > F.col("word_chars") * MOST_LOST
     out = out.withColumn("n_removed_lines", (F.size("lines") - F.size("good")).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~lost)
-    return out.select("row", F.struct(*ADDED).alias("verdict"))
+    return out.select("row", F.struct(*fields).alias("verdict"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def clean(docs: DataFrame) -> DataFrame:
     their names. n_chars, if there, follows the text."""
     # a generator keeps what passes: a filter would be pushed below the projections and
     # compute all of them again
-    out = _verdicts(docs).select("row", F.explode(F.filter(F.array("verdict"), lambda v: v["kept"])).alias("verdict"))
+    out = _verdicts(docs, ("kept", "clean_text")).select("row", F.explode(F.filter(F.array("verdict"), lambda v: v["kept"])).alias("verdict"))
     text = F.col("verdict.clean_text")
 
     def column(name: str) -> Column:

@@ -281,3 +281,21 @@ def test_quality_phrases_of_four_languages(docs):
     lines = ["Mehr lesen über uns", "Tous droits réservés", "Haga clic aquí", "Zum Inhalt springen", "Click here", "S'inscrire", "ein Satz, der bleibt."]
     got = quality_rules.judge(docs([(1, "\n".join([*lines, long]), "a")])).first()
     assert got.clean_text == f"ein Satz, der bleibt.\n{long}" and got.n_removed_lines == 6
+
+
+def test_licence_passages_that_repeat_in_a_template():
+    """A passage at two places of a template is chained at the place that fits."""
+    template = "a b c d x y z a b c d q r s"
+    automaton = license_scan.Automaton((("t", template),), ())
+    text = "y z a b c d q r s"  # the second of both places
+    (span,) = automaton.spans(automaton.scan(text.encode().split())[1])
+    assert span == ("t", 0, 9, 9 / 14)
+    text = "a b c d k x y z a b c d q r s o o o a b c d x y z a b c d q r s"
+    assert [s[:3] for s in automaton.spans(automaton.scan(text.encode().split())[1])] == [("t", 0, 15), ("t", 18, 32)]
+
+
+def test_licence_words_come_in_pieces(monkeypatch):
+    text = "MIT License, é漢 x " * 50
+    whole = list(license_scan.words(text))
+    monkeypatch.setattr(license_scan, "PIECE", 7)
+    assert list(license_scan.words(text)) == whole and len(whole) == 200
