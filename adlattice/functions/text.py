@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules.tables import LEGAL_WORDS
+
 #: Fixed words, each frequent in one of the languages and rare in the others.
 STOP_WORDS = {
     "en": ["the", "and", "of", "to", "in", "is", "that", "with", "was", "for"],
@@ -27,7 +31,8 @@ def clip(text: Column, n: int) -> Column:
 
 
 def valid_cta(text: Column) -> Column:
-    return (F.trim(text) != "") & ~text.rlike("(?i)privacy|terms|cookie|contact|disclaimer|trending")
+    """Not empty and no legal boilerplate."""
+    return (F.trim(text) != "") & ~reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in LEGAL_WORDS))
 
 
 def language(text: Column) -> Column:

@@ -34,8 +34,18 @@ def chain_entities(hops: DataFrame, key: str, rules: list[tuple[str, list[str]]]
 def network_of_pool(pool: DataFrame, key: str) -> DataFrame:
     """(key, network, confidence): the first certain match of a pool of URLs, else the
     last that is probable."""
-    rules = F.array(*(F.struct(F.lit(i).alias("prio"), F.lit(n).alias("network"), F.lit(c).alias("confidence"), F.array(*map(F.lit, ps)).alias("patterns")) for i, (n, c, ps) in enumerate(R.NETWORK_TIERS)))
-    hits = pool.select(key, "hop", F.explode(F.filter(rules, lambda r: F.exists(r["patterns"], lambda p: F.lower(F.col("url")).contains(p)))).alias("r"))
+    url, text = F.col("url"), F.lower("url")
+
+    def on(words: list[str], params: list[str], confidence: str) -> Column:
+        test = O.contains_any(text, words) if words else F.lit(True)
+        for p in params:
+            test &= U.param(url, p).isNotNull()
+        if confidence == "medium":  # a short id, not on the network's own hosts
+            test &= ~text.contains("clickbank") & (F.length(U.param(url, params[0])) <= 20)
+        return F.coalesce(test, F.lit(False))
+
+    rules = (F.when(on(ps, names, c), F.struct(F.lit(i).alias("prio"), F.lit(n).alias("network"), F.lit(c).alias("confidence"))) for i, (n, c, ps, names) in enumerate(R.NETWORK_TIERS))
+    hits = pool.select(key, "hop", F.explode(F.array_compact(F.array(*rules))).alias("r"))
     order = F.struct((F.col("r.confidence") != "high").alias("a"), F.when(F.col("r.confidence") == "high", F.col("hop")).otherwise(-F.col("hop")).alias("b"), F.col("r.prio").alias("c"))
     return hits.groupBy(key).agg(F.min_by("r.network", order).alias("network"), F.min_by("r.confidence", order).alias("confidence"))
 

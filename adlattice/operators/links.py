@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,13 @@ def _of(urls: Column, method: str, score: int) -> Column:
     return F.transform(web, lambda u: F.struct(u.alias("link"), F.lit(method).alias("method"), F.lit(score).alias("score")))
 
 
-def best_links(pages: DataFrame, *keep: str) -> DataFrame:
-    """keep, link, method, score, tracker: each page's valid link of the highest score, the
-    first in pattern order; the last tracker link of a page that has none."""
+def valid(url: Column) -> Column:
+    return O.reject_reason(url).isNull()
+
+
+def best_links(pages: DataFrame, *keep: str, fits: Callable[[Column], Column] = valid) -> DataFrame:
+    """keep, link, method, score, tracker: each page's link of the highest score that fits,
+    the first in pattern order; the last tracker link of a page that has none."""
     href = lambda t: _attr(t, "href")
     classed = lambda c: rf"(?i)[\s\x22']class\s*=\s*(?:\x22[^\x22]*{c}|'[^']*{c}|[^\s\x22'>]*{c})"
     rows = pages.select(*keep, F.regexp_extract_all("html", F.lit(TAG), F.lit(0)).alias("_tags"), F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1)).alias("_scripts"))
@@ -47,18 +53,19 @@ def best_links(pages: DataFrame, *keep: str) -> DataFrame:
         _of(F.transform(scripts, lambda u: F.regexp_replace(u, r"[\x22',;]+$", "")), "script", 8), _of(F.filter(a, lambda u: O.contains_any(u, L.PARAM_LINKS)), "param", 7), _of(refresh, "refresh", 6),
     )
     rows = rows.select(*keep, "_a", found.alias("_found"))
-    best = F.get(F.filter("_found", lambda f: O.reject_reason(f["link"]).isNull()), F.lit(0))
+    best = F.get(F.filter("_found", lambda f: fits(f["link"])), F.lit(0))
     tracker = F.get(F.reverse(F.filter(a, lambda u: O.contains_any(u, L.TRACKER_LINKS))), F.lit(0))
     return rows.select(*keep, best.alias("_b"), tracker.alias("_t")).select(*keep, "_b.*", F.when(F.col("_b").isNull(), F.col("_t")).alias("tracker"))
 
 
 def prelander_walk(starts: DataFrame, key: str, pages: DataFrame, most: int = 3) -> DataFrame:
     """(key, final, hops, arrived) of each of starts(key, url): while the URL is a
-    pre-lander, its page's best link is taken, at most `most` times. arrived tells whether
+    pre-lander, its page's best link is taken, at most `most` times; one to another
+    pre-lander is followed too, even where its host is no offer's. arrived tells whether
     final is a valid offer and no pre-lander. Of several pages of a URL the one with the
     smallest page_id that has a link counts. One equality join on URLs a hop.
     """
-    ways = best_links(pages.where(O.prelander(F.col("url"))), "page_id", "url").where("link is not null")
+    ways = best_links(pages.where(O.prelander(F.col("url"))), "page_id", "url", fits=lambda u: valid(u) | O.prelander(u)).where("link is not null")
     ways = ways.groupBy(F.col("url").alias("from")).agg(F.min_by("link", "page_id").alias("to"))
     rows = starts.select(key, F.col("url").alias("final"), F.lit(0).cast("long").alias("hops"))
     for _ in range(most):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..rules import tables as R
+from . import rules as O
 
 
 def generic_ids(url: Column) -> dict[str, Column]:
@@ -53,8 +56,8 @@ def digistore_ids(url: Column) -> dict[str, Column]:
 
 
 def impact_ids(url: Column) -> dict[str, Column]:
-    on = U.host(url).contains("sjv.io") | U.host(url).contains("impact.com")
-    return {"affiliate_id": F.when(on, U.param(url, "irpid")), "click_id": F.when(on, U.param(url, "irclickid"))}
+    on = O.contains_any(U.host(url), ["impact.com", "impactradius.com", "sjv.io", "prf.hn"])
+    return {k: F.when(on, U.first_param(url, names)) for k, names in (("affiliate_id", ["irpid", "subid1"]), ("offer_id", ["campaignid"]), ("click_id", ["clickid"]))}
 
 
 def json_payload(value: Column, fields: dict[str, list[str]]) -> Column:
@@ -66,13 +69,12 @@ def json_payload(value: Column, fields: dict[str, list[str]]) -> Column:
 
 
 def network_by_params(url: Column) -> Column:
-    """The network that a parameter names, by an ordered ladder."""
-    has = lambda n: U.param(url, n).isNotNull()
-    return (
-        F.when(has("hop") | has("hopId"), F.lit("ClickBank"))
-        .when(has("effp") | has("ef_click_id"), "Everflow")
-        .when(has("awinaffid"), "Awin")
-        .when(has("irclickid") | has("irpid"), "Impact")
-        .when(has("offer_id") & has("aff_id"), "Tune/HasOffers")
-        .when(has("aff_id") | has("affid"), "Direct Affiliate")
-    )
+    """The network that parameters, the host or the URL name, by an ordered ladder."""
+    host, text = U.host(url), F.lower(url)
+
+    def on(hosts: list[str], parts: list[str], names: list[str], values: list[tuple[str, str]]) -> Column:
+        tests = [host.contains(h) for h in hosts] + [text.rlike(p) if p[0] == "^" else text.contains(p) for p in parts]
+        tests += [U.param(url, n).isNotNull() for n in names] + [F.coalesce(U.param(url, n) == v, F.lit(False)) for n, v in values]
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.coalesce(*(F.when(on(*tests), F.lit(name)) for name, *tests in R.NETWORK_LADDER), F.lit(None).cast("string"))

@@ -98,18 +98,22 @@ def tracking_tool(url: Column) -> Column:
     """The tracker by click-id parameters, host, pattern, then analytics tags."""
     text = F.lower(url)
     return F.coalesce(
-        first_regex(text, R.PARAM_TRACKERS), by_host(U.host(url), R.TRACKER_HOSTS), by_pattern(text, R.TRACKER_PATTERNS),
+        first_regex(text, R.CLICK_TRACKERS), by_host(U.host(url), R.TRACKER_HOSTS), by_pattern(text, R.TRACKER_PATTERNS),
         F.when(text.contains("utm_"), F.lit("Google Analytics")),
     )
 
 
 def has_macro(url: Column) -> Column:
-    macro = r"(?i)\{[^}]+\}|%7b[^}]*%7d|__[a-z_]+__|\[[a-z_]+\]"
+    macro = "(?i)" + "|".join(R.MACROS)
     return F.coalesce(url.rlike(macro) | U.unescape(url).rlike(macro), F.lit(False))
 
 
+FILE = r"(?i)\.(?:" + "|".join(e[1:] for e in R.EXTENSIONS) + ")"
+
+
 def static_file(url: Column) -> Column:
-    return ends_with_any(F.lower(U.path(url)), R.EXTENSIONS)
+    """A file's ending at the path's end, or before a ? or & anywhere."""
+    return F.coalesce(U.path(url).rlike(FILE + "$") | url.rlike(FILE + "[?&]"), F.lit(False))
 
 
 def meaningful(url: Column) -> Column:
@@ -118,7 +122,7 @@ def meaningful(url: Column) -> Column:
     return F.coalesce(
         F.when(~text.startswith("http"), F.lit(False))
         .when(static_file(url), False)
-        .when(contains_any(host, R.STRICT_BLOCK) | contains_any(host, R.AD_TECH_HOSTS), False)
+        .when(contains_any(text, R.STRICT_BLOCK) | contains_any(host, R.AD_TECH_HOSTS), False)
         .when(contains_any(text, R.AD_TECH_PATTERNS), False)
         .when(contains_any(text, R.SIGNATURES), True)
         .otherwise(F.length(url) <= 800),
@@ -128,20 +132,46 @@ def meaningful(url: Column) -> Column:
 
 def reject_reason(url: Column) -> Column:
     """The first rule by which a URL isn't a valid offer; null: it is."""
-    text, host = F.lower(url), U.host(url)
-    bare = (U.path(url).isin("", "/")) & (U.query(url) == "")
+    text, host, path = F.lower(url), U.host(url), F.lower(U.path(url))
+    strong = contains_any(F.lower(U.query(url)), R.STRONG_PARAMS)
     return (
         F.when(url.isNull() | ~text.startswith("http"), F.lit("not_http"))
         .when(has_macro(url), "macro")
         .when(static_file(url), "static_file")
-        .when(contains_any(host, R.STRICT_BLOCK), "blocked")
+        .when(contains_any(text, R.STRICT_BLOCK), "blocked")
+        .when(contains_any(host, R.AD_TECH_HOSTS), "ad_tech")
         .when(contains_any(host, R.INTERMEDIARIES), "intermediary")
-        .when(contains_any(host, R.INVALID_HOSTS), "invalid_domain")
-        .when(contains_any(text, R.AD_TECH_PATTERNS) & ~contains_any(text, ["aff_id=", "hop=", "affid="]), "ad_tech_path")
-        .when(bare, "bare_path")
+        .when(contains_any(text, R.INVALID_HOSTS), "invalid_domain")
+        .when(~strong & (path.isin(*R.EXACT_PATHS) | contains_any(path, R.INVALID_PATHS)), "path")
+        .when(path.isin(*R.BARE_PATHS) & ~contains_any(text, R.OFFER_HINTS), "bare_path")
+        .when(contains_any(text, R.INFRASTRUCTURE), "infrastructure")
     )
 
 
+def html_trackers(html: Column) -> Column:
+    """The tools whose marks are in a page, in the rules' order."""
+    return F.filter(F.array(*(F.when(html.rlike("(?i)" + p), F.lit(n)) for n, p in R.HTML_TRACKERS)), lambda x: x.isNotNull())
+
+
+def merged_trackers(found: Column, more: Column) -> Column:
+    """A set of tools with another one, sorted; null: none more."""
+    return F.array_sort(F.array_union(found, F.filter(F.array(more), lambda x: x.isNotNull())))
+
+
+def page_tracker(html: Column, variables: Column) -> Column:
+    """The first tool whose mark is in the page's text, else the first one of whose variables
+    (a map by name) is set; null: none."""
+    text = F.lower(html)
+    names = F.transform(F.map_keys(variables), F.lower)
+    by_text = F.coalesce(*(F.when(contains_any(text, marks), F.lit(n)) for n, _, marks, _ in R.POOL_TRACKERS if marks))
+    by_name = F.coalesce(*(F.when(F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, held))), F.lit(False)), F.lit(n)) for n, _, _, held in R.POOL_TRACKERS if held))
+    return F.coalesce(by_text, by_name)
+
+
+def url_tracker(url: Column) -> Column:
+    return first_match(F.lower(url), [(n, marks) for n, marks, _, _ in R.POOL_TRACKERS])
+
+
 def prelander(url: Column) -> Column:
     has = lambda n: U.param(url, n).isNotNull()
     return F.coalesce(U.host(url).isin(*R.PRELANDERS), F.lit(False)) | (has("cep") & (has("lptoken") | has("widget_id") | has("boost_id")))

@@ -25,6 +25,13 @@ def ad_score(url: Column, final: Column, content: Column) -> Column:
     )
 
 
+def arbitrage_score(url: Column, html: Column) -> Column:
+    """Weights of the URL's and the page's marks, where an ad network's fingerprint is."""
+    body = F.lower(html)
+    found = O.contains_any(body, [p for _, marks in R.FINGERPRINTS for p in marks])
+    return F.when(found, O.weighted(F.lower(url), R.ARBITRAGE_URLS) + O.weighted(body, R.ARBITRAGE_WORDS)).otherwise(0)
+
+
 def keyword_vote(content: Column) -> Column:
     body = F.lower(content)
     a, b = F.size(O.matches(body, R.AFFILIATE_PHRASES)), F.size(O.matches(body, R.ARBITRAGE_PHRASES))

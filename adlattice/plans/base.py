@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.url import SPLIT
 from ..rules import tables as R
 
+#: Hosts and parameters that the rules name, so that the queries meet all of them.
+_HOSTS = [h for hosts in (R.STRICT_BLOCK, R.AD_TECH_HOSTS, R.INTERMEDIARIES, R.INVALID_HOSTS, R.PRELANDERS, R.PUBLISHERS, R.SKIP_SITES, [h for h, _ in R.KNOWN_OFFERS], ["rt.redtrack.io", "binom.example", "leadbit.com", "advidi.com"]) for h in hosts if "/" not in h and not h.endswith(".")]
+_PARAMS = sorted({*R.AFFILIATE_ALIASES, *R.OFFER_ALIASES, *R.SUB_ALIASES, *R.CLICK_ALIASES, *R.TARGET_PARAMS, *(p for *_, ps, _ in R.NETWORK_LADDER for p in ps), "pixel"})
 #: Column expressions in the common subset of both SQL dialects.
 ADS = {
     "id": "page_id",
@@ -27,10 +30,12 @@ ADS = {
  WHEN 9 THEN concat('https://p', page_id % 4, '.sjv.io/c?irpid=', page_id % 7, '&irclickid=i', page_id, '&empty=&sub1=a+b')
  WHEN 10 THEN concat('https://health', page_id % 6, '.example.com/order?subid2=__SUB__&utm_campaign={!c!}&affid=', page_id % 5)
  WHEN 11 THEN concat('https://user@news.example.org:8080/trending/', page_id % 30, '/')
+ WHEN 12 THEN concat('https://q.example.net/p?', split_part('""" + "|".join(_PARAMS) + f"""', '|', CAST(page_id % {len(_PARAMS)} AS INT) + 1), '=v', page_id, '&net=', page_id % 3 * 1673)
+ WHEN 13 THEN concat('https://', split_part('""" + "|".join(_HOSTS) + f"""', '|', CAST(page_id % {len(_HOSTS)} AS INT) + 1), '/p', page_id)
  ELSE url END""",
     "final_url": """CASE page_id % 5
  WHEN 0 THEN concat('https://keto-shop', page_id % 6, '.example.net/checkout/?aff_id=', page_id % 12, '&offer_id=', page_id % 9)
- WHEN 1 THEN 'https://www.google-analytics.com/collect?v=1'
+ WHEN 1 THEN concat('https://', split_part('""" + "|".join(_HOSTS) + f"""', '|', CAST(page_id % {len(_HOSTS)} AS INT) + 1), split_part('/|/index|/x/y|/cards?aff_id=1|/dashboard|/v1?hop=a&vndr=evf|/REPLACE_ME|/tracking/?clickid=2|/a.gz|/b.png&c', '|', CAST(page_id % 11 AS INT) + 1))
  WHEN 2 THEN concat('https://img.example.org/p', page_id % 10, '.webp')
  WHEN 3 THEN url
  ELSE concat('https://getretinaclear.com/vsl/?aff_id=', page_id % 12) END""",
@@ -119,33 +124,66 @@ def peel(u: str, depth: int = 3) -> str:
 
 
 def macro(u: str) -> str:
-    m = q(r"(?i)\{[^}]+\}|%7b[^}]*%7d|__[a-z_]+__|\[[a-z_]+\]")
+    m = q("(?i)" + "|".join(R.MACROS))
     return f"coalesce(regexp_matches({u}, {m}) OR regexp_matches(url_decode({u}), {m}), false)"
 
 
 def static_file(u: str) -> str:
-    return any_end(f"lower({part(u, 3)})", R.EXTENSIONS)
+    file = r"(?i)\.(" + "|".join(e[1:] for e in R.EXTENSIONS) + ")"
+    return f"coalesce(regexp_matches({part(u, 3)}, {q(file + '$')}) OR regexp_matches({u}, {q(file + '[?&]')}), false)"
 
 
 def meaningful(u: str) -> str:
     h, t = host(u), f"lower({u})"
     return f"""coalesce(CASE WHEN NOT starts_with({t}, 'http') THEN false WHEN {static_file(u)} THEN false
- WHEN {any_in(h, R.STRICT_BLOCK)} OR {any_in(h, R.AD_TECH_HOSTS)} THEN false WHEN {any_in(t, R.AD_TECH_PATTERNS)} THEN false
+ WHEN {any_in(t, R.STRICT_BLOCK)} OR {any_in(h, R.AD_TECH_HOSTS)} THEN false WHEN {any_in(t, R.AD_TECH_PATTERNS)} THEN false
  WHEN {any_in(t, R.SIGNATURES)} THEN true ELSE length({u}) <= 800 END, false)"""
 
 
+def one_of(t: str, words: list[str]) -> str:
+    return f"{t} IN ({', '.join(map(q, words))})"
+
+
 def reject_reason(u: str) -> str:
-    h, t = host(u), f"lower({u})"
+    h, t, p = host(u), f"lower({u})", f"lower({part(u, 3)})"
     return f"""CASE WHEN {u} IS NULL OR NOT starts_with({t}, 'http') THEN 'not_http' WHEN {macro(u)} THEN 'macro'
- WHEN {static_file(u)} THEN 'static_file' WHEN {any_in(h, R.STRICT_BLOCK)} THEN 'blocked' WHEN {any_in(h, R.INTERMEDIARIES)} THEN 'intermediary'
- WHEN {any_in(h, R.INVALID_HOSTS)} THEN 'invalid_domain'
- WHEN {any_in(t, R.AD_TECH_PATTERNS)} AND NOT {any_in(t, ['aff_id=', 'hop=', 'affid='])} THEN 'ad_tech_path'
- WHEN {part(u, 3)} IN ('', '/') AND {part(u, 4)} = '' THEN 'bare_path' END"""
+ WHEN {static_file(u)} THEN 'static_file' WHEN {any_in(t, R.STRICT_BLOCK)} THEN 'blocked' WHEN {any_in(h, R.AD_TECH_HOSTS)} THEN 'ad_tech'
+ WHEN {any_in(h, R.INTERMEDIARIES)} THEN 'intermediary' WHEN {any_in(t, R.INVALID_HOSTS)} THEN 'invalid_domain'
+ WHEN NOT {any_in(f'lower({part(u, 4)})', R.STRONG_PARAMS)} AND ({one_of(p, R.EXACT_PATHS)} OR {any_in(p, R.INVALID_PATHS)}) THEN 'path'
+ WHEN {one_of(p, R.BARE_PATHS)} AND NOT {any_in(t, R.OFFER_HINTS)} THEN 'bare_path' WHEN {any_in(t, R.INFRASTRUCTURE)} THEN 'infrastructure' END"""
+
+
+def ladder(u: str) -> str:
+    h, t = host(u), f"lower({u})"
+
+    def on(hosts, parts, names, values) -> str:
+        tests = [f"contains({h}, {q(x)})" for x in hosts] + [f"regexp_matches({t}, {q(x)})" if x[0] == "^" else f"contains({t}, {q(x)})" for x in parts]
+        tests += [f"{param(u, n)} IS NOT NULL" for n in names] + [f"coalesce({param(u, n)} = {q(v)}, false)" for n, v in values]
+        return " OR ".join(tests)
+
+    return "CASE " + " ".join(f"WHEN {on(*tests)} THEN {q(n)}" for n, *tests in R.NETWORK_LADDER) + " END"
+
+
+def tier(u: str, i: int) -> str:
+    name, confidence, words, names = R.NETWORK_TIERS[i]
+    tests = [any_in(f"lower({u})", words)] if words else []
+    tests += [f"{param(u, n)} IS NOT NULL" for n in names]
+    if confidence == "medium":
+        tests += [f"NOT contains(lower({u}), 'clickbank')", f"length({param(u, names[0])}) <= 20"]
+    return f"CASE WHEN {' AND '.join(tests)} THEN {{'n': {q(name)}, 'c': {q(confidence)}, 'p': {i}}} END"
+
+
+def url_tracker(u: str) -> str:
+    return first_match(f"lower({u})", [(n, marks) for n, marks, _, _ in R.POOL_TRACKERS])
+
+
+def page_tracker(html: str) -> str:
+    return first_match(f"lower({html})", [(n, marks) for n, _, marks, _ in R.POOL_TRACKERS if marks])
 
 
 def tracking_tool(u: str) -> str:
     t = f"lower({u})"
-    return f"coalesce({first_regex(t, R.PARAM_TRACKERS)}, {host_rule(u, R.TRACKER_HOSTS)}, {first_match(t, list(R.TRACKER_PATTERNS.items()))}, CASE WHEN contains({t}, 'utm_') THEN 'Google Analytics' END)"
+    return f"coalesce({first_regex(t, R.CLICK_TRACKERS)}, {host_rule(u, R.TRACKER_HOSTS)}, {first_match(t, list(R.TRACKER_PATTERNS.items()))}, CASE WHEN contains({t}, 'utm_') THEN 'Google Analytics' END)"
 
 
 def named_network(u: str) -> str:

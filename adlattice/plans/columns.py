@@ -14,6 +14,7 @@ from ..operators import params as P
 from ..operators import rules as O
 from ..operators import score as S
 from ..rules import tables as R
+from ..sources import html as G
 from . import base as B
 
 
@@ -32,7 +33,11 @@ _HOP = f"ends_with({B.host('landing')}, '.hop.clickbank.net')"
 _EF = f"({B.param('landing', 'effp')} IS NOT NULL OR contains(lower(landing), 'everflow'))"
 _HO = f"(contains({B.host('landing')}, 'go2cloud.org') OR ({B.param('landing', 'offer_id')} IS NOT NULL AND {B.param('landing', 'aff_id')} IS NOT NULL))"
 _DS = f"contains({B.host('landing')}, 'digistore24.com')"
-_IM = f"(contains({B.host('landing')}, 'sjv.io') OR contains({B.host('landing')}, 'impact.com'))"
+_IM = B.any_in(B.host("landing"), ["impact.com", "impactradius.com", "sjv.io", "prf.hn"])
+_TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+#: A page with the script of one tool or none.
+_TAGGED = """concat(html, '<script src="https://', split_part('cdn.example.net|rdtk.io|go.binom.org|trk.voluum.com|a.bemobtrck.com|kclick.io|affise.js|getcake.com|anytrack.io|x.everflow.io|shop.example', '|', CAST(id % 11 AS INT) + 1), '/t.js"></script>')"""
+_TRACKERS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({_TAGGED}, {B.q('(?i)' + p)}) THEN {B.q(n)} END" for n, p in R.HTML_TRACKERS) + ")"
 
 
 def _has(n: str) -> str:
@@ -135,19 +140,19 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'n': (lambda: F.size(F.filter(F.array(F.col('landing'), F.col('final_url'), F.col('url')), lambda u: O.contains_any(F.lower(u), R.OFFER_WORDS))).cast('long'), 'len(list_filter([landing, final_url, url], lambda u: ' + B.any_in('lower(u)', R.OFFER_WORDS) + '))'),
     },
     "c12_valid_cta": {
-        'valid': (lambda: T.valid_cta(F.col('title')), "trim(title) <> '' AND NOT regexp_matches(title, '(?i)privacy|terms|cookie|contact|disclaimer|trending')"),
+        'valid': (lambda: T.valid_cta(F.col('title')), f"trim(title) <> '' AND NOT {B.any_in('lower(title)', R.LEGAL_WORDS)}"),
     },
     "c14_skip_domain": {
-        'skip': (lambda: F.get(O.matches(U.host(F.col('final_url')), R.STRICT_BLOCK), F.lit(0)), B.first_match(B.host('final_url'), [(w, [w]) for w in R.STRICT_BLOCK])),
+        'skip': (lambda: F.get(O.matches(F.lower(F.col('final_url')), R.SKIP_SITES), F.lit(0)), B.first_match('lower(final_url)', [(w, [w]) for w in R.SKIP_SITES])),
     },
     "c15_junk_title": {
-        'junk': (lambda: O.contains_any(F.lower(F.col('title')), ['trending', 'order now']) & (F.length(F.col('title')) < 20), f'{B.any_in('lower(title)', ['trending', 'order now'])} AND length(title) < 20'),
+        'junk': (lambda: O.contains_any(F.lower(F.col('title')), R.JUNK_TITLES) & (F.length(F.col('title')) < 20), f'{B.any_in('lower(title)', R.JUNK_TITLES)} AND length(title) < 20'),
     },
     "c16_bogus_landing": {
         'bogus': (lambda: O.contains_any(U.host(F.col('landing')), ['outbrain.com', 'taboola.com', 'mgid.com']), B.any_in(B.host('landing'), ['outbrain.com', 'taboola.com', 'mgid.com'])),
     },
     "c17_bot_challenge": {
-        'challenge': (lambda: F.lower(F.col('html')).rlike('just a moment|checking your browser|verify you are human|cloudflare'), "regexp_matches(lower(html), 'just a moment|checking your browser|verify you are human|cloudflare')"),
+        'challenge': (lambda: O.contains_any(F.lower(F.col('html')), R.CHALLENGES), B.any_in('lower(html)', R.CHALLENGES)),
     },
     "c18_arabic": {
         'arabic': (lambda: T.arabic(F.col('title')), "regexp_matches(title, '[\\x{0600}-\\x{06FF}]')"),
@@ -166,10 +171,11 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'tracker': (lambda: O.first_regex(F.lower(F.col('landing')), R.PARAM_TRACKERS), B.first_regex('lower(landing)', R.PARAM_TRACKERS)),
     },
     "d08_known_offer": {
-        'program': (lambda: F.coalesce(O.first_match(U.two_labels(F.col('final_url')), [(n, [d]) for d, n in R.KNOWN_OFFERS]), F.when(U.first_param(F.col('final_url'), ['aff_id']).isNotNull(), F.lit('Direct Affiliate'))), f"coalesce({B.first_match(B.two_labels('final_url'), [(n, [d]) for d, n in R.KNOWN_OFFERS])}, CASE WHEN {B.param('final_url', 'aff_id')} IS NOT NULL THEN 'Direct Affiliate' END)"),
+        'program': (lambda: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in R.KNOWN_OFFERS for x in pair)), U.two_labels(F.col('final_url'))), F.when(U.first_param(F.col('final_url'), R.AFFILIATE_ALIASES + R.OFFER_ALIASES).isNotNull() & O.affiliate_network(F.col('final_url'))['network'].isNull(), F.lit('Direct Affiliate'))), f"coalesce(CASE {B.two_labels('final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END, CASE WHEN {B.first_param('final_url', R.AFFILIATE_ALIASES + R.OFFER_ALIASES)} IS NOT NULL AND {B.affiliate_network('final_url')} IS NULL THEN 'Direct Affiliate' END)"),
     },
     "d10_html_trackers": {
-        'trackers': (lambda: F.array_join(F.filter(F.array(*(F.when(F.col('html').rlike(p), F.lit(n)) for n, p in R.HTML_TRACKERS)), lambda x: x.isNotNull()), ','), "concat_ws(',', " + ', '.join((f'CASE WHEN regexp_matches(html, {B.q(p)}) THEN {B.q(n)} END' for n, p in R.HTML_TRACKERS)) + ')'),
+        'trackers': (lambda: F.array_join(O.html_trackers(F.expr(_TAGGED)), ','), _TRACKERS_SQL),
+        'own': (lambda: F.array_join(O.html_trackers(F.col('html')), ','), _TRACKERS_SQL.replace(_TAGGED, 'html')),
     },
     "d11_cloaking": {
         'changed': (lambda: O.cloaking(F.col('landing'), F.col('final_url'))['changed'], f'{B.two_labels('landing')} <> {B.two_labels('final_url')}'),
@@ -179,7 +185,7 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), R.VERTICALS), F.lit('Unknown')), f"coalesce({B.first_match('lower(final_url)', R.VERTICALS)}, 'Unknown')"),
     },
     "d13_title_vertical": {
-        'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('title')), R.VERTICALS), F.lit('General')), f"coalesce({B.first_match('lower(title)', R.VERTICALS)}, 'General')"),
+        'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('title')), R.TITLE_VERTICALS), F.lit('general')), f"coalesce({B.first_match('lower(title)', R.TITLE_VERTICALS)}, 'general')"),
     },
     "d14_page_type": {
         'page_type': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), [(n, [p]) for p, n in R.PAGE_TYPES]), F.lit('Landing Page')), f"coalesce({B.first_match('lower(final_url)', [(n, [p]) for p, n in R.PAGE_TYPES])}, 'Landing Page')"),
@@ -188,14 +194,14 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'source': (lambda: F.when(U.param(F.col('landing'), 'rc_uuid').isNotNull(), 'Revcontent').when(U.param(F.col('landing'), 'tblci').isNotNull(), 'Taboola').when(F.col('landing').contains('mgid'), 'MGID').when(F.col('landing').contains('outbrain'), 'Outbrain').otherwise('Unknown'), f"CASE WHEN {_has('rc_uuid')} THEN 'Revcontent' WHEN {_has('tblci')} THEN 'Taboola' WHEN contains(landing, 'mgid') THEN 'MGID' WHEN contains(landing, 'outbrain') THEN 'Outbrain' ELSE 'Unknown' END"),
     },
     "d16_quick_type": {
-        'quick': (lambda: F.when(F.lower(F.col('html')).contains('next page'), 'Arbitrage').when(F.lower(F.col('html')).contains('buy'), 'CPA').when(F.lower(F.col('html')).contains('sign'), 'Lead Gen').otherwise('Unknown'), "CASE WHEN contains(lower(html), 'next page') THEN 'Arbitrage' WHEN contains(lower(html), 'buy') THEN 'CPA' WHEN contains(lower(html), 'sign') THEN 'Lead Gen' ELSE 'Unknown' END"),
+        'quick': (lambda: F.coalesce(O.first_match(F.lower(F.concat(G.visible_text(F.col('html')), F.lit(' '), F.col('title'))), R.QUICK_TYPES), F.lit('Unknown')), f"coalesce({B.first_match(f"lower(concat({_TEXT_SQL}, ' ', title))", R.QUICK_TYPES)}, 'Unknown')"),
     },
     "d17_cms": {
         'wordpress': (lambda: F.col('html').contains('wp-content'), "contains(html, 'wp-content')"),
         'comments': (lambda: F.lower(F.col('html')).contains('comment'), "contains(lower(html), 'comment')"),
     },
     "d18_merge_trackers": {
-        'trackers': (lambda: F.array_join(F.array_sort(F.array_union(F.array(F.lit('Voluum')), F.filter(F.array(O.tracking_tool(F.col('landing'))), lambda x: x.isNotNull()))), ','), f"array_to_string(list_sort(list_distinct(['Voluum', {B.tracking_tool('landing')}])), ',')"),
+        'trackers': (lambda: F.array_join(O.merged_trackers(O.html_trackers(F.expr(_TAGGED)), O.url_tracker(F.col('landing'))), ','), f"array_to_string(list_sort(list_distinct(list_concat(string_split(nullif({_TRACKERS_SQL}, ''), ','), [{B.url_tracker('landing')}]))), ',')"),
     },
     "e04_widget_config": {
         'widget_id': (lambda: U.param(F.col('landing'), 'widget_id'), B.param('landing', 'widget_id')),
@@ -209,7 +215,7 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
     },
     "e06_everflow": {k: (lambda k=k: P.everflow_ids(F.col('landing'))[k], f'CASE WHEN {_EF} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'oid'), ('affiliate_id', 'affid'), ('offer_domain', 'event_source_url'))},
     "e07_hasoffers": {k: (lambda k=k: P.hasoffers_ids(F.col('landing'))[k], f'CASE WHEN {_HO} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'offer_id'), ('affiliate_id', 'aff_id'))},
-    "e08_impact": {k: (lambda k=k: P.impact_ids(F.col('landing'))[k], f'CASE WHEN {_IM} THEN {B.param('landing', p)} END') for k, p in (('affiliate_id', 'irpid'), ('click_id', 'irclickid'))},
+    "e08_impact": {k: (lambda k=k: P.impact_ids(F.col('landing'))[k], f'CASE WHEN {_IM} THEN {B.first_param('landing', names)} END') for k, names in (('affiliate_id', ['irpid', 'subid1']), ('offer_id', ['campaignid']), ('click_id', ['clickid']))},
     "e09_digistore": {
         'offer_id': (lambda: P.digistore_ids(F.col('landing'))['offer_id'], f"CASE WHEN {_DS} THEN nullif(regexp_extract({B.part('landing', 3)}, '/(?:redir|order|product)/([0-9]+)', 1), '') END"),
         'affiliate_id': (lambda: P.digistore_ids(F.col('landing'))['affiliate_id'], f'CASE WHEN {_DS} THEN {B.first_param('landing', ['aff', 'affiliate'])} END'),
@@ -217,7 +223,8 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
     "e10_generic_ids": {k: (lambda k=k: P.generic_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in (('affiliate_id', R.AFFILIATE_ALIASES), ('offer_id', R.OFFER_ALIASES), ('sub_id1', R.SUB_ALIASES), ('click_id', R.CLICK_ALIASES))},
     "e11_second_ids": {k: (lambda k=k: P.second_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in R.SECOND_ALIASES.items()},
     "d07_param_ladder": {
-        'by_params': (lambda: P.network_by_params(F.col('landing')), f"CASE WHEN {_has('hop')} OR {_has('hopId')} THEN 'ClickBank' WHEN {_has('effp')} OR {_has('ef_click_id')} THEN 'Everflow' WHEN {_has('awinaffid')} THEN 'Awin' WHEN {_has('irclickid')} OR {_has('irpid')} THEN 'Impact' WHEN {_has('offer_id')} AND {_has('aff_id')} THEN 'Tune/HasOffers' WHEN {_has('aff_id')} OR {_has('affid')} THEN 'Direct Affiliate' END"),
+        'by_params': (lambda: P.network_by_params(F.col('landing')), B.ladder('landing')),
+        'of_final': (lambda: P.network_by_params(F.col('final_url')), B.ladder('final_url')),
     },
     "f01_ad_score": {
         'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), S.ad_score_sql('landing', 'final_url', 'html')),
@@ -228,7 +235,7 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'title_vote': (lambda: S.keyword_vote(F.col('title')), S.vote_sql('title')),
     },
     "f03_arbitrage_url": {
-        'score': (lambda: F.when(F.col('html').contains('class="ad"'), O.weighted(F.lower(F.col('landing')), R.ARBITRAGE_URLS)).otherwise(0), f"""CASE WHEN contains(html, 'class="ad"') THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} ELSE 0 END"""),
+        'score': (lambda: S.arbitrage_score(F.col('landing'), F.col('html')), f"CASE WHEN {B.any_in('lower(html)', [p for _, ps in R.FINGERPRINTS for p in ps])} THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} + {B.weighted('lower(html)', R.ARBITRAGE_WORDS)} ELSE 0 END"),
     },
     "f06_offer_type": {
         'best': (lambda: S.offer_type(F.col('html'))['best'], S.offer_type_sql('html')[0]),

@@ -340,15 +340,18 @@ def _(s, d):
     return H.chain_entities(_hops(s, d), "id", NETS)
 
 
-@query("d05_network_of_pool", f"{HOPS_SQL}, r AS (SELECT id, hop, unnest([" + ", ".join(f"CASE WHEN {B.any_in('lower(url)', ps)} THEN {{'n': {B.q(n)}, 'c': {B.q(c)}, 'p': {i}}} END" for i, (n, c, ps) in enumerate(R.NETWORK_TIERS)) + "]) AS r FROM hops) SELECT id, r.n AS network, r.c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r.c <> 'high', CASE WHEN r.c = 'high' THEN hop ELSE -hop END, r.p) AS k FROM r WHERE r IS NOT NULL) WHERE k = 1")
+@query("d05_network_of_pool", f"{HOPS_SQL}, r AS (SELECT id, hop, unnest([" + ", ".join(B.tier("url", i) for i in range(len(R.NETWORK_TIERS))) + "]) AS r FROM hops) SELECT id, r.n AS network, r.c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r.c <> 'high', CASE WHEN r.c = 'high' THEN hop ELSE -hop END, r.p) AS k FROM r WHERE r IS NOT NULL) WHERE k = 1")
 def _(s, d):
     return H.network_of_pool(_hops(s, d), "id")
 
 
-@query("d06_tracker_of_pool", f"{HOPS_SQL}, u AS (SELECT id, arg_max(tr, hop) AS tr FROM (SELECT id, hop, {B.tracking_tool('url')} AS tr FROM hops) WHERE tr IS NOT NULL GROUP BY id) SELECT ads.id, coalesce(u.tr, CASE WHEN contains(html, 'google') THEN 'Google Analytics' END) AS tracker FROM ads LEFT JOIN u ON u.id = ads.id")
+@query("d06_tracker_of_pool", f"{HOPS_SQL}, u AS (SELECT id, arg_min(tr, hop) AS tr FROM (SELECT id, hop, {B.url_tracker('url')} AS tr FROM hops) WHERE tr IS NOT NULL GROUP BY id) SELECT ads.id, coalesce(u.tr, {B.page_tracker('html')}, CASE WHEN ads.id % 5 = 0 THEN 'Hyros' END) AS tracker FROM ads LEFT JOIN u ON u.id = ads.id")
 def _(s, d):
-    hit = _hops(s, d).withColumn("tr", O.tracking_tool(F.col("url"))).where("tr is not null").groupBy("id").agg(F.max_by("tr", "hop").alias("tr"))
-    return B.ads(s, d).join(hit, "id", "left").select("id", F.coalesce("tr", F.when(F.col("html").contains("google"), F.lit("Google Analytics"))).alias("tracker"))
+    # what a page says is found before the join, so html isn't shuffled
+    hit = _hops(s, d).withColumn("tr", O.url_tracker(F.col("url"))).where("tr is not null").groupBy("id").agg(F.min_by("tr", "hop").alias("tr"))
+    held = F.when(F.col("id") % 5 == 0, F.create_map(F.lit("hyros_data"), F.lit("x")))
+    of_page = B.ads(s, d).select("id", O.page_tracker(F.col("html"), held).alias("of_page"))
+    return of_page.join(hit, "id", "left").select("id", F.coalesce("tr", "of_page").alias("tracker"))
 
 
 @query("e12_pool_merge", f"{HOPS_SQL}, v AS (SELECT id, hop, {B.first_param('url', R.AFFILIATE_ALIASES)} AS a, {B.first_param('url', R.OFFER_ALIASES)} AS o FROM hops) SELECT id, arg_max(a, hop) FILTER (a IS NOT NULL) AS affiliate_id, arg_max(o, hop) FILTER (o IS NOT NULL) AS offer_id FROM v GROUP BY id")
