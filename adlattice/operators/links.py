@@ -12,6 +12,8 @@ from ..rules import links as L
 from . import rules as O
 
 TAG = r"<[a-zA-Z](?:[^>\x22']++|\x22[^\x22]*\x22|'[^']*'|[\x22'])*+>"
+NOSCRIPT = r"(?is)<noscript\b[^>]*>(.*?)</noscript>"
+WEB = r"https?://[^\s\x22'<>{}\[\]\\,;()|]+"
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script>"
 
 
@@ -72,3 +74,62 @@ def prelander_walk(starts: DataFrame, key: str, pages: DataFrame, most: int = 3)
         rows = rows.join(ways, F.col("final") == F.col("from"), "left")
         rows = rows.select(key, F.coalesce("to", "final").alias("final"), (F.col("hops") + F.col("to").isNotNull().cast("long")).alias("hops"))
     return rows.withColumn("arrived", O.reject_reason(F.col("final")).isNull() & ~O.prelander(F.col("final")))
+
+
+def _scripts(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))
+
+
+def _trimmed(urls: Column) -> Column:
+    return F.transform(urls, lambda u: F.regexp_replace(u, r"[\x22',.;)]+$", ""))
+
+
+def ordered_link(pages: DataFrame, *keep: str) -> DataFrame:
+    """keep, link, method: the link of the first element that a selector finds, in the order of
+    selectors; else of the first script variable that holds one; else the first link to a
+    known tracker. Links that don't start with http don't count; null html has none."""
+    held = ("href", "data-offer", "data-href", "data-redirect-url")
+
+    def of(tag: Column) -> Column:
+        return F.coalesce(*(F.nullif(_attr(tag, a), F.lit("")) for a in held))
+
+    rows = pages.select(*keep, "html", F.regexp_extract_all("html", F.lit(TAG), F.lit(0)).alias("_tags"))
+    having = lambda p: F.filter("_tags", lambda t: t.rlike(p))
+    chosen = (F.transform(having(p), of) for p in L.SELECTORS)
+    web = lambda urls: F.get(F.filter(urls, lambda u: u.startswith("http")), F.lit(0))
+    anchors = F.transform(F.filter("_tags", lambda t: t.rlike(r"(?i)^<a\s")), lambda t: _attr(t, "href"))
+    steps = (
+        ("selector", web(F.concat(*chosen))),
+        ("script", web(_trimmed(F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in L.VARIABLES))))),
+        ("tracker", web(F.filter(anchors, lambda u: O.contains_any(u, L.TRACKER_LINKS)))),
+    )
+    best = F.coalesce(*(F.when(link.isNotNull(), F.struct(link.alias("link"), F.lit(m).alias("method"))) for m, link in steps))
+    return rows.select(*keep, best.alias("_b")).select(*keep, "_b.*")
+
+
+def boosts(url: Column) -> Column:
+    return O.weighted(F.lower(url), L.BOOSTS)
+
+
+def deep_links(pages: DataFrame, *keep: str) -> DataFrame:
+    """keep, link, method, score: the best URL in scripts (5), their flat JSON objects (7), onclick
+    handlers (6) and noscript anchors (7). URLs on the skip list or that aren't valid
+    offers don't count, those of the page's own domain start from 1; marks of offers add
+    to the score. The highest wins, then the order json, script, onclick, noscript."""
+    html = F.col("html")
+    rows = pages.select(*keep, U.two_labels(F.col("url")).alias("_home"), _scripts(html).alias("_scripts"), F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("_tags"), F.regexp_extract_all(html, F.lit(NOSCRIPT), F.lit(1)).alias("_none"))
+    find = lambda texts: F.flatten(F.transform(texts, lambda t: _trimmed(F.regexp_extract_all(t, F.lit(WEB), F.lit(0)))))
+    blobs = F.filter(F.flatten(F.transform("_scripts", lambda t: F.regexp_extract_all(t, F.lit(r"\{[^{}]{20,500}\}"), F.lit(0)))), lambda b: F.try_parse_json(b).isNotNull())
+    in_json = F.flatten(F.transform(blobs, lambda b: F.regexp_extract_all(b, F.lit(r'"(http[^"\\]*)"'), F.lit(1))))
+    in_script = F.filter(find(F.col("_scripts")), lambda u: (F.length(u) > 15) & u.contains("."))
+    handlers = F.filter(F.transform("_tags", lambda t: _attr(t, "onclick")), lambda x: x != "")
+    hidden = F.filter(F.flatten(F.transform("_none", lambda t: F.regexp_extract_all(t, F.lit(r"(?i)<a\s[^>]*?href=[\x22']([^\x22']*)"), F.lit(1)))), lambda u: u.startswith("http"))
+
+    def scored(urls: Column, method: str, base: int) -> Column:
+        fine = F.filter(urls, lambda u: ~O.contains_any(F.lower(u), L.DEEP_SKIP) & valid(u))
+        start = lambda u: F.when(U.two_labels(u) == F.col("_home"), 1).otherwise(base)
+        return F.transform(fine, lambda u: F.struct((start(u) + boosts(u)).alias("score"), u.alias("link"), F.lit(method).alias("method")))
+
+    found = F.concat(scored(in_json, "json", 7), scored(in_script, "script", 5), scored(find(handlers), "onclick", 6), scored(hidden, "noscript", 7))
+    rows = rows.select(*keep, F.transform(found, lambda f, i: F.struct(f["score"].alias("score"), (-i).alias("nth"), f["link"].alias("link"), f["method"].alias("method"))).alias("_found"))
+    return rows.select(*keep, F.array_max("_found").alias("_b")).select(*keep, "_b.link", "_b.method", "_b.score")

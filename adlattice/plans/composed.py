@@ -12,11 +12,13 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import chains as H
 from ..operators import links as K
+from ..operators import lookups as LK
 from ..operators import params as P
 from ..operators import rules as O
 from ..operators import score as S
 from ..operators import store as N
 from ..operators import titles as TT
+from ..rules import links as LR
 from ..rules import tables as R
 from ..sources import html as G
 from ..streaming import sightings as ST
@@ -128,27 +130,54 @@ def _(s, d):
 
 # ---- links ----
 
-_PAT = {"meta": ("(?i)charset=\"([a-z0-9-]+)\"", 6), "nav": ("<nav>.*?href=\"([^\"]+)\"", 8), "ad": ("class=\"ad\">([^<]{0,40})", 10)}
+#: Pages with one pattern each, and an anchor of a lower score in some, around an ad's final URL.
+_G3 = """CASE id % 8 WHEN 0 THEN concat('<a class="offlink" href="', final_url, '">go</a>') WHEN 1 THEN concat('<a href="https://www.digistore24.com/redir/', id, '/x">go</a>')
+ WHEN 2 THEN concat('<div data-offer-url="', final_url, '"></div>') WHEN 3 THEN concat('<script>var offerUrl = "', final_url, '";</script>')
+ WHEN 4 THEN concat('<a href="https://p.example.net/b?oid=', id, '">go</a>') WHEN 5 THEN concat('<meta http-equiv="refresh" content="0;url=', final_url, '">')
+ WHEN 6 THEN concat('<a href="https://trkflstr.com/', id, '">go</a>') ELSE '<p>none</p>' END"""
+_LOW = """CASE WHEN id % 3 = 0 THEN '<a href="https://low.example.net/b?affid=1">low</a>' ELSE '' END"""
+_G3_LINK = "CASE WHEN id % 8 = 1 THEN concat('https://www.digistore24.com/redir/', id, '/x') WHEN id % 8 = 4 THEN concat('https://p.example.net/b?oid=', id) WHEN id % 8 IN (0, 2, 3, 5) THEN final_url END"
+_G3_SQL = f"""g AS (SELECT id, CASE WHEN {B.reject_reason('l')} IS NULL THEN l END AS l, CASE WHEN id % 3 = 0 THEN 'https://low.example.net/b?affid=1' END AS low, id % 8 AS k FROM (SELECT *, {_G3_LINK} AS l FROM ads)),
+ p AS (SELECT *, CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 9 WHEN 3 THEN 8 WHEN 4 THEN 7 ELSE 6 END AS s, ['class', 'network', 'data', 'script', 'param', 'refresh', '', ''][k + 1] AS m FROM g)
+ SELECT id AS page_id, CASE WHEN l IS NOT NULL AND (s >= 7 OR low IS NULL) THEN l ELSE low END AS link, CASE WHEN l IS NOT NULL AND (s >= 7 OR low IS NULL) THEN m WHEN low IS NOT NULL THEN 'param' END AS method,
+ CASE WHEN l IS NOT NULL AND (s >= 7 OR low IS NULL) THEN s WHEN low IS NOT NULL THEN 7 END AS score, CASE WHEN l IS NULL AND low IS NULL AND k = 6 THEN concat('https://trkflstr.com/', id) END AS tracker FROM p"""
 
 
-@query("g03_pattern_scan", "SELECT id AS page_id, CASE WHEN {2} <> '' THEN {2} WHEN {1} <> '' THEN {1} ELSE {0} END AS best, CASE WHEN {2} <> '' THEN 10 WHEN {1} <> '' THEN 8 ELSE 6 END AS score FROM ads".replace("{0}", f"regexp_extract(html, {B.q(_PAT['meta'][0])}, 1)").replace("{1}", f"regexp_extract(html, {B.q(_PAT['nav'][0])}, 1)").replace("{2}", f"regexp_extract(html, {B.q(_PAT['ad'][0])}, 1)"))
+@query("g03_pattern_scan", _G3_SQL)
 def _(s, d):
-    found = F.array(*(F.struct(F.lit(n).alias("score"), F.regexp_extract("html", p, 1).alias("best")) for p, n in _PAT.values()))
-    top = F.array_max(F.filter(found, lambda f: f["best"] != ""))
-    return t(s, d, "pages").select("page_id", top["best"].alias("best"), top["score"].alias("score"))
+    return K.best_links(B.ads(s, d).selectExpr("id AS page_id", f"concat({_G3}, {_LOW}) AS html"), "page_id")
 
 
-@query("g04_deep_scan", f"{ANCHORS_SQL}, c AS (SELECT id, pos, href, 5 + CASE WHEN length(href) > 4 THEN 2 ELSE 0 END + CASE WHEN contains(href, ',') THEN -3 ELSE 0 END AS score FROM a) SELECT id AS page_id, href, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS n FROM c) WHERE n = 1")
+#: Pages that hold URLs in a script, a JSON object, a handler or a noscript element.
+_G4 = """CASE id % 6 WHEN 0 THEN concat('<script>var x = {"offerUrl": "', final_url, '", "n": 12345678901};</script>') WHEN 1 THEN concat('<script>go("', landing, '")</script>')
+ WHEN 2 THEN concat('<button onclick="open(', chr(39), final_url, chr(39), ')">x</button>') WHEN 3 THEN concat('<noscript><a href="', final_url, '">x</a></noscript>')
+ WHEN 4 THEN concat('<script>a("', final_url, '"); b("', landing, '")</script>') ELSE '<script>var none = 1</script>' END"""
+
+
+def _web(u: str) -> str:
+    return f"regexp_extract({u}, {B.q(K.WEB)})"
+
+
+_G4_PARTS = [(0, "final_url", "json", 7), (1, _web("landing"), "script", 5), (2, _web("final_url"), "onclick", 6), (3, "final_url", "noscript", 7), (4, _web("final_url"), "script", 5), (4, _web("landing"), "script", 5)]
+_G4_SQL = "c AS (" + " UNION ALL ".join(f"SELECT id, url, {i} AS nth, {u} AS link, '{m}' AS method, {n} AS base FROM ads WHERE id % 6 = {k}" for i, (k, u, m, n) in enumerate(_G4_PARTS)) + f"""),
+ v AS (SELECT *, CASE WHEN {B.two_labels('link')} = {B.two_labels('url')} THEN 1 ELSE base END + {B.weighted('lower(link)', LR.BOOSTS)} AS score FROM c WHERE starts_with(link, 'http') AND NOT {B.any_in('lower(link)', LR.DEEP_SKIP)} AND {B.reject_reason('link')} IS NULL),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, nth) AS n FROM v) WHERE n = 1)
+ SELECT ads.id AS page_id, b.link, b.method, b.score FROM ads LEFT JOIN b ON b.id = ads.id"""
+
+
+@query("g04_deep_scan", _G4_SQL)
 def _(s, d):
-    score = F.lit(5) + F.when(F.length("href") > 4, 2).otherwise(0) + F.when(F.col("href").contains(","), -3).otherwise(0)
-    return N.first_per(G.anchors(t(s, d, "pages")).withColumn("score", score), ["page_id"], F.desc("score"), "pos").select("page_id", "href", "score")
+    return K.deep_links(B.ads(s, d).selectExpr("id AS page_id", "url", f"{_G4} AS html"), "page_id")
+
 
+#: Pages with an element, a script variable and a tracker's link, or some of them.
+_G7 = """concat(CASE WHEN id % 2 = 0 THEN concat('<a href="https://trkerupper.com/', id, '">t</a>') ELSE '' END, CASE WHEN id % 3 = 0 THEN concat('<script>var clickUrl = "https://js.example.net/', id, '";</script>') ELSE '' END,
+ CASE WHEN id % 5 = 0 THEN concat('<a class="big cta-link" href="https://cta.example.net/', id, '">c</a><a class="x offlink" href="https://off.example.net/', id, '">o</a>') ELSE '' END)"""
 
-@query("g07_ordered_link", r"SELECT id AS page_id, coalesce(nullif(regexp_extract(html, 'var offer=.([^;]+);', 1), ''), nullif(regexp_extract(html, 'href=.(/[a-z]{4,})', 1), ''), 'none') AS link, CASE WHEN regexp_extract(html, 'var offer=.([^;]+);', 1) <> '' THEN 'script' WHEN regexp_extract(html, 'href=.(/[a-z]{4,})', 1) <> '' THEN 'anchor' ELSE 'none' END AS method FROM ads")
+
+@query("g07_ordered_link", "SELECT id AS page_id, CASE WHEN id % 5 = 0 THEN concat('https://off.example.net/', id) WHEN id % 3 = 0 THEN concat('https://js.example.net/', id) WHEN id % 2 = 0 THEN concat('https://trkerupper.com/', id) END AS link, CASE WHEN id % 5 = 0 THEN 'selector' WHEN id % 3 = 0 THEN 'script' WHEN id % 2 = 0 THEN 'tracker' END AS method FROM ads")
 def _(s, d):
-    step = lambda p, m: F.when(F.regexp_extract("html", p, 1) != "", F.struct(F.regexp_extract("html", p, 1).alias("link"), F.lit(m).alias("method")))
-    best = F.coalesce(step("var offer=.([^;]+);", "script"), step("href=.(/[a-z]{4,})", "anchor"), F.struct(F.lit("none").alias("link"), F.lit("none").alias("method")))
-    return t(s, d, "pages").select("page_id", best.alias("b")).select("page_id", "b.*")
+    return K.ordered_link(B.ads(s, d).selectExpr("id AS page_id", f"{_G7} AS html"), "page_id")
 
 
 @query("g03b_static_links")
@@ -200,10 +229,21 @@ def _(s, d):
     return B.ads(s, d).join(chain, "id", "left").select("id", pick.alias("choice"))
 
 
-@query("i03_correlate", "SELECT o.o_orderkey, min(l.l_partkey) FILTER (l.l_linenumber = f.n AND l.l_returnflag <> 'R') AS part FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) f ON f.l_orderkey = o.o_orderkey GROUP BY 1", ads=False)
+@query("i03_correlate", f"s AS (SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE concat('h', id % 40) END AS hash, url AS href FROM ads), t AS (SELECT concat('h', id % 55) AS hash, arg_min(landing, id) AS landing FROM ads WHERE NOT contains(landing, 'outbrain.com') GROUP BY 1) SELECT s.id, coalesce(t.landing, s.href) AS landing FROM s LEFT JOIN t ON t.hash = s.hash")
 def _(s, d):
-    first = t(s, d, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("part"))
-    return t(s, d, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "part")
+    a = B.ads(s, d)
+    seen = a.selectExpr("id", "CASE WHEN id % 7 = 0 THEN '' ELSE concat('h', id % 40) END AS hash", "url AS href")
+    return LK.correlate(seen, a.selectExpr("concat('h', id % 55) AS hash", "landing", "id AS seq"), "outbrain.com")
+
+
+_KEYS = ("3", "7", "40005", "example.net", "getretinaclear.com", "KETO-SHOP2", "hop.clickbank", "digistore24.com/redir/1", "no such offer", "x1")
+_OFFERED = f"o AS (SELECT id, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.two_labels('final_url')} AS offer_domain, final_url, landing, created_day FROM ads)"
+
+
+@query("i11_lookup_cascade", f"k AS (SELECT unnest([{', '.join(map(B.q, _KEYS))}]) AS key), {_OFFERED}, h AS (SELECT key, CASE WHEN offer_id = key THEN 1 WHEN offer_domain = key THEN 2 WHEN contains(lower(final_url), lower(key)) THEN 3 WHEN contains(lower(landing), lower(key)) THEN 4 END AS level, id, created_day FROM k CROSS JOIN o), m AS (SELECT *, min(level) OVER (PARTITION BY key) AS best FROM h WHERE level IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_day DESC, id DESC) AS nth FROM m WHERE level = best) SELECT key, level, id FROM n WHERE nth <= 50")
+def _(s, d):
+    a = B.ads(s, d).select("id", P.generic_ids(F.col("landing"))["offer_id"].alias("offer_id"), U.two_labels(F.col("final_url")).alias("offer_domain"), "final_url", "landing", "created_day")
+    return LK.lookup_cascade(s.createDataFrame([(k,) for k in _KEYS], "key string"), a, "created_day")
 
 
 @query("i08_fuzzy_title", f"k AS (SELECT id, {B.host('url')} AS h, substring(lower(trim(title)), 1, 20) AS t FROM ads WHERE length(trim(title)) > 10) SELECT a.id, count(*) - 1 AS others FROM k a JOIN k b ON a.h = b.h AND a.t = b.t GROUP BY a.id HAVING count(*) > 1")
@@ -262,16 +302,25 @@ def _(s, d):
     return _finished(ST.dedupe_stream(_stream(s, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), s, "dedupe")
 
 
-@query("p04_stream_rules", "SELECT event_id, upper(event_type) AS entity FROM events WHERE event_type IN ('click', 'view')", ads=False)
-def _(s, d):
-    rules = s.createDataFrame([("click", "CLICK"), ("view", "VIEW")], "event_type string, entity string")
-    return _finished(ST.match_stream(_stream(s, d), rules, "event_type").select("event_id", "entity"), s, "rules")
+_RULES = (("click", "Click", "2023-01-01 00:00:00"), ("click", "Click 2", "2024-01-15 00:00:00"), ("view", "View", "2024-01-10 00:00:00"), ("buy", "Buy", "2030-01-01 00:00:00"))
 
 
-@query("p08_late", "x AS (SELECT event_id, user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) SELECT event_id, ts < seen - INTERVAL 1 HOUR AS late FROM x WHERE seen IS NOT NULL".replace("x AS", "WITH x AS", 1), ads=False)
+@query("p04_stream_rules", "WITH r(k, entity, since) AS (VALUES " + ", ".join(f"('{k}', '{e}', TIMESTAMP '{t}')" for k, e, t in _RULES) + ") SELECT event_id, arg_max(entity, since) AS entity FROM events JOIN r ON k = event_type AND since <= ts GROUP BY event_id", ads=False)
 def _(s, d):
-    from pyspark.sql import Window
+    rules, out = shared_folder(s, "rules"), shared_folder(s, "rules-out")
+    s.createDataFrame(list(_RULES), "event_type string, entity string, since string").withColumn("since", F.col("since").cast("timestamp")).write.parquet(rules)
+    ST.live_rules(_stream(s, d), rules, "event_type", "event_id", out, shared_folder(s, "rules-state")).awaitTermination()
+    return s.read.parquet(out).select("event_id", "entity")
 
-    seen = F.max("ts").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = t(s, d, "events").withColumn("seen", seen).where("seen is not null")
-    return rows.select("event_id", (F.col("ts") < F.col("seen") - F.expr("interval 1 hour")).alias("late"))
+
+@query("p08_late", "WITH b AS (SELECT event_id, ts, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS n FROM events), m AS (SELECT n, max(ts) AS mark FROM b GROUP BY n) SELECT event_id, coalesce(ts < (SELECT max(mark) FROM m WHERE m.n < b.n) - INTERVAL 20 DAY, false) AS late FROM b", ads=False)
+def _(s, d):
+    # the events in four files of arrival, one a micro-batch
+    events = t(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    arrived, out = shared_folder(s, "arrived"), shared_folder(s, "late")
+    n = events.agg(F.max("event_id") + 1).first()[0]
+    for part in range(4):
+        events.where(F.floor(F.col("event_id") * 4 / n) == part).coalesce(1).write.mode("append").parquet(arrived)
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    ST.split_late(stream, "20 days", out, shared_folder(s, "late-state")).awaitTermination()
+    return s.read.parquet(f"{out}/rows").select("event_id", "late")

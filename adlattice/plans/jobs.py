@@ -417,13 +417,6 @@ def _(s, d):
     return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("i11_lookup_cascade", "l AS (SELECT l_partkey AS k, l_orderkey AS o, 1 AS level FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey, l_orderkey, 2 FROM lineitem WHERE l_returnflag <> 'R'), m AS (SELECT *, min(level) OVER (PARTITION BY k) AS best FROM l) SELECT k AS offer, level, count(*) AS n, max(o) AS latest FROM m WHERE level = best GROUP BY k, level")
-def _(s, d):
-    level = F.when(F.col("l_returnflag") == "R", 1).otherwise(2)
-    rows = t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("offer"), level.alias("level")).agg(F.count("*").alias("n"), F.max("l_orderkey").alias("latest"))
-    return N.first_per(rows, ["offer"], "level")
-
-
 # ---- profiles ----
 
 PROFILE_SQL = "SELECT l_suppkey AS advertiser, count(DISTINCT l_returnflag) AS networks, count(DISTINCT l_partkey) AS offers, sum(l_quantity) AS impressions, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_suppkey"

@@ -13,3 +13,29 @@ NETWORK_LINKS = [
 ]
 TRACKER_LINKS = ["prough-veridated.icu", "clktrkservices.com", "trkflstr.com", "trkerupper.com", "anti-aging.site"]
 PARAM_LINKS = ["hop=", "hopId=", "aff_id=", "affid=", "affiliate_id=", "affiliate=", "offer_id=", "offid=", "oid=", "bf_lander=", "bf_offer=", "target_offer="]
+#: Elements that hold an offer link, in order, as expressions on start tags.
+SELECTORS = [
+    r"(?i)^<a\s.*?\bclass\s*=\s*[\x22'][^\x22']*(?:offlink|offer_link|offerLink)",
+    r"(?i)^<a\s.*?\bclass\s*=\s*[\x22'][^\x22']*offer-link",
+    r"(?i)^<a\s.*?\bclass\s*=\s*[\x22'][^\x22']*cta-link",
+    r"(?i)^<a\b.*?\sdata-offer\s*=",
+    r"(?i)^<a\b.*?\sdata-href\s*=",
+    r"(?i)\sdata-redirect-url\s*=",
+    r"(?i)\sdata-offer-url\s*=",
+]
+#: Script variables that hold an offer link.
+VARIABLES = [
+    rf"{name}\s*[=:]\s*[\x22']?(https?://[^\x22';\s]+)"
+    for name in (
+        *(rf"var\s+{v}" for v in ("offerUrl", "offer_url", "clickUrl", "click_url", "redirectUrl", "redirect_url")),
+        "offerLink", "offer_link", "clickLink", "outgoingUrl", "destinationUrl", "finalUrl", "ctaUrl",
+    )
+]
+DEEP_SKIP = [
+    "google-analytics", "googletagmanager", "doubleclick", "facebook.com/tr", "connect.facebook", "pixel", "analytics", "taboola.com", "outbrain.com", "prebid", "cookie", "sync", ".css", ".js", ".png", ".jpg",
+    "cloudflare.com/cdn-cgi",
+]
+BOOSTS = [
+    ("hop=", 5), ("hopid=", 5), ("aff_id=", 5), ("affid=", 5), ("offer_id=", 4), ("offid=", 4), ("oid=", 3), ("affiliate=", 4), ("checkout", 3), ("/vsl/", 3), ("/landers/", 3), ("/text.php", 3),
+    ("clickbank", 5), ("digistore24", 5), ("bf_lander", 6), ("bf_offer", 6), ("melodyeu", 4),
+]

@@ -38,6 +38,42 @@ def dedupe_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour")
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def rules_at(rows: DataFrame, rules: DataFrame, on: str, key: str) -> DataFrame:
+    """(key, entity): for each row the newest of the rules(on, entity, since) in force at its
+    ts; rows without one are left out. Rules are broadcast: a rule table's size."""
+    held = rows.select(key, "ts", on).join(F.broadcast(rules.select(on, "entity", "since")), on).where(F.col("since") <= F.col("ts"))
+    return held.groupBy(key).agg(F.max_by("entity", "since").alias("entity"))
+
+
+def live_rules(stream: DataFrame, rules: str, on: str, key: str, out: str, checkpoint: str):
+    """Matches each micro-batch with the rule table as it is then: the table at `rules` is
+    listed anew for every batch, so rules that are added while the stream runs hold for
+    the next one. Batch n is written to out/n=n, so a retried batch replaces itself."""
+
+    def match(batch: DataFrame, n: int) -> None:
+        found = rules_at(batch, batch.sparkSession.read.parquet(rules), on, key)
+        found.write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    return stream.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_late(stream: DataFrame, delay: str, out: str, checkpoint: str):
+    """Writes each micro-batch's rows with `late`: whether ts lies more than `delay` behind the
+    newest ts of the batches before, which is the watermark. What late is false for goes
+    on; the rest is the dead letter. Marks are kept beside the rows, one row a batch, so
+    that a retried batch sees the same mark."""
+
+    def split(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.read.parquet(f"{out}/marks").where(F.col("n") < n).agg(F.max("mark")).first()[0] if n else None
+        mark = F.lit(marks).cast("timestamp")
+        late = F.coalesce(F.col("ts") < mark - F.expr(f"interval {delay}"), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{out}/rows/n={n}")
+        batch.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{out}/marks/n={n}")
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def match_stream(stream: DataFrame, rules: DataFrame, on: str) -> DataFrame:
     """A stream joined with a static rule table."""
     return stream.join(rules, on)

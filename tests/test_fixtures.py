@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import url as U
-from adlattice.operators import chains, links, params, rules, store, titles
+from adlattice.operators import chains, links, lookups, params, rules, store, titles
+from adlattice.rules import tables as R
 from adlattice.sources import feeds
 from adlattice.streaming import sightings
 
@@ -161,3 +162,78 @@ def test_prelander_walk_by_pages(spark):
     want = [(offers[1], 1, True), (offers[2], 1, True), (offers[1], 2, True), (offers[1], 3, True), (lander(1), 3, False), (lander(6), 0, False), (offers[1], 0, True), ("https://x.com/none", 0, True), (offers[1], 1, True), (lander(8), 3, False)]
     mine = {r.id: tuple(r)[1:] for r in got}
     assert len(got) == len(starts) and [mine[i] for i in range(10)] == want and not mine[10][2]
+
+
+def test_every_listed_host_and_pattern_is_met(spark):
+    """Full lists: each entry decides, in the order of the gates."""
+    rows = [(h, f"https://{h}/offer/x?y=1") for h in (*R.STRICT_BLOCK, *R.INTERMEDIARIES, *R.INVALID_HOSTS) if "/" not in h and not h.endswith(".")]
+    frame = spark.createDataFrame(rows, "host string, url string")
+    got = {r.host: r.reason for r in frame.select("host", rules.reject_reason(F.col("url")).alias("reason")).collect()}
+    assert all(got[h] == "blocked" for h in R.STRICT_BLOCK)
+    assert all(got.values())
+    assert one(spark, "https://shop.example.com/cards", rules.reject_reason) == "path"
+    assert one(spark, "https://shop.example.com/cards?aff_id=1", rules.reject_reason) is None
+    assert one(spark, "https://x.example.com/index.html", rules.reject_reason) == "bare_path"
+    assert one(spark, "https://shop.example.com/i.webp?hopId=1", rules.reject_reason) == "static_file"
+    for bad in ("{!subid!}", "${x}", "__CLICK_ID__", "[TAG:a]", "{{x}}", "%7B%21x%21%7D", "replace_me", "YOUR_CLICK_ID", "insert_here"):
+        assert one(spark, f"https://shop.example.com/p?a={bad}", rules.has_macro), bad
+    for host in R.PRELANDERS:
+        assert one(spark, f"https://www.{host}/a", rules.prelander)
+
+
+def test_ladder_and_aliases(spark):
+    ladder = lambda u: one(spark, u, params.network_by_params)
+    assert ladder("https://x.com/?v=bvsl") == "ClickBank" and ladder("https://x.com/?vndr=evf") == "Everflow"
+    assert ladder("https://x.com/?screen_id=1") == "BuyGoods" and ladder("https://offer.x.com/p?a=1&offer_id=2") == "Fanyil / Native Ecom"
+    assert ladder("https://x.com/?net=1673") == "Network ID 1673 (Private)" and ladder("https://x.com/aff_c?a=1") == "HasOffers (TUNE)"
+    assert ladder("https://x.com/?rt=1") == "RedTrack" and ladder("https://go.leadbit.com/") == "LeadBit" and ladder("https://x.com/?a=1") is None
+    ids = lambda u, k: one(spark, u, lambda c: params.generic_ids(c)[k])
+    assert ids("https://x.com/?a_aid=1&refid=2", "affiliate_id") == "1" and ids("https://x.com/?deal_id=9", "offer_id") == "9"
+    assert ids("https://x.com/?c3=5", "sub_id1") == "5" and ids("https://x.com/?uuid=u", "click_id") == "u"
+    impact = lambda u, k: one(spark, u, lambda c: params.impact_ids(c)[k])
+    assert impact("https://a.prf.hn/?subid1=s&campaignid=7&clickid=c", "affiliate_id") == "s" and impact("https://a.prf.hn/?campaignid=7", "offer_id") == "7"
+
+
+def test_html_tools_and_page_variables(spark):
+    html = "<script src='https://RDTK.io/x.js'></script><script src='affise.js'></script>"
+    assert one(spark, html, rules.html_trackers) == ["RedTrack", "Affise"]
+    merged = lambda c: rules.merged_trackers(rules.html_trackers(c), F.lit("RedTrack"))
+    assert one(spark, html, merged) == ["Affise", "RedTrack"]
+    held = lambda c: rules.page_tracker(c, F.create_map(F.lit("_hyros"), F.lit("1")))
+    assert one(spark, "<p>", held) == "Hyros" and one(spark, "<script>window.EF = 1", held) == "Everflow"
+
+
+def test_ordered_and_deep_links(spark):
+    page = '<a href="https://trkflstr.com/1">x</a><script>var clickUrl = "https://js.com/2";</script><a data-href="https://d.com/3">x</a><a class="offer-link" href="/not-absolute">x</a>'
+    pages = spark.createDataFrame([(1, "https://home.com/", page), (2, "https://home.com/", None), (3, "https://home.com/", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.link, r.method) for r in links.ordered_link(pages, "page_id").collect()}
+    assert got == {1: ("https://d.com/3", "selector"), 2: (None, None), 3: (None, None)}
+    deep = '<script>{"a": "https://shop.com/checkout?x=1", "b": 1234567890}</script><button onclick="go(\'https://home.com/own?aff_id=1\')">x</button><noscript><a href="https://s.com/p?hop=a">x</a></noscript>'
+    pages = spark.createDataFrame([(1, "https://home.com/", deep), (2, "https://home.com/", None), (3, None, deep)], "page_id long, url string, html string")
+    got = {r.page_id: tuple(r)[1:] for r in links.deep_links(pages, "page_id").collect()}
+    assert got == {1: ("https://s.com/p?hop=a", "noscript", 12), 2: (None, None, None), 3: ("https://s.com/p?hop=a", "noscript", 12)}
+
+
+def test_lookup_cascade_and_correlation(spark):
+    ads = spark.createDataFrame([(i, "k1" if i < 60 else None, "a.com" if i % 2 else "b.com", f"https://u{i}.com/K1", "https://landing/zz", i % 7) for i in range(80)], "id long, offer_id string, offer_domain string, final_url string, landing string, day long")
+    keys = spark.createDataFrame([("k1",), ("a.com",), ("u7",), ("ZZ",), ("none",), (None,), ("k1",)], "key string")
+    rows = lookups.lookup_cascade(keys, ads, "day").collect()
+    by = {k: [r for r in rows if r.key == k] for k in ("k1", "a.com", "u7", "ZZ", "none")}
+    assert {k: (len(v), v[0].level if v else None) for k, v in by.items()} == {"k1": (50, 1), "a.com": (40, 2), "u7": (11, 3), "ZZ": (50, 4), "none": (0, None)}
+    seen = spark.createDataFrame([(1, "h", "x"), (2, "", "x"), (3, None, "x"), (4, "own", "x")], "id long, hash string, href string")
+    told = spark.createDataFrame([("h", "https://late", 2), ("h", "https://mgid.com/0", 0), ("h", "https://first", 1), ("own", "https://c.mgid.com/", 1), ("", "https://bad", 1)], "hash string, landing string, seq long")
+    assert {r.id: r.landing for r in lookups.correlate(seen, told, "mgid.com").collect()} == {1: "https://first", 2: "x", 3: "x", 4: "x"}
+
+
+def test_rules_added_between_batches_hold_for_the_next(spark, tmp_path):
+    events = spark.createDataFrame([(1, "click"), (2, "view")], "event_id long, event_type string").withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    rule = lambda k, e: spark.createDataFrame([(k, e)], "event_type string, entity string").withColumn("since", F.lit("2024-01-01").cast("timestamp")).write.mode("append").parquet(f"{tmp_path}/rules")
+    rule("click", "Click")
+    for first, more in ((0, None), (10, ("view", "View"))):
+        if more:
+            rule(*more)
+        events.withColumn("event_id", F.col("event_id") + first).write.mode("append").parquet(f"{tmp_path}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
+        sightings.live_rules(stream, f"{tmp_path}/rules", "event_type", "event_id", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r.event_id: r.entity for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: "Click", 11: "Click", 12: "View"}
