@@ -17,7 +17,7 @@ def hops_of(chains: DataFrame, key: str, urls: str) -> DataFrame:
 
 def clean_chain(urls: Column) -> Column:
     """Without nulls and static files; first occurrences in order."""
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & ~O.ends_with_any(F.lower(u), R.EXTENSIONS)))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & ~F.coalesce(u.rlike(O.FILE + "$"), F.lit(False))))
 
 
 def last_meaningful(hops: DataFrame, key: str) -> DataFrame:
@@ -86,3 +86,27 @@ def chain_json(text: Column) -> Column:
     objects = F.from_json(text, "array<struct<`from`:string,url:string>>")
     urls = F.transform(objects, lambda o: F.coalesce(o["from"], o["url"]))
     return F.when(text.rlike(r"^\s*\[\s*\{"), F.coalesce(urls, F.array().cast("array<string>"))).otherwise(F.coalesce(strings, F.array().cast("array<string>")))
+
+
+def offer_choice(final: Column, chain: Column, real_domain: Column, offer_domain: Column, landing: Column) -> Column:
+    """struct(offer, method, needs_review) by priority: the final URL, if it isn't the landing
+    page, no dead end and valid; the domain that a postback names; the chain's last valid
+    URL of another domain; the offer's domain; else unresolved, for review."""
+    valid = lambda u: O.reject_reason(u).isNull()
+    dead = lambda u: u.isNull() | O.contains_any(F.lower(u), R.DEAD_ENDS)
+    noise = lambda u: O.contains_any(F.lower(u), R.NOISE)
+    named = F.when(real_domain.startswith("http"), real_domain).otherwise(F.concat(F.lit("https://"), real_domain))
+    home = F.coalesce(U.two_labels(landing), F.lit(""))
+    fit = F.filter(chain, lambda u: ~dead(u) & ~noise(u) & valid(u) & (U.two_labels(u) != home))
+
+    def step(test: Column, url: Column, method: str) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), F.struct(url.alias("offer"), F.lit(method).alias("method"), F.lit(False).alias("needs_review")))
+
+    last = F.get(F.reverse(fit), F.lit(0))
+    return F.coalesce(
+        step(~F.coalesce(U.same_page(final, landing), F.lit(False)) & ~dead(final) & valid(final), final, "direct"),
+        step(real_domain.isNotNull() & valid(named), named, "event_source_url"),
+        step(last.isNotNull(), last, "chain_last_valid_filtered"),
+        step(offer_domain.isNotNull(), F.concat(F.lit("https://"), offer_domain), "constructed_from_domain"),
+        F.struct(F.lit(None).cast("string").alias("offer"), F.lit("unresolved").alias("method"), F.lit(True).alias("needs_review")),
+    )

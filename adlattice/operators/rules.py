@@ -58,9 +58,25 @@ def _bounded(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rules
 
 
-def match_substrings(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, entity) of the first rule whose pattern is in text, for rows that match."""
-    hits = df.join(_bounded(rules), F.col(text).contains(F.col("pattern")))
+GRAM = 3
+
+
+def match_substrings(df: DataFrame, key: str, text: str, rules: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """(key, entity) of the first rule whose pattern is in text, for rows that match. Up to
+    `most` rules are broadcast; more are met by the first GRAM characters of their
+    patterns, an equality join on the texts' distinct runs of that length. Shorter patterns,
+    of which there are few, are broadcast; empty ones match nothing."""
+    rules = rules.where("pattern <> ''")
+    rows = df.select(key, F.col(text).alias("_text"))
+    held = F.col("_text").contains(F.col("pattern"))
+    if rules.limit(most + 1).count() <= most:
+        hits = rows.join(F.broadcast(rules), held)
+    else:
+        places = F.when(F.length("_text") >= GRAM, F.sequence(F.lit(1), F.length("_text") - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+        runs = rows.withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(GRAM))))))
+        long = rules.where(F.length("pattern") >= GRAM).withColumn("_gram", F.substring("pattern", 1, GRAM))
+        short = rules.where(F.length("pattern") < GRAM)
+        hits = runs.join(long, "_gram").where(held).drop("_gram").unionByName(rows.join(F.broadcast(short), held))
     return hits.groupBy(key).agg(F.min_by("entity", "prio").alias("entity"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -51,32 +51,23 @@ def offer_type(html: Column) -> Column:
     return F.struct(F.when(top["n"] < 3, F.lit("Unknown")).otherwise(top["name"]).alias("best"), top["n"].alias("score"))
 
 
-# -- SQL twins --
+def knowledge_override(ads: DataFrame, feedback: DataFrame, host: str, predicted: str) -> DataFrame:
+    """ads with `forced`, the newest verdict that feedback(domain, forced_type, updated_at) has
+    for the host, and `verdict`: that, or what was predicted. One row a domain is joined."""
+    newest = feedback.groupBy(F.col("domain").alias("_domain")).agg(F.max_by("forced_type", "updated_at").alias("forced"))
+    return ads.join(newest, F.col(host) == F.col("_domain"), "left").drop("_domain").withColumn("verdict", F.coalesce("forced", predicted))
 
 
-def ad_score_sql(url: str, final: str, content: str) -> str:
-    from ..plans import base as B
-
-    add = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
-    last, first = f"lower({final})", f"lower({url})"
-    return "(" + " + ".join([
-        add(B.any_in(last, R.AFFILIATE_PARAMS), 3), add(B.any_in(last, R.AFFILIATE_PATHS), 3),
-        add(f"{B.host(final)} <> {B.host(url)} AND {B.any_in(B.host(final), R.HEALTH_WORDS)}", 3),
-        add(f"{B.any_in(first, R.TRACKER_MARKS)} OR {B.any_in(last, R.TRACKER_MARKS)}", 2),
-        add(B.any_in(f"lower({content})", R.BUY_WORDS), 2), add(B.any_in(B.host(final), R.PUBLISHERS), -2),
-    ]) + ")"
-
-
-def vote_sql(text: str) -> str:
-    from ..plans import base as B
-
-    a, b = (B.weighted(f"lower({text})", [(w, 1) for w in ws]) for ws in (R.AFFILIATE_PHRASES, R.ARBITRAGE_PHRASES))
-    return f"CASE WHEN {a} > {b} AND {a} >= 1 THEN 'Affiliate' WHEN {b} > {a} AND {b} >= 2 THEN 'Arbitrage' ELSE 'Unknown' END"
-
-
-def offer_type_sql(html: str) -> tuple[str, str]:
-    from ..plans import base as B
-
-    sums = [(name, B.weighted(f"lower({html})", signals)) for name, signals in R.OFFER_TYPES]
-    top = f"greatest({', '.join(s for _, s in sums)})"
-    return f"CASE WHEN {top} < 3 THEN 'Unknown' " + " ".join(f"WHEN {s} = {top} THEN {B.q(n)}" for n, s in sums) + " END", top
+def fetch_health(url: Column, status: Column, size: Column, final: Column, error: Column) -> Column:
+    """The first reason why a captured fetch isn't healthy, or ok."""
+    named = {404: "http_404_not_found", 403: "http_403_forbidden", 500: "http_500_server_error"}
+    by_status = F.coalesce(*(F.when(status == n, F.lit(text)) for n, text in named.items()), F.concat(F.lit("http_"), status.cast("string")))
+    return (
+        F.when(url.isNull() | ~url.startswith("http"), "invalid_url_format")
+        .when(O.contains_any(U.host(url), R.AD_TECH_HOSTS), "ad_tech_infrastructure")
+        .when(error.isNotNull(), error)
+        .when(~F.coalesce(status.isin(200, 201, 301, 302), F.lit(False)), by_status)
+        .when(size < 3000, "thin_content")
+        .when((final != url) & O.reject_reason(final).isNotNull(), "redirected_to_invalid_domain")
+        .otherwise("ok")
+    )

@@ -39,6 +39,7 @@ ADS = {
  WHEN 2 THEN concat('https://img.example.org/p', page_id % 10, '.webp')
  WHEN 3 THEN url
  ELSE concat('https://getretinaclear.com/vsl/?aff_id=', page_id % 12) END""",
+    "new_tab": "CASE page_id % 6 WHEN 0 THEN concat('https://tab', page_id % 4, '.example.net/p?oid=', page_id) WHEN 1 THEN 'https://www.facebook.com/tr?id=1' END",
     "title": "concat(CASE page_id % 6 WHEN 0 THEN 'Doctors Hate This Keto Trick ' WHEN 1 THEN ' order now   and SAVE ' WHEN 2 THEN 'Invest in crypto: ' WHEN 3 THEN 'مرحبا ' ELSE 'Trending now ' END, page_id % 40)",
     "network": "CASE page_id % 4 WHEN 0 THEN 'MGID' WHEN 1 THEN 'Taboola' WHEN 2 THEN 'Outbrain' ELSE 'Revcontent' END",
     "country_code": "CASE page_id % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'FR' WHEN 3 THEN 'ES' ELSE 'MA' END",
@@ -192,3 +193,43 @@ def named_network(u: str) -> str:
 
 def affiliate_network(u: str) -> str:
     return f"coalesce({named_network(u)}, CASE WHEN {any_in(f'lower({u})', R.GENERIC_TRACKERS)} THEN 'Unknown Affiliate' END)"
+
+
+
+def ad_score_sql(url: str, final: str, content: str) -> str:
+    add = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
+    last, first = f"lower({final})", f"lower({url})"
+    return "(" + " + ".join([
+        add(any_in(last, R.AFFILIATE_PARAMS), 3), add(any_in(last, R.AFFILIATE_PATHS), 3),
+        add(f"{host(final)} <> {host(url)} AND {any_in(host(final), R.HEALTH_WORDS)}", 3),
+        add(f"{any_in(first, R.TRACKER_MARKS)} OR {any_in(last, R.TRACKER_MARKS)}", 2),
+        add(any_in(f"lower({content})", R.BUY_WORDS), 2), add(any_in(host(final), R.PUBLISHERS), -2),
+    ]) + ")"
+
+
+def vote_sql(text: str) -> str:
+    a, b = (weighted(f"lower({text})", [(w, 1) for w in ws]) for ws in (R.AFFILIATE_PHRASES, R.ARBITRAGE_PHRASES))
+    return f"CASE WHEN {a} > {b} AND {a} >= 1 THEN 'Affiliate' WHEN {b} > {a} AND {b} >= 2 THEN 'Arbitrage' ELSE 'Unknown' END"
+
+
+def offer_type_sql(html: str) -> tuple[str, str]:
+    sums = [(name, weighted(f"lower({html})", signals)) for name, signals in R.OFFER_TYPES]
+    top = f"greatest({', '.join(s for _, s in sums)})"
+    return f"CASE WHEN {top} < 3 THEN 'Unknown' " + " ".join(f"WHEN {s} = {top} THEN {q(n)}" for n, s in sums) + " END", top
+
+
+def same_page(a: str, b: str) -> str:
+    place = lambda u: f"concat(lower({part(u, 2)}), regexp_replace(lower({part(u, 3)}), '/+$', ''))"
+    return f"coalesce({place(a)} = {place(b)}, false)"
+
+
+def offer_choice(rows: str, final: str, chain: list[str], real: str, domain: str, landing: str) -> str:
+    """id, offer, method and needs_review of `rows`, where real and domain are expressions."""
+    dead = lambda u: f"({u} IS NULL OR {any_in(f'lower({u})', R.DEAD_ENDS)})"
+    fit = lambda u: f"NOT {dead(u)} AND NOT {any_in(f'lower({u})', R.NOISE)} AND {reject_reason(u)} IS NULL AND {two_labels(u)} <> coalesce({two_labels(landing)}, '')"
+    steps = [(f"NOT {same_page(final, landing)} AND NOT {dead(final)} AND {reject_reason(final)} IS NULL", final, "direct"), (f"{reject_reason('named_')} IS NULL", "named_", "event_source_url")]
+    steps += [(fit(u), u, "chain_last_valid_filtered") for u in reversed(chain)] + [("domain_ IS NOT NULL", "concat('https://', domain_)", "constructed_from_domain")]
+    case = lambda n: " ".join(f"WHEN {i} THEN {q(step[n]) if n == 2 else step[n]}" for i, step in enumerate(steps))
+    bound = f"SELECT *, CASE WHEN starts_with({real}, 'http') THEN {real} WHEN {real} IS NOT NULL THEN concat('https://', {real}) END AS named_, {domain} AS domain_ FROM {rows}"
+    chosen = f"SELECT *, CASE {' '.join(f'WHEN {t} THEN {i}' for i, (t, _, _) in enumerate(steps))} END AS step FROM ({bound})"
+    return f"SELECT id, CASE step {case(1)} END AS offer, CASE step {case(2)} ELSE 'unresolved' END AS method, step IS NULL AS needs_review FROM ({chosen})"

@@ -227,19 +227,19 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'of_final': (lambda: P.network_by_params(F.col('final_url')), B.ladder('final_url')),
     },
     "f01_ad_score": {
-        'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), S.ad_score_sql('landing', 'final_url', 'html')),
-        'verdict': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), F.col('html')), f"CASE WHEN {S.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate' WHEN {S.ad_score_sql('landing', 'final_url', 'html')} <= -2 THEN 'Arbitrage' ELSE {S.vote_sql('html')} END"),
+        'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), B.ad_score_sql('landing', 'final_url', 'html')),
+        'verdict': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), F.col('html')), f"CASE WHEN {B.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate' WHEN {B.ad_score_sql('landing', 'final_url', 'html')} <= -2 THEN 'Arbitrage' ELSE {B.vote_sql('html')} END"),
     },
     "f02_keyword_vote": {
-        'vote': (lambda: S.keyword_vote(F.col('html')), S.vote_sql('html')),
-        'title_vote': (lambda: S.keyword_vote(F.col('title')), S.vote_sql('title')),
+        'vote': (lambda: S.keyword_vote(F.col('html')), B.vote_sql('html')),
+        'title_vote': (lambda: S.keyword_vote(F.col('title')), B.vote_sql('title')),
     },
     "f03_arbitrage_url": {
         'score': (lambda: S.arbitrage_score(F.col('landing'), F.col('html')), f"CASE WHEN {B.any_in('lower(html)', [p for _, ps in R.FINGERPRINTS for p in ps])} THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} + {B.weighted('lower(html)', R.ARBITRAGE_WORDS)} ELSE 0 END"),
     },
     "f06_offer_type": {
-        'best': (lambda: S.offer_type(F.col('html'))['best'], S.offer_type_sql('html')[0]),
-        'score': (lambda: S.offer_type(F.col('html'))['score'], S.offer_type_sql('html')[1]),
+        'best': (lambda: S.offer_type(F.col('html'))['best'], B.offer_type_sql('html')[0]),
+        'score': (lambda: S.offer_type(F.col('html'))['score'], B.offer_type_sql('html')[1]),
     },
     "f09_density_override": {
         'verdict': (lambda: F.when((F.col('ad_type') != 'Affiliate') & F.col('html').contains('class="ad"'), 'Arbitrage').otherwise(F.col('ad_type')), 'CASE WHEN ad_type <> \'Affiliate\' AND contains(html, \'class="ad"\') THEN \'Arbitrage\' ELSE ad_type END'),

@@ -83,8 +83,8 @@ _AD = 'class="ad"'
 
 
 @query("f04_cascade", f"""SELECT id, CASE WHEN {B.host('landing')} IN ({', '.join(map(B.q, FORCED))}) THEN 'Arbitrage:forced' WHEN {B.any_in('lower(final_url)', R.AFFILIATE_PARAMS)} THEN 'Affiliate:marker'
- WHEN contains(html, '{_AD}') AND {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} >= 2 THEN 'Arbitrage:fingerprint' WHEN {S.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate:score'
- WHEN {S.vote_sql('html')} <> 'Unknown' THEN concat({S.vote_sql('html')}, ':words') ELSE 'Unknown:none' END AS verdict FROM ads""")
+ WHEN contains(html, '{_AD}') AND {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} >= 2 THEN 'Arbitrage:fingerprint' WHEN {B.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate:score'
+ WHEN {B.vote_sql('html')} <> 'Unknown' THEN concat({B.vote_sql('html')}, ':words') ELSE 'Unknown:none' END AS verdict FROM ads""")
 def _(s, d):
     land, last, page = F.col("landing"), F.col("final_url"), F.col("html")
     vote = S.keyword_vote(page)
@@ -101,21 +101,21 @@ def _(s, d):
 
 _TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 _CHALLENGE = "just a moment|checking your browser|please wait|redirecting"
-_VALID_SQL = f"CASE WHEN regexp_matches(lower({_TEXT_SQL}), '{_CHALLENGE}') THEN 'tracking_redirect_page' WHEN length({_TEXT_SQL}) < 400 THEN 'thin_content' WHEN {B.weighted('lower(html)', [('taboola', 3), ('outbrain', 3), ('adsbygoogle', 3), (_AD, 5)])} >= 5 AND {{id}} % 2 = 0 THEN 'arbitrage_page' END"
+_VALID_SQL = f"CASE WHEN regexp_matches(lower({_TEXT_SQL}), '{_CHALLENGE}') THEN 'tracking_redirect_page' WHEN length({_TEXT_SQL}) < 400 THEN 'thin_content' WHEN {B.weighted('lower(html)', [('taboola', 3), ('outbrain', 3), ('adsbygoogle', 3), (_AD, 5)])} >= 5 THEN 'arbitrage_page' END"
 
 
 def _invalid() -> Column:
     body = F.lower(G.visible_text(F.col("html")))
     ads = O.weighted(F.lower("html"), [("taboola", 3), ("outbrain", 3), ("adsbygoogle", 3), (_AD, 5)])
-    return F.when(body.rlike(_CHALLENGE), "tracking_redirect_page").when(F.length(body) < 400, "thin_content").when((ads >= 5) & (F.col("id") % 2 == 0), "arbitrage_page")
+    return F.when(body.rlike(_CHALLENGE), "tracking_redirect_page").when(F.length(body) < 400, "thin_content").when(ads >= 5, "arbitrage_page")
 
 
-@query("f05_page_validity", f"SELECT id, {_VALID_SQL.format(id='id')} AS reason FROM ads")
+@query("f05_page_validity", f"SELECT id, {_VALID_SQL} AS reason FROM ads")
 def _(s, d):
     return B.ads(s, d).select("id", _invalid().alias("reason"))
 
 
-@query("f13_offer_validation", f"SELECT a.id, coalesce(CASE WHEN h.health <> 'ok' THEN h.health END, {_VALID_SQL.format(id='a.id')}, 'valid') AS verdict, CASE WHEN h.health = 'ok' AND {_VALID_SQL.format(id='a.id')} IS NULL THEN {S.offer_type_sql('html')[0]} END AS offer_type FROM ads a JOIN {sub('f11_fetch_health')} h ON h.id = a.id")
+@query("f13_offer_validation", f"SELECT a.id, coalesce(CASE WHEN h.health <> 'ok' THEN h.health END, {_VALID_SQL}, 'valid') AS verdict, CASE WHEN h.health = 'ok' AND {_VALID_SQL} IS NULL THEN {B.offer_type_sql('html')[0]} END AS offer_type FROM ads a JOIN {sub('f11_fetch_health')} h ON h.id = a.id")
 def _(s, d):
     rows = B.ads(s, d).select("id", _invalid().alias("bad"), S.offer_type(F.col("html"))["best"].alias("best")).join(of("f11_fetch_health", s, d), "id")
     verdict = F.coalesce(F.when(F.col("health") != "ok", F.col("health")), F.col("bad"), F.lit("valid"))
@@ -222,10 +222,10 @@ def _(s, d):
     return t(s, d, "pages").select("page_id", F.array_join(F.slice(F.array_sort(links), 1, 10), " ").alias("links"))
 
 
-@query("h19_final_choice", f"{HOPS_SQL}, v AS (SELECT id, arg_max(url, hop) AS url FROM hops WHERE {B.meaningful('url')} GROUP BY id) SELECT ads.id, CASE WHEN id_tab THEN landing WHEN url <> landing THEN url ELSE chain END AS choice FROM (SELECT a.*, a.id % 6 = 0 AS id_tab, v.url AS chain FROM ads a LEFT JOIN v ON v.id = a.id) ads")
+@query("h19_final_choice", f"{HOPS_SQL}, v AS (SELECT id, arg_max(url, hop) AS chain FROM hops WHERE {B.meaningful('url')} GROUP BY id) SELECT ads.id, CASE WHEN {B.meaningful('new_tab')} THEN new_tab WHEN url <> landing THEN url ELSE chain END AS choice FROM ads LEFT JOIN v ON v.id = ads.id")
 def _(s, d):
     chain = H.last_meaningful(_hops(s, d), "id").withColumnRenamed("url", "chain")
-    pick = F.coalesce(F.when(F.col("id") % 6 == 0, F.col("landing")), F.when(F.col("url") != F.col("landing"), F.col("url")), F.col("chain"))
+    pick = F.coalesce(F.when(O.meaningful(F.col("new_tab")), F.col("new_tab")), F.when(F.col("url") != F.col("landing"), F.col("url")), F.col("chain"))
     return B.ads(s, d).join(chain, "id", "left").select("id", pick.alias("choice"))
 
 

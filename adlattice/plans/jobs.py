@@ -11,7 +11,9 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import chains as H
 from ..operators import params as P
+from ..operators import profiles as PR
 from ..operators import rules as O
+from ..operators import score as S
 from ..operators import store as N
 from ..rules import tables as R
 from ..sources import feeds
@@ -247,10 +249,13 @@ def _(s, d):
     return rows.groupBy("id", "url").agg(F.min("hop").alias("hop"))
 
 
-@query("h03_offer_choice", f"SELECT id, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN final_url WHEN {B.reject_reason('landing')} IS NULL THEN landing END AS offer, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN 'direct' WHEN {B.reject_reason('landing')} IS NULL THEN 'chain' ELSE 'unresolved' END AS method FROM ads")
+_REAL, _DOMAIN = "CASE WHEN id % 4 = 0 THEN concat('get', id % 5, '.example.net/p?x=', id) END", "CASE WHEN id % 3 = 0 THEN concat('shop', id % 5, '.example.org') END"
+
+
+@query("h03_offer_choice", B.offer_choice("ads", "final_url", ["landing", "url", "new_tab"], _REAL, _DOMAIN, "landing"))
 def _(s, d):
-    ok = lambda c: O.reject_reason(F.col(c)).isNull()
-    best = F.coalesce(*(F.when(ok(c), F.struct(F.col(c).alias("offer"), F.lit(m).alias("method"))) for c, m in (("final_url", "direct"), ("landing", "chain"))), F.struct(F.lit(None).cast("string").alias("offer"), F.lit("unresolved").alias("method")))
+    chain = F.array("landing", "url", "new_tab")
+    best = H.offer_choice(F.col("final_url"), chain, F.expr(_REAL), F.expr(_DOMAIN), F.col("landing"))
     return B.ads(s, d).select("id", best.alias("b")).select("id", "b.*")
 
 
@@ -360,10 +365,20 @@ def _(s, d):
     return H.last_values(_hops(s, d), "id", {k: ids[k] for k in ("affiliate_id", "offer_id")})
 
 
-@query("e01_payload", "SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS offer_id, CAST(o_custkey AS VARCHAR) AS affiliate_id FROM orders", ads=False)
+_E1 = (("offer_id", ("offerId", "offer_id", "oid")), ("affiliate_id", ("affiliateId", "affiliate_id", "aid", "pubId")), ("campaign_id", ("campaignId",)), ("click_id", ("clickId",)), ("traffic_source_id", ("trafficSourceId",)))
+
+
+@query("e01_payload", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(o_orderkey AS VARCHAR) END AS offer_id, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_custkey AS VARCHAR) END AS affiliate_id, CASE WHEN o_orderkey % 5 < 4 THEN concat('c', o_orderkey % 7) END AS campaign_id, CASE WHEN o_orderkey % 5 < 4 THEN concat('k', o_orderkey) END AS click_id, CASE WHEN o_orderkey % 5 < 4 THEN concat('t', o_orderkey % 3) END AS traffic_source_id FROM orders", ads=False)
 def _(s, d):
-    value = F.base64(F.encode(F.concat(F.lit('{"offer":"'), F.col("o_orderkey").cast("string"), F.lit('","aff":"'), F.col("o_custkey").cast("string"), F.lit('"}')), "utf-8"))
-    rows = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), P.json_payload(value, {"offer_id": ["offer_id", "offer"], "affiliate_id": ["affiliate", "aff"]}).alias("p"))
+    # each alias in turn, no offer in the fourth kind, and a broken payload in the fifth
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    name = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % 5 + 1).cast("int"))
+    text = F.concat(
+        F.lit('{"'), name(("offerId", "offer_id", "oid", "none", "x")), F.lit('":"'), key.cast("string"), F.lit('","'), name(("affiliateId", "affiliate_id", "aid", "pubId", "x")), F.lit('":"'), cust,
+        F.lit('","campaignId":"c'), (key % 7).cast("string"), F.lit('","clickId":"k'), key.cast("string"), F.lit('","trafficSourceId":"t'), (key % 3).cast("string"), F.when(key % 5 == 4, F.lit('"')).otherwise(F.lit('"}')),
+    )
+    value = F.rtrim(F.base64(F.encode(text, "utf-8")), F.lit("="))  # padding is often missing
+    rows = t(s, d, "orders").select(key.alias("id"), P.json_payload(value, dict(_E1)).alias("p"))
     return rows.select("id", "p.*")
 
 
@@ -428,14 +443,30 @@ def _profile(s, d, key: str, name: str, other: str, count: str) -> DataFrame:
     return pairs.groupBy(F.col(key).alias(name)).agg(F.countDistinct("l_returnflag").alias("networks"), F.countDistinct(other).alias(count), F.sum("q").alias("impressions"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
 
 
-@query("j03_advertiser_profile", PROFILE_SQL, ads=False)
+_NEWEST = "(list({c} ORDER BY created_day DESC, id) FILTER (nullif({c}, '') IS NOT NULL))[1]"
+_SET = "list_sort(list(DISTINCT {c}) FILTER (nullif({c}, '') IS NOT NULL))"
+_PROFILED = f"o AS (SELECT *, {B.host('landing')} AS advertiser, {B.two_labels('final_url')} AS offer, {B.two_labels('final_url')} AS offer_domain, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.first_param('landing', R.AFFILIATE_ALIASES)} AS affiliate_id, {B.first_match('lower(final_url)', R.VERTICALS)} AS vertical FROM ads)"
+_COMMON = ", ".join(["count(*) AS ads", *(f"coalesce(array_to_string({_SET.format(c=c)}, ','), '') AS {n}" for c, n in (("network", "networks"), ("country_code", "geos"), ("tracker_tool", "trackers"))), f"coalesce({_NEWEST.format(c='affiliate_network')}, 'Direct/In-house') AS affiliate_network", "sum(coalesce(impressions, 1)) AS impressions", "min(created_day) AS first_seen", "max(created_day) AS last_seen"])
+
+
+def _profiled(s, d) -> DataFrame:
+    ids = P.generic_ids(F.col("landing"))
+    rows = B.ads(s, d).withColumn("advertiser", U.host(F.col("landing"))).withColumn("offer", U.two_labels(F.col("final_url"))).withColumn("offer_domain", F.col("offer"))
+    return rows.withColumn("offer_id", ids["offer_id"]).withColumn("affiliate_id", ids["affiliate_id"]).withColumn("vertical", O.first_match(F.lower("final_url"), R.VERTICALS))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.select(*(F.array_join(c, ",").alias(c) if kind.startswith("array") else c for c, kind in df.dtypes))
+
+
+@query("j03_advertiser_profile", f"{_PROFILED} SELECT advertiser, {_COMMON}, coalesce(array_to_string({_SET.format(c='vertical')}, ','), '') AS verticals, count(DISTINCT offer) AS offers FROM o WHERE advertiser <> '' GROUP BY advertiser")
 def _(s, d):
-    return _profile(s, d, "l_suppkey", "advertiser", "l_partkey", "offers")
+    return _joined(PR.advertisers(_profiled(s, d), "advertiser"))
 
 
-@query("j04_offer_profile", PROFILE_SQL.replace("l_suppkey AS advertiser", "l_partkey AS offer").replace("l_partkey) AS offers", "l_suppkey) AS advertisers").replace("BY l_suppkey", "BY l_partkey"), ads=False)
+@query("j04_offer_profile", f"{_PROFILED} SELECT offer_id, {_COMMON}, count(DISTINCT affiliate_id) AS affiliates, coalesce({_NEWEST.format(c='vertical')}, 'General') AS vertical, coalesce({_NEWEST.format(c='offer_domain')}, offer_id) AS offer_domain, {_NEWEST.format(c='final_url')} AS final_url, {_NEWEST.format(c='landing')} AS landing FROM o WHERE offer_id <> '' GROUP BY offer_id")
 def _(s, d):
-    return _profile(s, d, "l_partkey", "offer", "l_suppkey", "advertisers")
+    return _joined(PR.offers(_profiled(s, d), "offer_id"))
 
 
 @query("j01_counts", "SELECT count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-29 00:00:00') AS recent FROM events", ads=False)
@@ -549,10 +580,18 @@ def _(s, d):
     return a.orderBy(F.desc("created_day"), "id").offset(5).limit(20).select("id", "title", "impressions")
 
 
-@query("l02_faceted_search", "m AS (SELECT * FROM ads WHERE country_code IN ('US', 'DE') AND ad_type = 'Affiliate' AND language = 'en') SELECT id, total FROM (SELECT id, count(*) OVER () AS total, row_number() OVER (ORDER BY created_day DESC, id) AS n FROM m) WHERE n <= 30")
+_FACETS = {
+    "network": ["MGID", "Taboola", "Outbrain"], "language": ["en", "fr"], "ad_type": ["Affiliate", "Unknown"], "offer_vertical": ["Health/Supplements", "Unknown"], "affiliate_network": ["ClickBank", "Everflow", "Unknown"],
+    "tracker_tool": ["Voluum"], "page_subtype": ["Landing Page", "Direct Checkout", "VSL (Video Sales Letter)"], "cloaking_type": [], "country_code": ["US", "DE", "FR", "MA"],
+}
+
+
+@query("l02_faceted_search", f"o AS (SELECT *, coalesce({B.first_match('lower(final_url)', R.VERTICALS)}, 'Unknown') AS offer_vertical, coalesce({B.first_match('lower(final_url)', [(n, [p]) for p, n in R.PAGE_TYPES])}, 'Landing Page') AS page_subtype FROM ads), m AS (SELECT * FROM o WHERE " + " AND ".join(B.one_of(c, v) for c, v in _FACETS.items() if v) + " AND contains(lower(title), 'o') AND impressions >= 5) SELECT id, total FROM (SELECT id, count(*) OVER () AS total, row_number() OVER (ORDER BY created_day DESC, id) AS n FROM m) WHERE n <= 30")
 def _(s, d):
-    m = B.ads(s, d).where(F.col("country_code").isin("US", "DE") & (F.col("ad_type") == "Affiliate") & (F.col("language") == "en")).select("id", "created_day")
-    return m.orderBy(F.desc("created_day"), "id").limit(30).crossJoin(F.broadcast(m.agg(F.count("*").alias("total")))).select("id", "total")  # one row
+    last = F.lower("final_url")
+    a = B.ads(s, d).withColumn("offer_vertical", F.coalesce(O.first_match(last, R.VERTICALS), F.lit("Unknown")))
+    a = a.withColumn("page_subtype", F.coalesce(O.first_match(last, [(n, [p]) for p, n in R.PAGE_TYPES]), F.lit("Landing Page"))).withColumn("cloaking_type", O.cloaking(F.col("landing"), F.col("final_url"))["kind"])
+    return PR.faceted_search(a, _FACETS, text="O", least=5)
 
 
 @query("l03_keyword_top", "SELECT id, impressions FROM ads WHERE contains(lower(title), 'keto') ORDER BY impressions DESC NULLS LAST, id LIMIT 20")
@@ -664,7 +703,11 @@ def _(s, d):
     return a.join(forced, "host", "left").select("id", F.coalesce("forced", "ad_type").alias("ad_type"))
 
 
-QUERIES["f10_knowledge_override"] = QUERIES["n12_human_correction"]
+@query("f10_knowledge_override", f"k AS (SELECT {B.host('final_url')} AS domain, CASE WHEN page_id % 2 = 0 THEN 'Affiliate' ELSE 'Arbitrage' END AS forced, page_id AS seen FROM (SELECT *, id AS page_id FROM ads WHERE id % 6 = 4)), f AS (SELECT domain, arg_max(forced, seen) AS forced FROM k GROUP BY domain) SELECT ads.id, f.forced, coalesce(f.forced, ads.ad_type) AS verdict FROM ads LEFT JOIN f ON f.domain = {B.host('ads.final_url')}")
+def _(s, d):
+    a = B.ads(s, d).withColumn("domain", U.host(F.col("final_url")))
+    given = a.where("id % 6 = 4").select("domain", F.when(F.col("id") % 2 == 0, "Affiliate").otherwise("Arbitrage").alias("forced_type"), F.col("id").alias("updated_at"))
+    return S.knowledge_override(a, given, "domain", "ad_type").select("id", "forced", "verdict")
 
 
 @query("n13_work_queue", "SELECT id FROM ads WHERE ad_type = 'Unknown' AND network = 'MGID' ORDER BY created_day, id LIMIT 25")
@@ -687,10 +730,17 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", T.language(F.coalesce("text", F.lit(""))).alias("language"))
 
 
-@query("f11_fetch_health", "SELECT id, CASE WHEN NOT starts_with(final_url, 'http') THEN 'format' WHEN id % 7 = 0 THEN 'status_404' WHEN id % 7 = 1 THEN 'status_500' WHEN length(html) < 900 THEN 'thin' ELSE 'ok' END AS health FROM ads")
+_FETCH = {
+    "status": "CASE id % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 403 WHEN 3 THEN 418 ELSE 200 END", "size": "(length(html) * (id % 9))",
+    "last": "CASE WHEN id % 5 = 0 THEN 'https://trkerupper.com/x' ELSE final_url END", "error": "CASE WHEN id % 11 = 0 THEN 'timeout' END",
+}
+_F = {k: f"({v})" for k, v in _FETCH.items()}
+
+
+@query("f11_fetch_health", f"SELECT id, CASE WHEN NOT starts_with(final_url, 'http') THEN 'invalid_url_format' WHEN {B.any_in(B.host('final_url'), R.AD_TECH_HOSTS)} THEN 'ad_tech_infrastructure' WHEN {_F['error']} IS NOT NULL THEN {_F['error']} WHEN {_F['status']} = 404 THEN 'http_404_not_found' WHEN {_F['status']} = 403 THEN 'http_403_forbidden' WHEN {_F['status']} = 500 THEN 'http_500_server_error' WHEN {_F['status']} <> 200 THEN concat('http_', {_F['status']}) WHEN {_F['size']} < 3000 THEN 'thin_content' WHEN {_F['last']} <> final_url AND {B.reject_reason(_F['last'])} IS NOT NULL THEN 'redirected_to_invalid_domain' ELSE 'ok' END AS health FROM ads")
 def _(s, d):
-    status = F.when(F.col("id") % 7 == 0, 404).when(F.col("id") % 7 == 1, 500).otherwise(200)
-    return B.ads(s, d).withColumn("status", status).select("id", F.when(~F.col("final_url").startswith("http"), "format").when(F.col("status") != 200, F.concat(F.lit("status_"), F.col("status").cast("string"))).when(F.length("html") < 900, "thin").otherwise("ok").alias("health"))
+    f = {k: F.expr(v) for k, v in _FETCH.items()}
+    return B.ads(s, d).select("id", S.fetch_health(F.col("final_url"), f["status"], f["size"], f["last"], f["error"]).alias("health"))
 
 
 # ---- streaming forms, as batch twins ----

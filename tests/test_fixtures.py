@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import url as U
-from adlattice.operators import chains, links, lookups, params, rules, store, titles
+from adlattice.operators import chains, links, lookups, params, profiles, rules, store, titles
 from adlattice.rules import tables as R
 from adlattice.sources import feeds
 from adlattice.streaming import sightings
@@ -237,3 +237,49 @@ def test_rules_added_between_batches_hold_for_the_next(spark, tmp_path):
         sightings.live_rules(stream, f"{tmp_path}/rules", "event_type", "event_id", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = {r.event_id: r.entity for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: "Click", 11: "Click", 12: "View"}
+
+
+def test_offer_choice_by_priority(spark):
+    ddl = "id int, final string, chain array<string>, real string, domain string, landing string"
+    rows = [
+        (1, "https://shop.example.net/p?x=1", [], None, None, "https://news.example.com/a"),
+        (2, "https://news.example.com/A/?y=2", ["https://one.example.net/p?x=1", "https://two.example.net/p?x=1", "https://adnxs.com/x"], None, "d.example.net", "https://news.example.com/a"),
+        (3, None, [], "get.example.net/p?x=1", "d.example.net", "https://news.example.com/a"),
+        (4, "https://x.example.net/i.png", ["https://news.example.com/other?x=1", None], None, "d.example.net", "https://news.example.com/a"),
+        (5, None, [], None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, ddl)
+    got = {r.id: (r.b.offer, r.b.method, r.b.needs_review) for r in frame.select("id", chains.offer_choice(*map(F.col, ("final", "chain", "real", "domain", "landing"))).alias("b")).collect()}
+    assert got == {
+        1: ("https://shop.example.net/p?x=1", "direct", False), 2: ("https://two.example.net/p?x=1", "chain_last_valid_filtered", False), 3: ("https://get.example.net/p?x=1", "event_source_url", False),
+        4: ("https://d.example.net", "constructed_from_domain", False), 5: (None, "unresolved", True),
+    }
+
+
+def test_substring_rules_beyond_the_broadcast(spark):
+    """The equality join on runs of characters finds what the broadcast finds."""
+    rows = spark.createDataFrame([(1, "https://a.track.com/x"), (2, "none"), (3, ""), (4, None), (5, "zz"), (6, "xtrack.co")], "id long, url string")
+    table = spark.createDataFrame([(3, "track.com", "t"), (1, "zz", "short"), (2, "rack", "r"), (4, "", "empty"), (5, "x", "one")], "prio int, pattern string, entity string")
+    small, large = ({tuple(r) for r in rules.match_substrings(rows, "id", "url", table, most).collect()} for most in (100, 2))
+    assert small == large == {(1, "r"), (5, "short"), (6, "r")}
+
+
+def test_profiles_and_search(spark):
+    ddl = "id long, k string, network string, country_code string, tracker_tool string, affiliate_network string, impressions long, created_day int, vertical string, offer string, title string"
+    rows = [(1, "a", "MGID", "US", None, None, 5, 1, None, "o1", "Keto Now"), (2, "a", "MGID", "", "V", "CB", None, 3, "Health", "o2", "KETO"), (3, "a", None, "DE", "V", "EF", 7, 2, "Health", "o1", None), (4, None, "X", "X", "X", "X", 1, 1, "X", "X", "keto"), (5, "b", None, None, None, None, None, 9, None, None, "keto 5")]
+    frame = spark.createDataFrame(rows, ddl)
+    a, b = (profiles.advertisers(frame, "k").where(F.col("k") == k).first() for k in "ab")
+    assert (a.ads, a.networks, a.geos, a.trackers, a.affiliate_network, a.impressions, a.first_seen, a.last_seen, a.verticals, a.offers) == (3, ["MGID"], ["DE", "US"], ["V"], "CB", 13, 1, 3, ["Health"], 2)
+    assert (b.ads, b.networks, b.affiliate_network, b.impressions, b.offers) == (1, [], "Direct/In-house", 1, 0)
+    found = lambda **k: [tuple(r) for r in profiles.faceted_search(frame, **k).collect()]
+    assert found(facets={}, text="KETO") == [(5, 4), (2, 4), (1, 4), (4, 4)]
+    assert found(facets={"network": ["MGID"], "k": []}, sort="oldest") == [(1, 2), (2, 2)]
+    assert found(facets={}, text="keto", sort="impressions", size=1, page=2) == [(4, 4)]
+    assert found(facets={}, least=6) == [(3, 1)]
+
+
+def test_language_looks_each_word_up_once(spark):
+    from adlattice.functions import text as T
+
+    for text, want in (("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("que los perros", "es"), ("les chats que", "fr"), ("", "en"), ("que", "fr"), ("xyz", "en"), ("مرحبا the", "ar")):
+        assert one(spark, text, T.language) == want, text
