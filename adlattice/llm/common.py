@@ -33,20 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], n: int, how: str = "inner", salts: int = 64) -> DataFrame:
-    """rows, n of them, with the columns of facts: one row for each of `keys`, with `size`, how
-    many rows have the key.
+def skew_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of facts, which has one row for each of `keys`.
 
-    Rows of a key that holds many are spread by a hash of their columns `by`, and its facts
-    are repeated for each part. Such keys hold over n / 100,000 rows, so at most 100,000 of
-    them are broadcast, whatever n is.
+    facts are dealt anew before the join. An aggregate that is already partitioned by the
+    join's keys would forbid it, but so both sides are plain shuffles: adaptive execution
+    then splits the parts that a key of many rows makes large, whatever the key.
     """
-    many = max(1000, n // 100_000)
-    hot = F.broadcast(facts.where(F.col("size") > many).select(*keys, F.lit(True).alias("_hot")))
-    dealt = rows.join(hot, keys, "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    every = F.when(F.col("size") > many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(facts.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")
+    return rows.join(facts.repartition(F.xxhash64(*keys)), keys, how)
 
 
 def n_words(text: Column) -> Column:

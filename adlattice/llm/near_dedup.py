@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, expand_copies, map_rows, spread_join
+from .common import cut, expand_copies, map_rows, skew_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -197,19 +197,19 @@ def components(links: DataFrame) -> DataFrame:
     """(key, root) for the keys in links: root is the smallest key of the component.
 
     Each round links every node to the least of its neighbours (large star, then small
-    star), by partial minima and joins that spread nodes of high degree by their
-    neighbours; the number of rounds grows with the logarithm of the longest path.
+    star), by partial minima and joins in which nodes of high degree are split; the number
+    of rounds grows with the logarithm of the longest path.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before, now = None, _sum_of(edges)
     while before != now:
         ways = edges.union(edges.select("v", "u"))
-        least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("u", "m"))
-        met = spread_join(ways, least, ["u"], ["v"], 2 * now[0])
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        met = skew_join(ways, least, ["u"])
         # a larger neighbour is handed over to the least; a node keeps its own link to it
         large = met.select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-        small = spread_join(large, floor, ["u"], ["v"], 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = skew_join(large, floor, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(floor.select("u", "m")).where("u <> v").distinct())
         before, now = now, _sum_of(edges)
     roots = edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
@@ -221,11 +221,10 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = cut(sketched(docs))
     members = nodes.select("key", F.explode("sketches").alias("sketch"))
     sizes = members.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
-    n = SKETCHES * nodes.count()
-    shared = cut(spread_join(members, sizes, ["sketch"], ["key"], n))
+    shared = cut(skew_join(members, sizes, ["sketch"]))
     weight = shared.groupBy("key").agg(F.sum("size").alias("weight"))
-    leaders = shared.join(weight, "key").groupBy("sketch").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"), F.count("*").alias("size"))
-    led = cut(spread_join(shared.drop("size"), leaders, ["sketch"], ["key"], n))
+    leaders = shared.join(weight, "key").groupBy("sketch").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"))
+    led = cut(skew_join(shared, leaders, ["sketch"]))
     star = led.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     wanted = star.select(F.col("a").alias("key")).union(star.select("b")).distinct()
     # one of equal texts leaves each task, so many copies don't meet
@@ -251,7 +250,7 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
     known = led.where("size > 2").join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_leader = roots.select(F.col("key").alias("leader"), F.col("root").alias("head"))
     known = known.join(of_leader, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    known = cut(known.join(known.where("root <> head").select("sketch").distinct(), "sketch", "left_semi"))
+    known = cut(skew_join(known, known.where("root <> head").select("sketch").distinct(), ["sketch"], "left_semi"))
     own = own_kmers(texts, known.select("key").distinct())
     with_leader = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "both")
     rows = (
@@ -279,12 +278,10 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
 
 def rooted(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, key, copies, root) for every text of every doc_id; copies: its rows; root: the
-    class. Many documents of one text are spread by doc_id."""
+    class."""
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.select("doc_id", text_key("text").alias("key"), has_words.alias("words")).groupBy("doc_id", "key", "words").agg(F.count("*").alias("copies"))
-    rows = cut(rows)
-    facts = rows.groupBy("key").agg(F.count("*").alias("size")).join(roots.select("key", "root"), "key", "left")
-    rows = spread_join(rows, facts, ["key"], ["doc_id"], rows.count())
+    rows = skew_join(cut(rows), roots.select("key", "root"), ["key"], "left")
     own = F.encode(F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "utf-8")
     return rows.select("doc_id", "key", "copies", F.when(F.col("words"), F.coalesce("root", "key")).otherwise(own).alias("root"))
 
@@ -298,8 +295,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows. Columns other than doc_id and text are not read.
     """
     rows = cut(rooted(docs, similar_texts(docs, least)))
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("size"))
-    rows = spread_join(rows, named, ["root"], ["doc_id", "key"], rows.count())
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    rows = skew_join(rows, named, ["root"])
     return expand_copies(rows, "copies", "copy").select("doc_id", "class_id", "class_size")
 
 
@@ -312,8 +309,8 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs' columns can't clash.
     """
     rows = cut(rooted(docs, similar_texts(docs, least)))
-    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count("*").alias("size"))
-    gone = spread_join(rows, best, ["root"], ["doc_id", "key"], rows.count())
+    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    gone = skew_join(rows, best, ["root"])
     gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key("text").alias("key"))
