@@ -25,10 +25,35 @@ def last_meaningful(hops: DataFrame, key: str) -> DataFrame:
     return hops.where(O.meaningful(F.col("url"))).groupBy(key).agg(F.max_by("url", "hop").alias("url"))
 
 
-def chain_entities(hops: DataFrame, key: str, rules: list[tuple[str, list[str]]]) -> DataFrame:
-    """The entity of the last hop that a rule matches."""
-    found = hops.withColumn("entity", O.first_match(F.lower("url"), rules)).where("entity is not null")
-    return found.groupBy(key).agg(F.max_by("entity", "hop").alias("entity"))
+def chain_entities(hops: DataFrame, key: str, networks: list[tuple[str, list[str]]], trackers: list[tuple[str, list[str]]], params: list[tuple[str, str]]) -> DataFrame:
+    """(key, network, tracker) of every chain: of each kind the last rule that matches, in the
+    order of hops and rules; where no rule names a tracker, the first parameter that does.
+    What isn't known is direct."""
+    text = F.lower("url")
+    rows = hops.select(
+        key, "hop", O.first_match(text, networks[::-1]).alias("_network"), O.first_match(text, trackers[::-1]).alias("_tracker"), O.first_regex(text, params).alias("_param")
+    )
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("hop")))
+    first = F.min_by("_param", F.when(F.col("_param").isNotNull(), F.col("hop")))
+    return rows.groupBy(key).agg(
+        F.coalesce(last("_network"), F.lit("Direct / Private")).alias("network"), F.coalesce(last("_tracker"), first, F.lit("Direct / Unknown")).alias("tracker")
+    )
+
+
+def best_capture(tabs: Column, final: Column, responses: Column, landing: Column) -> Column:
+    """struct(score, nth, url, source) of the best of what a browser captured: new tabs 15, the final
+    page 10 unless it is the landing page, responses of other hosts that aren't ad tech 5,
+    and more with an affiliate's marks. Only valid offers; the first in order wins."""
+    marks = lambda u: F.when(O.contains_any(F.lower(u), R.CAPTURE_MARKS), 8).otherwise(0) + F.when(F.lower(u).contains("melodyeu"), 5).otherwise(0)
+    other = F.filter(responses, lambda u: ~O.contains_any(U.host(u), R.AD_TECH_HOSTS) & (U.host(u) != U.host(landing)))
+    row = lambda u, score, source: F.struct(u.alias("url"), score.alias("score"), F.lit(source).alias("source"))
+    found = F.concat(
+        F.transform(tabs, lambda u: row(u, F.lit(15), "new_tab")),
+        F.transform(F.filter(F.array(final), lambda u: u != landing), lambda u: row(u, F.lit(10), "page_final")),
+        F.transform(other, lambda u: row(u, F.lit(5) + marks(u), "network")),
+    )
+    fine = F.filter(found, lambda x: O.reject_reason(x["url"]).isNull())
+    return F.array_max(F.transform(fine, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("nth"), x["url"].alias("url"), x["source"].alias("source"))))
 
 
 def network_of_pool(pool: DataFrame, key: str) -> DataFrame:
@@ -72,11 +97,12 @@ def follow(edges: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
 
 
 def first_per_host(hops: DataFrame, key: str, most: int = 10) -> DataFrame:
-    """Each chain's first hop on each host, the first `most` hosts."""
-    rows = hops.withColumn("host", U.host(F.col("url")))
+    """Each chain's first hop on each host, the first `most` hosts, tagged with the tools that
+    the URL names; hosts of large companies aside."""
+    rows = hops.withColumn("host", U.host(F.col("url"))).where(~O.contains_any(F.col("host"), R.BIG_TECH))
     rows = rows.groupBy(key, "host").agg(F.min("hop").alias("hop"), F.min_by("url", "hop").alias("url"))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("hop"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").withColumn("tools", O.html_trackers(F.col("url")))
 
 
 def chain_json(text: Column) -> Column:

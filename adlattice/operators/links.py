@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..rules import links as L
+from ..rules import tables as R
 from . import rules as O
 
 TAG = r"<[a-zA-Z](?:[^>\x22']++|\x22[^\x22]*\x22|'[^']*'|[\x22'])*+>"
@@ -133,3 +134,21 @@ def deep_links(pages: DataFrame, *keep: str) -> DataFrame:
     found = F.concat(scored(in_json, "json", 7), scored(in_script, "script", 5), scored(find(handlers), "onclick", 6), scored(hidden, "noscript", 7))
     rows = rows.select(*keep, F.transform(found, lambda f, i: F.struct(f["score"].alias("score"), (-i).alias("nth"), f["link"].alias("link"), f["method"].alias("method"))).alias("_found"))
     return rows.select(*keep, F.array_max("_found").alias("_b")).select(*keep, "_b.link", "_b.method", "_b.score")
+
+
+def quick_candidates(pages: DataFrame, *keep: str) -> DataFrame:
+    """keep, href, score of each page's best candidate: links of the elements that a selector
+    finds count 10 with an affiliate signature, else 5; only where there are none, all
+    links with an offer's word count 3, and long ones with parameters 2. Links of ad-tech
+    hosts don't count; the first in order wins. Pages without any give no row."""
+    rows = pages.select(*keep, F.regexp_extract_all("html", F.lit(TAG), F.lit(0)).alias("_tags"))
+    web = lambda urls: F.array_distinct(F.filter(urls, lambda u: u.startswith("http") & ~O.contains_any(U.host(u), R.AD_TECH_HOSTS)))
+    having = lambda p: F.filter("_tags", lambda t: t.rlike(p))
+    chosen = web(F.transform(F.concat(*map(having, L.QUICK_SELECTORS)), lambda t: _attr(t, "href")))
+    every = web(F.transform(having(r"(?i)^<a\s"), lambda t: _attr(t, "href")))
+    rows = rows.select(*keep, chosen.alias("_chosen"), every.alias("_every"))
+    first = lambda u: F.when(O.contains_any(F.lower(u), R.SIGNATURES), 10).otherwise(5)
+    second = lambda u: F.when(O.contains_any(F.lower(u), L.QUICK_WORDS), 3).when(u.contains("=") & (F.length(u) > 25), 2).otherwise(0)
+    scored = lambda urls, score: F.transform(urls, lambda u, i: F.struct(score(u).alias("score"), (-i).alias("nth"), u.alias("href")))
+    best = F.array_max(F.when(F.size("_chosen") > 0, scored(F.col("_chosen"), first)).otherwise(scored(F.col("_every"), second)))
+    return rows.select(*keep, best.alias("_b")).where("_b.score > 0").select(*keep, "_b.href", "_b.score")

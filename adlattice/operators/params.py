@@ -78,3 +78,28 @@ def network_by_params(url: Column) -> Column:
         return reduce(lambda a, b: a | b, tests)
 
     return F.coalesce(*(F.when(on(*tests), F.lit(name)) for name, *tests in R.NETWORK_LADDER), F.lit(None).cast("string"))
+
+
+def config_offers(value: Column) -> Column:
+    """struct(best, n) of a page's configuration, JSON in base64 that may be escaped for a URL:
+    its valid URLs, at any depth; those under OFFER_KEYS first, in the keys' order, then
+    by place. Anything else than base64 holds none."""
+    text = F.try_to_binary(U.unescape(value), F.lit("base64")).cast("string")
+    pair = r'(?:"([^"\\\\]*)"\s*:\s*)?"(https?://[^"\\\\]*)"'
+    keys, urls = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
+    order = F.array(*map(F.lit, R.OFFER_KEYS))
+    ranked = F.transform(F.arrays_zip(keys.alias("key"), urls.alias("url")), lambda x, i: F.struct(F.nullif(F.array_position(order, x["key"]), F.lit(0)).alias("rank"), i.alias("nth"), x["url"].alias("url")))
+    fine = F.filter(ranked, lambda x: (x["rank"].isNotNull() | (F.length(x["url"]) > 20)) & O.reject_reason(x["url"]).isNull())
+    late = F.transform(fine, lambda x: F.struct(F.coalesce(x["rank"], F.lit(len(R.OFFER_KEYS) + 1)).alias("rank"), x["nth"].alias("nth"), x["url"].alias("url")))
+    return F.struct(F.array_min(late)["url"].alias("best"), F.coalesce(F.size(F.array_distinct(F.transform(late, lambda x: x["url"]))), F.lit(0)).cast("long").alias("n"))
+
+
+def widget_config(url: Column) -> dict[str, Column]:
+    """The widget's parameters, the tracker that a token tells of, the source, and the offer in a
+    configuration of over 500 characters."""
+    cep = U.param(url, "cep")
+    return {k: U.param(url, p) for k, p in R.WIDGET_PARAMS.items()} | {
+        "tracker": F.when(U.param(url, "lptoken").isNotNull(), F.lit("Custom/In-house")),
+        "traffic_source": F.lit("Revcontent"),
+        "offer": F.when(F.length(cep) > 500, config_offers(cep)["best"]),
+    }

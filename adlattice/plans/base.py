@@ -12,7 +12,7 @@ from ..rules import tables as R
 
 #: Hosts and parameters that the rules name, so that the queries meet all of them.
 _HOSTS = [h for hosts in (R.STRICT_BLOCK, R.AD_TECH_HOSTS, R.INTERMEDIARIES, R.INVALID_HOSTS, R.PRELANDERS, R.PUBLISHERS, R.SKIP_SITES, [h for h, _ in R.KNOWN_OFFERS], ["rt.redtrack.io", "binom.example", "leadbit.com", "advidi.com"]) for h in hosts if "/" not in h and not h.endswith(".")]
-_PARAMS = sorted({*R.AFFILIATE_ALIASES, *R.OFFER_ALIASES, *R.SUB_ALIASES, *R.CLICK_ALIASES, *R.TARGET_PARAMS, *(p for *_, ps, _ in R.NETWORK_LADDER for p in ps), "pixel"})
+_PARAMS = sorted({*R.AFFILIATE_ALIASES, *R.OFFER_ALIASES, *R.SUB_ALIASES, *R.CLICK_ALIASES, *R.TARGET_PARAMS, *(p for *_, ps, _ in R.NETWORK_LADDER for p in ps), "pixel", *R.WIDGET_PARAMS.values()})
 #: Column expressions in the common subset of both SQL dialects.
 ADS = {
     "id": "page_id",

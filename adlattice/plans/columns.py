@@ -204,9 +204,9 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'trackers': (lambda: F.array_join(O.merged_trackers(O.html_trackers(F.expr(_TAGGED)), O.url_tracker(F.col('landing'))), ','), f"array_to_string(list_sort(list_distinct(list_concat(string_split(nullif({_TRACKERS_SQL}, ''), ','), [{B.url_tracker('landing')}]))), ',')"),
     },
     "e04_widget_config": {
-        'widget_id': (lambda: U.param(F.col('landing'), 'widget_id'), B.param('landing', 'widget_id')),
-        'lptoken': (lambda: U.param(F.col('landing'), 'lptoken'), B.param('landing', 'lptoken')),
-        'tracker': (lambda: F.when(U.param(F.col('landing'), 'lptoken').isNotNull(), F.lit('Custom/In-house')), f"CASE WHEN {_has('lptoken')} THEN 'Custom/In-house' END"),
+        **{k: (lambda k=k: P.widget_config(F.col('landing'))[k], B.param('landing', p)) for k, p in R.WIDGET_PARAMS.items()},
+        'tracker': (lambda: P.widget_config(F.col('landing'))['tracker'], f"CASE WHEN {_has('lptoken')} THEN 'Custom/In-house' END"),
+        'traffic_source': (lambda: P.widget_config(F.col('landing'))['traffic_source'], "'Revcontent'"),
     },
     "e05_clickbank": {
         'affiliate_id': (lambda: P.clickbank_ids(F.col('landing'))['affiliate_id'], f"CASE WHEN {_CB} THEN coalesce({B.param('landing', 'hop')}, CASE WHEN {_HOP} THEN split_part({B.host('landing')}, '.', 1) END) END"),

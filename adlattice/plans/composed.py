@@ -52,12 +52,17 @@ def _(s, d):
     return rows.select("id", P.json_payload(F.col("value"), {"offer": ["offer"]})["offer"].alias("offer"))
 
 
-@query("e03_config_payload", "SELECT o_orderkey AS id, concat('https://shop', o_custkey % 50, '.example.net/checkout/?aff_id=1') AS best, 2::BIGINT AS n FROM orders", ads=False)
+@query("e03_config_payload", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN concat('https://deals', o_custkey % 50, '.example.net/checkout/?aff_id=1') WHEN o_orderkey % 4 = 2 THEN 'https://listed.example.org/page?z=1' END AS best, CAST([1, 3, 1, 0][o_orderkey % 4 + 1] AS BIGINT) AS n FROM orders", ads=False)
 def _(s, d):
-    inner = F.concat(F.lit('{"a":{"x":"https://cdn.example.net/static/lib.js","offerUrl":"https://shop'), (F.col("o_custkey") % 50).cast("string"), F.lit('.example.net/checkout/?aff_id=1"}}'))
-    urls = F.regexp_extract_all(F.try_to_binary("value", F.lit("base64")).cast("string"), F.lit('"(https?://[^"]{20,})"'), F.lit(1))
-    rows = _payload(s, d, inner).withColumn("urls", urls)
-    return rows.select("id", F.get(F.filter("urls", lambda u: O.reject_reason(u).isNull()), F.lit(0)).alias("best"), F.size("urls").cast("long").alias("n"))
+    # a file beside the offer, two plainer links before it, a list without keys, and no JSON
+    offer = F.concat(F.lit('"offerUrl":"https://deals'), (F.col("o_custkey") % 50).cast("string"), F.lit('.example.net/checkout/?aff_id=1"'))
+    kinds = F.array(
+        F.concat(F.lit('{"a":{"x":"https://static.example.net/lib.js",'), offer, F.lit("}}")),
+        F.concat(F.lit('{"img":"https://plain.example.org/story/page?x=1","b":[{"link":"https://link.example.org/story?x=2"},{'), offer, F.lit("}]}")),
+        F.lit('{"u":["https://listed.example.org/page?z=1"]}'), F.lit("not a configuration"),
+    )
+    rows = _payload(s, d, F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int")))
+    return rows.select("id", P.config_offers(F.col("value")).alias("c")).select("id", "c.*")
 
 
 @query("e14_page_variables", f"SELECT id, coalesce({B.first_param('landing', R.CLICK_ALIASES)}, CASE WHEN id % 3 = 0 THEN concat('js', id) END) AS click_id, coalesce({B.tracking_tool('landing')}, CASE WHEN id % 3 = 0 THEN 'Voluum' END) AS tracker FROM ads")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import chains as H
+from ..operators import links as K
 from ..operators import params as P
 from ..operators import profiles as PR
 from ..operators import rules as O
@@ -196,12 +197,13 @@ def _(s, d):
     return links.groupBy("page_id").agg(F.min_by("absolute", order).alias("link"))
 
 
-@query("g02_candidate_scan", f"{ANCHORS_SQL}, c AS (SELECT id, pos, href, CASE WHEN {B.any_in('lower(href)', R.SIGNATURES)} THEN 10 WHEN {B.any_in('lower(href)', R.OFFER_WORDS)} THEN 3 WHEN contains(href, '=') AND length(href) > 25 THEN 2 ELSE 0 END AS score FROM a) SELECT id AS page_id, href, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS n FROM c WHERE score > 0) WHERE n = 1")
+_G2 = """CASE id % 4 WHEN 0 THEN concat('<p>x</p><a class="big buy-button" href="', final_url, '">buy</a><a href="https://q.example.net/product">p</a>') WHEN 1 THEN concat('<a href="https://o.example.net/deal/', id, '">d</a>')
+ WHEN 2 THEN concat('<a href="https://q.example.net/abcdefgh?x=', id, '">q</a>') ELSE '<a href="https://q.example.net/x">x</a><a href="https://q.example.net/product">p</a>' END"""
+
+
+@query("g02_candidate_scan", f"c AS (SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN {B.any_in(B.host('final_url'), R.AD_TECH_HOSTS)} THEN 'https://q.example.net/product' ELSE final_url END WHEN 1 THEN concat('https://o.example.net/deal/', id) WHEN 2 THEN concat('https://q.example.net/abcdefgh?x=', id) ELSE 'https://q.example.net/product' END AS href, CASE id % 4 WHEN 0 THEN CASE WHEN {B.any_in(B.host('final_url'), R.AD_TECH_HOSTS)} THEN 3 WHEN {B.any_in('lower(final_url)', R.SIGNATURES)} THEN 10 ELSE 5 END WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 3 END AS score FROM ads) SELECT id AS page_id, href, score FROM c")
 def _(s, d):
-    h = F.lower("href")
-    score = F.when(O.contains_any(h, R.SIGNATURES), 10).when(O.contains_any(h, R.OFFER_WORDS), 3).when(F.col("href").contains("=") & (F.length("href") > 25), 2).otherwise(0)
-    rows = G.anchors(t(s, d, "pages")).withColumn("score", score).where("score > 0")
-    return N.first_per(rows, ["page_id"], F.desc("score"), "pos").select("page_id", "href", "score")
+    return K.quick_candidates(B.ads(s, d).selectExpr("id AS page_id", f"{_G2} AS html"), "page_id")
 
 
 @query("g06_endpoints", rf"SELECT id AS page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, {B.q(G.ENDPOINT)}, 1))), ' ') AS endpoints FROM ads")
@@ -259,10 +261,13 @@ def _(s, d):
     return B.ads(s, d).select("id", best.alias("b")).select("id", "b.*")
 
 
-@query("h04_capture_ranking", f"{HOPS_SQL}, r AS (SELECT *, CASE hop WHEN 2 THEN 15 WHEN 1 THEN 5 ELSE 10 END + CASE WHEN {B.any_in('lower(url)', R.SIGNATURES)} THEN 8 ELSE 0 END AS score FROM hops) SELECT id, url, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hop) AS n FROM r) WHERE n = 1")
+_CAPTURES = ((0, "new_tab", "new_tab", "15", "true"), (1, "final_url", "page_final", "10", "final_url <> landing"), *((i, u, "network", f"5 + CASE WHEN {B.any_in(f'lower({u})', R.CAPTURE_MARKS)} THEN 8 ELSE 0 END + CASE WHEN contains(lower({u}), 'melodyeu') THEN 5 ELSE 0 END", f"NOT {B.any_in(B.host(u), R.AD_TECH_HOSTS)} AND {B.host(u)} <> {B.host('landing')}") for i, u in ((2, "url"), (3, "final_url"))))
+
+
+@query("h04_capture_ranking", "c AS (" + " UNION ALL ".join(f"SELECT id, {i} AS nth, {u} AS url, '{m}' AS source, {n} AS score FROM ads WHERE {w} AND {B.reject_reason(u)} IS NULL" for i, u, m, n, w in _CAPTURES) + ") SELECT id, url, source, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, nth) AS n FROM c) WHERE n = 1")
 def _(s, d):
-    score = F.when(F.col("hop") == 2, 15).when(F.col("hop") == 1, 5).otherwise(10) + F.when(O.contains_any(F.lower("url"), R.SIGNATURES), 8).otherwise(0)
-    return N.first_per(_hops(s, d).withColumn("score", score), ["id"], F.desc("score"), "hop").select("id", "url", "score")
+    best = H.best_capture(F.array_compact(F.array("new_tab")), F.col("final_url"), F.array("url", "final_url"), F.col("landing"))
+    return B.ads(s, d).select("id", best.alias("b")).where("b IS NOT NULL").select("id", "b.url", "b.source", "b.score")
 
 
 @query("h06_longest_valid", f"{HOPS_SQL} SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(url) DESC, hop) AS n FROM hops WHERE {B.meaningful('url')}) WHERE n = 1")
@@ -313,9 +318,9 @@ def _(s, d):
     return B.ads(s, d).select("id", F.array_join(H.chain_json(text), " ").alias("chain"))
 
 
-@query("h14_first_per_host", f"{HOPS_SQL}, k AS (SELECT id, {B.host('url')} AS host, min(hop) AS hop, arg_min(url, hop) AS url FROM hops GROUP BY 1, 2) SELECT id, host, hop, url FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop) AS n FROM k) WHERE n <= 10")
+@query("h14_first_per_host", f"{HOPS_SQL}, k AS (SELECT id, {B.host('url')} AS host, min(hop) AS hop, arg_min(url, hop) AS url FROM hops WHERE NOT {B.any_in(B.host('url'), R.BIG_TECH)} GROUP BY 1, 2) SELECT id, host, hop, url, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(url, {B.q('(?i)' + p)}) THEN {B.q(n)} END" for n, p in R.HTML_TRACKERS) + ") AS tools FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop) AS n FROM k) WHERE n <= 10")
 def _(s, d):
-    return H.first_per_host(_hops(s, d), "id").select("id", "host", "hop", "url")
+    return H.first_per_host(_hops(s, d), "id").select("id", "host", "hop", "url", F.array_join("tools", ",").alias("tools"))
 
 
 @query("h15_url_pool", f"{HOPS_SQL} SELECT id, count(DISTINCT url) AS n FROM hops GROUP BY id")
@@ -340,9 +345,12 @@ def _(s, d):
 NETS = [(n, ds) for n, ds in R.AFFILIATE_HOSTS.items()]
 
 
-@query("d03_chain_detection", f"{HOPS_SQL} SELECT id, arg_max(entity, hop) AS entity FROM (SELECT id, hop, {B.first_match('lower(url)', NETS)} AS entity FROM hops) WHERE entity IS NOT NULL GROUP BY id")
+_TOOLS = list(R.TRACKER_PATTERNS.items())
+
+
+@query("d03_chain_detection", f"{HOPS_SQL}, e AS (SELECT id, hop, {B.first_match('lower(url)', NETS[::-1])} AS n, {B.first_match('lower(url)', _TOOLS[::-1])} AS t, {B.first_regex('lower(url)', R.PARAM_TRACKERS)} AS p FROM hops) SELECT id, coalesce(arg_max(n, hop) FILTER (n IS NOT NULL), 'Direct / Private') AS network, coalesce(arg_max(t, hop) FILTER (t IS NOT NULL), arg_min(p, hop) FILTER (p IS NOT NULL), 'Direct / Unknown') AS tracker FROM e GROUP BY id")
 def _(s, d):
-    return H.chain_entities(_hops(s, d), "id", NETS)
+    return H.chain_entities(_hops(s, d), "id", NETS, _TOOLS, R.PARAM_TRACKERS)
 
 
 @query("d05_network_of_pool", f"{HOPS_SQL}, r AS (SELECT id, hop, unnest([" + ", ".join(B.tier("url", i) for i in range(len(R.NETWORK_TIERS))) + "]) AS r FROM hops) SELECT id, r.n AS network, r.c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r.c <> 'high', CASE WHEN r.c = 'high' THEN hop ELSE -hop END, r.p) AS k FROM r WHERE r IS NOT NULL) WHERE k = 1")

@@ -39,3 +39,13 @@ BOOSTS = [
     ("hop=", 5), ("hopid=", 5), ("aff_id=", 5), ("affid=", 5), ("offer_id=", 4), ("offid=", 4), ("oid=", 3), ("affiliate=", 4), ("checkout", 3), ("/vsl/", 3), ("/landers/", 3), ("/text.php", 3),
     ("clickbank", 5), ("digistore24", 5), ("bf_lander", 6), ("bf_offer", 6), ("melodyeu", 4),
 ]
+#: Elements of the quick scan, as expressions on start tags.
+QUICK_SELECTORS = [
+    r"(?i)^<a\b.*?\sdata-offer\b",
+    *(rf"(?i)\sclass\s*=\s*[\x22'][^\x22']*(?<![\w-]){c}(?![\w-])" for c in ("offer-link", "deal-link")),
+    *(rf"(?i)\shref\s*=\s*[\x22'][^\x22']*{w}" for w in ("offer", "deal", "promo", "aff")),
+    *(rf"(?i)\sclass\s*=\s*[\x22'][^\x22']*(?<![\w-]){c}(?![\w-])" for c in ("btn-offer", "affiliate-link", "product-link")),
+    r"(?i)^<a\b.*?\shref\s*=\s*[\x22'][^\x22']*click",
+    *(rf"(?i)\sclass\s*=\s*[\x22'][^\x22']*(?<![\w-]){c}(?![\w-])" for c in ("cta-button", "buy-button", "shop-now", "get-deal", "get-offer", "claim-btn", "claim-offer", "discount-link")),
+]
+QUICK_WORDS = ["offer", "deal", "promo", "aff", "click", "ref", "link", "product", "buy", "shop", "checkout", "cart", "order", "sale", "discount"]

@@ -283,3 +283,45 @@ def test_language_looks_each_word_up_once(spark):
 
     for text, want in (("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("que los perros", "es"), ("les chats que", "fr"), ("", "en"), ("que", "fr"), ("xyz", "en"), ("مرحبا the", "ar")):
         assert one(spark, text, T.language) == want, text
+
+
+def test_config_payloads(spark):
+    import base64
+
+    def best(text):
+        row = spark.createDataFrame([(base64.b64encode(text.encode()).decode(),)], "v string").select(params.config_offers(F.col("v")).alias("c")).first().c
+        return row.best, row.n
+
+    assert best('{"plain":"https://first.example.org/page?x=1","deep":{"er":[{"href":"https://third.example.org/p?x=1"},{"offerUrl":"https://best.example.org/p?x=1"}]}}') == ("https://best.example.org/p?x=1", 3)
+    assert best('{"offerUrl":"https://www.google.com/x","list":["https://only.example.org/page?x=1","http://s.co/x"]}') == ("https://only.example.org/page?x=1", 1)
+    assert best("{}") == (None, 0)
+    for bad in ("%%%", "", None):
+        row = spark.createDataFrame([(bad,)], "v string").select(params.config_offers(F.col("v")).alias("c")).first().c
+        assert (row.best, row.n) == (None, 0)
+
+
+def test_best_capture(spark):
+    ddl = "id int, tabs array<string>, final string, responses array<string>, landing string"
+    land = "https://news.example.com/a?x=1"
+    rows = [
+        (1, ["https://www.google.com/", "https://tab.example.net/p?x=1"], "https://fin.example.net/p?x=1", ["https://r.example.net/p?aff_id=1"], land),
+        (2, [], land, ["https://news.example.com/other?aff_id=1", "https://r.example.net/p?x=1", "https://s.example.net/p?hop=1"], land),
+        (3, [], "https://fin.example.net/p?x=1", ["https://s.example.net/p?melodyeu=1&hop=2"], land), (4, [], land, [], land),
+    ]
+    frame = spark.createDataFrame(rows, ddl).select("id", chains.best_capture(*map(F.col, ("tabs", "final", "responses", "landing"))).alias("b"))
+    got = {r.id: r.b and (r.b.url, r.b.source, r.b.score) for r in frame.collect()}
+    assert got == {1: ("https://tab.example.net/p?x=1", "new_tab", 15), 2: ("https://s.example.net/p?hop=1", "network", 13), 3: ("https://s.example.net/p?melodyeu=1&hop=2", "network", 18), 4: None}
+
+
+def test_quick_candidates(spark):
+    pages = [(1, '<a href="https://x.com/product">p</a><a class="shop-nowhere" href="https://no.com/">'), (2, '<a href="https://q.com/product"><span class="claim-btn" href="https://c.com/?aff_id=1">'), (3, '<a href="https://adnxs.com/deal">'), (4, None), (5, '<a class="get-deal" href="/rel"><a href="https://long.example.com/page?a=1">')]
+    got = {r.page_id: (r.href, r.score) for r in links.quick_candidates(spark.createDataFrame(pages, "page_id long, html string"), "page_id").collect()}
+    assert got == {1: ("https://x.com/product", 3), 2: ("https://c.com/?aff_id=1", 10), 5: ("https://long.example.com/page?a=1", 2)}
+
+
+def test_chain_entities_take_the_last_rule(spark):
+    rows = [(1, 0, "https://trk.voluum.com/x"), (1, 1, "https://x.maxbounty.com/?clickid=1"), (1, 2, "https://keitaro.io/x"), (2, 0, "https://a.com/?subid=1"), (2, 1, "https://a.com/?aff_id=1"), (3, 0, "https://a.com/"), (3, 1, None)]
+    frame = spark.createDataFrame(rows, "id int, hop int, url string")
+    tools, nets = list(R.TRACKER_PATTERNS.items()), list(R.AFFILIATE_HOSTS.items())
+    got = {r.id: (r.network, r.tracker) for r in chains.chain_entities(frame, "id", nets, tools, R.PARAM_TRACKERS).collect()}
+    assert got == {1: ("MaxBounty", "Keitaro"), 2: ("Direct / Private", "Binom / Generic"), 3: ("Direct / Private", "Direct / Unknown")}
