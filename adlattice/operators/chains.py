@@ -56,10 +56,10 @@ def best_capture(tabs: Column, final: Column, responses: Column, landing: Column
     return F.array_max(F.transform(fine, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("nth"), x["url"].alias("url"), x["source"].alias("source"))))
 
 
-def network_of_pool(pool: DataFrame, key: str) -> DataFrame:
-    """(key, network, confidence): the first certain match of a pool of URLs, else the
-    last that is probable."""
-    url, text = F.col("url"), F.lower("url")
+def tier_hits(url: Column, hop: Column) -> Column:
+    """The network rules that a pool's URL meets, as structs whose least is the pool's network:
+    certain ones first, by hop; of probable ones the last hop; then by rule."""
+    text = F.lower(url)
 
     def on(words: list[str], params: list[str], confidence: str) -> Column:
         test = O.contains_any(text, words) if words else F.lit(True)
@@ -69,10 +69,19 @@ def network_of_pool(pool: DataFrame, key: str) -> DataFrame:
             test &= ~text.contains("clickbank") & (F.length(U.param(url, params[0])) <= 20)
         return F.coalesce(test, F.lit(False))
 
-    rules = (F.when(on(ps, names, c), F.struct(F.lit(i).alias("prio"), F.lit(n).alias("network"), F.lit(c).alias("confidence"))) for i, (n, c, ps, names) in enumerate(R.NETWORK_TIERS))
-    hits = pool.select(key, "hop", F.explode(F.array_compact(F.array(*rules))).alias("r"))
-    order = F.struct((F.col("r.confidence") != "high").alias("a"), F.when(F.col("r.confidence") == "high", F.col("hop")).otherwise(-F.col("hop")).alias("b"), F.col("r.prio").alias("c"))
-    return hits.groupBy(key).agg(F.min_by("r.network", order).alias("network"), F.min_by("r.confidence", order).alias("confidence"))
+    def hit(i: int, name: str, confidence: str) -> Column:
+        sure = confidence == "high"
+        place = (hop if sure else -hop).cast("int")
+        return F.struct(F.lit(not sure).alias("unsure"), place.alias("place"), F.lit(i).alias("prio"), F.lit(name).alias("network"), F.lit(confidence).alias("confidence"))
+
+    return F.array_compact(F.array(*(F.when(on(ps, names, c), hit(i, n, c)) for i, (n, c, ps, names) in enumerate(R.NETWORK_TIERS))))
+
+
+def network_of_pool(pool: DataFrame, key: str) -> DataFrame:
+    """(key, network, confidence): the first certain match of a pool of URLs, else the
+    last that is probable."""
+    hits = pool.select(key, F.explode(tier_hits(F.col("url"), F.col("hop"))).alias("r"))
+    return hits.groupBy(key).agg(F.min("r").alias("r")).select(key, "r.network", "r.confidence")
 
 
 def last_values(pool: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import url as U
 from ..operators import chains as H
 from ..operators import links as K
 from ..operators import lookups as LK
+from ..operators import offers as OF
 from ..operators import params as P
 from ..operators import rules as O
 from ..operators import score as S
@@ -24,7 +25,7 @@ from ..sources import html as G
 from ..streaming import sightings as ST
 from . import base as B
 from . import columns
-from .jobs import ANCHORS_SQL, HOPS_SQL, QUERIES, _hops, query
+from .jobs import ANCHORS_SQL, DOMAIN, HOPS_SQL, QUERIES, REAL, _hops, query
 
 t = B.table
 
@@ -72,13 +73,28 @@ def _(s, d):
     return rows.select("id", F.coalesce(U.first_param(F.col("landing"), R.CLICK_ALIASES), F.col("js")["__vl_cid"]).alias("click_id"), F.coalesce(O.tracking_tool(F.col("landing")), F.when(F.col("js").isNotNull(), F.lit("Voluum"))).alias("tracker"))
 
 
-@query("e13_offer_intelligence", f"SELECT a.id, n.network, n.confidence, k.tracker, m.affiliate_id, m.offer_id, o.offer, o.method, v.vertical, g.page_type FROM (SELECT page_id AS id FROM pages) a LEFT JOIN {sub('d05_network_of_pool')} n ON n.id = a.id LEFT JOIN {sub('d06_tracker_of_pool')} k ON k.id = a.id LEFT JOIN {sub('e12_pool_merge')} m ON m.id = a.id LEFT JOIN {sub('h03_offer_choice')} o ON o.id = a.id LEFT JOIN {sub('d12_vertical')} v ON v.id = a.id LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id", ads=False)
+_HELD = "CASE WHEN id % 5 = 0 THEN map('hyros_data', 'x', '__vl_cid', concat('js', id)) END"
+_E13_POOL = "p AS (SELECT id, 0 AS hop, landing AS url FROM ads UNION ALL SELECT id, 1, url FROM ads UNION ALL SELECT id, 2, final_url FROM ads)"
+
+
+def _last(names: list[str], alias: str) -> str:
+    return f"arg_max({B.first_param('url', names)}, hop) FILTER ({B.first_param('url', names)} IS NOT NULL) AS {alias}"
+
+
+@query("e13_offer_intelligence", f"""{_E13_POOL}, i AS (SELECT id, {_last(R.AFFILIATE_ALIASES, 'affiliate_id')}, {_last(R.OFFER_ALIASES, 'offer_id')}, {_last(R.SUB_ALIASES, 'sub_id1')}, {_last(R.CLICK_ALIASES, 'click')}, count(DISTINCT url) AS pool_size FROM p GROUP BY id),
+ u AS (SELECT id, arg_min(tr, hop) AS tr FROM (SELECT id, hop, {B.url_tracker('url')} AS tr FROM p) WHERE tr IS NOT NULL GROUP BY id),
+ k AS (SELECT a.id, coalesce(u.tr, {B.page_tracker('a.html')}, CASE WHEN a.id % 5 = 0 THEN 'Voluum' END) AS tracker FROM ads a LEFT JOIN u ON u.id = a.id),
+ c AS ({B.offer_choice("ads", "final_url", ["landing", "url"], REAL, DOMAIN, "landing")}),
+ r AS (SELECT a.id, n.network AS tier, n.confidence, k.tracker, i.affiliate_id, i.offer_id, i.sub_id1, coalesce(i.click, CASE WHEN a.id % 5 = 0 THEN concat('js', a.id) END) AS click_id, c.offer, c.method, c.needs_review, v.vertical, g.page_type, t.source AS traffic_source, i.pool_size, w.widget_id, w.content_id, w.publisher_site, d.kind AS cloaking,
+ CASE {B.two_labels('a.final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END AS known_program, l.by_params AS parameter_network,
+ {B.one_of(B.host('a.final_url'), R.PRELANDERS)} OR ({B.param('a.final_url', 'cep')} IS NOT NULL AND ({' OR '.join(f"{B.param('a.final_url', x)} IS NOT NULL" for x in ('lptoken', 'widget_id', 'boost_id'))})) AS prelander
+ FROM ads a LEFT JOIN {sub('d05_network_of_pool')} n ON n.id = a.id LEFT JOIN k ON k.id = a.id LEFT JOIN i ON i.id = a.id LEFT JOIN c ON c.id = a.id LEFT JOIN {sub('d12_vertical')} v ON v.id = a.id
+ LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id LEFT JOIN {sub('d15_traffic_source')} t ON t.id = a.id LEFT JOIN {sub('e04_widget_config')} w ON w.id = a.id LEFT JOIN {sub('d11_cloaking')} d ON d.id = a.id LEFT JOIN {sub('d07_param_ladder')} l ON l.id = a.id)
+ SELECT id, coalesce(tier, known_program, CASE WHEN affiliate_id IS NOT NULL OR offer_id IS NOT NULL THEN 'Direct Affiliate' END) AS network, confidence, tracker, affiliate_id, offer_id, sub_id1, click_id, offer, method, needs_review, {B.two_labels('offer')} AS offer_domain, vertical, page_type, traffic_source, widget_id, content_id, publisher_site, known_program, parameter_network, cloaking, pool_size, prelander FROM r""")
 def _(s, d):
-    # one pass over the pool for what needs several URLs, row-wise columns for the rest
-    record = of("h03_offer_choice", s, d).join(of("d12_vertical", s, d), "id").join(of("d14_page_type", s, d), "id")
-    for name in ("d05_network_of_pool", "d06_tracker_of_pool", "e12_pool_merge"):
-        record = record.join(of(name, s, d), "id", "left")
-    return record.select("id", "network", "confidence", "tracker", "affiliate_id", "offer_id", "offer", "method", "vertical", "page_type")
+    a = B.ads(s, d).withColumn("captured", F.array("url")).withColumn("variables", F.expr(_HELD)).withColumn("real", F.expr(REAL)).withColumn("domain", F.expr(DOMAIN))
+    record = OF.offer_intelligence(a, "landing", "final_url", "captured", "html", "variables", "real", "domain")
+    return record.select("id", "offer_record.*")
 
 
 # ---- verdicts ----

@@ -251,13 +251,13 @@ def _(s, d):
     return rows.groupBy("id", "url").agg(F.min("hop").alias("hop"))
 
 
-_REAL, _DOMAIN = "CASE WHEN id % 4 = 0 THEN concat('get', id % 5, '.example.net/p?x=', id) END", "CASE WHEN id % 3 = 0 THEN concat('shop', id % 5, '.example.org') END"
+REAL, DOMAIN = "CASE WHEN id % 4 = 0 THEN concat('get', id % 5, '.example.net/p?x=', id) END", "CASE WHEN id % 3 = 0 THEN concat('shop', id % 5, '.example.org') END"
 
 
-@query("h03_offer_choice", B.offer_choice("ads", "final_url", ["landing", "url", "new_tab"], _REAL, _DOMAIN, "landing"))
+@query("h03_offer_choice", B.offer_choice("ads", "final_url", ["landing", "url", "new_tab"], REAL, DOMAIN, "landing"))
 def _(s, d):
     chain = F.array("landing", "url", "new_tab")
-    best = H.offer_choice(F.col("final_url"), chain, F.expr(_REAL), F.expr(_DOMAIN), F.col("landing"))
+    best = H.offer_choice(F.col("final_url"), chain, F.expr(REAL), F.expr(DOMAIN), F.col("landing"))
     return B.ads(s, d).select("id", best.alias("b")).select("id", "b.*")
 
 
