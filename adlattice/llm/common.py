@@ -33,16 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def skew_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows with the columns of facts, which has one row for each of `keys`.
-
-    facts are dealt anew before the join. An aggregate that is already partitioned by the
-    join's keys would forbid it, but so both sides are plain shuffles: adaptive execution
-    then splits the parts that a key of many rows makes large, whatever the key.
-    """
-    return rows.join(facts.repartition(F.xxhash64(*keys)), keys, how)
-
-
 def n_words(text: Column) -> Column:
     """Number of runs of other than white space; null: none."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")).cast("long")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, expand_copies, map_rows, skew_join
+from .common import cut, map_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -153,8 +153,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of keys with n_a, n_b and both, their k-mers and those that they
-    share, and whether their texts are similar. Both joins are plain equality joins of
-    shuffled rows, so that many pairs of one leader are split at run time (skew join)."""
+    share, and whether their texts are similar."""
     side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
     rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
@@ -197,20 +196,21 @@ def components(links: DataFrame) -> DataFrame:
     """(key, root) for the keys in links: root is the smallest key of the component.
 
     Each round links every node to the least of its neighbours (large star, then small
-    star), by partial minima and joins in which nodes of high degree are split; the number
-    of rounds grows with the logarithm of the longest path.
+    star), by partial minima and joins; the number of rounds grows with the logarithm of
+    the longest path. Minima leave each task; the narrow links of one node meet in a
+    task of the join.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before, now = None, _sum_of(edges)
     while before != now:
         ways = edges.union(edges.select("v", "u"))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = skew_join(ways, least, ["u"])
+        least = ways.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).withColumn("m", F.least("x", "m"))
+        met = ways.join(least, F.col("u") == F.col("x"))
         # a larger neighbour is handed over to the least; a node keeps its own link to it
         large = met.select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, floor, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(floor.select("u", "m")).where("u <> v").distinct())
+        floor = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        small = large.join(floor, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.union(floor.select("x", "m")).where("u <> v").distinct())
         before, now = now, _sum_of(edges)
     roots = edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
@@ -221,15 +221,14 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = cut(sketched(docs))
     members = nodes.select("key", F.explode("sketches").alias("sketch"))
     sizes = members.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(skew_join(members, sizes, ["sketch"]))
+    shared = cut(members.join(sizes, "sketch"))
     weight = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     leaders = shared.join(weight, "key").groupBy("sketch").agg(F.max(F.struct("weight", "key"))["key"].alias("leader"))
-    led = cut(skew_join(shared, leaders, ["sketch"]))
+    led = cut(shared.join(leaders, "sketch"))
     star = led.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     wanted = star.select(F.col("a").alias("key")).union(star.select("b")).distinct()
-    # one of equal texts leaves each task, so many copies don't meet
-    texts = docs.groupBy(text_key("text").alias("key")).agg(F.first("text").alias("text"))
-    texts = cut(texts.join(wanted, "key", "left_semi"))
+    texts = docs.select(text_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
+    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")))
     met = compared(star, texts, least)
     links = met.where("similar").select("a", "b")
     roots = components(links)
@@ -250,7 +249,7 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
     known = led.where("size > 2").join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_leader = roots.select(F.col("key").alias("leader"), F.col("root").alias("head"))
     known = known.join(of_leader, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    known = cut(skew_join(known, known.where("root <> head").select("sketch").distinct(), ["sketch"], "left_semi"))
+    known = cut(known.join(known.where("root <> head").select("sketch").distinct(), "sketch", "left_semi"))
     own = own_kmers(texts, known.select("key").distinct())
     with_leader = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "both")
     rows = (
@@ -277,13 +276,13 @@ def strays(led: DataFrame, nodes: DataFrame, roots: DataFrame, met: DataFrame, t
 
 
 def rooted(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, key, copies, root) for every text of every doc_id; copies: its rows; root: the
-    class."""
+    """doc_id, key and root, the class, of every row."""
+    roots = roots.select(F.col("key").alias("_key"), "root")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.select("doc_id", text_key("text").alias("key"), has_words.alias("words")).groupBy("doc_id", "key", "words").agg(F.count("*").alias("copies"))
-    rows = skew_join(cut(rows), roots.select("key", "root"), ["key"], "left")
+    rows = docs.select("doc_id", text_key("text").alias("key"), has_words.alias("_words"))
+    rows = rows.join(roots, F.col("key") == F.col("_key"), "left")
     own = F.encode(F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "utf-8")
-    return rows.select("doc_id", "key", "copies", F.when(F.col("words"), F.coalesce("root", "key")).otherwise(own).alias("root"))
+    return rows.select("doc_id", "key", F.when(F.col("_words"), F.coalesce("root", "key")).otherwise(own).alias("root"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -294,10 +293,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts are one class. Repeated rows count each in class_size. An empty table gives no
     rows. Columns other than doc_id and text are not read.
     """
-    rows = cut(rooted(docs, similar_texts(docs, least)))
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    rows = skew_join(rows, named, ["root"])
-    return expand_copies(rows, "copies", "copy").select("doc_id", "class_id", "class_size")
+    rows = rooted(docs, similar_texts(docs, least))
+    named = rows.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(named, F.col("root") == F.col("_root")).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -309,13 +307,16 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs' columns can't clash.
     """
     rows = cut(rooted(docs, similar_texts(docs, least)))
-    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))
-    gone = skew_join(rows, best, ["root"])
-    gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    best = rows.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("doc_id", "key")).alias("_best"))
+    gone = (
+        rows.join(best, F.col("root") == F.col("_root"))
+        .where(~(F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("key") == F.col("_best.key"))))
+        .select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+        .distinct()
+    )
     keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key("text").alias("key"))
     left = keyed.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
-    if not rows.where("copies > 1").isEmpty():
+    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():  # whole rows are repeated
         order = Window.partitionBy(F.col("row.doc_id"), "key").orderBy(F.xxhash64(F.to_json("row")))
         left = left.withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return left.select("row.*")
