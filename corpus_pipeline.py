@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of documents. Stages hand on what they keep: rejected documents and lines
 are gone, one document of each near-duplicate class stays, and documents come as often
 as the mix takes them, in training order.
+
+Every stage gives no rows for an empty table, passes columns beside text and n_chars
+unharmed whatever their names, and reads whole texts of any length. Null and empty texts
+have no words, so the first stage rejects them; later stages take them as empty.
 """
 
 from __future__ import annotations
@@ -15,27 +19,33 @@ from adlattice.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their failed lines."""
+    """Documents that pass the quality rules, without their failed lines. Repeated rows are judged
+    each; null ids and sources don't matter."""
     return quality_rules.clean(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share."""
+    """Documents without the lines that many of them share; such a line stays in the largest
+    doc_id that holds it, where null is smallest. Repeated rows count each and lose lines
+    alike; a null text becomes empty."""
     return line_dedup.documents(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: the smallest doc_id, where null is smallest; of
+    rows that repeat it one, the same in each run. Documents without words stay each."""
     return near_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row for each pass, by training position."""
+    """The documents of the mix, a row for each pass, by training position. A null source is one
+    of its own; documents without words are in no pass; repeated rows take a plan each."""
     return mixing.mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token ids, in place of text."""
+    """The mix as token ids, in place of text; a null text has none. Repeated rows are encoded
+    each. An input column named ids is replaced."""
     return sentencepiece.encode(docs, [c for c in docs.columns if c != "text"], sentencepiece.load())
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from .conftest import LINE
+from .conftest import LINE, LONG, ODD
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -29,3 +29,21 @@ def test_stages(spark, docs, tmp_path):
     key = lambda r: (r.doc_id, list(r.ids))
     assert sorted(map(key, last)) == sorted(map(key, again))
     assert all(len(r.ids) for r in last)
+
+
+def test_stages_take_odd_tables(spark, docs, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names; no rows."""
+    clean = lambda i: " ".join(f"word{i}x{k}" for k in range(40)) + "."
+    table = [*ODD, (50, clean(50), None), (None, clean(51), "a"), (52, clean(52), "a"), (52, clean(52), "a"), (53, LONG + ".", "b"), (54, "\n".join([clean(54)] * 3 + [LONG + "."]), "b")]
+    frame = docs(table).withColumnRenamed("kept", "_words").withColumnRenamed("doc", "row").withColumnRenamed("size", "_key")
+    for k, held in enumerate((frame, frame.limit(0))):
+        names = held.columns
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            held = stage(spark, held, str(tmp_path))
+            assert held.columns == names if n < 4 else set(held.columns) == {*names, "ids"} - {"text"}
+            held.write.parquet(f"{tmp_path}/{k}-{n}")
+            held = spark.read.parquet(f"{tmp_path}/{k}-{n}")
+        rows = held.collect()
+        assert all(r["_words"] == "x" and r["row"] == "y" and r["_key"] == 1 for r in rows)
+        assert {r.doc_id for r in rows} <= ({7, 50, None, 52, 53, 54} if k == 0 else set())
+        assert bool(rows) == (k == 0)
