@@ -38,6 +38,29 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")).cast("long")
 
 
+#: Bytes of a text whose words are in memory at a time.
+PIECE = 1 << 20
+
+#: Rows that a broadcast may hold; these are keys and numbers.
+MOST_BROADCAST = 200_000
+
+
+def word_lists(raw: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in pieces, where table turns bytes between words into spaces."""
+    raw = raw.translate(table)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + PIECE)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a cut table of narrow rows, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def map_rows(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, step: int = 256
 ) -> DataFrame:

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    divergence,
     license_scan,
     line_dedup,
     mixing,
     near_dedup,
     nearest,
+    packing,
     pii,
     quality_classifier,
     quality_rules,
     sentencepiece,
     sharding,
+    spelling,
 )
 from .common import table
 
@@ -85,13 +88,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling variants of all words."""
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of all documents and its place in a sequence."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_nearest, op3_sentencepiece, op4_sharding, op5_line_dedup, op6_quality_rules, op7_mixing,
-        op8_pii, op9_quality_classifier, op10_near_dedup,
+        op8_pii, op9_quality_classifier, op10_near_dedup, op11_divergence, op12_spelling, op13_packing,
     )
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op11_divergence": divergence.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
