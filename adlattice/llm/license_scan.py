@@ -85,8 +85,9 @@ class Automaton:
 
     next[s] maps a word number to a state, link[s] is the suffix link, length[s] the
     longest string of the state. ends[s] names, by template, the ends of all places of
-    the state's strings; phrases[s] the (words, label) of phrases that end there. Words
-    that aren't in ids are 0 and match nothing.
+    the state's strings; phrases[s] the (words, label) of phrases that end there. Phrases
+    that stand in no template are in an automaton of their own, so that they can't hide a
+    template's match. Words that aren't in ids are 0 and match nothing.
     """
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, ids: dict[bytes, int] | None = None):
@@ -103,9 +104,12 @@ class Automaton:
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
                 self.ends[last].setdefault(k, set()).add(at)
-        for sequence, _ in names:
+        beyond = [(p, n) for p, n in zip(phrases, names, strict=True) if self._find(n[0]) is None] if templates else []
+        self.others = Automaton((), [p for p, _ in beyond], self.ids) if beyond else None
+        names = [n for n in names if all(n is not m for _, m in beyond)]
+        for sequence, _ in names:  # with templates, they are there already
             last = 0
-            for at, word in enumerate(sequence):
+            for word in sequence:
                 last = self._extend(last, word)
         order = sorted(range(1, len(self.next)), key=lambda s: self.length[s])
         for s in reversed(order):  # a suffix stands wherever the longer string does
@@ -114,10 +118,7 @@ class Automaton:
                     self.ends[self.link[s]].setdefault(k, set()).update(at)
         own: dict[int, list[tuple[int, str]]] = {}
         for sequence, label in names:
-            s = 0
-            for word in sequence:
-                s = self.next[s][word]
-            own.setdefault(s, []).append((len(sequence), label))
+            own.setdefault(self._find(sequence), []).append((len(sequence), label))
         #: each template's own automaton, and the templates that hold a run of LEAST_MATCH words
         self.alone = [Automaton((t,), (), self.ids) for t in templates] if len(templates) > 1 or phrases else []
         self.holders: dict[tuple[int, ...], set[int]] = {}
@@ -128,6 +129,13 @@ class Automaton:
         for s in order:
             self.phrases[s] = (*self.phrases[self.link[s]], *own.get(s, ())) if self.link[s] >= 0 else ()
 
+    def _find(self, sequence: list[int]) -> int | None:
+        """The state of a sequence, if it stands in a template."""
+        s: int | None = 0
+        for word in sequence:
+            s = None if s is None else self.next[s].get(word)
+        return s
+
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
         self.link.append(link)
@@ -168,6 +176,8 @@ class Automaton:
         if not isinstance(text, array):
             text = array("i", (self.ids.get(w, 0) for w in text))
         found, seeds = self._scan(text)
+        if self.others:
+            found += self.others._scan(text)[0]
         return found, self._each(text, seeds) if self.alone else seeds
 
     def _each(self, text: array, seeds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -261,7 +271,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
 
     A null text is empty. score is the largest share of a template that is covered,
     and at least 0.5 with a phrase. spans lists label:start:end (words, end exclusive).
-    The automaton is built once from the templates, whose number bounds its size.
+    The automaton is built once from the templates, whose number bounds its size. An empty
+    table gives no rows; whole texts are read, of any length, four bytes a word.
     Repeated rows give repeated results; columns other than doc_id and text are not read.
     """
     automaton = Automaton(templates, phrases)
