@@ -17,7 +17,9 @@ sorted or held by one task, and a task holds at most MOST tokens, four bytes or
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,15 +34,24 @@ END = 2
 SIZE, HIDDEN = 4096, 1024
 BUCKET, MOST = 1 << 23, 1 << 25
 PIECE = 1 << 20  # characters of a text that are encoded at a time
-CACHE, LONG = 300_000, 64  # chunks that are kept with their ids, and their longest
+CACHE, LONG = 400_000, 64  # pieces that are kept with their ids, and their longest
+
+#: Characters that normalization only lower-cases, and the pre-tokenizer's patterns for them.
+PLAIN = re.compile(r"[\n\t\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u2026]*\Z")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\n\t\x20a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 
 _OWN: list = []  # the process's encoder
 
 
 class Encoder:
-    """The ids of texts as bytes. The pre-tokenizer drops white space, and none of its
-    patterns reaches over it, so the chunks between blanks are encoded one by one; those met
-    before are looked up."""
+    """The ids of texts as bytes.
+
+    The pre-tokenizer drops white space, and none of its patterns reaches over it, so parts
+    between blanks can be encoded one by one. Text of plain Latin characters, which
+    normalization only lower-cases, is cut by the same patterns here; the pieces, words
+    mostly, are looked up and only new ones are encoded. All other parts, and those with
+    special tokens, go through the whole tokenizer.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,12 +59,38 @@ class Encoder:
 
         self.model = model
         self.own = Tokenizer.from_str(model)
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(model) | {"normalizer": None, "pre_tokenizer": bytes_only}))
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        made = self.own.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.array(x.ids, self.kind).tobytes() for c, x in zip(chunks, made, strict=True)}
+        self.known: dict[str, bytes] = {}
+
+    def _join(self, texts: list[list[str]], by) -> list[bytes]:
+        """The ids of texts of pieces; new pieces are encoded together."""
+        known = self.known
+        new = [*dict.fromkeys([p for parts in texts for p in parts if p not in known])]
+        made = {p: np.array(x.ids, self.kind).tobytes() for p, x in zip(new, by.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
+        if len(known) > CACHE and made:
+            made = {p: x for parts in texts for p in parts if (x := known.get(p)) is not None} | made
+            known.clear()
+        known.update(made)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in texts]
+        for p in made:
+            if len(p) > LONG:
+                del known[p]
+        return out
+
+    def _ids(self, part: str) -> bytes:
+        if PLAIN.match(part) and "<|" not in part:
+            return self._join([PIECES.findall(part.lower())], self.bare)[0]
+        if " " not in part:
+            return self._join([[part]], self.own)[0]
+        return b"".join(self._ids(p) for p in part.split(" ") if p)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts."""
+        plain = [i for i, x in enumerate(texts) if len(x) <= PIECE and PLAIN.match(x) and "<|" not in x]
+        made = dict(zip(plain, self._join([PIECES.findall(texts[i].lower()) for i in plain], self.bare), strict=True))
+        return [made[i] if i in made else self.ids(x) for i, x in enumerate(texts)]
 
     def ids(self, text: str) -> bytes:
         out = []
@@ -61,16 +98,7 @@ class Encoder:
         while at < len(text):
             end = text.find(" ", at + PIECE)
             end = len(text) if end < 0 else end
-            chunks = text[at:end].replace("\n", " ").replace("\t", " ").split(" ")
-            new = self._new([*{c: None for c in chunks if c not in self.known}])
-            if new:
-                if len(self.known) > CACHE:
-                    self.known = {"": b""}
-                self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
-                known = self.known
-                out += [known[c] if c in known else new.get(c) or self._new([c])[c] for c in chunks]
-            else:
-                out += map(self.known.__getitem__, chunks)
+            out.append(self._ids(text[at:end].replace("\n", " ").replace("\t", " ")))
             at = end
         return b"".join(out)
 
@@ -185,11 +213,11 @@ def pack(docs: DataFrame, path: str = MODEL, size: int = SIZE, hidden: int = HID
         last = np.array([end], own.kind).tobytes()
         wide = own.kind.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 row, start, ids, tokens = [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    made = own.ids(text or "") + last
+                for i, made in enumerate(own.many([x or "" for x in part.column(1).to_pylist()])):
+                    made += last
                     for cut in range(0, len(made), size * wide):
                         row.append(i)
                         start.append(cut // wide)
