@@ -17,15 +17,16 @@ sorted or held by one task, and a task holds at most MOST tokens, four bytes or
 from __future__ import annotations
 
 import heapq
-import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ MODEL = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 SIZE, HIDDEN = 4096, 1024
 BUCKET, MOST = 1 << 23, 1 << 25
+TOGETHER = 1 << 22  # bytes of texts that are encoded together
 PIECE = 1 << 20  # characters of a text that are encoded at a time
-CACHE, LONG = 400_000, 64  # pieces that are kept with their ids, and their longest
+CACHE, LONG = 500_000, 64  # pieces that are kept with their ids, and their longest
 
 #: Characters that normalization only lower-cases, and the pre-tokenizer's patterns for them.
 PLAIN = re.compile(r"[\n\t\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u2026]*\Z")
@@ -43,14 +45,25 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[
 _OWN: list = []  # the process's encoder
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """The ids of texts as bytes.
 
-    The pre-tokenizer drops white space, and none of its patterns reaches over it, so parts
+    The pre-tokenizer drops white space, and none of its patterns reaches over it, so chunks
     between blanks can be encoded one by one. Text of plain Latin characters, which
-    normalization only lower-cases, is cut by the same patterns here; the pieces, words
-    mostly, are looked up and only new ones are encoded. All other parts, and those with
-    special tokens, go through the whole tokenizer.
+    normalization only lower-cases, is cut by the same patterns here; distinct chunks are
+    looked up, and the tokenizer's model sees only new words. All other chunks, and those
+    with special tokens, go through the whole tokenizer.
     """
 
     def __init__(self, model: str):
@@ -59,38 +72,36 @@ class Encoder:
 
         self.model = model
         self.own = Tokenizer.from_str(model)
-        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(model) | {"normalizer": None, "pre_tokenizer": bytes_only}))
-        self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
+        self.words = self.own.model
+        small = self.own.get_vocab_size() <= 1 << 16
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.known: dict[str, bytes] = {}
 
-    def _join(self, texts: list[list[str]], by) -> list[bytes]:
-        """The ids of texts of pieces; new pieces are encoded together."""
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONG:
+            self.known[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return self._keep(word, array(self.code, [t.id for t in self.words.tokenize(letters)]).tobytes())
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk without blanks; a plain one is in lower case."""
+        if (ids := self.known.get(chunk)) is not None:
+            return ids
+        if not PLAIN.match(chunk) or "<|" in chunk:
+            return self._keep(chunk, array(self.code, self.own.encode(chunk, add_special_tokens=False).ids).tobytes())
+        parts = PIECES.findall(chunk)
+        if len(parts) == 1:
+            return self._word(chunk)
         known = self.known
-        new = [*dict.fromkeys([p for parts in texts for p in parts if p not in known])]
-        made = {p: np.array(x.ids, self.kind).tobytes() for p, x in zip(new, by.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-        if len(known) > CACHE and made:
-            made = {p: x for parts in texts for p in parts if (x := known.get(p)) is not None} | made
-            known.clear()
-        known.update(made)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in texts]
-        for p in made:
-            if len(p) > LONG:
-                del known[p]
-        return out
+        return self._keep(chunk, b"".join([known[p] if p in known else self._word(p) for p in parts]))
 
     def _ids(self, part: str) -> bytes:
         if PLAIN.match(part) and "<|" not in part:
-            return self._join([PIECES.findall(part.lower())], self.bare)[0]
-        if " " not in part:
-            return self._join([[part]], self.own)[0]
-        return b"".join(self._ids(p) for p in part.split(" ") if p)
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of several texts."""
-        plain = [i for i, x in enumerate(texts) if len(x) <= PIECE and PLAIN.match(x) and "<|" not in x]
-        made = dict(zip(plain, self._join([PIECES.findall(texts[i].lower()) for i in plain], self.bare), strict=True))
-        return [made[i] if i in made else self.ids(x) for i, x in enumerate(texts)]
+            return b"".join(map(self._chunk, part.lower().split()))
+        return b"".join([self._chunk(c.lower() if PLAIN.match(c) and "<|" not in c else c) for c in part.split(" ")])
 
     def ids(self, text: str) -> bytes:
         out = []
@@ -102,6 +113,27 @@ class Encoder:
             at = end
         return b"".join(out)
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts; the distinct chunks of plain ones are looked up once."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        plain = [i for i, x in enumerate(texts) if len(x) <= PIECE and PLAIN.match(x) and "<|" not in x]
+        made = {}
+        if plain:
+            chunks = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+            coded = chunks.flatten().dictionary_encode()
+            known = self.known
+            own = [known.get(c) or self._chunk(c) for c in coded.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+            pool, begin = np.frombuffer(b"".join(own), self.kind), np.cumsum(sizes) - sizes
+            at = coded.indices.to_numpy()
+            n = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+            bounds = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+            made = {i: ids[a:b].tobytes() for i, a, b in zip(plain, bounds, bounds[1:], strict=False)}
+        return [made[i] if i in made else self.ids(x) for i, x in enumerate(texts)]
+
 
 def encoder(model: str) -> Encoder:
     if not _OWN or _OWN[0].model != model:
@@ -213,8 +245,10 @@ def pack(docs: DataFrame, path: str = MODEL, size: int = SIZE, hidden: int = HID
         last = np.array([end], own.kind).tobytes()
         wide = own.kind.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            groups = np.flatnonzero(np.diff(sizes // TOGETHER, prepend=-1))  # rows that start a group
+            for at, stop in zip(groups, [*groups[1:], batch.num_rows], strict=True):
+                part = batch.slice(at, stop - at)
                 row, start, ids, tokens = [], [], [], []
                 for i, made in enumerate(own.many([x or "" for x in part.column(1).to_pylist()])):
                     made += last
