@@ -44,9 +44,31 @@ def host(url: Column) -> Column:
     return F.regexp_replace(bare, r"^www\.", "")
 
 
-def two_labels(url: Column) -> Column:
-    """The last two labels of the host."""
-    return F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1)
+def _suffixes() -> tuple[str, str, str]:
+    """The bundled suffixes as alternations: exceptions, those under which any label is a
+    suffix, and listed ones."""
+    own, wild, listed = [], [], []
+    for top, names in R.SUFFIXES.items():
+        for name in names:
+            kind = own if name[0] == "!" else wild if name == "*" else listed
+            kind.append(rf"{name.lstrip('!')}\.{top}" if name != "*" else top)
+    return "|".join(own), "|".join(wild), "|".join(listed)
+
+
+def suffix_patterns() -> list[str]:
+    """Regular expressions of a registered domain, of which the first that matches a host
+    decides; for engines without look-around."""
+    own, wild, listed = _suffixes()
+    return [rf"(?:^|\.)({own})$", rf"([^.]+\.[^.]+\.(?:{wild}))$", rf"([^.]+\.(?:{listed}))$", r"([^.]+\.[^.]+)$"]
+
+
+def registered_domain(url: Column) -> Column:
+    """The label under the longest public suffix of the host, with it, by the bundled suffixes; the
+    host where it is an address, a suffix or a single label. One replacement drops the
+    labels before it. By a table of suffixes: operators.domains."""
+    own, wild, listed = _suffixes()
+    domain = rf"(?:{own}|[^.]+\.(?!(?:{own})$)[^.]+\.(?:{wild})|[^.]+\.(?:{listed})|[^.]+\.[^.]+)$"
+    return F.regexp_replace(host(url), rf"^(?:.*?\.)??(?=(?![0-9.]+$){domain})", "")
 
 
 def unescape(x: Column) -> Column:
@@ -77,6 +99,18 @@ def params(url: Column) -> Column:
     return F.map_from_entries(first)
 
 
+def pairs(url: Column) -> Column:
+    """The parameters with a value as an array of struct(k, v), in order, decoded. Kept as a
+    column, many look-ups by `value_of` are small expressions."""
+    cut = F.transform(F.split(query(url), "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
+    return F.transform(F.filter(cut, lambda e: e["v"] != ""), lambda e: F.struct(e["k"].alias("k"), F.coalesce(F.try_url_decode(e["v"]), e["v"]).alias("v")))
+
+
+def value_of(held: Column, name: str) -> Column:
+    """The first value of a parameter in `pairs`."""
+    return F.get(F.filter(held, lambda e: e["k"] == name), F.lit(0))["v"]
+
+
 def _named(pair: Column, names: list[str]) -> Column:
     return F.lower(F.substring_index(pair, "=", 1)).isin(*(n.lower() for n in names))
 
@@ -90,7 +124,9 @@ def strip_tracking(url: Column) -> Column:
 
 
 def landing_key(url: Column) -> Column:
-    return F.substring_index(F.substring_index(url, "?", 1), "#", 1)
+    """url without the query and fragment, and without a click id glued to the path."""
+    bare = F.substring_index(F.substring_index(F.substring_index(url, "&dicbo=", 1), "?", 1), "#", 1)
+    return bare
 
 
 def blank_macros(url: Column) -> Column:

@@ -131,8 +131,8 @@ def offer_choice(final: Column, chain: Column, real_domain: Column, offer_domain
     dead = lambda u: u.isNull() | O.contains_any(F.lower(u), R.DEAD_ENDS)
     noise = lambda u: O.contains_any(F.lower(u), R.NOISE)
     named = F.when(real_domain.startswith("http"), real_domain).otherwise(F.concat(F.lit("https://"), real_domain))
-    home = F.coalesce(U.two_labels(landing), F.lit(""))
-    fit = F.filter(chain, lambda u: ~dead(u) & ~noise(u) & valid(u) & (U.two_labels(u) != home))
+    home = F.coalesce(U.registered_domain(landing), F.lit(""))
+    fit = F.filter(chain, lambda u: ~dead(u) & ~noise(u) & valid(u) & (U.registered_domain(u) != home))
 
     def step(test: Column, url: Column, method: str) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), F.struct(url.alias("offer"), F.lit(method).alias("method"), F.lit(False).alias("needs_review")))

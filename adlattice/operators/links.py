@@ -118,7 +118,7 @@ def deep_links(pages: DataFrame, *keep: str) -> DataFrame:
     offers don't count, those of the page's own domain start from 1; marks of offers add
     to the score. The highest wins, then the order json, script, onclick, noscript."""
     html = F.col("html")
-    rows = pages.select(*keep, U.two_labels(F.col("url")).alias("_home"), _scripts(html).alias("_scripts"), F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("_tags"), F.regexp_extract_all(html, F.lit(NOSCRIPT), F.lit(1)).alias("_none"))
+    rows = pages.select(*keep, U.registered_domain(F.col("url")).alias("_home"), _scripts(html).alias("_scripts"), F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("_tags"), F.regexp_extract_all(html, F.lit(NOSCRIPT), F.lit(1)).alias("_none"))
     find = lambda texts: F.flatten(F.transform(texts, lambda t: _trimmed(F.regexp_extract_all(t, F.lit(WEB), F.lit(0)))))
     blobs = F.filter(F.flatten(F.transform("_scripts", lambda t: F.regexp_extract_all(t, F.lit(r"\{[^{}]{20,500}\}"), F.lit(0)))), lambda b: F.try_parse_json(b).isNotNull())
     in_json = F.flatten(F.transform(blobs, lambda b: F.regexp_extract_all(b, F.lit(r'"(http[^"\\]*)"'), F.lit(1))))
@@ -128,7 +128,7 @@ def deep_links(pages: DataFrame, *keep: str) -> DataFrame:
 
     def scored(urls: Column, method: str, base: int) -> Column:
         fine = F.filter(urls, lambda u: ~O.contains_any(F.lower(u), L.DEEP_SKIP) & valid(u))
-        start = lambda u: F.when(U.two_labels(u) == F.col("_home"), 1).otherwise(base)
+        start = lambda u: F.when(U.registered_domain(u) == F.col("_home"), 1).otherwise(base)
         return F.transform(fine, lambda u: F.struct((start(u) + boosts(u)).alias("score"), u.alias("link"), F.lit(method).alias("method")))
 
     found = F.concat(scored(in_json, "json", 7), scored(in_script, "script", 5), scored(find(handlers), "onclick", 6), scored(hidden, "noscript", 7))

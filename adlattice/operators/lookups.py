@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rules as O
 from .rules import MOST_BROADCAST
 
 #: (level, ads' column, whether it contains the key rather than equals it).
@@ -21,23 +22,23 @@ def correlate(seen: DataFrame, told: DataFrame, own: str) -> DataFrame:
     return seen.join(first, "hash", "left").select("id", F.coalesce("_landing", "href").alias("landing"))
 
 
-def lookup_cascade(keys: DataFrame, ads: DataFrame, latest: str, most: int = 50) -> DataFrame:
+def lookup_cascade(keys: DataFrame, ads: DataFrame, latest: str, most: int = 50, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(key, level, id) of the `most` latest ads of each key, at the first level that finds
     any: offer_id or offer_domain equals the key, final_url or landing contains it
     (without regard to case).
 
-    Equality levels are equality joins. Only keys that these don't find are looked for in
-    URLs, by a broadcast of at most MOST_BROADCAST keys; more are refused. Null keys find
-    nothing; ties of `latest` go to the larger id.
+    The ads' values are laid out once: two meet the keys by equality, two by substring, which
+    is a broadcast of up to `most_broadcast` keys and else an equality join on runs of
+    characters, so any number of keys is looked up exactly. Of each key only `most` rows
+    leave a task. Null and empty keys find nothing; ties of `latest` go to the larger id.
     """
     keys = keys.select("key").where("key IS NOT NULL AND key <> ''").distinct()
-    found: DataFrame | None = None
-    for level, column, part in LEVELS:
-        left = keys if found is None else keys.join(found.select("key").distinct(), "key", "left_anti")
-        if part and left.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-            raise ValueError(f"more than {MOST_BROADCAST} keys to look for in URLs")
-        test = F.lower(F.col(column)).contains(F.lower("key")) if part else F.col(column) == F.col("key")
-        hits = ads.join(F.broadcast(left) if part else left, test).select("key", F.lit(level).alias("level"), "id", latest)
-        found = hits if found is None else found.unionByName(hits)
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(latest), F.desc("id")))
-    return found.withColumn("_n", nth).where(F.col("_n") <= most).select("key", "level", "id")
+    value = lambda part: F.array(*(F.struct(F.lit(n).alias("level"), F.col(c).alias("value")) for n, c, p in LEVELS if p == part))
+    held = lambda part: ads.select("id", latest, F.inline(value(part))).where("value IS NOT NULL")
+    equal = held(False).join(keys, F.col("value") == F.col("key")).select("key", "level", "id", latest)
+    texts = held(True).withColumn("_text", F.lower("value")).drop("value")
+    parts = O.substring_rows(texts, "_text", keys.withColumn("pattern", F.lower("key")), most_broadcast).select("key", "level", "id", latest)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("level", F.desc(latest), F.desc("id")))
+    top = equal.unionByName(parts).withColumn("_n", nth).where(F.col("_n") <= most)
+    first = F.min("level").over(Window.partitionBy("key"))
+    return top.withColumn("_first", first).where("level = _first").select("key", "level", "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,52 +13,97 @@ from ..rules import tables as R
 from . import rules as O
 
 
-def generic_ids(url: Column) -> dict[str, Column]:
+#: Gives a parameter of a URL by its name.
+Getter = Callable[[str], Column]
+
+
+def _of(url: Column, get: Getter | None) -> tuple[Getter, Callable[[list[str]], Column]]:
+    """How to get a parameter, and the first of several; by default each from the URL itself."""
+    one = get or (lambda n: U.param(url, n))
+    return one, lambda names: F.coalesce(*map(one, names))
+
+
+def generic_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
     """By ordered aliases."""
-    return {
-        "affiliate_id": U.first_param(url, R.AFFILIATE_ALIASES),
-        "offer_id": U.first_param(url, R.OFFER_ALIASES),
-        "sub_id1": U.first_param(url, R.SUB_ALIASES),
-        "click_id": U.first_param(url, R.CLICK_ALIASES),
-    }
+    _, first = _of(url, get)
+    names = {"affiliate_id": R.AFFILIATE_ALIASES, "offer_id": R.OFFER_ALIASES, "sub_id1": R.SUB_ALIASES, "click_id": R.CLICK_ALIASES}
+    return {k: first(ns) for k, ns in names.items()}
 
 
 def second_ids(url: Column) -> dict[str, Column]:
     return {k: U.first_param(url, names) for k, names in R.SECOND_ALIASES.items()}
 
 
-def clickbank_ids(url: Column) -> dict[str, Column]:
-    """From parameters or the form affiliate.product.hop.clickbank.net."""
-    host = U.host(url)
-    hop = host.endswith(".hop.clickbank.net")
+def clickbank_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    """From the error page's target, the form affiliate.product.hop.clickbank.net, or parameters;
+    an affiliate parameter counts on a /cb/ path."""
+    one, _ = _of(url, get)
+    host, path = U.host(url), U.path(url)
+    error = host.contains("hop-apps.clickbank.net")
     labels = F.split(host, r"\.")
-    is_cb = host.endswith("clickbank.net") | U.path(url).contains("/cb/") | U.param(url, "hop").isNotNull()
+    hop = host.contains("hop.clickbank.net") & (F.size(labels) >= 4)
+    marked = path.contains("/cb/")
+    target = F.when(error, one("destinationUrl"))
+    of_path, of_host = F.when(marked, one("affiliate")), F.when(hop, F.get(labels, F.lit(0)))
     return {
-        "affiliate_id": F.when(is_cb, F.coalesce(U.param(url, "hop"), F.when(hop, F.get(labels, F.lit(0))))),
-        "offer_id": F.when(hop & (F.size(labels) >= 5), F.get(labels, F.lit(1))),
-        "click_id": F.when(is_cb, U.param(url, "hopId")),
+        "affiliate_id": F.when(error, one("hop")).otherwise(F.coalesce(of_path, of_host, one("hop"))),
+        "offer_id": F.when(~error & hop & (F.size(labels) >= 5), F.get(labels, F.lit(1))),
+        "click_id": F.when(~error, one("hopId")),
+        "offer_domain": U.host(target),
+        "offer_url": target,
     }
 
 
-def everflow_ids(url: Column) -> dict[str, Column]:
-    on = U.param(url, "effp").isNotNull() | F.lower(url).contains("everflow")
-    return {k: F.when(on, U.param(url, p)) for k, p in (("offer_id", "oid"), ("affiliate_id", "affid"), ("offer_domain", "event_source_url"))}
+def everflow_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    """Also the offer's own address, which the event source tells."""
+    _, first = _of(url, get)
+    on = first(["effp", "ef_click_id", "oid"]).isNotNull() | O.contains_any(F.lower(url), ["everflow", "djpcraze.com"])
+    names = {"offer_id": ["oid"], "affiliate_id": ["affid", "aff_id"], "click_id": ["effp", "ef_click_id", "transaction_id"], "offer_domain": ["event_source_url"]}
+    own = {k: F.when(on, first(ns)) for k, ns in names.items()}
+    source = own["offer_domain"]
+    return own | {"offer_url": F.when(source.startswith("http"), source).otherwise(F.concat(F.lit("https://"), source))}
 
 
-def hasoffers_ids(url: Column) -> dict[str, Column]:
-    on = U.host(url).contains("go2cloud.org") | (U.param(url, "offer_id").isNotNull() & U.param(url, "aff_id").isNotNull())
-    return {"offer_id": F.when(on, U.param(url, "offer_id")), "affiliate_id": F.when(on, U.param(url, "aff_id"))}
+def hasoffers_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    one, first = _of(url, get)
+    on = O.contains_any(U.host(url), ["hasoffers.com", "tune.com", "go2cloud.org"]) | (one("offer_id").isNotNull() & one("aff_id").isNotNull())
+    names = {"offer_id": ["offer_id"], "affiliate_id": ["aff_id"], "click_id": ["aff_click_id", "transaction_id"], "sub_id1": ["aff_sub"], "sub_id2": ["aff_sub2"]}
+    return {k: F.when(on, first(ns)) for k, ns in names.items()}
 
 
-def digistore_ids(url: Column) -> dict[str, Column]:
+def digistore_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    _, first = _of(url, get)
     on = U.host(url).contains("digistore24.com")
-    product = F.nullif(F.regexp_extract(U.path(url), r"/(?:redir|order|product)/([0-9]+)", 1), F.lit(""))
-    return {"offer_id": F.when(on, product), "affiliate_id": F.when(on, U.first_param(url, ["aff", "affiliate"]))}
+    names = {"offer_id": ["pay", "cid"], "affiliate_id": ["aff"], "click_id": ["uid"]}
+    return {k: F.when(on, first(ns)) for k, ns in names.items()}
 
 
-def impact_ids(url: Column) -> dict[str, Column]:
+def impact_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    _, first = _of(url, get)
     on = O.contains_any(U.host(url), ["impact.com", "impactradius.com", "sjv.io", "prf.hn"])
-    return {k: F.when(on, U.first_param(url, names)) for k, names in (("affiliate_id", ["irpid", "subid1"]), ("offer_id", ["campaignid"]), ("click_id", ["clickid"]))}
+    return {k: F.when(on, first(names)) for k, names in (("affiliate_id", ["irpid", "subid1"]), ("offer_id", ["campaignid"]), ("click_id", ["clickid"]))}
+
+
+#: What the merged ids of a URL hold.
+DECODED = ("affiliate_id", "offer_id", "sub_id1", "sub_id2", "click_id", "offer_domain", "offer_url")
+
+
+def decoded_ids(url: Column, get: Getter | None = None) -> dict[str, Column]:
+    """The ids of a URL by the networks' own forms, later ones over earlier ones, and by generic
+    names over all: Everflow, ClickBank, HasOffers, Digistore, Impact, generic. A form counts
+    only where its network is told by the URL."""
+    one, first = _of(url, get)
+    text = F.lower(url)
+    told = [
+        (everflow_ids(url, get), one("effp").isNotNull() | text.contains("djpcraze.com")),
+        (clickbank_ids(url, get), first(["hop", "hopId"]).isNotNull() | text.contains("clickbank") | U.path(url).contains("/cb/")),
+        (hasoffers_ids(url, get), None), (digistore_ids(url, get), None), (impact_ids(url, get), None), (generic_ids(url, get), None),
+    ]
+    out = {}
+    for k in DECODED:
+        found = [ids[k] if on is None else F.when(on, ids[k]) for ids, on in reversed(told) if k in ids]
+        out[k] = F.coalesce(*found, F.lit(None).cast("string"))
+    return out
 
 
 def json_payload(value: Column, fields: dict[str, list[str]]) -> Column:

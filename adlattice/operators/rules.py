@@ -53,7 +53,7 @@ def rule_table(spark: SparkSession, rules: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "prio int, pattern string, entity string")
 
 
-def _bounded(rules: DataFrame) -> DataFrame:
+def bounded(rules: DataFrame) -> DataFrame:
     """Broadcast after a check of the number of rules."""
     return F.broadcast(rules) if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rules
 
@@ -61,29 +61,40 @@ def _bounded(rules: DataFrame) -> DataFrame:
 GRAM = 3
 
 
-def match_substrings(df: DataFrame, key: str, text: str, rules: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """(key, entity) of the first rule whose pattern is in text, for rows that match. Up to
-    `most` rules are broadcast; more are met by the first GRAM characters of their
-    patterns, an equality join on the texts' distinct runs of that length. Shorter patterns,
-    of which there are few, are broadcast; empty ones match nothing."""
+def substring_rows(rows: DataFrame, text: str, rules: DataFrame, most: int = MOST_BROADCAST, on: list[str] | None = None) -> DataFrame:
+    """rows joined with the rules whose pattern is in their text, and that agree in the columns
+    `on`. Up to `most` rules are broadcast; more are met by the first GRAM characters of
+    their patterns, an equality join on the texts' distinct runs of that length. Shorter
+    patterns are met by the texts' distinct runs of their own length. Empty ones match
+    nothing."""
+    on = on or []
     rules = rules.where("pattern <> ''")
-    rows = df.select(key, F.col(text).alias("_text"))
-    held = F.col("_text").contains(F.col("pattern"))
+    held = F.col(text).contains(F.col("pattern"))
     if rules.limit(most + 1).count() <= most:
-        hits = rows.join(F.broadcast(rules), held)
-    else:
-        places = F.when(F.length("_text") >= GRAM, F.sequence(F.lit(1), F.length("_text") - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-        runs = rows.withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(GRAM))))))
-        long = rules.where(F.length("pattern") >= GRAM).withColumn("_gram", F.substring("pattern", 1, GRAM))
-        short = rules.where(F.length("pattern") < GRAM)
-        hits = runs.join(long, "_gram").where(held).drop("_gram").unionByName(rows.join(F.broadcast(short), held))
+        bounded = F.broadcast(rules)
+        return rows.join(bounded, on).where(held) if on else rows.join(bounded, held)
+
+    def runs(n: int) -> DataFrame:
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return rows.withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n))))))
+
+    size = F.length("pattern")
+    met = runs(GRAM).join(rules.where(size >= GRAM).withColumn("_gram", F.substring("pattern", 1, GRAM)), [*on, "_gram"]).where(held).drop("_gram")
+    for n in range(1, GRAM):
+        met = met.unionByName(runs(n).join(rules.where(size == n).withColumn("_gram", F.col("pattern")), [*on, "_gram"]).drop("_gram"))
+    return met
+
+
+def match_substrings(df: DataFrame, key: str, text: str, rules: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """(key, entity) of the first rule whose pattern is in text, for rows that match."""
+    hits = substring_rows(df.select(key, F.col(text).alias("_text")), "_text", rules, most)
     return hits.groupBy(key).agg(F.min_by("entity", "prio").alias("entity"))
 
 
 def match_hosts(df: DataFrame, key: str, host: str, rules: DataFrame) -> DataFrame:
     """(key, entity) of the first rule that names the host or a parent domain of it."""
     suffixes = df.select(key, F.explode(U.host_suffixes(F.col(host))).alias("pattern"))
-    return suffixes.join(_bounded(rules), "pattern").groupBy(key).agg(F.min_by("entity", "prio").alias("entity"))
+    return suffixes.join(bounded(rules), "pattern").groupBy(key).agg(F.min_by("entity", "prio").alias("entity"))
 
 
 def by_host(host: Column, rules: dict[str, list[str]]) -> Column:
@@ -193,11 +204,14 @@ def prelander(url: Column) -> Column:
     return F.coalesce(U.host(url).isin(*R.PRELANDERS), F.lit(False)) | (has("cep") & (has("lptoken") | has("widget_id") | has("boost_id")))
 
 
-def cloaking(first: Column, last: Column) -> Column:
-    """struct(changed, kind) of the registered domains of a chain's ends."""
-    a, b = U.two_labels(first), U.two_labels(last)
+def cloaking(first: Column, last: Column, hops: Column | None = None) -> Column:
+    """struct(changed, kind, forced, redirects, suspicious) of a chain's ends by registered domain:
+    a tracker's domain that leads elsewhere, else a news domain that leads to a sales one,
+    else a change. The first two force the verdict; over three redirects are suspicious."""
+    a, b = U.registered_domain(first), U.registered_domain(last)
     changed = F.coalesce(a != b, F.lit(False))
-    tracker = contains_any(F.lower(first), R.TRACKER_MARKS)
-    sales = contains_any(F.lower(last), R.AFFILIATE_PARAMS)
-    kind = F.when(~changed, F.lit(None).cast("string")).when(tracker, "tracker_to_offer").when(sales, "news_to_sales").otherwise("domain_change")
-    return F.struct(changed.alias("changed"), kind.alias("kind"))
+    tracker = contains_any(a, R.CLOAK_TRACKERS)
+    sold = contains_any(a, R.NEWS_WORDS) & (contains_any(b, R.SALES_WORDS) | F.coalesce(last.endswith(".shop"), F.lit(False)))
+    kind = F.when(~changed, "none").when(tracker, "tracker_to_offer").when(sold, "news_to_sales").otherwise("domain_change")
+    n = F.coalesce(hops, F.lit(0)) if hops is not None else F.lit(0)
+    return F.struct(changed.alias("changed"), kind.alias("kind"), (changed & (tracker | sold)).alias("forced"), n.alias("redirects"), (n > 3).alias("suspicious"))

@@ -10,26 +10,23 @@ from ..rules import tables as R
 from . import rules as O
 
 
-def ad_score(url: Column, final: Column, content: Column) -> Column:
-    """Affiliate signals count up, publisher domains down."""
-    last, first, body = F.lower(final), F.lower(url), F.lower(content)
-    changed = U.host(final) != U.host(url)
-    add = lambda c, n: F.when(c, F.lit(n)).otherwise(0)
-    return (
-        add(O.contains_any(last, R.AFFILIATE_PARAMS), 3)
-        + add(O.contains_any(last, R.AFFILIATE_PATHS), 3)
-        + add(changed & O.contains_any(U.host(final), R.HEALTH_WORDS), 3)
-        + add(O.contains_any(first, R.TRACKER_MARKS) | O.contains_any(last, R.TRACKER_MARKS), 2)
-        + add(O.contains_any(body, R.BUY_WORDS), 2)
-        + add(O.contains_any(U.host(final), R.PUBLISHERS), -2)
-    )
+#: The signals of an ad's score with their names and weights.
+SCORED = [
+    ("final_url_has_aff_params", 3), ("final_url_has_aff_path", 3), ("domain_change_to_health", 3), ("url_is_known_tracker", 2), ("content_has_buy_intent", 2),
+    ("final_domain_in_arbitrage_whitelist", -2),
+]
 
 
-def arbitrage_score(url: Column, html: Column) -> Column:
-    """Weights of the URL's and the page's marks, where an ad network's fingerprint is."""
-    body = F.lower(html)
-    found = O.contains_any(body, [p for _, marks in R.FINGERPRINTS for p in marks])
-    return F.when(found, O.weighted(F.lower(url), R.ARBITRAGE_URLS) + O.weighted(body, R.ARBITRAGE_WORDS)).otherwise(0)
+def ad_score(url: Column, final: Column, content: Column) -> Column:
+    """struct(score, signals): affiliate signals count up, publisher domains down."""
+    first, last, body = F.lower(url), F.lower(F.coalesce(final, url)), F.lower(content)
+    host = U.host(last)
+    tests = [
+        O.contains_any(last, R.AFFILIATE_PARAMS), O.contains_any(last, R.AFFILIATE_PATHS), F.coalesce(host != U.host(url), F.lit(False)) & O.contains_any(host, R.HEALTH_WORDS),
+        O.contains_any(first, R.TRACKER_MARKS) | O.contains_any(last, R.TRACKER_MARKS), O.contains_any(body, R.BUY_WORDS), O.contains_any(host, R.PUBLISHERS),
+    ]
+    met = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"))) for t, (name, n) in zip(tests, SCORED, strict=True))))
+    return F.struct(F.aggregate(met, F.lit(0), lambda a, x: a + x["n"]).alias("score"), met["name"].alias("signals"))
 
 
 def keyword_vote(content: Column) -> Column:
@@ -39,16 +36,57 @@ def keyword_vote(content: Column) -> Column:
 
 
 def score_verdict(score: Column, content: Column) -> Column:
-    return F.when(score >= 1, "Affiliate").when(score <= -2, "Arbitrage").otherwise(keyword_vote(content))
+    """struct(ad_type, confidence) of a score; between the limits the page's words decide. With
+    the default weights -3 isn't reached; it holds for rules that weigh publishers more."""
+    vote = keyword_vote(content)
+    kind = F.when(score >= 1, "Affiliate").when(score <= -3, "Arbitrage").otherwise(vote)
+    sure = F.when(score >= 3, "high").when((score >= 1) | (score <= -3) | (vote != "Unknown"), "medium").otherwise("low")
+    return F.struct(kind.alias("ad_type"), sure.alias("confidence"))
+
+
+#: Marks in a landing URL that make an ad an affiliate's, whatever the page holds.
+STRONG_MARKERS = [
+    "hop=", "hopid=", "affid=", "aff_id=", "affiliate_id=", "cep=", "clickid=", "click_id=", "lptoken=", "offid=", "offer_id=", "voluumdata=", "voluum", "wellnessgaze", "go.php", "bsl=", "t=aff",
+    "sub1=", "sub2=", "sub3=", "tid=", "extclid=", "rtkck", "trendingboom",
+]
+FORCED = {"buy.com": "Direct Sales", "amazon.com": "Affiliate"}
+
+
+def cascade(landing: Column, final: Column, page: Column, networks: Column, structure: Column, chain: Column, forced: dict[str, str] | None = None) -> Column:
+    """struct(ad_type, confidence, stage, reason, skip) by the first stage that decides.
+
+    networks: the page's ad networks, an array, most marks first; structure: struct with
+    paginated, page_number and ad_count; chain: struct with network, affiliate_id and
+    offer_id of the ad's redirects. The stages are a known domain, a strong marker, an ad
+    network's code, a suspicious structure, a known offer in the chain, the score, and a
+    bridge page's path and paging. skip: no deeper analysis is needed.
+    """
+    url, text = F.lower(landing), F.lower(page)
+    host = F.regexp_replace(F.lower(U.netloc(landing)), r"^www\.", "")
+    known = F.coalesce(*(F.when(host == d, F.lit(t)) for d, t in (FORCED if forced is None else forced).items()))
+    marked = O.contains_any(url, STRONG_MARKERS) | F.coalesce(page.contains("voluumdata") | page.contains("/go.php?"), F.lit(False))
+    coded = F.coalesce(F.size(networks) > 0, F.lit(False))
+    shaped = (structure["paginated"] & (structure["page_number"] >= 2)) | (structure["ad_count"] >= 3)
+    named = F.coalesce(~chain["network"].isin("Unknown", "No Network Detected"), F.lit(False))
+    chained = chain["affiliate_id"].isNotNull() | chain["offer_id"].isNotNull() | named
+    score = ad_score(landing, final, page)["score"]
+    scored = score_verdict(score, page)
+    bridge = O.contains_any(url, ["trending", "article", "gallery"]) & O.contains_any(text, ["next page", "read more"])
+
+    def verdict(kind, sure, stage: str, reason, skip: bool) -> Column:
+        text = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(text(kind).alias("ad_type"), text(sure).alias("confidence"), F.lit(stage).alias("stage"), text(reason).alias("reason"), F.lit(skip).alias("skip"))
 
-
-def offer_type(html: Column) -> Column:
-    """struct(best, score): the type with the largest sum; ties to the first declared;
-    under 3 Unknown."""
-    body = F.lower(html)
-    sums = F.array(*(F.struct(O.weighted(body, signals).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, signals) in enumerate(R.OFFER_TYPES)))
-    top = F.array_max(sums)
-    return F.struct(F.when(top["n"] < 3, F.lit("Unknown")).otherwise(top["name"]).alias("best"), top["n"].alias("score"))
+    return (
+        F.when(known.isNotNull(), verdict(known, "high", "Knowledge", "KNOWN_DOMAIN", False))
+        .when(marked, verdict("Affiliate", "high", "Signal", "STRONG_AFFILIATE_SIGNAL_DETECTED", False))
+        .when(coded | O.contains_any(url, ["syndicatedsearch.goog", "google.com/afs"]), verdict("Arbitrage", "high", "Instant", F.concat(F.lit("EXPLICIT_NETWORK_CODE_DETECTED: "), F.coalesce(F.get(networks, F.lit(0)), F.lit("Google AFD"))), True))
+        .when(F.coalesce(shaped, F.lit(False)), verdict("Manual Review Required", "medium", "3", "suspicious_structure_no_ad_code", False))
+        .when(chained, verdict("Affiliate", "high", "4", F.concat(F.lit("known_aff_signature_in_chain: "), F.coalesce(chain["network"], F.lit("Unknown"))), False))
+        .when(scored["ad_type"] == "Affiliate", verdict("Affiliate", scored["confidence"], "5", F.concat(F.lit("scoring_system: "), score.cast("string")), False))
+        .when(bridge, verdict("Arbitrage", "medium", "BridgeHeuristic", "URL_PATH_AND_PAGINATION_MATCH", True))
+        .otherwise(verdict("Unknown", "low", "6", "no_conclusive_signals", False))
+    )
 
 
 def knowledge_override(ads: DataFrame, feedback: DataFrame, host: str, predicted: str) -> DataFrame:

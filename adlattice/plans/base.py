@@ -7,12 +7,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.url import SPLIT
+from ..functions.url import SPLIT, suffix_patterns
+from ..operators.score import SCORED
+from ..rules import signals as RS
 from ..rules import tables as R
+from ..sources import html as G
 
 #: Hosts and parameters that the rules name, so that the queries meet all of them.
 _HOSTS = [h for hosts in (R.STRICT_BLOCK, R.AD_TECH_HOSTS, R.INTERMEDIARIES, R.INVALID_HOSTS, R.PRELANDERS, R.PUBLISHERS, R.SKIP_SITES, [h for h, _ in R.KNOWN_OFFERS], ["rt.redtrack.io", "binom.example", "leadbit.com", "advidi.com"]) for h in hosts if "/" not in h and not h.endswith(".")]
-_PARAMS = sorted({*R.AFFILIATE_ALIASES, *R.OFFER_ALIASES, *R.SUB_ALIASES, *R.CLICK_ALIASES, *R.TARGET_PARAMS, *(p for *_, ps, _ in R.NETWORK_LADDER for p in ps), "pixel", *R.WIDGET_PARAMS.values()})
+_PARAMS = sorted({*R.AFFILIATE_ALIASES, *R.OFFER_ALIASES, *R.SUB_ALIASES, *R.CLICK_ALIASES, *R.TARGET_PARAMS, *(n for names in R.SECOND_ALIASES.values() for n in names), *(p for *_, ps, _ in R.NETWORK_LADDER for p in ps), "pixel", *R.WIDGET_PARAMS.values()})
 #: Column expressions in the common subset of both SQL dialects.
 ADS = {
     "id": "page_id",
@@ -76,8 +79,9 @@ def host(u: str) -> str:
     return rf"regexp_replace(regexp_replace(lower({part(u, 2)}), '^[^@]*@|:[0-9]*$', '', 'g'), '^www\.', '')"
 
 
-def two_labels(u: str) -> str:
-    return rf"regexp_extract({host(u)}, '([^.]+\.[^.]+)$', 1)"
+def registered_domain(u: str) -> str:
+    h = host(u)
+    return f"CASE WHEN regexp_matches({h}, '^[0-9.]+$') THEN {h} ELSE coalesce({', '.join(f'nullif(regexp_extract({h}, {q(p)}, 1), {q(str())})' for p in suffix_patterns())}, {h}) END"
 
 
 def param(u: str, name: str) -> str:
@@ -196,15 +200,16 @@ def affiliate_network(u: str) -> str:
 
 
 
+def score_tests(url: str, final: str, content: str) -> list[str]:
+    last, first = f"lower(coalesce({final}, {url}))", f"lower({url})"
+    return [
+        any_in(last, R.AFFILIATE_PARAMS), any_in(last, R.AFFILIATE_PATHS), f"({host(last)} <> {host(url)} AND {any_in(host(last), R.HEALTH_WORDS)})",
+        f"({any_in(first, R.TRACKER_MARKS)} OR {any_in(last, R.TRACKER_MARKS)})", any_in(f"lower({content})", R.BUY_WORDS), any_in(host(last), R.PUBLISHERS),
+    ]
+
+
 def ad_score_sql(url: str, final: str, content: str) -> str:
-    add = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
-    last, first = f"lower({final})", f"lower({url})"
-    return "(" + " + ".join([
-        add(any_in(last, R.AFFILIATE_PARAMS), 3), add(any_in(last, R.AFFILIATE_PATHS), 3),
-        add(f"{host(final)} <> {host(url)} AND {any_in(host(final), R.HEALTH_WORDS)}", 3),
-        add(f"{any_in(first, R.TRACKER_MARKS)} OR {any_in(last, R.TRACKER_MARKS)}", 2),
-        add(any_in(f"lower({content})", R.BUY_WORDS), 2), add(any_in(host(final), R.PUBLISHERS), -2),
-    ]) + ")"
+    return "(" + " + ".join(f"CASE WHEN {t} THEN {n} ELSE 0 END" for t, (_, n) in zip(score_tests(url, final, content), SCORED, strict=True)) + ")"
 
 
 def vote_sql(text: str) -> str:
@@ -212,10 +217,93 @@ def vote_sql(text: str) -> str:
     return f"CASE WHEN {a} > {b} AND {a} >= 1 THEN 'Affiliate' WHEN {b} > {a} AND {b} >= 2 THEN 'Arbitrage' ELSE 'Unknown' END"
 
 
-def offer_type_sql(html: str) -> tuple[str, str]:
-    sums = [(name, weighted(f"lower({html})", signals)) for name, signals in R.OFFER_TYPES]
-    top = f"greatest({', '.join(s for _, s in sums)})"
-    return f"CASE WHEN {top} < 3 THEN 'Unknown' " + " ".join(f"WHEN {s} = {top} THEN {q(n)}" for n, s in sums) + " END", top
+def pick(words: list[str], n: str) -> str:
+    """One of the words, by a number; in both dialects."""
+    return f"split_part({q('|'.join(words))}, '|', CAST({n} % {len(words)} AS INT) + 1)"
+
+
+def text(html: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({html}, {q(G.ASIDE)}, ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def title(html: str) -> str:
+    return f"trim(regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+def attribute(rest: str, name: str) -> str:
+    return "concat(" + ", ".join(f"regexp_extract({rest}, {q(G.attribute_pattern(name))}, {i})" for i in (1, 2, 3)) + ")"
+
+
+def rule_rows(sets) -> str:
+    """The rules of signals as r(prio, ord, kind, field, signal, weight)."""
+    rows, prio = [], 0
+    for i, (kind, fields, signals) in enumerate(sets):
+        for signal, weight in signals:
+            rows += [f"({prio}, {i}, {q(kind)}, {q(field)}, {q(signal)}, {weight})" for field in fields]
+            prio += 1
+    return f"r(prio, ord, kind, field, signal, weight) AS (VALUES {', '.join(rows)})"
+
+
+def kinds(sets, fields: dict[str, str], rows: str) -> str:
+    """k(id, ord, kind, score, signals) of the kinds that rows(id, ...) meet, as common tables."""
+    texts = " UNION ALL ".join(f"SELECT id, {q(f)} AS f, lower({x}) AS t FROM {rows}" for f, x in fields.items())
+    return f"""{rule_rows(sets)}, x AS ({texts}), m AS (SELECT DISTINCT id, prio, ord, kind, signal, weight FROM x JOIN r ON r.field = x.f WHERE contains(x.t, r.signal)),
+ k AS (SELECT id, ord, kind, sum(weight)::INTEGER AS score, list(signal ORDER BY prio) AS signals FROM m GROUP BY id, ord, kind)"""
+
+
+#: URLs of the networks whose ids have a form of their own, in all their forms.
+CODED = "concat(" + pick([
+    "https://hop-apps.clickbank.net/error?destinationUrl=https%3A%2F%2Fwww.shop.example.co.uk%2Fx&hop=aff9&n=", "https://aff1.prod2.hop.clickbank.net/?hop=zzz&hopId=h", "https://x.hop.clickbank.net/?hop=q", "https://o.example.com/cb/vsl?hop=h2&affiliate=af",
+    "https://o.example.com/p?affiliate=af", "https://www.djpcraze.com/p?aff_id=7&transaction_id=t1&event_source_url=shop.example.com&n=", "https://o.example.com/?oid=3&affid=4&ef_click_id=c5&event_source_url=https%3A%2F%2Fx.example.org%2Fa",
+    "https://t.everflow.io/?affid=&aff_id=9&effp=e", "https://go.hasoffers.com/c?offer_id=", "https://x.tune.com/c?offer_id=1&aff_id=2&aff_click_id=k&aff_sub=s1&aff_sub2=s", "https://o.example.com/?offer_id=5&aff_id=6&transaction_id=t",
+    "https://www.digistore24.com/redir/1/x?aff=a&pay=p1&cid=c1&uid=u", "https://digistore24.com/redir/2/y?aff=b&cid=c", "https://go2cloud.org/aff_c?aff_id=1&x=",
+], "id") + ", id)"
+
+_SIGNALS = sorted({w for sets in (RS.OFFER_TYPES, RS.VALIDITY[1:], RS.FINGERPRINTS, RS.ARBITRAGE) for _, fields, signals in sets for w, _ in signals if fields != ["url"]})
+_TRACKING = [w for w, _ in RS.VALIDITY[0][2]]
+#: A page with a title that may tell of a challenge, some signals and an ad's element.
+PAGE = f"""concat('<title>', {pick([*_TRACKING, *["A page"] * len(_TRACKING)], "page_id")}, '</title>', html, '<p>', {pick(_SIGNALS, "page_id")}, ' ', {pick(_SIGNALS, "(page_id * 7 + 3)")}, ' ', {pick(_SIGNALS, "(page_id * 11 + 5)")}, '</p>',
+ CASE page_id % 3 WHEN 0 THEN {pick(['<meta name="description" content="x">', '<meta property="og:title" content="y">', '<meta property="og:description">'], "page_id")} ELSE '' END)"""
+PAGED = f"p AS (SELECT page_id AS id, {PAGE} AS page, concat('https://o.example.com', {pick([w for w, _ in RS.ARBITRAGE[0][2]] + ['/category/x', '/tag/y'], 'page_id')}, page_id) AS link FROM pages)"
+
+
+def decoders(u: str) -> dict[str, dict[str, str]]:
+    """The networks' own forms of ids in a URL: {network: {id: expression}}."""
+    h, labels, source = host(u), f"string_split({host(u)}, '.')", param(u, "event_source_url")
+    error, marked = f"contains({h}, 'hop-apps.clickbank.net')", f"contains({part(u, 3)}, '/cb/')"
+    hop = f"(contains({h}, 'hop.clickbank.net') AND len({labels}) >= 4)"
+    everflow = f"({first_param(u, ['effp', 'ef_click_id', 'oid'])} IS NOT NULL OR {any_in(f'lower({u})', ['everflow', 'djpcraze.com'])})"
+    hasoffers = f"({any_in(h, ['hasoffers.com', 'tune.com', 'go2cloud.org'])} OR ({param(u, 'offer_id')} IS NOT NULL AND {param(u, 'aff_id')} IS NOT NULL))"
+    on = lambda test, names: {k: f"CASE WHEN {test} THEN {first_param(u, ns)} END" for k, ns in names.items()}
+    return {
+        "everflow": on(everflow, {"offer_id": ["oid"], "affiliate_id": ["affid", "aff_id"], "click_id": ["effp", "ef_click_id", "transaction_id"], "offer_domain": ["event_source_url"]})
+        | {"offer_url": f"CASE WHEN NOT {everflow} THEN NULL WHEN starts_with({source}, 'http') THEN {source} WHEN {source} IS NOT NULL THEN concat('https://', {source}) END"},
+        "clickbank": {
+            "affiliate_id": f"CASE WHEN {error} THEN {param(u, 'hop')} ELSE coalesce(CASE WHEN {marked} THEN {param(u, 'affiliate')} END, CASE WHEN {hop} THEN split_part({h}, '.', 1) END, {param(u, 'hop')}) END",
+            "offer_id": f"CASE WHEN {hop} AND NOT {error} AND len({labels}) >= 5 THEN split_part({h}, '.', 2) END", "click_id": f"CASE WHEN NOT {error} THEN {param(u, 'hopId')} END",
+            "offer_url": f"CASE WHEN {error} THEN {param(u, 'destinationUrl')} END", "offer_domain": f"CASE WHEN {error} THEN {host(param(u, 'destinationUrl'))} END",
+        },
+        "hasoffers": on(hasoffers, {"offer_id": ["offer_id"], "affiliate_id": ["aff_id"], "click_id": ["aff_click_id", "transaction_id"], "sub_id1": ["aff_sub"], "sub_id2": ["aff_sub2"]}),
+        "digistore": on(f"contains({h}, 'digistore24.com')", {"offer_id": ["pay", "cid"], "affiliate_id": ["aff"], "click_id": ["uid"]}),
+        "impact": on(any_in(h, ["impact.com", "impactradius.com", "sjv.io", "prf.hn"]), {"affiliate_id": ["irpid", "subid1"], "offer_id": ["campaignid"], "click_id": ["clickid"]}),
+        "generic": {"affiliate_id": first_param(u, R.AFFILIATE_ALIASES), "offer_id": first_param(u, R.OFFER_ALIASES), "sub_id1": first_param(u, R.SUB_ALIASES), "click_id": first_param(u, R.CLICK_ALIASES)},
+    }
+
+
+def decoded(u: str, k: str) -> str:
+    """An id of a URL, generic names over the networks' forms, later ones over earlier ones."""
+    gates = {
+        "everflow": f"({param(u, 'effp')} IS NOT NULL OR contains(lower({u}), 'djpcraze.com'))",
+        "clickbank": f"({first_param(u, ['hop', 'hopId'])} IS NOT NULL OR contains(lower({u}), 'clickbank') OR contains({part(u, 3)}, '/cb/'))",
+    }
+    found = [f"CASE WHEN {gates[n]} THEN {ids[k]} END" if n in gates else ids[k] for n, ids in reversed(decoders(u).items()) if k in ids]
+    return f"coalesce({', '.join(found)}, NULL)"
+
+
+def cloaking_kind(first: str, last: str) -> str:
+    a, b = registered_domain(first), registered_domain(last)
+    return f"""CASE WHEN coalesce({a} = {b}, true) THEN 'none' WHEN {any_in(a, R.CLOAK_TRACKERS)} THEN 'tracker_to_offer'
+ WHEN {any_in(a, R.NEWS_WORDS)} AND ({any_in(b, R.SALES_WORDS)} OR coalesce(ends_with({last}, '.shop'), false)) THEN 'news_to_sales' ELSE 'domain_change' END"""
 
 
 def same_page(a: str, b: str) -> str:
@@ -226,7 +314,7 @@ def same_page(a: str, b: str) -> str:
 def offer_choice(rows: str, final: str, chain: list[str], real: str, domain: str, landing: str) -> str:
     """id, offer, method and needs_review of `rows`, where real and domain are expressions."""
     dead = lambda u: f"({u} IS NULL OR {any_in(f'lower({u})', R.DEAD_ENDS)})"
-    fit = lambda u: f"NOT {dead(u)} AND NOT {any_in(f'lower({u})', R.NOISE)} AND {reject_reason(u)} IS NULL AND {two_labels(u)} <> coalesce({two_labels(landing)}, '')"
+    fit = lambda u: f"NOT {dead(u)} AND NOT {any_in(f'lower({u})', R.NOISE)} AND {reject_reason(u)} IS NULL AND {registered_domain(u)} <> coalesce({registered_domain(landing)}, '')"
     steps = [(f"NOT {same_page(final, landing)} AND NOT {dead(final)} AND {reject_reason(final)} IS NULL", final, "direct"), (f"{reject_reason('named_')} IS NULL", "named_", "event_source_url")]
     steps += [(fit(u), u, "chain_last_valid_filtered") for u in reversed(chain)] + [("domain_ IS NOT NULL", "concat('https://', domain_)", "constructed_from_domain")]
     case = lambda n: " ".join(f"WHEN {i} THEN {q(step[n]) if n == 2 else step[n]}" for i, step in enumerate(steps))

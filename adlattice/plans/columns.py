@@ -28,13 +28,27 @@ _KEPT = "list_filter(string_split({q}, '&'), lambda p: length(p) > 0 AND (lower(
     q=B.part("landing", 4), keep=", ".join(B.q(x.lower()) for x in R.KEEP_PARAMS), drop=", ".join(B.q(x.lower()) for x in R.DROP_PARAMS)
 )
 _STRIPPED = f"concat(regexp_extract(landing, '^[^?#]*'), CASE WHEN len({_KEPT}) > 0 THEN concat('?', array_to_string({_KEPT}, '&')) ELSE '' END, CASE WHEN {B.part('landing', 5)} <> '' THEN concat('#', {B.part('landing', 5)}) ELSE '' END)"
-_CB = f"(ends_with({B.host('landing')}, 'clickbank.net') OR contains({B.part('landing', 3)}, '/cb/') OR {B.param('landing', 'hop')} IS NOT NULL)"
-_HOP = f"ends_with({B.host('landing')}, '.hop.clickbank.net')"
-_EF = f"({B.param('landing', 'effp')} IS NOT NULL OR contains(lower(landing), 'everflow'))"
-_HO = f"(contains({B.host('landing')}, 'go2cloud.org') OR ({B.param('landing', 'offer_id')} IS NOT NULL AND {B.param('landing', 'aff_id')} IS NOT NULL))"
-_DS = f"contains({B.host('landing')}, 'digistore24.com')"
+_C = "coded"
+_CLOAKED = f"concat('https://a.', {B.pick([*R.NEWS_WORDS, *R.CLOAK_TRACKERS, 'plain', 'x.co.uk', 'x.com'], 'id')}, CASE WHEN id % 4 = 0 THEN '' ELSE 'site.com' END, '/p')"
+_SOLD = f"concat('https://www.', {B.pick([*R.SALES_WORDS, 'plain', 'x.co.uk', 'x.com'], '(id * 5 + 1)')}, CASE WHEN id % 4 = 0 THEN '' ELSE 'site.com' END, CASE WHEN id % 6 = 1 THEN '/z.shop' ELSE '/q' END)"
+_PARAMED = f"concat('https://o.example.com/a?', {B.pick(R.DROP_PARAMS + R.KEEP_PARAMS, 'id')}, '=1&', {B.pick(R.DROP_PARAMS + R.KEEP_PARAMS, '(id * 5 + 2)')}, '=2&page=3#f', id)"
+_SERVED = f"concat('https://', {B.pick([h for h, _ in R.AD_SERVERS] + ['x.example.com'], 'id')}, '/c?', {B.pick(sorted({n for _, ns in R.AD_SERVERS for n in ns}), '(id * 3 + 1)')}, '=https%3A%2F%2Fo.example.com%2F', id, '&', {B.pick(sorted({n for _, ns in R.AD_SERVERS for n in ns}), 'id')}, '=https%3A%2F%2Fp.example.com')"
+_BOUGHT = f"concat(html, {B.pick([*R.BUY_WORDS, '', '-'], 'id')})"
+_CMS = f"concat(html, {B.pick(['/wp-content/', 'wp-json', 'disqus', 'fb-comments', '', 'comment'], 'id')})"
+
+
+def _kept(u: str) -> str:
+    """u without tracking parameters."""
+    return _STRIPPED.replace("landing", u)
+
+
+def _of(sql: str, given: str) -> str:
+    """An expression over the column `coded`, over a given one."""
+    return sql.replace(_C, f"({given})")
+
+
 _IM = B.any_in(B.host("landing"), ["impact.com", "impactradius.com", "sjv.io", "prf.hn"])
-_TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_TEXT_SQL = B.text('html')
 #: A page with the script of one tool or none.
 _TAGGED = """concat(html, '<script src="https://', split_part('cdn.example.net|rdtk.io|go.binom.org|trk.voluum.com|a.bemobtrck.com|kclick.io|affise.js|getcake.com|anytrack.io|x.everflow.io|shop.example', '|', CAST(id % 11 AS INT) + 1), '/t.js"></script>')"""
 _TRACKERS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({_TAGGED}, {B.q('(?i)' + p)}) THEN {B.q(n)} END" for n, p in R.HTML_TRACKERS) + ")"
@@ -59,17 +73,16 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'sub1': (lambda: F.try_element_at(U.params(F.col('landing')), F.lit('sub1')), B.param('landing', 'sub1')),
         'empty': (lambda: F.try_element_at(U.params(F.col('landing')), F.lit('empty')), B.param('landing', 'empty')),
     },
-    "b03_registered_domain": {
-        'domain': (lambda: U.two_labels(F.col('landing')), B.two_labels('landing')),
-    },
     "b04_host": {
         'host': (lambda: U.host(F.col('landing')), B.host('landing')),
     },
     "b05_strip_tracking": {
         'clean': (lambda: U.strip_tracking(F.col('landing')), _STRIPPED),
+        'clean_each': (lambda: U.strip_tracking(F.expr(_PARAMED)), _kept(_PARAMED)),
     },
     "b06_landing_key": {
         'key': (lambda: U.landing_key(F.col('landing')), "split_part(split_part(landing, '?', 1), '#', 1)"),
+        'glued': (lambda: U.landing_key(F.expr("concat('https://o.example.com/a', id, '&dicbo=v2?x=1')")), "concat('https://o.example.com/a', id)"),
     },
     "b07_blank_macros": {
         'blanked': (lambda: U.blank_macros(F.col('landing')), "regexp_replace(landing, '=(\\{[^}]+\\}|__[A-Z]+__)', '=', 'g')"),
@@ -90,7 +103,7 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'origin': (lambda: U.origin(F.col('landing')), "concat(array_to_string(list_slice(string_split(landing, '/'), 1, 3), '/'), '/')"),
     },
     "b13_peel_ad_server": {
-        'target': (lambda: U.peel_ad_server(F.col('landing')), 'coalesce(' + ', '.join((f'CASE WHEN ends_with({B.host('landing')}, {B.q(s)}) THEN {B.first_param('landing', ns)} END' for s, ns in R.AD_SERVERS)) + ', landing)'),
+        'target': (lambda: U.peel_ad_server(F.expr(_SERVED)), _of("coalesce(" + ", ".join(f"CASE WHEN ends_with({B.host(_C)}, {B.q(s)}) THEN {B.first_param(_C, ns)} END" for s, ns in R.AD_SERVERS) + f", {_C})", _SERVED)),
     },
     "b14_thumbnail": {
         'image': (lambda: U.clean_thumbnail(F.concat(F.lit('https://i.example.net/ui/?src=%2F%2Fcdn.example.net%2Fa'), F.col('id').cast('string'), F.lit('.jpg&w=1'))), "concat('https://cdn.example.net/a', id, '.jpg')"),
@@ -149,7 +162,7 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'junk': (lambda: O.contains_any(F.lower(F.col('title')), R.JUNK_TITLES) & (F.length(F.col('title')) < 20), f'{B.any_in('lower(title)', R.JUNK_TITLES)} AND length(title) < 20'),
     },
     "c16_bogus_landing": {
-        'bogus': (lambda: O.contains_any(U.host(F.col('landing')), ['outbrain.com', 'taboola.com', 'mgid.com']), B.any_in(B.host('landing'), ['outbrain.com', 'taboola.com', 'mgid.com'])),
+        'bogus': (lambda: O.contains_any(F.lower(F.expr("concat(landing, " + B.pick([*R.BOGUS_LANDINGS, '', '-'], 'id') + ")")), R.BOGUS_LANDINGS), B.any_in("lower(concat(landing, " + B.pick([*R.BOGUS_LANDINGS, '', '-'], 'id') + "))", R.BOGUS_LANDINGS)),
     },
     "c17_bot_challenge": {
         'challenge': (lambda: O.contains_any(F.lower(F.col('html')), R.CHALLENGES), B.any_in('lower(html)', R.CHALLENGES)),
@@ -171,15 +184,18 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'tracker': (lambda: O.first_regex(F.lower(F.col('landing')), R.PARAM_TRACKERS), B.first_regex('lower(landing)', R.PARAM_TRACKERS)),
     },
     "d08_known_offer": {
-        'program': (lambda: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in R.KNOWN_OFFERS for x in pair)), U.two_labels(F.col('final_url'))), F.when(U.first_param(F.col('final_url'), R.AFFILIATE_ALIASES + R.OFFER_ALIASES).isNotNull() & O.affiliate_network(F.col('final_url'))['network'].isNull(), F.lit('Direct Affiliate'))), f"coalesce(CASE {B.two_labels('final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END, CASE WHEN {B.first_param('final_url', R.AFFILIATE_ALIASES + R.OFFER_ALIASES)} IS NOT NULL AND {B.affiliate_network('final_url')} IS NULL THEN 'Direct Affiliate' END)"),
+        'program': (lambda: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in R.KNOWN_OFFERS for x in pair)), U.registered_domain(F.col('final_url'))), F.when(U.first_param(F.col('final_url'), R.AFFILIATE_ALIASES + R.OFFER_ALIASES).isNotNull() & O.affiliate_network(F.col('final_url'))['network'].isNull(), F.lit('Direct Affiliate'))), f"coalesce(CASE {B.registered_domain('final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END, CASE WHEN {B.first_param('final_url', R.AFFILIATE_ALIASES + R.OFFER_ALIASES)} IS NOT NULL AND {B.affiliate_network('final_url')} IS NULL THEN 'Direct Affiliate' END)"),
     },
     "d10_html_trackers": {
         'trackers': (lambda: F.array_join(O.html_trackers(F.expr(_TAGGED)), ','), _TRACKERS_SQL),
         'own': (lambda: F.array_join(O.html_trackers(F.col('html')), ','), _TRACKERS_SQL.replace(_TAGGED, 'html')),
     },
     "d11_cloaking": {
-        'changed': (lambda: O.cloaking(F.col('landing'), F.col('final_url'))['changed'], f'{B.two_labels('landing')} <> {B.two_labels('final_url')}'),
-        'kind': (lambda: O.cloaking(F.col('landing'), F.col('final_url'))['kind'], f"CASE WHEN {B.two_labels('landing')} = {B.two_labels('final_url')} THEN NULL WHEN {B.any_in('lower(landing)', R.TRACKER_MARKS)} THEN 'tracker_to_offer' WHEN {B.any_in('lower(final_url)', R.AFFILIATE_PARAMS)} THEN 'news_to_sales' ELSE 'domain_change' END"),
+        **{k: (lambda k=k: O.cloaking(F.expr(_CLOAKED), F.expr(_SOLD), F.expr("CAST(id % 6 AS INT)"))[k], sql.replace('first_', B.registered_domain(f'({_CLOAKED})')).replace('last_', B.registered_domain(f'({_SOLD})'))) for k, sql in (
+            ('changed', 'first_ <> last_'), ('forced', f"first_ <> last_ AND ({B.any_in('first_', R.CLOAK_TRACKERS)} OR ({B.any_in('first_', R.NEWS_WORDS)} AND ({B.any_in('last_', R.SALES_WORDS)} OR ends_with({_SOLD}, '.shop'))))"),
+            ('kind', B.cloaking_kind(f'({_CLOAKED})', f'({_SOLD})')),
+            ('redirects', 'CAST(id % 6 AS INT)'), ('suspicious', 'id % 6 > 3'),
+        )},
     },
     "d12_vertical": {
         'vertical': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), R.VERTICALS), F.lit('Unknown')), f"coalesce({B.first_match('lower(final_url)', R.VERTICALS)}, 'Unknown')"),
@@ -197,8 +213,9 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'quick': (lambda: F.coalesce(O.first_match(F.lower(F.concat(G.visible_text(F.col('html')), F.lit(' '), F.col('title'))), R.QUICK_TYPES), F.lit('Unknown')), f"coalesce({B.first_match(f"lower(concat({_TEXT_SQL}, ' ', title))", R.QUICK_TYPES)}, 'Unknown')"),
     },
     "d17_cms": {
-        'wordpress': (lambda: F.col('html').contains('wp-content'), "contains(html, 'wp-content')"),
-        'comments': (lambda: F.lower(F.col('html')).contains('comment'), "contains(lower(html), 'comment')"),
+        'wordpress': (lambda: G.page_structure(F.col('url'), F.expr(_CMS))['wordpress'], f"contains({_CMS}, '/wp-content/') OR contains({_CMS}, 'wp-json')"),
+        'comments': (lambda: G.page_structure(F.col('url'), F.expr(_CMS))['comments'], f"contains({_CMS}, 'disqus') OR contains({_CMS}, 'fb-comments')"),
+        'clickbait': (lambda: G.page_structure(F.expr("concat(url, " + B.pick(['Trending', 'believe', 'defying', 'celebrities', 'x'], 'id') + ")"), F.col('html'))['clickbait'], "id % 5 <> 4"),
     },
     "d18_merge_trackers": {
         'trackers': (lambda: F.array_join(O.merged_trackers(O.html_trackers(F.expr(_TAGGED)), O.url_tracker(F.col('landing'))), ','), f"array_to_string(list_sort(list_distinct(list_concat(string_split(nullif({_TRACKERS_SQL}, ''), ','), [{B.url_tracker('landing')}]))), ',')"),
@@ -208,18 +225,11 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'tracker': (lambda: P.widget_config(F.col('landing'))['tracker'], f"CASE WHEN {_has('lptoken')} THEN 'Custom/In-house' END"),
         'traffic_source': (lambda: P.widget_config(F.col('landing'))['traffic_source'], "'Revcontent'"),
     },
-    "e05_clickbank": {
-        'affiliate_id': (lambda: P.clickbank_ids(F.col('landing'))['affiliate_id'], f"CASE WHEN {_CB} THEN coalesce({B.param('landing', 'hop')}, CASE WHEN {_HOP} THEN split_part({B.host('landing')}, '.', 1) END) END"),
-        'offer_id': (lambda: P.clickbank_ids(F.col('landing'))['offer_id'], f"CASE WHEN {_HOP} AND len(string_split({B.host('landing')}, '.')) >= 5 THEN split_part({B.host('landing')}, '.', 2) END"),
-        'click_id': (lambda: P.clickbank_ids(F.col('landing'))['click_id'], f'CASE WHEN {_CB} THEN {B.param('landing', 'hopId')} END'),
-    },
-    "e06_everflow": {k: (lambda k=k: P.everflow_ids(F.col('landing'))[k], f'CASE WHEN {_EF} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'oid'), ('affiliate_id', 'affid'), ('offer_domain', 'event_source_url'))},
-    "e07_hasoffers": {k: (lambda k=k: P.hasoffers_ids(F.col('landing'))[k], f'CASE WHEN {_HO} THEN {B.param('landing', p)} END') for k, p in (('offer_id', 'offer_id'), ('affiliate_id', 'aff_id'))},
+    "e05_clickbank": {k: (lambda k=k: P.clickbank_ids(F.expr(B.CODED))[k], _of(sql, B.CODED)) for k, sql in B.decoders(_C)["clickbank"].items()},
+    "e06_everflow": {k: (lambda k=k: P.everflow_ids(F.expr(B.CODED))[k], _of(sql, B.CODED)) for k, sql in B.decoders(_C)["everflow"].items()},
+    "e07_hasoffers": {k: (lambda k=k: P.hasoffers_ids(F.expr(B.CODED))[k], _of(sql, B.CODED)) for k, sql in B.decoders(_C)["hasoffers"].items()},
     "e08_impact": {k: (lambda k=k: P.impact_ids(F.col('landing'))[k], f'CASE WHEN {_IM} THEN {B.first_param('landing', names)} END') for k, names in (('affiliate_id', ['irpid', 'subid1']), ('offer_id', ['campaignid']), ('click_id', ['clickid']))},
-    "e09_digistore": {
-        'offer_id': (lambda: P.digistore_ids(F.col('landing'))['offer_id'], f"CASE WHEN {_DS} THEN nullif(regexp_extract({B.part('landing', 3)}, '/(?:redir|order|product)/([0-9]+)', 1), '') END"),
-        'affiliate_id': (lambda: P.digistore_ids(F.col('landing'))['affiliate_id'], f'CASE WHEN {_DS} THEN {B.first_param('landing', ['aff', 'affiliate'])} END'),
-    },
+    "e09_digistore": {k: (lambda k=k: P.digistore_ids(F.expr(B.CODED))[k], _of(sql, B.CODED)) for k, sql in B.decoders(_C)["digistore"].items()},
     "e10_generic_ids": {k: (lambda k=k: P.generic_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in (('affiliate_id', R.AFFILIATE_ALIASES), ('offer_id', R.OFFER_ALIASES), ('sub_id1', R.SUB_ALIASES), ('click_id', R.CLICK_ALIASES))},
     "e11_second_ids": {k: (lambda k=k: P.second_ids(F.col('landing'))[k], B.first_param('landing', names)) for k, names in R.SECOND_ALIASES.items()},
     "d07_param_ladder": {
@@ -227,23 +237,15 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'of_final': (lambda: P.network_by_params(F.col('final_url')), B.ladder('final_url')),
     },
     "f01_ad_score": {
-        'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), B.ad_score_sql('landing', 'final_url', 'html')),
-        'verdict': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.col('html')), F.col('html')), f"CASE WHEN {B.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate' WHEN {B.ad_score_sql('landing', 'final_url', 'html')} <= -2 THEN 'Arbitrage' ELSE {B.vote_sql('html')} END"),
+        'score': (lambda: S.ad_score(F.col('landing'), F.col('final_url'), F.expr(_BOUGHT))['score'], B.ad_score_sql('landing', 'final_url', _BOUGHT)),
+        'signals': (lambda: F.array_join(S.ad_score(F.col('landing'), F.col('final_url'), F.expr(_BOUGHT))['signals'], ','), "concat_ws(','," + ", ".join(f"CASE WHEN {t} THEN {B.q(n)} END" for t, (n, _) in zip(B.score_tests('landing', 'final_url', _BOUGHT), S.SCORED, strict=True)) + ")"),
+        'verdict': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.expr(_BOUGHT))['score'], F.expr(_BOUGHT))['ad_type'], f"CASE WHEN {B.ad_score_sql('landing', 'final_url', _BOUGHT)} >= 1 THEN 'Affiliate' WHEN {B.ad_score_sql('landing', 'final_url', _BOUGHT)} <= -3 THEN 'Arbitrage' ELSE {B.vote_sql(_BOUGHT)} END"),
+        'confidence': (lambda: S.score_verdict(S.ad_score(F.col('landing'), F.col('final_url'), F.expr(_BOUGHT))['score'], F.expr(_BOUGHT))['confidence'], f"CASE WHEN {B.ad_score_sql('landing', 'final_url', _BOUGHT)} >= 3 THEN 'high' WHEN {B.ad_score_sql('landing', 'final_url', _BOUGHT)} >= 1 OR {B.ad_score_sql('landing', 'final_url', _BOUGHT)} <= -3 OR {B.vote_sql(_BOUGHT)} <> 'Unknown' THEN 'medium' ELSE 'low' END"),
     },
     "f02_keyword_vote": {
         'vote': (lambda: S.keyword_vote(F.col('html')), B.vote_sql('html')),
         'title_vote': (lambda: S.keyword_vote(F.col('title')), B.vote_sql('title')),
     },
-    "f03_arbitrage_url": {
-        'score': (lambda: S.arbitrage_score(F.col('landing'), F.col('html')), f"CASE WHEN {B.any_in('lower(html)', [p for _, ps in R.FINGERPRINTS for p in ps])} THEN {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} + {B.weighted('lower(html)', R.ARBITRAGE_WORDS)} ELSE 0 END"),
-    },
-    "f06_offer_type": {
-        'best': (lambda: S.offer_type(F.col('html'))['best'], B.offer_type_sql('html')[0]),
-        'score': (lambda: S.offer_type(F.col('html'))['score'], B.offer_type_sql('html')[1]),
-    },
-    "f09_density_override": {
-        'verdict': (lambda: F.when((F.col('ad_type') != 'Affiliate') & F.col('html').contains('class="ad"'), 'Arbitrage').otherwise(F.col('ad_type')), 'CASE WHEN ad_type <> \'Affiliate\' AND contains(html, \'class="ad"\') THEN \'Arbitrage\' ELSE ad_type END'),
-    },
     "f12_certainty": {
         'offer': (lambda: F.when(O.reject_reason(F.col('final_url')).isNull() & (F.col('final_url') != F.col('landing')), F.col('final_url')), f'CASE WHEN {B.reject_reason('final_url')} IS NULL AND final_url <> landing THEN final_url END'),
     },

@@ -77,20 +77,21 @@ _HELD = "CASE WHEN id % 5 = 0 THEN map('hyros_data', 'x', '__vl_cid', concat('js
 _E13_POOL = "p AS (SELECT id, 0 AS hop, landing AS url FROM ads UNION ALL SELECT id, 1, url FROM ads UNION ALL SELECT id, 2, final_url FROM ads)"
 
 
-def _last(names: list[str], alias: str) -> str:
-    return f"arg_max({B.first_param('url', names)}, hop) FILTER ({B.first_param('url', names)} IS NOT NULL) AS {alias}"
+def _last(k: str, alias: str) -> str:
+    return f"arg_max({k}, hop) FILTER ({k} IS NOT NULL) AS {alias}"
 
 
-@query("e13_offer_intelligence", f"""{_E13_POOL}, i AS (SELECT id, {_last(R.AFFILIATE_ALIASES, 'affiliate_id')}, {_last(R.OFFER_ALIASES, 'offer_id')}, {_last(R.SUB_ALIASES, 'sub_id1')}, {_last(R.CLICK_ALIASES, 'click')}, count(DISTINCT url) AS pool_size FROM p GROUP BY id),
+@query("e13_offer_intelligence", f"""{_E13_POOL}, q AS (SELECT id, hop, url, {', '.join(f"{B.decoded('url', k)} AS {k}" for k in P.DECODED)} FROM p),
+ i AS (SELECT id, {_last('affiliate_id', 'affiliate_id')}, {_last('offer_id', 'offer_id')}, {_last('sub_id1', 'sub_id1')}, {_last('sub_id2', 'sub_id2')}, {_last('click_id', 'click')}, {_last('offer_domain', 'told_domain')}, count(DISTINCT url) AS pool_size FROM q GROUP BY id),
  u AS (SELECT id, arg_min(tr, hop) AS tr FROM (SELECT id, hop, {B.url_tracker('url')} AS tr FROM p) WHERE tr IS NOT NULL GROUP BY id),
  k AS (SELECT a.id, coalesce(u.tr, {B.page_tracker('a.html')}, CASE WHEN a.id % 5 = 0 THEN 'Voluum' END) AS tracker FROM ads a LEFT JOIN u ON u.id = a.id),
  c AS ({B.offer_choice("ads", "final_url", ["landing", "url"], REAL, DOMAIN, "landing")}),
- r AS (SELECT a.id, n.network AS tier, n.confidence, k.tracker, i.affiliate_id, i.offer_id, i.sub_id1, coalesce(i.click, CASE WHEN a.id % 5 = 0 THEN concat('js', a.id) END) AS click_id, c.offer, c.method, c.needs_review, v.vertical, g.page_type, t.source AS traffic_source, i.pool_size, w.widget_id, w.content_id, w.publisher_site, d.kind AS cloaking,
- CASE {B.two_labels('a.final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END AS known_program, l.by_params AS parameter_network,
+ r AS (SELECT a.id, n.network AS tier, n.confidence, k.tracker, i.affiliate_id, i.offer_id, i.sub_id1, i.sub_id2, i.told_domain, coalesce(i.click, CASE WHEN a.id % 5 = 0 THEN concat('js', a.id) END) AS click_id, c.offer, c.method, c.needs_review, v.vertical, g.page_type, t.source AS traffic_source, i.pool_size, w.widget_id, w.content_id, w.publisher_site, {B.cloaking_kind('a.landing', 'a.final_url')} AS cloaking,
+ CASE {B.registered_domain('a.final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END AS known_program, l.by_params AS parameter_network,
  {B.one_of(B.host('a.final_url'), R.PRELANDERS)} OR ({B.param('a.final_url', 'cep')} IS NOT NULL AND ({' OR '.join(f"{B.param('a.final_url', x)} IS NOT NULL" for x in ('lptoken', 'widget_id', 'boost_id'))})) AS prelander
  FROM ads a LEFT JOIN {sub('d05_network_of_pool')} n ON n.id = a.id LEFT JOIN k ON k.id = a.id LEFT JOIN i ON i.id = a.id LEFT JOIN c ON c.id = a.id LEFT JOIN {sub('d12_vertical')} v ON v.id = a.id
- LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id LEFT JOIN {sub('d15_traffic_source')} t ON t.id = a.id LEFT JOIN {sub('e04_widget_config')} w ON w.id = a.id LEFT JOIN {sub('d11_cloaking')} d ON d.id = a.id LEFT JOIN {sub('d07_param_ladder')} l ON l.id = a.id)
- SELECT id, coalesce(tier, known_program, CASE WHEN affiliate_id IS NOT NULL OR offer_id IS NOT NULL THEN 'Direct Affiliate' END) AS network, confidence, tracker, affiliate_id, offer_id, sub_id1, click_id, offer, method, needs_review, {B.two_labels('offer')} AS offer_domain, vertical, page_type, traffic_source, widget_id, content_id, publisher_site, known_program, parameter_network, cloaking, pool_size, prelander FROM r""")
+ LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id LEFT JOIN {sub('d15_traffic_source')} t ON t.id = a.id LEFT JOIN {sub('e04_widget_config')} w ON w.id = a.id LEFT JOIN {sub('d07_param_ladder')} l ON l.id = a.id)
+ SELECT id, coalesce(tier, known_program, CASE WHEN affiliate_id IS NOT NULL OR offer_id IS NOT NULL THEN 'Direct Affiliate' END) AS network, confidence, tracker, affiliate_id, offer_id, sub_id1, sub_id2, told_domain, click_id, offer, method, needs_review, {B.registered_domain('offer')} AS offer_domain, vertical, page_type, traffic_source, widget_id, content_id, publisher_site, known_program, parameter_network, cloaking, pool_size, prelander FROM r""")
 def _(s, d):
     a = B.ads(s, d).withColumn("captured", F.array("url")).withColumn("variables", F.expr(_HELD)).withColumn("real", F.expr(REAL)).withColumn("domain", F.expr(DOMAIN))
     record = OF.offer_intelligence(a, "landing", "final_url", "captured", "html", "variables", "real", "domain")
@@ -99,50 +100,6 @@ def _(s, d):
 
 # ---- verdicts ----
 
-FORCED = ["news.example.org", "trendygadgetreviews.com"]
-_AD = 'class="ad"'
-
-
-@query("f04_cascade", f"""SELECT id, CASE WHEN {B.host('landing')} IN ({', '.join(map(B.q, FORCED))}) THEN 'Arbitrage:forced' WHEN {B.any_in('lower(final_url)', R.AFFILIATE_PARAMS)} THEN 'Affiliate:marker'
- WHEN contains(html, '{_AD}') AND {B.weighted('lower(landing)', R.ARBITRAGE_URLS)} >= 2 THEN 'Arbitrage:fingerprint' WHEN {B.ad_score_sql('landing', 'final_url', 'html')} >= 1 THEN 'Affiliate:score'
- WHEN {B.vote_sql('html')} <> 'Unknown' THEN concat({B.vote_sql('html')}, ':words') ELSE 'Unknown:none' END AS verdict FROM ads""")
-def _(s, d):
-    land, last, page = F.col("landing"), F.col("final_url"), F.col("html")
-    vote = S.keyword_vote(page)
-    verdict = (
-        F.when(U.host(land).isin(*FORCED), F.lit("Arbitrage:forced"))
-        .when(O.contains_any(F.lower(last), R.AFFILIATE_PARAMS), "Affiliate:marker")
-        .when(page.contains(_AD) & (O.weighted(F.lower(land), R.ARBITRAGE_URLS) >= 2), "Arbitrage:fingerprint")
-        .when(S.ad_score(land, last, page) >= 1, "Affiliate:score")
-        .when(vote != "Unknown", F.concat(vote, F.lit(":words")))
-        .otherwise("Unknown:none")
-    )
-    return B.ads(s, d).select("id", verdict.alias("verdict"))
-
-
-_TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-_CHALLENGE = "just a moment|checking your browser|please wait|redirecting"
-_VALID_SQL = f"CASE WHEN regexp_matches(lower({_TEXT_SQL}), '{_CHALLENGE}') THEN 'tracking_redirect_page' WHEN length({_TEXT_SQL}) < 400 THEN 'thin_content' WHEN {B.weighted('lower(html)', [('taboola', 3), ('outbrain', 3), ('adsbygoogle', 3), (_AD, 5)])} >= 5 THEN 'arbitrage_page' END"
-
-
-def _invalid() -> Column:
-    body = F.lower(G.visible_text(F.col("html")))
-    ads = O.weighted(F.lower("html"), [("taboola", 3), ("outbrain", 3), ("adsbygoogle", 3), (_AD, 5)])
-    return F.when(body.rlike(_CHALLENGE), "tracking_redirect_page").when(F.length(body) < 400, "thin_content").when(ads >= 5, "arbitrage_page")
-
-
-@query("f05_page_validity", f"SELECT id, {_VALID_SQL} AS reason FROM ads")
-def _(s, d):
-    return B.ads(s, d).select("id", _invalid().alias("reason"))
-
-
-@query("f13_offer_validation", f"SELECT a.id, coalesce(CASE WHEN h.health <> 'ok' THEN h.health END, {_VALID_SQL}, 'valid') AS verdict, CASE WHEN h.health = 'ok' AND {_VALID_SQL} IS NULL THEN {B.offer_type_sql('html')[0]} END AS offer_type FROM ads a JOIN {sub('f11_fetch_health')} h ON h.id = a.id")
-def _(s, d):
-    rows = B.ads(s, d).select("id", _invalid().alias("bad"), S.offer_type(F.col("html"))["best"].alias("best")).join(of("f11_fetch_health", s, d), "id")
-    verdict = F.coalesce(F.when(F.col("health") != "ok", F.col("health")), F.col("bad"), F.lit("valid"))
-    return rows.select("id", verdict.alias("verdict"), F.when(verdict == "valid", F.col("best")).alias("offer_type"))
-
-
 @query("n04_fill_language", f"SELECT id, CASE WHEN language <> '' THEN language WHEN regexp_matches(title, '[\\x{{0600}}-\\x{{06FF}}]') THEN 'ar' ELSE 'en' END AS language FROM ads")
 def _(s, d):
     # titles are too short for other than script and the default here; T.language reads both
@@ -181,7 +138,7 @@ def _web(u: str) -> str:
 
 _G4_PARTS = [(0, "final_url", "json", 7), (1, _web("landing"), "script", 5), (2, _web("final_url"), "onclick", 6), (3, "final_url", "noscript", 7), (4, _web("final_url"), "script", 5), (4, _web("landing"), "script", 5)]
 _G4_SQL = "c AS (" + " UNION ALL ".join(f"SELECT id, url, {i} AS nth, {u} AS link, '{m}' AS method, {n} AS base FROM ads WHERE id % 6 = {k}" for i, (k, u, m, n) in enumerate(_G4_PARTS)) + f"""),
- v AS (SELECT *, CASE WHEN {B.two_labels('link')} = {B.two_labels('url')} THEN 1 ELSE base END + {B.weighted('lower(link)', LR.BOOSTS)} AS score FROM c WHERE starts_with(link, 'http') AND NOT {B.any_in('lower(link)', LR.DEEP_SKIP)} AND {B.reject_reason('link')} IS NULL),
+ v AS (SELECT *, CASE WHEN {B.registered_domain('link')} = {B.registered_domain('url')} THEN 1 ELSE base END + {B.weighted('lower(link)', LR.BOOSTS)} AS score FROM c WHERE starts_with(link, 'http') AND NOT {B.any_in('lower(link)', LR.DEEP_SKIP)} AND {B.reject_reason('link')} IS NULL),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, nth) AS n FROM v) WHERE n = 1)
  SELECT ads.id AS page_id, b.link, b.method, b.score FROM ads LEFT JOIN b ON b.id = ads.id"""
 
@@ -258,12 +215,12 @@ def _(s, d):
 
 
 _KEYS = ("3", "7", "40005", "example.net", "getretinaclear.com", "KETO-SHOP2", "hop.clickbank", "digistore24.com/redir/1", "no such offer", "x1")
-_OFFERED = f"o AS (SELECT id, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.two_labels('final_url')} AS offer_domain, final_url, landing, created_day FROM ads)"
+_OFFERED = f"o AS (SELECT id, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.registered_domain('final_url')} AS offer_domain, final_url, landing, created_day FROM ads)"
 
 
 @query("i11_lookup_cascade", f"k AS (SELECT unnest([{', '.join(map(B.q, _KEYS))}]) AS key), {_OFFERED}, h AS (SELECT key, CASE WHEN offer_id = key THEN 1 WHEN offer_domain = key THEN 2 WHEN contains(lower(final_url), lower(key)) THEN 3 WHEN contains(lower(landing), lower(key)) THEN 4 END AS level, id, created_day FROM k CROSS JOIN o), m AS (SELECT *, min(level) OVER (PARTITION BY key) AS best FROM h WHERE level IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_day DESC, id DESC) AS nth FROM m WHERE level = best) SELECT key, level, id FROM n WHERE nth <= 50")
 def _(s, d):
-    a = B.ads(s, d).select("id", P.generic_ids(F.col("landing"))["offer_id"].alias("offer_id"), U.two_labels(F.col("final_url")).alias("offer_domain"), "final_url", "landing", "created_day")
+    a = B.ads(s, d).select("id", P.generic_ids(F.col("landing"))["offer_id"].alias("offer_id"), U.registered_domain(F.col("final_url")).alias("offer_domain"), "final_url", "landing", "created_day")
     return LK.lookup_cascade(s.createDataFrame([(k,) for k in _KEYS], "key string"), a, "created_day")
 
 

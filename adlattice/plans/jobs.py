@@ -40,8 +40,11 @@ t = B.table
 
 # ---- sources and sinks ----
 
-ANCHORS_SQL = rf"""a AS (SELECT id, url, unnest(regexp_extract_all(html, {B.q(G.ANCHOR)}, 1)) AS href,
- unnest(regexp_extract_all(html, {B.q(G.ANCHOR)}, 2)) AS text, generate_subscripts(regexp_extract_all(html, {B.q(G.ANCHOR)}, 1), 1) - 1 AS pos FROM ads)"""
+_A = G.element_pattern(["a"], G.PLAIN_ATTRIBUTES)
+_OWN = f"regexp_replace(html, {B.q(G.ASIDE)}, ' ', 'g')"
+ANCHORS_SQL = rf"""a0 AS (SELECT id, url, unnest(regexp_extract_all({_OWN}, {B.q(_A)}, 2)) AS rest,
+ unnest(regexp_extract_all({_OWN}, {B.q(_A)}, 3)) AS inn, generate_subscripts(regexp_extract_all({_OWN}, {B.q(_A)}, 1), 1) - 1 AS pos FROM ads),
+ a AS (SELECT id, url, pos, {B.attribute('rest', 'href')} AS href, trim(regexp_replace(regexp_replace(inn, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM a0 WHERE {B.attribute('rest', 'href')} <> '')"""
 ABS = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN concat(lower({B.part('url', 1)}), ':', href) WHEN starts_with(href, '/') THEN concat(lower({B.part('url', 1)}), '://', {B.part('url', 2)}, href) WHEN starts_with(href, '#') THEN concat(regexp_extract(url, '^[^#]*'), href) ELSE concat(lower({B.part('url', 1)}), '://', {B.part('url', 2)}, CASE WHEN regexp_extract({B.part('url', 3)}, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({B.part('url', 3)}, '^(.*/)', 1) END, href) END"
 
 
@@ -166,11 +169,6 @@ def _(s, d):
     return O.match_hosts(rows, "id", "host", O.rule_table(s, R.AFFILIATE_HOSTS))
 
 
-@query("c13_likely_cta", f"{ANCHORS_SQL} SELECT id AS page_id, pos FROM a WHERE regexp_matches(text, '(?i)^(buy|order|next|read|more|to|in)')")
-def _(s, d):
-    return G.anchors(t(s, d, "pages")).where(F.col("text").rlike("(?i)^(buy|order|next|read|more|to|in)")).select("page_id", F.col("pos").cast("long"))
-
-
 @query("c20_review_queue", "SELECT id FROM ads WHERE ad_type = 'Affiliate' AND affiliate_network IS NULL")
 def _(s, d):
     return B.ads(s, d).where("ad_type = 'Affiliate' AND affiliate_network IS NULL").select("id")
@@ -179,24 +177,6 @@ def _(s, d):
 # ---- html ----
 
 
-@query("f07_ad_density", rf"b AS (SELECT id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), {B.q(G.BLOCK)}, 0) AS tags FROM ads), c AS (SELECT id, len(tags) AS blocks, len(list_filter(tags, lambda x: regexp_matches(x, '(?i)(?:class|id)=[\x22''][^\x22'']*\b(ad|ads|advert|sponsor|promo|banner|taboola|outbrain|mgid)\b'))) AS n FROM b) SELECT id AS page_id, blocks, n AS ads, blocks > 0 AND (n > 10 OR n * 100 > blocks * 8) AS high FROM c")
-def _(s, d):
-    rows = t(s, d, "pages").select("page_id", G.ad_density(F.col("html")).alias("x")).select("page_id", "x.*")
-    return rows.withColumn("high", (F.col("blocks") > 0) & ((F.col("ads") > 10) | (F.col("ads") * 100 > F.col("blocks") * 8)))
-
-
-@query("f08_page_structure", "SELECT id AS page_id, len(regexp_extract_all(html, '(?i)next page|page=[0-9]+', 0)) AS paging, CASE WHEN contains(html, 'class=\"ad\"') THEN 'publisher' ELSE 'page' END AS guess FROM ads")
-def _(s, d):
-    return t(s, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?i)next page|page=[0-9]+"), F.lit(0))).cast("long").alias("paging"), F.when(F.col("html").contains('class="ad"'), "publisher").otherwise("page").alias("guess"))
-
-
-@query("g05_affiliate_from_html", f"{ANCHORS_SQL}, c AS (SELECT id, pos, {ABS} AS link FROM a) SELECT id AS page_id, arg_min(link, (CASE WHEN contains(link, 'ref=') THEN 0 ELSE 1 END) * 100000 + pos) AS link FROM c WHERE contains(link, '=') GROUP BY id")
-def _(s, d):
-    links = G.anchors(t(s, d, "pages")).where(F.col("absolute").contains("="))
-    order = F.struct((~F.col("absolute").contains("ref=")).cast("int").alias("a"), F.col("pos"))
-    return links.groupBy("page_id").agg(F.min_by("absolute", order).alias("link"))
-
-
 _G2 = """CASE id % 4 WHEN 0 THEN concat('<p>x</p><a class="big buy-button" href="', final_url, '">buy</a><a href="https://q.example.net/product">p</a>') WHEN 1 THEN concat('<a href="https://o.example.net/deal/', id, '">d</a>')
  WHEN 2 THEN concat('<a href="https://q.example.net/abcdefgh?x=', id, '">q</a>') ELSE '<a href="https://q.example.net/x">x</a><a href="https://q.example.net/product">p</a>' END"""
 
@@ -217,19 +197,11 @@ def _(s, d):
     return B.ads(s, d).select(F.col("id").alias("page_id"), G.meta_refresh(page).alias("target"))
 
 
-@query("g09_title_text", r"SELECT id AS page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM ads")
+@query("g09_title_text", f"SELECT id AS page_id, {B.title('html')} AS title, length({B.text('html')}) AS n FROM ads")
 def _(s, d):
     return t(s, d, "pages").select("page_id", G.title(F.col("html")).alias("title"), F.length(G.visible_text(F.col("html"))).cast("long").alias("n"))
 
 
-@query("d09_ad_networks", "f AS (SELECT id, unnest([" + ", ".join(f"{{'name': {B.q(n)}, 'o': {i}, 'n': {B.weighted('lower(html)', [(p, 1) for p in ps])}}}" for i, (n, ps) in enumerate(R.FINGERPRINTS)) + "]) AS f FROM ads) SELECT id AS page_id, f.name AS name, f.n::BIGINT AS n, row_number() OVER (PARTITION BY id ORDER BY f.n DESC, f.o) = 1 AS is_primary FROM f WHERE f.n > 0")
-def _(s, d):
-    body = F.lower("html")
-    found = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(i).alias("o"), O.weighted(body, [(p, 1) for p in ps]).cast("long").alias("n")) for i, (n, ps) in enumerate(R.FINGERPRINTS)))
-    rows = t(s, d, "pages").select("page_id", F.explode(F.filter(found, lambda f: f["n"] > 0)).alias("f")).select("page_id", "f.*")
-    return rows.select("page_id", "name", "n", (F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "o")) == 1).alias("is_primary"))
-
-
 # ---- chains: hops of a chain are three URLs of an ad ----
 
 HOPS_SQL = "hops AS (SELECT id, 0 AS hop, landing AS url FROM ads UNION ALL SELECT id, 1, url FROM ads UNION ALL SELECT id, 2, final_url FROM ads)"
@@ -335,10 +307,10 @@ def _(s, d):
     return rows.groupBy("id").agg(F.max_by("url", "hop").alias("url"))
 
 
-@query("h18_foreign_responses", f"{HOPS_SQL} SELECT h.id, string_agg(DISTINCT h.url, ' ' ORDER BY h.url) AS urls FROM hops h JOIN ads a ON a.id = h.id WHERE {B.two_labels('h.url')} <> {B.two_labels('a.url')} AND {B.meaningful('h.url')} GROUP BY h.id")
+@query("h18_foreign_responses", f"{HOPS_SQL} SELECT h.id, string_agg(DISTINCT h.url, ' ' ORDER BY h.url) AS urls FROM hops h JOIN ads a ON a.id = h.id WHERE {B.registered_domain('h.url')} <> {B.registered_domain('a.url')} AND {B.meaningful('h.url')} GROUP BY h.id")
 def _(s, d):
-    home = B.ads(s, d).select("id", U.two_labels(F.col("url")).alias("home"))
-    rows = _hops(s, d).where(O.meaningful(F.col("url"))).withColumn("domain", U.two_labels(F.col("url")))
+    home = B.ads(s, d).select("id", U.registered_domain(F.col("url")).alias("home"))
+    rows = _hops(s, d).where(O.meaningful(F.col("url"))).withColumn("domain", U.registered_domain(F.col("url")))
     return rows.join(home, "id").where("domain <> home").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
 
 
@@ -367,10 +339,15 @@ def _(s, d):
     return of_page.join(hit, "id", "left").select("id", F.coalesce("tr", "of_page").alias("tracker"))
 
 
-@query("e12_pool_merge", f"{HOPS_SQL}, v AS (SELECT id, hop, {B.first_param('url', R.AFFILIATE_ALIASES)} AS a, {B.first_param('url', R.OFFER_ALIASES)} AS o FROM hops) SELECT id, arg_max(a, hop) FILTER (a IS NOT NULL) AS affiliate_id, arg_max(o, hop) FILTER (o IS NOT NULL) AS offer_id FROM v GROUP BY id")
+_POOL = f"hops AS (SELECT id, 0 AS hop, landing AS url FROM ads UNION ALL SELECT id, 1, {B.CODED} FROM ads UNION ALL SELECT id, 2, final_url FROM ads WHERE id % 2 = 0)"
+
+
+@query("e12_pool_merge", f"{_POOL}, v AS (SELECT id, hop, {', '.join(f'{B.decoded("url", k)} AS {k}' for k in P.DECODED)} FROM hops) SELECT id, {', '.join(f'arg_max({k}, hop) FILTER ({k} IS NOT NULL) AS {k}' for k in P.DECODED)} FROM v GROUP BY id")
 def _(s, d):
-    ids = P.generic_ids(F.col("url"))
-    return H.last_values(_hops(s, d), "id", {k: ids[k] for k in ("affiliate_id", "offer_id")})
+    pool = F.array(F.col("landing"), F.expr(B.CODED), F.when(F.col("id") % 2 == 0, F.col("final_url")))
+    hops = H.hops_of(B.ads(s, d).select("id", pool.alias("urls")), "id", "urls").where("url IS NOT NULL")
+    hops = hops.withColumn("pairs", U.pairs(F.col("url")))
+    return H.last_values(hops, "id", P.decoded_ids(F.col("url"), lambda n: U.value_of(F.col("pairs"), n)))
 
 
 _E1 = (("offer_id", ("offerId", "offer_id", "oid")), ("affiliate_id", ("affiliateId", "affiliate_id", "aid", "pubId")), ("campaign_id", ("campaignId",)), ("click_id", ("clickId",)), ("traffic_source_id", ("trafficSourceId",)))
@@ -442,24 +419,15 @@ def _(s, d):
 
 # ---- profiles ----
 
-PROFILE_SQL = "SELECT l_suppkey AS advertiser, count(DISTINCT l_returnflag) AS networks, count(DISTINCT l_partkey) AS offers, sum(l_quantity) AS impressions, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_suppkey"
-
-
-def _profile(s, d, key: str, name: str, other: str, count: str) -> DataFrame:
-    # distinct pairs first, so a hot entity is summed up before it is dealt out
-    pairs = t(s, d, "lineitem").groupBy(key, "l_returnflag", other).agg(F.sum("l_quantity").alias("q"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
-    return pairs.groupBy(F.col(key).alias(name)).agg(F.countDistinct("l_returnflag").alias("networks"), F.countDistinct(other).alias(count), F.sum("q").alias("impressions"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
-
-
 _NEWEST = "(list({c} ORDER BY created_day DESC, id) FILTER (nullif({c}, '') IS NOT NULL))[1]"
 _SET = "list_sort(list(DISTINCT {c}) FILTER (nullif({c}, '') IS NOT NULL))"
-_PROFILED = f"o AS (SELECT *, {B.host('landing')} AS advertiser, {B.two_labels('final_url')} AS offer, {B.two_labels('final_url')} AS offer_domain, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.first_param('landing', R.AFFILIATE_ALIASES)} AS affiliate_id, {B.first_match('lower(final_url)', R.VERTICALS)} AS vertical FROM ads)"
+_PROFILED = f"o AS (SELECT *, {B.host('landing')} AS advertiser, {B.registered_domain('final_url')} AS offer, {B.registered_domain('final_url')} AS offer_domain, {B.first_param('landing', R.OFFER_ALIASES)} AS offer_id, {B.first_param('landing', R.AFFILIATE_ALIASES)} AS affiliate_id, {B.first_match('lower(final_url)', R.VERTICALS)} AS vertical FROM ads)"
 _COMMON = ", ".join(["count(*) AS ads", *(f"coalesce(array_to_string({_SET.format(c=c)}, ','), '') AS {n}" for c, n in (("network", "networks"), ("country_code", "geos"), ("tracker_tool", "trackers"))), f"coalesce({_NEWEST.format(c='affiliate_network')}, 'Direct/In-house') AS affiliate_network", "sum(coalesce(impressions, 1)) AS impressions", "min(created_day) AS first_seen", "max(created_day) AS last_seen"])
 
 
 def _profiled(s, d) -> DataFrame:
     ids = P.generic_ids(F.col("landing"))
-    rows = B.ads(s, d).withColumn("advertiser", U.host(F.col("landing"))).withColumn("offer", U.two_labels(F.col("final_url"))).withColumn("offer_domain", F.col("offer"))
+    rows = B.ads(s, d).withColumn("advertiser", U.host(F.col("landing"))).withColumn("offer", U.registered_domain(F.col("final_url"))).withColumn("offer_domain", F.col("offer"))
     return rows.withColumn("offer_id", ids["offer_id"]).withColumn("affiliate_id", ids["affiliate_id"]).withColumn("vertical", O.first_match(F.lower("final_url"), R.VERTICALS))
 
 
@@ -684,12 +652,6 @@ for _name, _policy, _cond in (("n05_fill_default", "default", "affiliate_network
         return B.ads(s, d).select("id", N.fill(F.col("affiliate_network"), O.affiliate_network(F.col("landing"))["network"], policy).alias("affiliate_network"))
 
 
-@query("n08_false_positives", f"SELECT id, CASE WHEN ad_type = 'Affiliate' AND {B.any_in('lower(final_url)', R.NOISE)} THEN 'Arbitrage' ELSE ad_type END AS ad_type, CASE WHEN ad_type = 'Affiliate' AND {B.any_in('lower(final_url)', R.NOISE)} THEN NULL ELSE affiliate_network END AS affiliate_network FROM ads")
-def _(s, d):
-    bad = (F.col("ad_type") == "Affiliate") & O.contains_any(F.lower("final_url"), R.NOISE)
-    return B.ads(s, d).select("id", F.when(bad, "Arbitrage").otherwise(F.col("ad_type")).alias("ad_type"), F.when(~bad, F.col("affiliate_network")).alias("affiliate_network"))
-
-
 @query("n10_repair_urls", f"SELECT id, 'landing' AS field, landing AS old_value, u3 AS new_value FROM (SELECT p.id, landing, u3 FROM ads JOIN ({B.peel('landing')}) p ON p.id = ads.id) WHERE u3 <> landing")
 def _(s, d):
     old = B.ads(s, d).select("id", "landing")

@@ -18,7 +18,7 @@ def one(spark, url, column):
 
 @pytest.mark.parametrize("url", ODD_URLS)
 def test_odd_urls_never_raise(spark, url):
-    every = [U.scheme, U.host, U.two_labels, U.strip_tracking, U.landing_key, U.blank_macros, U.origin, U.peel, U.peel_ad_server, U.clean_thumbnail, U.unescape, U.params, rules.meaningful, rules.reject_reason, rules.has_macro, rules.tracking_tool, rules.prelander]
+    every = [U.scheme, U.host, U.registered_domain, U.strip_tracking, U.landing_key, U.blank_macros, U.origin, U.peel, U.peel_ad_server, U.clean_thumbnail, U.unescape, U.params, rules.meaningful, rules.reject_reason, rules.has_macro, rules.tracking_tool, rules.prelander]
     spark.createDataFrame([(url,)], "u string").select(*(f(F.col("u")).alias(f"c{i}") for i, f in enumerate(every))).collect()
 
 
