@@ -171,12 +171,12 @@ def _(s, d):
 
 _LANDED = "CASE id % 9 WHEN 0 THEN 'https://www.buy.com/x' WHEN 1 THEN concat('https://amazon.com/', id) WHEN 2 THEN landing WHEN 3 THEN concat('https://news.example.org/trending/', id) WHEN 4 THEN concat('https://syndicatedsearch.goog/', id) WHEN 5 THEN concat('https://o.example.org/gallery/', id) ELSE concat('https://plain', id % 7, '.example.org/p') END"
 _READ = "concat(html, CASE id % 5 WHEN 0 THEN ' Read more' WHEN 1 THEN ' buy now' WHEN 2 THEN ' next page' ELSE '' END, CASE id % 17 WHEN 3 THEN ' voluumdata' WHEN 7 THEN '/go.php?' ELSE '' END)"
-_LAST = "CASE WHEN id % 3 = 0 THEN concat('https://x.example.net/offer/', id) WHEN id % 3 = 1 THEN concat('https://y.example.net/', id) ELSE final_url END"
+_LAST = "CASE WHEN id % 5 = 0 THEN concat('https://x.example.net/offer/', id) WHEN id % 5 < 3 THEN concat('https://y.example.net/', id) ELSE final_url END"
 _SCORE = B.ad_score_sql("land", "last", "page")
 
 
 @query("f04_cascade", f"""n AS ({QUERIES['d09_ad_networks'][1]}), g AS ({QUERIES['f08_page_structure'][1]}), i AS {sub('e13_offer_intelligence')}, b AS (SELECT id, {_LANDED} AS land, {_LAST} AS last, {_READ} AS page FROM ads),
- j AS (SELECT b.*, CASE WHEN b.id % 4 = 0 THEN n.network END AS code, CASE WHEN b.id % 3 <> 1 THEN g.paginated AND g.page_number >= 2 OR g.ad_count >= 3 ELSE false END AS shaped, CASE WHEN b.id % 2 = 0 THEN i.network END AS net, CASE WHEN b.id % 2 = 0 THEN i.affiliate_id END AS aff, CASE WHEN b.id % 2 = 0 THEN i.offer_id END AS off FROM b LEFT JOIN n ON n.id = b.id LEFT JOIN g ON g.id = b.id LEFT JOIN i ON i.id = b.id),
+ j AS (SELECT b.*, CASE WHEN b.id % 4 = 0 THEN n.network END AS code, CASE WHEN b.id % 7 < 3 THEN g.paginated AND g.page_number >= 2 OR g.ad_count >= 3 ELSE false END AS shaped, CASE WHEN b.id % 2 = 0 THEN i.network END AS net, CASE WHEN b.id % 2 = 0 THEN i.affiliate_id END AS aff, CASE WHEN b.id % 2 = 0 THEN i.offer_id END AS off FROM b LEFT JOIN n ON n.id = b.id LEFT JOIN g ON g.id = b.id LEFT JOIN i ON i.id = b.id),
  v AS (SELECT *, {_SCORE} AS score, CASE WHEN {_SCORE} >= 1 THEN 'Affiliate' WHEN {_SCORE} <= -3 THEN 'Arbitrage' ELSE {B.vote_sql('page')} END AS kind FROM j),
  z AS (SELECT *, CASE WHEN regexp_replace(lower({B.part('land', 2)}), '^www\\.', '') IN ({', '.join(map(B.q, S.FORCED))}) THEN 'Knowledge' WHEN {B.any_in('lower(land)', S.STRONG_MARKERS)} OR contains(page, 'voluumdata') OR contains(page, '/go.php?') THEN 'Signal'
   WHEN code IS NOT NULL OR {B.any_in('lower(land)', ['syndicatedsearch.goog', 'google.com/afs'])} THEN 'Instant' WHEN shaped THEN '3' WHEN aff IS NOT NULL OR off IS NOT NULL OR net NOT IN ('Unknown', 'No Network Detected') THEN '4' WHEN kind = 'Affiliate' THEN '5'
@@ -186,11 +186,10 @@ _SCORE = B.ad_score_sql("land", "last", "page")
  CASE stage WHEN 'Knowledge' THEN 'KNOWN_DOMAIN' WHEN 'Signal' THEN 'STRONG_AFFILIATE_SIGNAL_DETECTED' WHEN 'Instant' THEN concat('EXPLICIT_NETWORK_CODE_DETECTED: ', coalesce(code, 'Google AFD')) WHEN '3' THEN 'suspicious_structure_no_ad_code' WHEN '4' THEN concat('known_aff_signature_in_chain: ', coalesce(net, 'Unknown'))
   WHEN '5' THEN concat('scoring_system: ', score) WHEN 'BridgeHeuristic' THEN 'URL_PATH_AND_PAGINATION_MATCH' ELSE 'no_conclusive_signals' END AS reason, stage IN ('Instant', 'BridgeHeuristic') AS skip FROM z""")
 def _(s, d):
-    some = F.col("id") % 4 == 0
     networks = of("d09_ad_networks", s, d).select("id", F.when((F.col("id") % 4 == 0) & (F.col("networks") != ""), F.split("networks", ",")).otherwise(F.array().cast("array<string>")).alias("networks"))
     shape = of("f08_page_structure", s, d)
     bare = F.struct(F.lit(False).alias("paginated"), F.lit(1).alias("page_number"), F.lit(0).cast("long").alias("ad_count"))
-    shape = shape.select("id", F.when(F.col("id") % 3 != 1, F.struct("paginated", "page_number", "ad_count")).otherwise(bare).alias("structure"))
+    shape = shape.select("id", F.when(F.col("id") % 7 < 3, F.struct("paginated", "page_number", "ad_count")).otherwise(bare).alias("structure"))
     kept = lambda c: F.when(F.col("id") % 2 == 0, F.col(c)).alias(c)
     chain = of("e13_offer_intelligence", s, d).select("id", F.struct(kept("network"), kept("affiliate_id"), kept("offer_id")).alias("chain"))
     rows = B.ads(s, d).selectExpr("id", f"{_LANDED} AS land", f"{_LAST} AS last", f"{_READ} AS page").join(networks, "id").join(shape, "id").join(chain, "id")
