@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared checkpoint folder; keep one that is set."""
+    """Point the context at the shared checkpoint folder; keep one that is set. Without one, a
+    folder in the warehouse will do on a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            # Unset only in tests and on a single machine.
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         sc.setCheckpointDir(shared)
 

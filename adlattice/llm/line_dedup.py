@@ -149,8 +149,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A line whose key is found in at least LEAST_DOCS rows stays only in rows with the
     largest doc_id that holds it; null is smaller than any doc_id. Null and empty
-    texts are one empty line. Equal rows count each, and stay or lose lines alike. An empty
-    table gives none. Names of docs' columns can't clash.
+    texts are one empty line; whole texts are read, of any length. Equal rows count each,
+    and stay or lose lines alike. An empty table gives none. Names of docs' columns can't clash.
     """
     spark = docs.sparkSession
     bits = twice_filter(docs, filter_bits(int(n_lines(docs))))

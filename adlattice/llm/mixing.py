@@ -62,8 +62,8 @@ def assign(docs: DataFrame, buckets: int = 1024, seed: int = 23) -> DataFrame:
     target is met; the document at the end of the last pass is cut, so a source's
     taken words add up to its rounded target. position is the first copy's training
     time in 0..1, or 1 + its offset for documents that aren't taken. Null texts have
-    no words; null sources are a source of their own; repeated rows count each.
-    Other columns don't matter. Rows come range-sorted by position.
+    no words; null sources are a source of their own; repeated rows count each; texts may be
+    of any length. An empty table gives no rows. Other columns don't matter. Rows come range-sorted by position.
     """
     narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     same = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_copies"))

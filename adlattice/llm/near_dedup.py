@@ -291,7 +291,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Documents without words (null and empty ones too) are each their own class; equal
     texts are one class. Repeated rows count each in class_size. An empty table gives no
-    rows. Columns other than doc_id and text are not read.
+    rows. Whole texts are read, of any length, in the tasks that hold them. Columns other than doc_id and text are not read.
     """
     rows = rooted(docs, similar_texts(docs, least))
     named = rows.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -156,7 +156,8 @@ def listed(spans: list[tuple]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id with counts, spans and the highest score for every row; null is empty.
 
-    Spans of different kinds may overlap; repeated rows give repeated results; columns
+    Spans of different kinds may overlap; repeated rows give repeated results; an empty
+    table gives none. Whole texts are read, of any length, in time linear in it. Columns
     other than doc_id and text are not read.
     """
 

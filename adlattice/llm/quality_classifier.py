@@ -8,8 +8,8 @@ Only documents are labelled, so line labels are latent. The field is first fitte
 each line taking its document's label; then lines of bad documents that look good by
 themselves count as good by half, up to half of a document's text, and the field is
 fitted again, so that it learns where good and bad lines meet. The sample of labelled
-documents is bounded; of a very long one, runs of lines spread over all of it are taken.
-Only features of that sample reach the driver.
+documents is bounded by their number and by their lines; its texts are learned whole, long
+ones as several chains. Only features of that sample reach the driver.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Bounds of the training sample: documents; lines of a document that is taken whole; and of
-#: a longer one, runs of lines, evenly spread from its first line to its last, and their length.
-TRAIN_DOCS, TRAIN_LINES, RUNS, RUN = 4000, 200, 8, 25
+#: Bounds of the training sample: documents, and the lines of all of them together.
+TRAIN_DOCS, TRAIN_LINES = 4000, 400_000
+CHAIN = 200  # lines of a chain in training; longer texts are several, one after another
 THRESHOLD = 0.7
 
 _SYMBOLS = b"#*$%&|<>"
@@ -170,11 +170,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: list[np.ndarray] |
     return {"w": theta[:WIDTH], "trans": theta[WIDTH:].reshape(2, 2), "mean": mean, "scale": scale}
 
 
-def sampled(n: int) -> list[slice]:
-    """The runs of a document's n lines that are trained on."""
-    if n <= TRAIN_LINES:
-        return [slice(0, n)]
-    return [slice(at, at + RUN) for at in ((n - RUN) * i // (RUNS - 1) for i in range(RUNS))]
+def chains(n: int) -> list[slice]:
+    """A document's n lines as chains that are trained on; together they are all of it."""
+    return [slice(at, at + CHAIN) for at in range(0, n, CHAIN)]
 
 
 def held_out(doc_id: str) -> Column:
@@ -182,18 +180,29 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
-    """The model from at most `most` labelled rows that aren't held out: those with the
-    smallest hashes of doc_id. A doc_id with several labels counts with their mean's side.
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> dict:
+    """The model from a sample of labelled rows that aren't held out: those with the smallest
+    hashes of doc_id, at most `most` of them, as far as all their lines are at most
+    `most_lines`; a row that would exceed that is passed over. Their texts are learned
+    whole. A doc_id with several labels counts with their mean's side.
 
     Null labels and doc_ids take no part; a null text is one empty line; of repeated
-    documents all rows up to `most` are taken. Without rows, or with one label only,
+    documents all rows up to the bounds are taken. Without rows, or with one label only,
     every text scores at the base rate. Only doc_id, text and quality are read.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `most` rows
+    lines = rows.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
+    lines = lines.orderBy(F.xxhash64("doc_id"), "doc_id", "lines").limit(most).groupBy("doc_id").agg(F.sum("lines").alias("lines"))
+    taken, left = [], most_lines
+    for r in lines.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # two numbers for each row of the sample
+        if r.lines <= left:
+            taken.append((r.doc_id,))
+            left -= r.lines
+    if taken:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, docs.select("doc_id").schema)), "doc_id")
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in parts:
@@ -201,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
             yield {
                 "doc_id": part["doc_id"],
                 "good": part["_good"],
-                "x": [[x[r].astype("<f4").tobytes() for r in sampled(len(x))] for x, _ in made],
-                "w": [[w[r].astype("<f4").tobytes() for r in sampled(len(w))] for _, w in made],
+                "x": [[x[r].astype("<f4").tobytes() for r in chains(len(x))] for x, _ in made],
+                "w": [[w[r].astype("<f4").tobytes() for r in chains(len(w))] for _, w in made],
             }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -228,7 +237,8 @@ def score_texts(texts: list[str | None], model: dict) -> list[float]:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score and predicted for every row. A null or empty text is one
-    empty line; repeated rows score alike; only doc_id and text are read."""
+    empty line; repeated rows score alike; only doc_id and text are read. Whole texts are
+    scored, of any length; an empty table gives no rows."""
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in parts:

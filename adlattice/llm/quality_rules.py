@@ -18,15 +18,16 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 MOST_LOST = 50  # per cent of the words' characters
 
-#: Fixed phrases of menus and footers, in English, German, French and Spanish.
+#: Fixed phrases of menus and footers, in English, German, French and Spanish, without regard
+#: to case, letters with accents included.
 NAVIGATION = (
-    r"(?i)^(skip to (main )?content|read more|click here|share this|next page|previous page|back to top|sign in|log in|sign up|main menu"
+    r"(?iu)^(skip to (main )?content|read more|click here|share this|next page|previous page|back to top|sign in|log in|sign up|main menu"
     r"|zum inhalt( springen)?|mehr lesen|weiterlesen|hier klicken|nächste seite|vorherige seite|nach oben|anmelden|registrieren|hauptmenü"
     r"|aller au contenu|lire la suite|cliquez ici|page suivante|page précédente|haut de page|se connecter|s'inscrire|menu principal"
-    r"|ir al contenido|leer más|haga clic aquí|página siguiente|página anterior|volver arriba|iniciar sesión|registrarse|menú principal)\b"
+    r"|ir al contenido|leer más|haga clic aquí|página siguiente|página anterior|volver arriba|iniciar sesión|registrarse|menú principal)(?:[^\p{L}\p{N}_]|$)"
 )
 BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|powered by|enable javascript|subscribe to our|this site uses cookies"
+    r"(?iu)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|powered by|enable javascript|subscribe to our|this site uses cookies"
     r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|diese website verwendet cookies|newsletter abonnieren"
     r"|tous droits réservés|politique de confidentialité|conditions d'utilisation|ce site utilise des cookies|abonnez-vous à"
     r"|todos los derechos reservados|política de privacidad|condiciones de uso|este sitio utiliza cookies|suscríbase a)"
@@ -117,8 +118,8 @@ def _verdicts(docs: DataFrame, fields: tuple[str, ...] = ADDED) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """docs with the measures, `base_failed`, `kept`, `n_removed_lines` and `clean_text`.
 
-    Null and empty texts have no words, so they fail. Lines without words stay as they
-    are. Other columns pass unchanged; a column of docs that has the name of an added
+    Null and empty texts have no words, so they fail; whole texts are read, of any length.
+    Lines without words stay as they are. Other columns pass unchanged; a column of docs that has the name of an added
     one is replaced, no other name can clash. Repeated rows are judged each for itself; an
     empty table stays so.
     """
@@ -147,8 +148,9 @@ def clean(docs: DataFrame) -> DataFrame:
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def _sql(text: str) -> str:
-    return text.replace("'", "''")
+def _sql(pattern: str) -> str:
+    """A pattern as DuckDB reads it: there, case is folded for all letters anyway."""
+    return pattern.replace("'", "''").replace("(?iu)", "(?i)")
 
 
 #: DuckDB's form of `judge`, for the contract's columns.

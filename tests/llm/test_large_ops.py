@@ -341,11 +341,24 @@ def test_real_labels_held_out_and_lines_apart(spark):
     assert lines[:3].min() > 0.6 and lines[6:].max() < 0.4  # features of neighbours reach over the border
 
 
-def test_training_takes_runs_from_a_whole_text():
+def test_training_takes_whole_texts():
     for n in (1, 200, 201, 1000, 12_345):
-        runs = quality_classifier.sampled(n)
-        assert runs[0].start == 0 and runs[-1].stop == n
-        assert all(a.stop <= b.start for a, b in zip(runs, runs[1:]))  # noqa: B905
+        runs = quality_classifier.chains(n)
+        assert [i for r in runs for i in range(n)[r]] == list(range(n))
+        assert max(r.stop - r.start for r in runs) <= quality_classifier.CHAIN
     own = np.array([3.0, -2.0, 1.0, 4.0])
     assert quality_classifier.line_labels(own, np.ones(4)).tolist() == [0.5, 0.0, 0.0, 0.5]
     assert quality_classifier.line_labels(own[:1], np.ones(1)).tolist() == [0.0]
+
+
+def test_training_rows_are_bounded_by_their_lines(docs, spark):
+    """A row whose lines would exceed the bound is passed over; others are learned."""
+    fine, junk = "This line reads as any other one does, and it ends well.", "x*** y### z$$$ %%% && ||"
+    frame = docs([(i, "\n".join([fine if i % 2 else junk] * (500 if i < 3 else 3)), "a") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for most_lines in (200, 2000):
+        model = quality_classifier.train(frame, labels, most_lines=most_lines)
+        got = {r.doc_id: r.predicted for r in quality_classifier.score(frame, model).collect()}
+        assert all(got[i] == i % 2 for i in range(60))
+    assert quality_classifier.score(frame.limit(0), model).count() == 0
+    assert quality_classifier.train(frame, labels, most_lines=2)["w"].any()  # no row fits: the base rate

@@ -283,6 +283,20 @@ def test_quality_phrases_of_four_languages(docs):
     assert got.clean_text == f"ein Satz, der bleibt.\n{long}" and got.n_removed_lines == 6
 
 
+def test_quality_phrases_fold_all_letters(docs):
+    """Capitals with accents too, as the SQL twin does; a longer word is another one."""
+    import duckdb
+
+    long = " ".join(f"w{i}" for i in range(40)) + "."
+    for line in ("NÄCHSTE SEITE", "MENÚ PRINCIPAL", "POLÍTICA DE PRIVACIDAD", "Abonnez-Vous À", "next pageé ok", "sign in", "SIGN INÉS x", "read more_x"):
+        text = f"{line}\n{long}"
+        got = quality_rules.judge(docs([(1, text, "a")])).first()
+        documents = docs([(1, text, "a")]).toPandas()  # noqa: F841
+        bad = duckdb.sql(f"SELECT regexp_matches('{line}', '{quality_rules._sql(quality_rules.NAVIGATION)}') OR regexp_matches('{line}', '{quality_rules._sql(quality_rules.BOILERPLATE)}')").fetchall()[0][0]
+        assert got.n_removed_lines == int(bad), line
+        assert bad == (line not in ("next pageé ok", "SIGN INÉS x", "read more_x")), line
+
+
 def test_licence_passages_that_repeat_in_a_template():
     """A passage at two places of a template is chained at the place that fits."""
     template = "a b c d x y z a b c d q r s"
