@@ -37,15 +37,16 @@ def valid_cta(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """Arabic script first, else the language with most of its stop words; ties and
-    none go to the first in order, which is English. Each word is looked up once, for a
-    number with a bit for each language that has it."""
+    none go to the first in order, which is English. Words are first met with all stop words
+    by a hash set; only those that stay are looked up, for a number with a bit for each
+    language that has it."""
     bits: dict[str, int] = {}
     for i, stop in enumerate(STOP_WORDS.values()):
         for w in stop:
             bits[w] = bits.get(w, 0) | 1 << i
     known = F.create_map(*(x for w, n in bits.items() for x in (F.lit(w), F.lit(n))))
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    found = F.array_compact(F.transform(words, lambda w: F.try_element_at(known, w)))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*bits))
+    found = F.transform(words, lambda w: F.try_element_at(known, w))
     top = F.array_max(F.transform(F.array(*(F.lit(i) for i in range(len(STOP_WORDS)))), lambda i: F.struct(F.size(F.filter(found, lambda n: F.getbit(n, i) == 1)).alias("n"), (-i).alias("o"))))
     name = F.element_at(F.array(*map(F.lit, STOP_WORDS)), 1 - top["o"])
     return F.when(arabic(text), F.lit("ar")).otherwise(F.coalesce(name, F.lit(next(iter(STOP_WORDS)))))

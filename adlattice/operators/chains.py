@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..rules import tables as R
 from . import rules as O
+from .shared import cut
 
 
 def hops_of(chains: DataFrame, key: str, urls: str) -> DataFrame:
@@ -90,19 +93,36 @@ def last_values(pool: DataFrame, key: str, values: dict[str, Column]) -> DataFra
     return rows.groupBy(key).agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("hop"))).alias(n) for n in values))
 
 
-def follow(edges: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
-    """(url, final, hops): each start followed along edges(from_url, to_url), at most
-    `most` hops and not around a cycle. A from_url with several edges takes the smallest
-    to_url. Each hop is one equality join; rows that have arrived are carried along, so
-    every start is returned once.
+REDIRECTS = [301, 302, 303, 307, 308]
+
+
+def follow(edges: DataFrame, starts: DataFrame, most: int = 8, stop: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(url, final, hops, chain): each start followed along edges(from_url, to_url), at most
+    `most` hops and not around a cycle; chain holds the URLs from the start to the final one.
+
+    A from_url with several edges takes the smallest to_url. Where edges have a status, only
+    those of redirects are followed; a URL for which `stop` holds isn't left. Paths are
+    doubled: each round joins the end of a path with the path from there, so 15 hops are
+    four joins of the distinct URLs, whatever the number of starts. Paths that have come to
+    their end take no part in later rounds. Every distinct start is returned once.
     """
-    ways = edges.groupBy("from_url").agg(F.min("to_url").alias("to_url"))
-    rows = starts.select("url").distinct().select("url", F.col("url").alias("final"), F.array("url").alias("seen"))
-    for _ in range(most):
-        rows = rows.join(ways, F.col("final") == F.col("from_url"), "left")
-        go = F.col("to_url").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("to_url")), F.lit(False))
-        rows = rows.select("url", F.when(go, F.col("to_url")).otherwise(F.col("final")).alias("final"), F.when(go, F.array_append("seen", F.col("to_url"))).otherwise(F.col("seen")).alias("seen"))
-    return rows.select("url", "final", (F.size("seen") - 1).cast("long").alias("hops"))
+    ways = edges.where(F.col("status").isin(*REDIRECTS)) if "status" in edges.columns else edges
+    ways = ways.where("from_url IS NOT NULL AND to_url IS NOT NULL")
+    if stop is not None:
+        ways = ways.where(~stop(F.col("from_url")))
+    paths = cut(ways.groupBy("from_url").agg(F.array(F.min("to_url")).alias("path")).withColumn("done", F.lit(False)))
+    reach = 1
+    while reach < most:
+        ahead = paths.select(F.col("from_url").alias("_at"), F.col("path").alias("_more"), F.col("done").alias("_done"))
+        met = paths.where(~F.col("done")).join(ahead, F.element_at("path", -1) == F.col("_at"), "left")
+        longer = met.select("from_url", F.slice(F.when(F.col("_at").isNotNull(), F.concat("path", "_more")).otherwise(F.col("path")), 1, most).alias("path"), F.coalesce("_done", F.lit(True)).alias("done"))
+        paths = cut(longer.unionByName(paths.where("done")))
+        reach *= 2
+    rows = starts.select("url").where("url IS NOT NULL").distinct().join(paths, F.col("url") == F.col("from_url"), "left")
+    # a path that comes back repeats itself, so its distinct URLs are those before that
+    chain = F.array_distinct(F.concat(F.array("url"), F.coalesce(F.slice("path", 1, most), F.array().cast("array<string>"))))
+    rows = rows.select("url", chain.alias("chain"))
+    return rows.select("url", F.element_at("chain", -1).alias("final"), (F.size("chain") - 1).cast("long").alias("hops"), "chain")
 
 
 def first_per_host(hops: DataFrame, key: str, most: int = 10) -> DataFrame:

@@ -15,6 +15,13 @@ def normal(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), SPACE, " "))
 
 
+def parts(text: Column) -> Column:
+    """The distinct substrings of a title that may be another's lead."""
+    starts = F.sequence(F.lit(1), F.length(text) - LONGER)
+    lengths = F.sequence(F.lit(LONGER + 1), F.lit(LEAD))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda k: i + k - 1 <= F.length(text)), lambda k: F.substr(text, i, k)))))
+
+
 def alike(rows: DataFrame, key: str, group: str, title: str) -> DataFrame:
     """(key, others): for each row with any, the number of others of its group whose title
     is equal when normalised, or where one title contains the other's first LEAD characters
@@ -28,12 +35,8 @@ def alike(rows: DataFrame, key: str, group: str, title: str) -> DataFrame:
     distinct = rows.groupBy("g", "t").agg(F.count("*").alias("n"))
     long = distinct.where(F.length("t") > LONGER).withColumn("lead", F.substring("t", 1, LEAD))
     leads = long.groupBy("g", "lead").agg(F.sum("n").alias("led"))
-    # substrings as long as a lead may be; a start and a length each
-    starts = F.sequence(F.lit(1), F.length("t") - LONGER)
-    lengths = F.sequence(F.lit(LONGER + 1), F.lit(LEAD))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda k: i + k - 1 <= F.length("t")), lambda k: F.substr(F.col("t"), i, k))))
-    parts = long.select("g", "t", "n", "lead", F.explode(F.array_distinct(parts)).alias("part"))
-    held = parts.join(leads.select("g", F.col("lead").alias("part"), "led"), ["g", "part"])
+    held_parts = long.select("g", "t", "n", "lead", F.explode(parts(F.col("t"))).alias("part"))
+    held = held_parts.join(leads.select("g", F.col("lead").alias("part"), "led"), ["g", "part"])
     holders = held.groupBy("g", "part").agg(F.sum("n").alias("holding"))
     both = held.groupBy("g", "lead", "part").agg(F.sum("n").alias("both"))
     # titles led by `part` that contain this title's own lead

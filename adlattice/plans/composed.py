@@ -3,13 +3,13 @@ extraction and the streaming jobs."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..operators.shared import scratch
 from ..operators import chains as H
 from ..operators import links as K
 from ..operators import lookups as LK
@@ -240,12 +240,6 @@ def _(s, d):
 # ---- streams: run to the end over the events table ----
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or the warehouse where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(s: SparkSession, d: str) -> DataFrame:
     like = t(s, d, "events")
     return s.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -253,26 +247,59 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 def _finished(stream: DataFrame, s: SparkSession, name: str) -> DataFrame:
     """What an append stream writes until it has read all."""
-    out, state = shared_folder(s, name), shared_folder(s, f"{name}-state")
+    out, state = scratch(s, name), scratch(s, f"{name}-state")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(out)
 
 
 @query("a08_append_sink", "SELECT event_id, event_type FROM events WHERE value > 50", ads=False)
 def _(s, d):
-    out, rows = shared_folder(s, "append"), t(s, d, "events").where("value > 50").select("event_id", "event_type")
+    out, rows = scratch(s, "append"), t(s, d, "events").where("value > 50").select("event_id", "event_type")
     for half in (0, 1):
         rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(out)
     return s.read.schema(rows.schema).parquet(out)
 
 
+def _arriving(s: SparkSession, d: str, part: Column, parts: int = 4) -> DataFrame:
+    """The events as a stream of files of arrival, one a micro-batch."""
+    events, arrived = t(s, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), scratch(s, "arrived")
+    for n in range(parts):
+        events.where(part == n).coalesce(1).write.mode("append").parquet(arrived)
+    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+
+
 @query("p01_stream_upsert", "SELECT user_id, count(*) AS impressions, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id", ads=False)
 def _(s, d):
-    path = shared_folder(s, "snapshot")
-    run = ST.upsert_stream(_stream(s, d), path, shared_folder(s, "snapshot-state"), "user_id", ["event_type"])
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return s.read.parquet(f"{path}/v{last}")
+    path = scratch(s, "snapshot")
+    ST.upsert_stream(_arriving(s, d, F.floor(F.col("user_id") / 20) % 4), path, scratch(s, "snapshot-state"), "user_id", ["event_type"]).awaitTermination()
+    return ST.snapshot(s, path)
+
+
+# which of four files brings an event; late rows are those behind the marks of the batches before the last one
+_BATCHED = "b AS (SELECT *, event_id * 7 // 11 % 4 AS n FROM events), m AS (SELECT n, max(ts) AS mark FROM b GROUP BY n)"
+
+
+@query("p02b_sliding_stream", f"""WITH {_BATCHED}, w AS (SELECT b.*, unnest(range(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS start FROM b),
+ k AS (SELECT event_type, start, start + INTERVAL 24 HOUR AS "end" FROM w WHERE coalesce(start + INTERVAL 24 HOUR > (SELECT max(mark) FROM m WHERE m.n < w.n - 1) - INTERVAL 3 DAY, true))
+ SELECT event_type, start, "end", count(*) AS n FROM k WHERE "end" <= (SELECT max(mark) FROM m) - INTERVAL 3 DAY GROUP BY ALL""", ads=False)
+def _(s, d):
+    rows = ST.sliding(_arriving(s, d, F.floor(F.col("event_id") * 7 / 11) % 4), "3 days")
+    return _finished(rows, s, "sliding").select("event_type", "start", "end", "n")
+
+
+@query("p05b_toggle_stream", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type HAVING count(*) % 2 = 1", ads=False)
+def _(s, d):
+    out = scratch(s, "toggles")
+    ST.toggle_stream(_arriving(s, d, F.col("event_id") % 4), out, scratch(s, "toggles-state")).awaitTermination()
+    return ST.toggles_on(s, out)
+
+
+@query("p07b_session_stream", """WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM g),
+ w AS (SELECT user_id, event_type, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, event_type, k) SELECT * FROM w WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", ads=False)
+def _(s, d):
+    # in the order of time, so that no row is late
+    stream = _arriving(s, d, F.greatest(F.lit(0), F.least(F.lit(3), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8))))
+    return _finished(ST.sessions(stream, "12 hours", watermark="1 hour"), s, "sessions")
 
 
 @query("p03_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events", ads=False)
@@ -285,20 +312,15 @@ _RULES = (("click", "Click", "2023-01-01 00:00:00"), ("click", "Click 2", "2024-
 
 @query("p04_stream_rules", "WITH r(k, entity, since) AS (VALUES " + ", ".join(f"('{k}', '{e}', TIMESTAMP '{t}')" for k, e, t in _RULES) + ") SELECT event_id, arg_max(entity, since) AS entity FROM events JOIN r ON k = event_type AND since <= ts GROUP BY event_id", ads=False)
 def _(s, d):
-    rules, out = shared_folder(s, "rules"), shared_folder(s, "rules-out")
+    rules, out = scratch(s, "rules"), scratch(s, "rules-out")
     s.createDataFrame(list(_RULES), "event_type string, entity string, since string").withColumn("since", F.col("since").cast("timestamp")).write.parquet(rules)
-    ST.live_rules(_stream(s, d), rules, "event_type", "event_id", out, shared_folder(s, "rules-state")).awaitTermination()
+    ST.live_rules(_stream(s, d), rules, "event_type", "event_id", out, scratch(s, "rules-state")).awaitTermination()
     return s.read.parquet(out).select("event_id", "entity")
 
 
 @query("p08_late", "WITH b AS (SELECT event_id, ts, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS n FROM events), m AS (SELECT n, max(ts) AS mark FROM b GROUP BY n) SELECT event_id, coalesce(ts < (SELECT max(mark) FROM m WHERE m.n < b.n) - INTERVAL 20 DAY, false) AS late FROM b", ads=False)
 def _(s, d):
-    # the events in four files of arrival, one a micro-batch
-    events = t(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    arrived, out = shared_folder(s, "arrived"), shared_folder(s, "late")
-    n = events.agg(F.max("event_id") + 1).first()[0]
-    for part in range(4):
-        events.where(F.floor(F.col("event_id") * 4 / n) == part).coalesce(1).write.mode("append").parquet(arrived)
-    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
-    ST.split_late(stream, "20 days", out, shared_folder(s, "late-state")).awaitTermination()
+    out, n = scratch(s, "late"), t(s, d, "events").agg(F.max("event_id") + 1).first()[0]
+    stream = _arriving(s, d, F.floor(F.col("event_id") * 4 / n))
+    ST.split_late(stream, "20 days", out, scratch(s, "late-state")).awaitTermination()
     return s.read.parquet(f"{out}/rows").select("event_id", "late")

@@ -99,19 +99,33 @@ def _(s, d):
     return N.split_rejects(B.ads(s, d), O.reject_reason(F.col("final_url")), "id", "offer")[1]
 
 
-@query("a14_targets", f"{ANCHORS_SQL}, o AS (SELECT DISTINCT concat('http://', id % 50, '.example.net/') AS site FROM a WHERE NOT regexp_matches(href, 'login|privacy')) SELECT site FROM o WHERE site NOT IN (SELECT concat('http://', id % 7, '.example.net/') FROM ads)")
+#: Every page links to another one, some by a blacklisted address, and some show a network's mark.
+_MARK = B.pick([*R.NATIVE_MARKS, "none", "x"], "page_id")
+
+
+@query("a14_targets", f"""SELECT * FROM (WITH n AS (SELECT count(*) AS n FROM pages), i AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS i, {_MARK} AS mark FROM pages), l AS (SELECT DISTINCT CASE WHEN a.page_id % 9 = 0 THEN concat(b.url, '?via=Facebook') ELSE b.url END AS url FROM i a, n JOIN i b ON b.i = (a.i * 7 + 3) % n),
+ f AS (SELECT DISTINCT concat(array_to_string(list_slice(string_split(l.url, '/'), 1, 3), '/'), '/') AS site FROM l JOIN i ON i.url = l.url WHERE i.mark NOT IN ('none', 'x') AND NOT {B.any_in('lower(l.url)', R.TARGET_BLACKLIST)}) SELECT site FROM f WHERE site NOT IN (SELECT concat(array_to_string(list_slice(string_split(url, '/'), 1, 3), '/'), '/') FROM i WHERE i % 5 = 0))""", ads=False)
 def _(s, d):
     pages = t(s, d, "pages")
-    found = G.anchors(pages).where(~F.col("href").rlike("login|privacy")).select(F.expr("concat('http://', page_id % 50, '.example.net/x')").alias("link"))
-    found = found.select(U.origin(F.col("link")).alias("site")).distinct()
-    known = pages.selectExpr("concat('http://', page_id % 7, '.example.net/') AS site").distinct()
-    return found.join(known, "site", "left_anti")
+    i = pages.select("page_id", "url", "html", (F.row_number().over(Window.orderBy("page_id")) - 1).alias("i"))  # numbers the few pages of the fixture
+    n = pages.count()
+    to = i.select(F.col("i").alias("j"), F.col("url").alias("to_url"))
+    linked = i.join(to, F.col("j") == (F.col("i") * 7 + 3) % n).withColumn("to_url", F.when(F.col("page_id") % 9 == 0, F.concat("to_url", F.lit("?via=Facebook"))).otherwise(F.col("to_url")))
+    shown = linked.select("page_id", "url", F.concat("html", F.lit('<a href="'), "to_url", F.lit('">next</a>'), F.expr(_MARK)).alias("html"), "i")
+    known = shown.where("i % 5 = 0").select(U.origin(F.col("url")).alias("site"))
+    links = G.anchors(shown).select(F.col("absolute").alias("link"))
+    return PR.discover_targets(links, shown, known, R.TARGET_BLACKLIST, R.NATIVE_MARKS)
+
+
+_NICHES = sorted({n for ns in R.GEO_NICHES.values() for n in ns})
+_PLACES = [(g, n) for g, ns in R.GEO_NICHES.items() for n in dict.fromkeys([*ns, *R.FORCED_NICHES])]
 
 
-@query("a15_sample", "SELECT host FROM (SELECT DISTINCT " + B.host("url") + " AS host FROM ads) ORDER BY md5(concat(host, '7')), host LIMIT 10")
+@query("a15_sample", f"""g(geo, niche) AS (VALUES {', '.join(f"('{g}', '{n}')" for g, n in _PLACES)}), s AS (SELECT DISTINCT concat({B.host('url')}, '/', id % 40) AS site, {B.pick(_NICHES, '(id * 3)')} AS niche FROM ads),
+ r AS (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY md5(concat(site, '7')), site)::INTEGER AS rank FROM s QUALIFY rank <= 3) SELECT geo, niche, site, rank FROM g JOIN r USING (niche)""")
 def _(s, d):
-    hosts = B.ads(s, d).select(U.host(F.col("url")).alias("host")).distinct()
-    return hosts.orderBy(F.md5(F.concat("host", F.lit("7"))), "host").limit(10)
+    sites = B.ads(s, d).select(F.concat(U.host(F.col("url")), F.lit("/"), (F.col("id") % 40).cast("string")).alias("site"), F.expr(B.pick(_NICHES, "(id * 3)")).alias("niche"))
+    return PR.sample_sites(sites, s.createDataFrame(_PLACES, "geo string, niche string"), 3, "7")
 
 
 @query("a16_dimension", "SELECT id, CASE network WHEN 'MGID' THEN 'blue' WHEN 'Taboola' THEN 'navy' WHEN 'Outbrain' THEN 'orange' ELSE 'grey' END AS colour FROM ads")
@@ -262,7 +276,7 @@ E_SQL = """WITH RECURSIVE e AS (SELECT concat('u', user_id) AS f, min(concat('u'
 @query("h07_follow_redirects", E_SQL, ads=False)
 def _(s, d):
     edges = _edges(s, d)
-    return H.follow(edges, edges.select(F.col("from_url").alias("url")))
+    return H.follow(edges, edges.select(F.col("from_url").alias("url"))).drop("chain")
 
 
 @query("h08_resolve_many", E_SQL.replace(" SELECT u AS url, arg_max(final, len(seen)) AS final, max(len(seen)) - 1 AS hops FROM w GROUP BY u", ", r AS (SELECT u, arg_max(final, len(seen)) AS final FROM w GROUP BY u) SELECT event_id, CASE WHEN event_type = 'click' THEN r.final ELSE r.u END AS resolved FROM events JOIN r ON r.u = concat('u', user_id)"), ads=False)
@@ -461,9 +475,21 @@ def _(s, d):
     return c.withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("advertiser")), 2))
 
 
-@query("j06_advertiser_intelligence", f"SELECT {B.host('url')} AS host, count(*) AS total, count(DISTINCT network) > 1 AS cross_network, count(DISTINCT title) AS titles, max(created_day) - min(created_day) AS days FROM ads GROUP BY 1")
+_TITLED = "CASE id % 3 WHEN 0 THEN concat('Look: ', title, ' ', id % 4) WHEN 1 THEN upper(title) ELSE title END"
+_NORMAL = r"trim(regexp_replace(lower(x), '[\s\p{Z}\x{FEFF}]+', ' ', 'g'))"
+
+
+@query("j06_advertiser_intelligence", f"""r AS (SELECT id, {B.host('url')} AS host, {_TITLED} AS title, network, impressions, created_day FROM ads), k AS (SELECT *, {_NORMAL.replace('(x)', '(title)')} AS t FROM r),
+ a AS (SELECT host, count(*) AS total, list_sort(list(DISTINCT network)) AS networks, count(DISTINCT title) AS titles, max(created_day) - min(created_day) AS days, list(concat(id, ':', substring(title, 1, 60)) ORDER BY created_day DESC, id DESC)[1:5] AS recent FROM k GROUP BY host),
+ p AS (SELECT k.id, o.id AS other, o.network, o.t <> k.t AS near FROM k JOIN k o ON o.id <> k.id AND (o.t = k.t OR (o.host = k.host AND length(k.t) > 10 AND length(o.t) > 10 AND (contains(o.t, substring(k.t, 1, 20)) OR contains(k.t, substring(o.t, 1, 20)))))),
+ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY near, other) AS i FROM p QUALIFY i <= 10), m AS (SELECT id, string_agg(other, ',' ORDER BY i) AS matches, count(DISTINCT network) > 1 AS cross_network FROM n GROUP BY id)
+ SELECT k.id, k.host, total, array_to_string(networks, ',') AS networks, titles, days, array_to_string(recent, ';') AS recent, coalesce(matches, '') AS matches, coalesce(cross_network, false) AS cross_network FROM k JOIN a ON a.host = k.host LEFT JOIN m ON m.id = k.id""")
 def _(s, d):
-    return B.ads(s, d).groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("total"), (F.countDistinct("network") > 1).alias("cross_network"), F.countDistinct("title").alias("titles"), (F.max("created_day") - F.min("created_day")).alias("days"))
+    ads = B.ads(s, d).select("id", U.host(F.col("url")).alias("host"), F.expr(_TITLED).alias("title"), "network", "impressions", "created_day")
+    found = PR.intelligence(ads, "host")
+    recent = F.array_join(F.transform("recent", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["title"])), ";")
+    matches = F.array_join(F.transform("matches", lambda x: x["id"].cast("string")), ",")
+    return found.select("id", "host", "total", F.array_join("networks", ",").alias("networks"), "titles", "days", recent.alias("recent"), matches.alias("matches"), "cross_network")
 
 
 @query("j07_tracker_histogram", f"SELECT coalesce({B.tracking_tool('landing')}, 'No Tracking') AS tracker, count(*) AS n FROM ads GROUP BY 1")
@@ -732,6 +758,8 @@ def _(s, d):
     return e.select("user_id", F.col("w.start").alias("day"), "n", (F.col("n") > 3).alias("above"))
 
 
-@query("p07_sessions", "WITH g AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT event_type, ts, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g) SELECT event_type, min(ts) AS start, count(*) AS n FROM s GROUP BY event_type, k", ads=False)
+@query("p07_sessions", """WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM g) SELECT user_id, event_type, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, event_type, k""", ads=False)
 def _(s, d):
-    return ST.sessions(t(s, d, "events"))
+    return ST.sessions(t(s, d, "events"), "12 hours")
+
+

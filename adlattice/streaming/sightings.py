@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import rules as O
 from ..operators import store
+from ..operators.shared import remove
 
 
 def daily(events: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -15,24 +21,73 @@ def daily(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Runs of one network's sightings with pauses under `gap`."""
-    return events.groupBy("event_type", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
+def sliding(stream: DataFrame, watermark: str, size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """Sightings of a network in every `size` that starts at a multiple of `slide`. On a stream a
+    window is given once, when the watermark has passed its end; rows behind it are late
+    and dropped."""
+    rows = stream.withWatermark("ts", watermark).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", keys: tuple[str, ...] = ("user_id", "event_type"), watermark: str | None = None) -> DataFrame:
+    """Runs of a source's sightings with pauses under `gap`. Keys that tell sources apart keep
+    tasks many. On a stream, with a watermark, a run is given once, when no row can join it
+    any more."""
+    if watermark:
+        events = events.withWatermark("ts", watermark)
+    rows = events.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return rows.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def _manifest(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    """The version of each bucket after batch n: at most a row a bucket."""
+    if n < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/manifest/n={n}").collect()}
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, latest: list[str]):
-    """Folds each micro-batch into a snapshot in versions under `path`: version n + 1 is
-    version n merged with batch n, so a batch that is retried writes the same version."""
+def _buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*(f"{path}/v={v}/bucket={b}" for b, v in sorted(versions.items())))
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, latest: list[str], buckets: int = 64):
+    """Folds each micro-batch into a snapshot that is laid out by hash of the key.
+
+    Batch n rewrites only the buckets that its keys fall into, as version n of each, and
+    then writes the manifest n, which names the version of every bucket; so what is written
+    follows the batch, not the snapshot. A batch that is retried starts from the manifest
+    before it and writes the same again. Versions that the manifest before the last one
+    named and the last one doesn't are removed. Read the result with `snapshot`.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = store.fold_sightings(batch, [key], "ts", latest).select(key, "impressions", "first_seen", "last_seen")
-        if n:
-            new = store.merge_counts(batch.sparkSession.read.parquet(f"{path}/v{n - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v{n}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        names = [key, "impressions", "first_seen", "last_seen"]
+        new = store.fold_sightings(batch, [key], "ts", latest).select(*names).persist()
+        before = _manifest(spark, path, n - 1)
+        touched = [r.bucket for r in new.select(bucket).distinct().collect()]
+        old = {b: before[b] for b in touched if b in before}
+        rows = store.merge_counts(_buckets(spark, path, old).select(*names), new, key) if old else new
+        rows.select(*names, bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/v={n}")
+        now = before | dict.fromkeys(touched, n)
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/n={n}")
+        new.unpersist()
+        if n > 1:
+            for b, v in _manifest(spark, path, n - 2).items():
+                if before.get(b) != v:
+                    remove(spark, f"{path}/v={v}/bucket={b}")
+            remove(spark, f"{path}/manifest/n={n - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest manifest under path."""
+    last = spark.read.parquet(f"{path}/manifest").agg(F.max("n")).first()[0]
+    return _buckets(spark, path, _manifest(spark, path, last)).drop("bucket", "v")
+
+
 def dedupe_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
     """First sighting of a key within the watermark."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
@@ -40,8 +95,8 @@ def dedupe_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour")
 
 def rules_at(rows: DataFrame, rules: DataFrame, on: str, key: str) -> DataFrame:
     """(key, entity): for each row the newest of the rules(on, entity, since) in force at its
-    ts; rows without one are left out. Rules are broadcast: a rule table's size."""
-    held = rows.select(key, "ts", on).join(F.broadcast(rules.select(on, "entity", "since")), on).where(F.col("since") <= F.col("ts"))
+    ts; rows without one are left out. Rules are broadcast after a count."""
+    held = rows.select(key, "ts", on).join(O.bounded(rules.select(on, "entity", "since")), on).where(F.col("since") <= F.col("ts"))
     return held.groupBy(key).agg(F.max_by("entity", "since").alias("entity"))
 
 
@@ -84,5 +139,53 @@ def toggled(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg((F.count("*") % 2 == 1).alias("on")).where("on").drop("on")
 
 
+class Toggle(StatefulProcessor):
+    """Whether a pair is on, kept by key: every row flips it. Gives the pair when a batch has
+    changed it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "on boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        was = bool(self.held.get()[0]) if self.held.exists() else False
+        on = was ^ (sum(map(len, rows)) % 2 == 1)
+        if on != was:
+            self.held.update((on,))
+            yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "on": [on]})
+
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def toggle_stream(stream: DataFrame, out: str, checkpoint: str):
+    """Writes, for each micro-batch n, the pairs that it has turned on or off to out/n=n, so that a
+    retried batch replaces itself. State lies in the checkpoint and outlives the query.
+    Read the result with `toggles_on`."""
+    spark = stream.sparkSession
+    rows = stream.select("user_id", "event_type").groupBy("user_id", "event_type").transformWithStateInPandas(
+        Toggle(), "user_id long, event_type string, on boolean", outputMode="Update", timeMode="None"
+    )
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)  # the only store that holds such state; a query keeps what it starts with
+    try:
+        return rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def toggles_on(spark: SparkSession, out: str) -> DataFrame:
+    """The pairs that are on after all batches so far."""
+    last = spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.max_by("on", "n").alias("on"))
+    return last.where("on").drop("on")
+
+
 def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
