@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import columns, composed, jobs, pages
+from .plans import columns, composed, jobs, pages, resolve
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return {**columns.queries(), **jobs.QUERIES, **composed.QUERIES, **pages.QUERIES}
+    return {**columns.queries(), **jobs.QUERIES, **composed.QUERIES, **pages.QUERIES, **resolve.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

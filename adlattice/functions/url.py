@@ -160,13 +160,22 @@ def origin(url: Column) -> Column:
     return F.concat(F.substring_index(url, "/", 3), F.lit("/"))
 
 
+def hidden_offer(url: Column) -> Column:
+    """The offer in a URL's voluumdata, JSON in base64, whatever its padding; null if there is none."""
+    data = unescape(F.regexp_extract(url, "voluumdata=([^&]*)", 1))
+    size = F.length(data)
+    text = F.try_to_binary(F.rpad(data, size + F.pmod(-size, F.lit(4)), "="), F.lit("base64")).cast("string")
+    return F.try_variant_get(F.try_parse_json(text), "$.offer", "string")
+
+
 def peel(url: Column, depth: int = 3) -> Column:
-    """The innermost URL carried in a destination parameter, at most `depth` deep."""
+    """The innermost URL carried in an encoded payload or a destination parameter, at most `depth`
+    deep; a payload comes before parameters."""
 
     def step(u: Column, _: Column) -> Column:
         inner = first_param(u, R.TARGET_PARAMS)
         carried = F.when(u.contains("=http") & inner.startswith("http"), inner)
-        return F.coalesce(carried, u)
+        return F.coalesce(F.when(u.contains("voluumdata="), hidden_offer(u)), carried, u)
 
     # a fold, as nesting the step would repeat it at every use
     return F.aggregate(F.array(*map(F.lit, range(depth))), url, step)

@@ -19,12 +19,14 @@ def _told(pool: Column, f: Callable[[Column], Column]) -> Column:
     return F.filter(F.transform(pool, f), lambda x: x.isNotNull())
 
 
-def traffic_source(landing: Column) -> Column:
+def traffic_source(landing: Column, decoded: Column | None = None) -> Column:
+    """What a payload told, else by the landing URL's parameters and name."""
     has = lambda n: U.param(landing, n).isNotNull()
-    return (
+    named = (
         F.when(has("rc_uuid"), "Revcontent").when(has("tblci"), "Taboola").when(landing.contains("mgid"), "MGID").when(landing.contains("outbrain"), "Outbrain")
         .otherwise("Unknown")
     )
+    return named if decoded is None else F.coalesce(decoded, named)
 
 
 def offer_intelligence(ads: DataFrame, landing: str, final: str, captured: str, html: str, variables: str, real_domain: str, offer_domain: str) -> DataFrame:

@@ -128,6 +128,17 @@ def peel(u: str, depth: int = 3) -> str:
     return sql
 
 
+def stripped(u: str) -> str:
+    """u without tracking parameters."""
+    keep, drop = (", ".join(q(x.lower()) for x in names) for names in (R.KEEP_PARAMS, R.DROP_PARAMS))
+    kept = f"list_filter(string_split({part(u, 4)}, '&'), lambda p: length(p) > 0 AND (lower(split_part(p, '=', 1)) IN ({keep}) OR lower(split_part(p, '=', 1)) NOT IN ({drop})))"
+    return f"concat(regexp_extract({u}, '^[^?#]*'), CASE WHEN len({kept}) > 0 THEN concat('?', array_to_string({kept}, '&')) ELSE '' END, CASE WHEN {part(u, 5)} <> '' THEN concat('#', {part(u, 5)}) ELSE '' END)"
+
+
+def traffic_source(u: str) -> str:
+    return f"CASE WHEN {param(u, 'rc_uuid')} IS NOT NULL THEN 'Revcontent' WHEN {param(u, 'tblci')} IS NOT NULL THEN 'Taboola' WHEN contains({u}, 'mgid') THEN 'MGID' WHEN contains({u}, 'outbrain') THEN 'Outbrain' ELSE 'Unknown' END"
+
+
 def macro(u: str) -> str:
     m = q("(?i)" + "|".join(R.MACROS))
     return f"coalesce(regexp_matches({u}, {m}) OR regexp_matches(url_decode({u}), {m}), false)"

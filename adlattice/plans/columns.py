@@ -24,10 +24,6 @@ def _place(u: str) -> str:
 
 
 _SAME = f"{_place('concat(url, chr(63), chr(120))')} = {_place('url')}"
-_KEPT = "list_filter(string_split({q}, '&'), lambda p: length(p) > 0 AND (lower(split_part(p, '=', 1)) IN ({keep}) OR lower(split_part(p, '=', 1)) NOT IN ({drop})))".format(
-    q=B.part("landing", 4), keep=", ".join(B.q(x.lower()) for x in R.KEEP_PARAMS), drop=", ".join(B.q(x.lower()) for x in R.DROP_PARAMS)
-)
-_STRIPPED = f"concat(regexp_extract(landing, '^[^?#]*'), CASE WHEN len({_KEPT}) > 0 THEN concat('?', array_to_string({_KEPT}, '&')) ELSE '' END, CASE WHEN {B.part('landing', 5)} <> '' THEN concat('#', {B.part('landing', 5)}) ELSE '' END)"
 _C = "coded"
 _CLOAKED = f"concat('https://a.', {B.pick([*R.NEWS_WORDS, *R.CLOAK_TRACKERS, 'plain', 'x.co.uk', 'x.com'], 'id')}, CASE WHEN id % 4 = 0 THEN '' ELSE 'site.com' END, '/p')"
 _SOLD = f"concat('https://www.', {B.pick([*R.SALES_WORDS, 'plain', 'x.co.uk', 'x.com'], '(id * 5 + 1)')}, CASE WHEN id % 4 = 0 THEN '' ELSE 'site.com' END, CASE WHEN id % 6 = 1 THEN '/z.shop' ELSE '/q' END)"
@@ -37,11 +33,6 @@ _BOUGHT = f"concat(html, {B.pick([*R.BUY_WORDS, '', '-'], 'id')})"
 _CMS = f"concat(html, {B.pick(['/wp-content/', 'wp-json', 'disqus', 'fb-comments', '', 'comment'], 'id')})"
 
 
-def _kept(u: str) -> str:
-    """u without tracking parameters."""
-    return _STRIPPED.replace("landing", u)
-
-
 def _of(sql: str, given: str) -> str:
     """An expression over the column `coded`, over a given one."""
     return sql.replace(_C, f"({given})")
@@ -77,8 +68,8 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'host': (lambda: U.host(F.col('landing')), B.host('landing')),
     },
     "b05_strip_tracking": {
-        'clean': (lambda: U.strip_tracking(F.col('landing')), _STRIPPED),
-        'clean_each': (lambda: U.strip_tracking(F.expr(_PARAMED)), _kept(_PARAMED)),
+        'clean': (lambda: U.strip_tracking(F.col('landing')), B.stripped('landing')),
+        'clean_each': (lambda: U.strip_tracking(F.expr(_PARAMED)), B.stripped(f'({_PARAMED})')),
     },
     "b06_landing_key": {
         'key': (lambda: U.landing_key(F.col('landing')), "split_part(split_part(landing, '?', 1), '#', 1)"),
@@ -114,9 +105,6 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
     "b16_unescape": {
         'decoded': (lambda: U.unescape(F.col('landing')), 'url_decode(landing)'),
     },
-    "b17_canonical": {
-        'canonical': (lambda: U.strip_tracking(F.coalesce(F.when(O.meaningful(F.col('final_url')), F.col('final_url')), F.col('landing'))), _STRIPPED.replace('landing', f'coalesce(CASE WHEN {B.meaningful('final_url')} THEN final_url END, landing_)').replace('landing_', 'landing')),
-    },
     "c01_meaningful": {
         'landing_ok': (lambda: O.meaningful(F.col('landing')), B.meaningful('landing')),
         'final_ok': (lambda: O.meaningful(F.col('final_url')), B.meaningful('final_url')),
@@ -164,15 +152,9 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
     "c16_bogus_landing": {
         'bogus': (lambda: O.contains_any(F.lower(F.expr("concat(landing, " + B.pick([*R.BOGUS_LANDINGS, '', '-'], 'id') + ")")), R.BOGUS_LANDINGS), B.any_in("lower(concat(landing, " + B.pick([*R.BOGUS_LANDINGS, '', '-'], 'id') + "))", R.BOGUS_LANDINGS)),
     },
-    "c17_bot_challenge": {
-        'challenge': (lambda: O.contains_any(F.lower(F.col('html')), R.CHALLENGES), B.any_in('lower(html)', R.CHALLENGES)),
-    },
     "c18_arabic": {
         'arabic': (lambda: T.arabic(F.col('title')), "regexp_matches(title, '[\\x{0600}-\\x{06FF}]')"),
     },
-    "c19_deep_article": {
-        'deep': (lambda: (F.length(F.col('url')) > 65) & F.col('url').contains('-') | F.col('url').rlike('20[12][0-9]'), "(length(url) > 65 AND contains(url, '-')) OR regexp_matches(url, '20[12][0-9]')"),
-    },
     "d01_affiliate_network": {
         'affiliate': (lambda: O.affiliate_network(F.col('landing'))['network'], B.affiliate_network('landing')),
         'confidence': (lambda: O.affiliate_network(F.col('landing'))['confidence'], f"CASE WHEN {B.named_network('landing')} IS NOT NULL THEN 'high' WHEN {B.any_in('lower(landing)', R.GENERIC_TRACKERS)} THEN 'medium' ELSE 'unknown' END"),
@@ -206,9 +188,6 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
     "d14_page_type": {
         'page_type': (lambda: F.coalesce(O.first_match(F.lower(F.col('final_url')), [(n, [p]) for p, n in R.PAGE_TYPES]), F.lit('Landing Page')), f"coalesce({B.first_match('lower(final_url)', [(n, [p]) for p, n in R.PAGE_TYPES])}, 'Landing Page')"),
     },
-    "d15_traffic_source": {
-        'source': (lambda: F.when(U.param(F.col('landing'), 'rc_uuid').isNotNull(), 'Revcontent').when(U.param(F.col('landing'), 'tblci').isNotNull(), 'Taboola').when(F.col('landing').contains('mgid'), 'MGID').when(F.col('landing').contains('outbrain'), 'Outbrain').otherwise('Unknown'), f"CASE WHEN {_has('rc_uuid')} THEN 'Revcontent' WHEN {_has('tblci')} THEN 'Taboola' WHEN contains(landing, 'mgid') THEN 'MGID' WHEN contains(landing, 'outbrain') THEN 'Outbrain' ELSE 'Unknown' END"),
-    },
     "d16_quick_type": {
         'quick': (lambda: F.coalesce(O.first_match(F.lower(F.concat(G.visible_text(F.col('html')), F.lit(' '), F.col('title'))), R.QUICK_TYPES), F.lit('Unknown')), f"coalesce({B.first_match(f"lower(concat({_TEXT_SQL}, ' ', title))", R.QUICK_TYPES)}, 'Unknown')"),
     },
@@ -246,9 +225,6 @@ SCALARS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
         'vote': (lambda: S.keyword_vote(F.col('html')), B.vote_sql('html')),
         'title_vote': (lambda: S.keyword_vote(F.col('title')), B.vote_sql('title')),
     },
-    "f12_certainty": {
-        'offer': (lambda: F.when(O.reject_reason(F.col('final_url')).isNull() & (F.col('final_url') != F.col('landing')), F.col('final_url')), f'CASE WHEN {B.reject_reason('final_url')} IS NULL AND final_url <> landing THEN final_url END'),
-    },
     "o02_title_norm": {
         'norm': (lambda: T.normal_title(F.col('title')), "regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')"),
     },

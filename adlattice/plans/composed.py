@@ -86,11 +86,11 @@ def _last(k: str, alias: str) -> str:
  u AS (SELECT id, arg_min(tr, hop) AS tr FROM (SELECT id, hop, {B.url_tracker('url')} AS tr FROM p) WHERE tr IS NOT NULL GROUP BY id),
  k AS (SELECT a.id, coalesce(u.tr, {B.page_tracker('a.html')}, CASE WHEN a.id % 5 = 0 THEN 'Voluum' END) AS tracker FROM ads a LEFT JOIN u ON u.id = a.id),
  c AS ({B.offer_choice("ads", "final_url", ["landing", "url"], REAL, DOMAIN, "landing")}),
- r AS (SELECT a.id, n.network AS tier, n.confidence, k.tracker, i.affiliate_id, i.offer_id, i.sub_id1, i.sub_id2, i.told_domain, coalesce(i.click, CASE WHEN a.id % 5 = 0 THEN concat('js', a.id) END) AS click_id, c.offer, c.method, c.needs_review, v.vertical, g.page_type, t.source AS traffic_source, i.pool_size, w.widget_id, w.content_id, w.publisher_site, {B.cloaking_kind('a.landing', 'a.final_url')} AS cloaking,
+ r AS (SELECT a.id, n.network AS tier, n.confidence, k.tracker, i.affiliate_id, i.offer_id, i.sub_id1, i.sub_id2, i.told_domain, coalesce(i.click, CASE WHEN a.id % 5 = 0 THEN concat('js', a.id) END) AS click_id, c.offer, c.method, c.needs_review, v.vertical, g.page_type, {B.traffic_source('a.landing')} AS traffic_source, i.pool_size, w.widget_id, w.content_id, w.publisher_site, {B.cloaking_kind('a.landing', 'a.final_url')} AS cloaking,
  CASE {B.registered_domain('a.final_url')} {' '.join(f'WHEN {B.q(h)} THEN {B.q(n)}' for h, n in R.KNOWN_OFFERS)} END AS known_program, l.by_params AS parameter_network,
  {B.one_of(B.host('a.final_url'), R.PRELANDERS)} OR ({B.param('a.final_url', 'cep')} IS NOT NULL AND ({' OR '.join(f"{B.param('a.final_url', x)} IS NOT NULL" for x in ('lptoken', 'widget_id', 'boost_id'))})) AS prelander
  FROM ads a LEFT JOIN {sub('d05_network_of_pool')} n ON n.id = a.id LEFT JOIN k ON k.id = a.id LEFT JOIN i ON i.id = a.id LEFT JOIN c ON c.id = a.id LEFT JOIN {sub('d12_vertical')} v ON v.id = a.id
- LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id LEFT JOIN {sub('d15_traffic_source')} t ON t.id = a.id LEFT JOIN {sub('e04_widget_config')} w ON w.id = a.id LEFT JOIN {sub('d07_param_ladder')} l ON l.id = a.id)
+ LEFT JOIN {sub('d14_page_type')} g ON g.id = a.id LEFT JOIN {sub('e04_widget_config')} w ON w.id = a.id LEFT JOIN {sub('d07_param_ladder')} l ON l.id = a.id)
  SELECT id, coalesce(tier, known_program, CASE WHEN affiliate_id IS NOT NULL OR offer_id IS NOT NULL THEN 'Direct Affiliate' END) AS network, confidence, tracker, affiliate_id, offer_id, sub_id1, sub_id2, told_domain, click_id, offer, method, needs_review, {B.registered_domain('offer')} AS offer_domain, vertical, page_type, traffic_source, widget_id, content_id, publisher_site, known_program, parameter_network, cloaking, pool_size, prelander FROM r""")
 def _(s, d):
     a = B.ads(s, d).withColumn("captured", F.array("url")).withColumn("variables", F.expr(_HELD)).withColumn("real", F.expr(REAL)).withColumn("domain", F.expr(DOMAIN))
@@ -163,12 +163,6 @@ def _(s, d):
     return K.best_links(t(s, d, "pages"), "page_id")
 
 
-@query("h05_validate_fallback", f"{HOPS_SQL}, g AS (SELECT id, arg_max(url, hop) AS url FROM hops WHERE {B.reject_reason('url')} IS NULL GROUP BY id) SELECT ads.id, CASE WHEN {B.reject_reason('ads.final_url')} IS NULL THEN ads.final_url ELSE g.url END AS offer FROM ads LEFT JOIN g ON g.id = ads.id")
-def _(s, d):
-    good = _hops(s, d).where(O.reject_reason(F.col("url")).isNull()).groupBy("id").agg(F.max_by("url", "hop").alias("good"))
-    return B.ads(s, d).join(good, "id", "left").select("id", F.when(O.reject_reason(F.col("final_url")).isNull(), F.col("final_url")).otherwise(F.col("good")).alias("offer"))
-
-
 @query("h09_prelander_walk", f"""WITH RECURSIVE {B.ADS_SQL}, e AS (SELECT {B.host('landing')} AS f, min({B.host('final_url')}) AS t FROM ads GROUP BY 1),
  w(u, final, seen) AS (SELECT f, f, [f] FROM e UNION ALL SELECT u, e.t, list_append(seen, e.t) FROM w JOIN e ON e.f = w.final WHERE len(seen) <= 3 AND NOT list_contains(seen, e.t))
  SELECT u AS url, arg_max(final, len(seen)) AS final, max(len(seen)) - 1 AS hops FROM w GROUP BY u""", ads=False)
@@ -183,30 +177,12 @@ def _(s, d):
     return K.prelander_walk(B.ads(s, d).select("id", F.col("landing").alias("url")), "id", t(s, d, "pages"))
 
 
-@query("h13_layered", f"SELECT a.id, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN final_url WHEN p.target <> a.landing THEN p.target WHEN {B.meaningful('landing')} THEN landing END AS offer, CASE WHEN {B.reject_reason('final_url')} IS NULL THEN 1 WHEN p.target <> a.landing THEN 2 WHEN {B.meaningful('landing')} THEN 3 ELSE 0 END AS layer FROM ads a JOIN {sub('b12_peel')} p ON p.id = a.id")
-def _(s, d):
-    a = B.ads(s, d).withColumn("target", U.peel(F.col("landing")))
-    layer = lambda c, n, ok: F.when(ok, F.struct(c.alias("offer"), F.lit(n).alias("layer")))
-    best = F.coalesce(
-        layer(F.col("final_url"), 1, O.reject_reason(F.col("final_url")).isNull()), layer(F.col("target"), 2, F.col("target") != F.col("landing")),
-        layer(F.col("landing"), 3, O.meaningful(F.col("landing"))), F.struct(F.lit(None).cast("string").alias("offer"), F.lit(0).alias("layer")),
-    )
-    return a.select("id", best.alias("b")).select("id", "b.*")
-
-
 @query("h16_hidden_links", rf"SELECT id AS page_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(html, {B.q(G.ENDPOINT)}, 1), lambda x: {B.any_in('lower(x)', R.OFFER_WORDS)}))), 1, 10), ' ') AS links FROM ads")
 def _(s, d):
     links = F.filter(G.endpoints(F.col("html")), lambda x: O.contains_any(F.lower(x), R.OFFER_WORDS))
     return t(s, d, "pages").select("page_id", F.array_join(F.slice(F.array_sort(links), 1, 10), " ").alias("links"))
 
 
-@query("h19_final_choice", f"{HOPS_SQL}, v AS (SELECT id, arg_max(url, hop) AS chain FROM hops WHERE {B.meaningful('url')} GROUP BY id) SELECT ads.id, CASE WHEN {B.meaningful('new_tab')} THEN new_tab WHEN url <> landing THEN url ELSE chain END AS choice FROM ads LEFT JOIN v ON v.id = ads.id")
-def _(s, d):
-    chain = H.last_meaningful(_hops(s, d), "id").withColumnRenamed("url", "chain")
-    pick = F.coalesce(F.when(O.meaningful(F.col("new_tab")), F.col("new_tab")), F.when(F.col("url") != F.col("landing"), F.col("url")), F.col("chain"))
-    return B.ads(s, d).join(chain, "id", "left").select("id", pick.alias("choice"))
-
-
 @query("i03_correlate", f"s AS (SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE concat('h', id % 40) END AS hash, url AS href FROM ads), t AS (SELECT concat('h', id % 55) AS hash, arg_min(landing, id) AS landing FROM ads WHERE NOT contains(landing, 'outbrain.com') GROUP BY 1) SELECT s.id, coalesce(t.landing, s.href) AS landing FROM s LEFT JOIN t ON t.hash = s.hash")
 def _(s, d):
     a = B.ads(s, d)
@@ -224,15 +200,11 @@ def _(s, d):
     return LK.lookup_cascade(s.createDataFrame([(k,) for k in _KEYS], "key string"), a, "created_day")
 
 
-@query("i08_fuzzy_title", f"k AS (SELECT id, {B.host('url')} AS h, substring(lower(trim(title)), 1, 20) AS t FROM ads WHERE length(trim(title)) > 10) SELECT a.id, count(*) - 1 AS others FROM k a JOIN k b ON a.h = b.h AND a.t = b.t GROUP BY a.id HAVING count(*) > 1")
-def _(s, d):
-    # equal leading 20 characters within a host, by counts: no pairs are made
-    k = B.ads(s, d).where(F.length(F.trim("title")) > 10).select("id", U.host(F.col("url")).alias("h"), F.substring(F.lower(F.trim("title")), 1, 20).alias("t"))
-    n = k.groupBy("h", "t").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    return k.join(n, ["h", "t"]).select("id", "others")
+_ALIKE = (f"k AS (SELECT id, {B.host('url')} AS h, trim(regexp_replace(lower(coalesce(title, '')), {B.q(TT.SPACE)}, ' ', 'g')) AS t FROM ads) SELECT a.id, count(*) - 1 AS others FROM k a JOIN k b ON a.h = b.h AND (a.t = b.t OR (length(a.t) > 10 AND length(b.t) > 10 AND (contains(a.t, substring(b.t, 1, 20)) OR contains(b.t, substring(a.t, 1, 20))))) GROUP BY a.id HAVING count(*) > 1")
 
 
-@query("i08b_fuzzy_title_contained", f"k AS (SELECT id, {B.host('url')} AS h, trim(regexp_replace(lower(coalesce(title, '')), {B.q(TT.SPACE)}, ' ', 'g')) AS t FROM ads) SELECT a.id, count(*) - 1 AS others FROM k a JOIN k b ON a.h = b.h AND (a.t = b.t OR (length(a.t) > 10 AND length(b.t) > 10 AND (contains(a.t, substring(b.t, 1, 20)) OR contains(b.t, substring(a.t, 1, 20))))) GROUP BY a.id HAVING count(*) > 1")
+@query("i08_fuzzy_title", _ALIKE)
+@query("i08b_fuzzy_title_contained", _ALIKE)
 def _(s, d):
     return TT.alike(B.ads(s, d).select("id", U.host(F.col("url")).alias("h"), "title"), "id", "h", "title")
 

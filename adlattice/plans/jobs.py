@@ -145,7 +145,14 @@ def _feed(shape: str, image: str, wrap: Callable) -> tuple[Callable, str]:
     return made, FEED_SQL.format(image=image)
 
 
-QUERIES["a01_feed_keyed_list"] = _feed("list", "'i.jpg'", lambda title, link: F.to_json(F.struct(F.array(F.struct(F.lit("").alias("title"), title.alias("text"), link.alias("clickUrl"), F.lit("i.jpg").alias("image"))).alias("items"))))
+def _keyed(title: Column, link: Column) -> Column:
+    key = F.element_at(F.array(*map(F.lit, feeds.LANDING_KEYS)), (F.col("o_orderkey") % len(feeds.LANDING_KEYS) + 1).cast("int"))
+    item = F.map_concat(F.create_map(F.lit("title"), F.lit(""), F.lit("text"), title, F.lit("image"), F.lit("i.jpg")), F.create_map(key, link))
+    top = F.element_at(F.array(*map(F.lit, ("items", "data", "ads", "content"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return F.to_json(F.create_map(top, F.array(item)))
+
+
+QUERIES["a01_feed_keyed_list"] = _feed("list", "'i.jpg'", _keyed)
 QUERIES["a02_feed_script"] = _feed("script", "'t.jpg'", lambda title, link: F.concat(F.lit("callback("), F.to_json(F.array(F.struct(title.alias("name"), link.alias("url"), F.array(F.struct(F.lit("t.jpg").alias("url"))).alias("thumbnail")))), F.lit(");")))
 
 
@@ -166,11 +173,6 @@ QUERIES["a04_feed_content"] = _feed("content", "'c.jpg'", lambda title, link: F.
 # ---- URL, rule tables ----
 
 
-@query("b12_peel", f"SELECT id, u3 AS target FROM ({B.peel('landing')})")
-def _(s, d):
-    return B.ads(s, d).select("id", U.peel(F.col("landing")).alias("target"))
-
-
 @query("i01_substring_join", f"SELECT id, {B.first_match('lower(landing)', list(R.TRACKER_PATTERNS.items()))} AS entity FROM ads WHERE {B.first_match('lower(landing)', list(R.TRACKER_PATTERNS.items()))} IS NOT NULL")
 def _(s, d):
     rows = B.ads(s, d).select("id", F.lower("landing").alias("text"))
@@ -314,20 +316,6 @@ def _(s, d):
     return B.ads(s, d).select("id", F.size(F.array_distinct(F.array_compact(F.array("landing", "url", "final_url")))).cast("long").alias("n"))
 
 
-@query("h17_landing_from_requests", f"{HOPS_SQL} SELECT id, arg_max(url, hop) AS url FROM hops WHERE length(url) > 25 AND contains({B.host('url')}, '.') AND NOT {B.static_file('url')} AND NOT {B.any_in('lower(url)', R.TRACKING_REDIRECTS)} GROUP BY id")
-def _(s, d):
-    u = F.col("url")
-    rows = _hops(s, d).where((F.length(u) > 25) & U.plausible(u) & ~O.static_file(u) & ~O.contains_any(F.lower(u), R.TRACKING_REDIRECTS))
-    return rows.groupBy("id").agg(F.max_by("url", "hop").alias("url"))
-
-
-@query("h18_foreign_responses", f"{HOPS_SQL} SELECT h.id, string_agg(DISTINCT h.url, ' ' ORDER BY h.url) AS urls FROM hops h JOIN ads a ON a.id = h.id WHERE {B.registered_domain('h.url')} <> {B.registered_domain('a.url')} AND {B.meaningful('h.url')} GROUP BY h.id")
-def _(s, d):
-    home = B.ads(s, d).select("id", U.registered_domain(F.col("url")).alias("home"))
-    rows = _hops(s, d).where(O.meaningful(F.col("url"))).withColumn("domain", U.registered_domain(F.col("url")))
-    return rows.join(home, "id").where("domain <> home").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
-
-
 NETS = [(n, ds) for n, ds in R.AFFILIATE_HOSTS.items()]
 
 
@@ -678,17 +666,6 @@ for _name, _policy, _cond in (("n05_fill_default", "default", "affiliate_network
         return B.ads(s, d).select("id", N.fill(F.col("affiliate_network"), O.affiliate_network(F.col("landing"))["network"], policy).alias("affiliate_network"))
 
 
-@query("n10_repair_urls", f"SELECT id, 'landing' AS field, landing AS old_value, u3 AS new_value FROM (SELECT p.id, landing, u3 FROM ads JOIN ({B.peel('landing')}) p ON p.id = ads.id) WHERE u3 <> landing")
-def _(s, d):
-    old = B.ads(s, d).select("id", "landing")
-    return N.changes(old, old.withColumn("landing", U.peel(F.col("landing"))), "id", ["landing"])
-
-
-@query("n11_redetect", f"SELECT p.id, {B.affiliate_network('u3')} AS network FROM ({B.peel('landing')}) p")
-def _(s, d):
-    return B.ads(s, d).select("id", U.peel(F.col("landing")).alias("u")).select("id", O.affiliate_network(F.col("u"))["network"].alias("network"))
-
-
 FEEDBACK = f"f AS (SELECT {B.host('url')} AS host, CASE WHEN max(id) % 2 = 0 THEN 'Affiliate' ELSE 'Arbitrage' END AS forced FROM ads WHERE id % 5 = 0 GROUP BY 1)"
 
 
@@ -706,11 +683,6 @@ def _(s, d):
     return S.knowledge_override(a, given, "domain", "ad_type").select("id", "forced", "verdict")
 
 
-@query("n13_work_queue", "SELECT id FROM ads WHERE ad_type = 'Unknown' AND network = 'MGID' ORDER BY created_day, id LIMIT 25")
-def _(s, d):
-    return B.ads(s, d).where("ad_type = 'Unknown' AND network = 'MGID'").orderBy("created_day", "id").limit(25).select("id")
-
-
 @query("n14_change_set", "SELECT id, 'language' AS field, language AS old_value, 'en' AS new_value FROM ads WHERE language = ''")
 def _(s, d):
     old = B.ads(s, d).select("id", "language", "network")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 LIST_KEYS = ("items", "data", "ads", "content", "list", "documents", "listings", "doc")
 MOST_DEPTH = 1000  # the JSON parser allows no deeper nesting
 TITLE_KEYS = ("title", "text", "name", "content", "headline")
-LANDING_KEYS = ("articleUrl", "url", "clickUrl", "landing")
+LANDING_KEYS = ("articleUrl", "targetUrl", "destinationUrl", "originalUrl", "url", "clickUrl", "landing", "link")
 IMAGE_KEYS = ("mainImage", "image", "thumbnail")
 
 
