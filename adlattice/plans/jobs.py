@@ -53,11 +53,6 @@ def _(s, d):
     return G.anchors(t(s, d, "pages")).select("page_id", F.col("pos").cast("long"), "href", "text", "absolute")
 
 
-@query("a05_ad_cards", f"{ANCHORS_SQL} SELECT id AS page_id, pos, {ABS} AS landing, substring(trim(text), 1, 180) AS title FROM a WHERE length(trim(text)) > 5 AND contains(href, 'page')")
-def _(s, d):
-    return G.anchors(t(s, d, "pages")).where((F.length("text") > 5) & F.col("href").contains("page")).select("page_id", F.col("pos").cast("long"), F.col("absolute").alias("landing"), F.substring("text", 1, 180).alias("title"))
-
-
 @query("a06_scan", "SELECT event_id, ts, value FROM events WHERE event_type = 'click' AND value > 50", ads=False)
 def _(s, d):
     return t(s, d, "events").where("event_type = 'click' AND value > 50").select("event_id", "ts", "value")

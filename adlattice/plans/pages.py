@@ -211,3 +211,32 @@ def _(s, d):
         "ad_type": F.lit("Arbitrage"), "affiliate_network": F.lit(None).cast("string"), "tracker_tool": F.lit("No Tracker"), "affiliate_id": F.lit(None).cast("string"), "offer_id": F.lit(None).cast("string"), "final_url": F.col("landing"),
     }
     return rows.select("id", *(F.when(bad, v).otherwise(F.col(c)).alias(c) for c, v in reset.items()), F.when(bad, "high").alias("confidence"), F.when(bad, "ad-tech noise in redirect chain").alias("reason"), F.when(bad, F.lit(False)).alias("needs_review"))
+
+
+# ---- ad cards ----
+
+#: Cards of all networks: images inside, behind and lazy, titles inside and in the next div, short ones, and other links.
+_CARD = f"""concat('<div class="item"><A HREF="', {B.pick(["https://trc.taboola.com/c?x=", "//www.mgid.com/ghits/", "/servenobid/", "https://paid.outbrain.com/n?", "https://trends.revcontent.com/click?q=", "https://plain.example.org/"], "page_id")}, page_id, '">',
+ CASE page_id % 4 WHEN 0 THEN '<img alt="a > b" data-src="/lazy.jpg">' WHEN 1 THEN '<img src="https://i.example.org/x.png">' ELSE '' END, CASE page_id % 5 WHEN 0 THEN 'Short' WHEN 1 THEN '' ELSE '<b>A title that is long</b>  enough ' END, repeat('very ', CAST(page_id % 50 AS INT)), '</A>',
+ CASE page_id % 3 WHEN 0 THEN '<p><img data-lazy-src="//c.example.org/b.gif"></p>' ELSE '' END, '<div id="t">The <i>next</i> division of the page</div></div>')"""
+_CARDED = f"concat({_CARD}, html, {_CARD.replace('page_id', '(page_id + 3)')})"
+
+
+def _source(markup: str) -> str:
+    rest = f"regexp_extract({markup}, {B.q(G.PLAIN_IMAGE)}, 1)"
+    return f"coalesce({', '.join(f'nullif({B.attribute(rest, n)}, {B.q(str())})' for n in ('src', 'data-src', 'data-lazy-src'))}, '')"
+
+
+def _inner(markup: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({markup}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("a05_ad_cards", rf"""WITH o AS (SELECT page_id, url, regexp_split_to_array(regexp_replace({_CARDED}, {B.q(G.ASIDE)}, ' ', 'g'), '(?i)</a\s*>') AS parts FROM pages),
+ i AS (SELECT *, list_transform(parts, lambda m: {_source('m')}) AS images, list_transform(parts, lambda m: {_inner(f'regexp_extract(m, {B.q(G.DIV)}, 1)')}) AS texts FROM o),
+ e AS (SELECT page_id, url, images, texts, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM i),
+ c AS (SELECT *, regexp_extract(part, {B.q(G.PLAIN_LAST_ANCHOR)}, 2) AS inn, {B.attribute(f'regexp_extract(part, {B.q(G.PLAIN_LAST_ANCHOR)}, 1)', 'href')} AS href FROM e WHERE k < n),
+ f AS (SELECT page_id, url, k - 1 AS pos, href, {B.first_regex('lower(href)', [(p, n) for n, p in R.CARD_NETWORKS])} AS network, coalesce(nullif({_inner('inn')}, ''), list_filter(texts[k + 1:], lambda x: x <> '')[1], '') AS title, coalesce(nullif({_source('inn')}, ''), list_filter(images[k + 1:], lambda x: x <> '')[1], '') AS image FROM c WHERE href <> '')
+ SELECT page_id, pos, network, {ABS} AS landing, substring(title, 1, 180) AS title, CASE WHEN image <> '' THEN {ABS.replace('href', 'image')} END AS image FROM f WHERE network IS NOT NULL AND length(title) > 15""", ads=False)
+def _(s, d):
+    rows = B.table(s, d, "pages").selectExpr("page_id", "url", f"{_CARDED} AS html")
+    return G.ad_cards(rows).withColumn("pos", F.col("pos").cast("long"))

@@ -85,6 +85,35 @@ def calls_to_action(pages: DataFrame) -> DataFrame:
     return rows.where(test).select("page_id", "pos", "a.name", "a.text")
 
 
+#: The last anchor of a stretch of markup: its attributes and what follows.
+LAST_ANCHOR = rf"(?is)^.*<a{ATTRIBUTES}>(.*)$"
+PLAIN_LAST_ANCHOR = rf"(?is)^.*<a{PLAIN_ATTRIBUTES}>(.*)$"
+IMAGE, PLAIN_IMAGE = rf"(?is)<img{ATTRIBUTES}>", rf"(?is)<img{PLAIN_ATTRIBUTES}>"
+DIV = r"(?is)<div(?:\s[^>]*)?>(.*?)</div\s*>"
+
+
+def ad_cards(pages: DataFrame, networks: list[tuple[str, str]] = R.CARD_NETWORKS, least: int = 15, cap: int = 180) -> DataFrame:
+    """(page_id, pos, network, landing, title, image) of the anchors whose address matches a
+    network's pattern, the first of several, and that have a title of over `least` characters,
+    cut at `cap`. The title is the anchor's text, else that of the next div; the image that
+    inside the anchor, else the next one. Each page is cut once at the ends of its anchors.
+    """
+    parts = F.split(own(F.col("html")), r"(?i)</a\s*>")
+    rows = pages.select("page_id", "url", parts.alias("parts"))
+    source = lambda m: F.coalesce(*(F.nullif(attribute(F.regexp_extract(m, IMAGE, 1), n), F.lit("")) for n in ("src", "data-src", "data-lazy-src")), F.lit(""))
+    rows = rows.withColumn("images", F.transform("parts", source)).withColumn("texts", F.transform("parts", lambda m: inner_text(F.regexp_extract(m, DIV, 1))))
+    rows = rows.select("page_id", "url", "images", "texts", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "part")).where("pos < n - 1")
+    inner = F.regexp_extract("part", LAST_ANCHOR, 2)
+    rows = rows.withColumn("href", attribute(F.regexp_extract("part", LAST_ANCHOR, 1), "href")).where("href <> ''").withColumn("inner", inner)
+    later = lambda c: F.coalesce(F.get(F.filter(F.slice(c, F.col("pos") + 2, F.col("n")), lambda x: x != ""), F.lit(0)), F.lit(""))
+    title = F.coalesce(F.nullif(inner_text(F.col("inner")), F.lit("")), later("texts"))
+    image = F.coalesce(F.nullif(source(F.col("inner")), F.lit("")), later("images"))
+    rows = rows.select("page_id", "url", "pos", O.first_regex(F.lower("href"), [(p, n) for n, p in networks]).alias("network"), "href", title.alias("title"), image.alias("image"))
+    rows = rows.where(F.col("network").isNotNull() & (F.length("title") > least))
+    whole = F.when(F.col("image") != "", U.absolute(F.col("url"), F.col("image")))
+    return rows.select("page_id", "pos", "network", U.absolute(F.col("url"), F.col("href")).alias("landing"), F.substring("title", 1, cap).alias("title"), whole.alias("image"))
+
+
 def ad_density(html: Column, identifiers: list[str] = R.AD_IDENTIFIERS) -> Column:
     """struct(blocks, ads, ratio, high, sample): block elements, those whose id and classes name an
     ad, their share to four digits, whether that is high, and up to five distinct names.
