@@ -163,13 +163,23 @@ def _(s, d):
     return K.best_links(t(s, d, "pages"), "page_id")
 
 
-@query("h09_prelander_walk", f"""WITH RECURSIVE {B.ADS_SQL}, e AS (SELECT {B.host('landing')} AS f, min({B.host('final_url')}) AS t FROM ads GROUP BY 1),
- w(u, final, seen) AS (SELECT f, f, [f] FROM e UNION ALL SELECT u, e.t, list_append(seen, e.t) FROM w JOIN e ON e.f = w.final WHERE len(seen) <= 3 AND NOT list_contains(seen, e.t))
- SELECT u AS url, arg_max(final, len(seen)) AS final, max(len(seen)) - 1 AS hops FROM w GROUP BY u""", ads=False)
+#: Pre-landers that lead to an offer in one to three pages, one that leads further, one without a link, and later pages of the
+#: same address, which don't count.
+_AT = lambda n: f"concat('https://p{n}.example.net/?cep=a&lptoken=', id)"
+_SOLD = "concat('https://o.example.org/buy?aff_id=', id)"
+_PAGED = [f"CASE WHEN id % 7 = 0 THEN '#' WHEN id % 3 = 0 THEN {_SOLD} ELSE {_AT(1)} END", f"CASE WHEN id % 3 = 1 THEN {_SOLD} ELSE {_AT(2)} END", f"CASE WHEN id % 5 = 0 THEN {_AT(3)} ELSE {_SOLD} END"]
+
+
+@query("h09_prelander_walk", f"""SELECT id, CASE WHEN id % 7 = 0 THEN {_AT(0)} WHEN id % 3 = 2 AND id % 5 = 0 THEN {_AT(3)} ELSE {_SOLD} END AS final, CASE WHEN id % 7 = 0 THEN 0 ELSE id % 3 + 1 END::BIGINT AS hops, id % 7 <> 0 AND NOT (id % 3 = 2 AND id % 5 = 0) AS arrived FROM ads""")
 def _(s, d):
     a = B.ads(s, d)
-    edges = a.select(U.host(F.col("landing")).alias("from_url"), U.host(F.col("final_url")).alias("to_url"))
-    return H.follow(edges, edges.select(F.col("from_url").alias("url")), most=3)
+    link = lambda u: F.concat(F.lit('<a class="offlink" href="'), u, F.lit('">go</a>'))
+    pages = [a.select((F.col("id") * 10 + n).alias("page_id"), F.expr(_AT(n)).alias("url"), link(F.expr(to)).alias("html")) for n, to in enumerate(_PAGED)]
+    pages.append(a.where("id % 7 <> 0").select((F.col("id") * 10 + 9).alias("page_id"), F.expr(_AT(0)).alias("url"), link(F.lit("https://later.example.org/buy?aff_id=1")).alias("html")))
+    every = pages[0]
+    for p in pages[1:]:
+        every = every.unionByName(p)
+    return K.prelander_walk(a.select("id", F.expr(_AT(0)).alias("url")), "id", every)
 
 
 @query("h09b_prelander_pages")
