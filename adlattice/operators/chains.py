@@ -77,7 +77,11 @@ def tier_hits(url: Column, hop: Column) -> Column:
         place = (hop if sure else -hop).cast("int")
         return F.struct(F.lit(not sure).alias("unsure"), place.alias("place"), F.lit(i).alias("prio"), F.lit(name).alias("network"), F.lit(confidence).alias("confidence"))
 
-    return F.array_compact(F.array(*(F.when(on(ps, names, c), hit(i, n, c)) for i, (n, c, ps, names) in enumerate(R.NETWORK_TIERS))))
+    # most URLs meet none: one pattern of all marks tells them apart
+    marks = [m for _, _, ps, names in R.NETWORK_TIERS for m in ps or [f"{names[0].lower()}="]]
+    hits = F.array_compact(F.array(*(F.when(on(ps, names, c), hit(i, n, c)) for i, (n, c, ps, names) in enumerate(R.NETWORK_TIERS))))
+    none = F.array().cast("array<struct<unsure:boolean,place:int,prio:int,network:string,confidence:string>>")
+    return F.when(O.contains_any(text, marks), hits).otherwise(none)
 
 
 def network_of_pool(pool: DataFrame, key: str) -> DataFrame:

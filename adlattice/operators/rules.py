@@ -98,17 +98,20 @@ def match_hosts(df: DataFrame, key: str, host: str, rules: DataFrame) -> DataFra
 
 
 def by_host(host: Column, rules: dict[str, list[str]]) -> Column:
-    """The entity that names the host or the nearest parent domain: look-ups in one
-    constant map, whatever the number of rules."""
+    """The entity that names the host or the nearest parent domain. One pattern of all domains
+    is tested first; only hosts that it meets are looked up in a constant map."""
     names = F.create_map(*(F.lit(x) for name, domains in rules.items() for d in domains for x in (d, name)))
+    met = host.rlike(r"(?:^|\.)(?:" + "|".join(re.escape(d) for domains in rules.values() for d in domains) + ")$")
     found = F.transform(U.host_suffixes(host), lambda s: F.try_element_at(names, s))
-    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+    return F.when(met, F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
 
 
 def by_pattern(text: Column, rules: dict[str, list[str]]) -> Column:
-    """The entity of the first pattern in text, from one constant array."""
+    """The entity of the first pattern in text, from one constant array; texts without any are
+    told apart by one pattern first."""
     table = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(name).alias("entity")) for name, ps in rules.items() for p in ps))
-    return F.get(F.filter(table, lambda r: text.contains(r["pattern"])), F.lit(0))["entity"]
+    met = text.rlike("|".join(re.escape(p) for ps in rules.values() for p in ps))
+    return F.when(met, F.get(F.filter(table, lambda r: text.contains(r["pattern"])), F.lit(0))["entity"])
 
 
 def affiliate_network(url: Column) -> Column:

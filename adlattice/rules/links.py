@@ -1,4 +1,5 @@
-"""Marks of offer links in pages."""
+"""Marks of offer links in pages. All lists of this file are fixed values: classes, attributes,
+patterns and hosts that the known link scans look for, in the order in which they apply."""
 
 OFFER_CLASSES = ["offlink", "offer_link", "offerLink", "offer-link", "cta-link", "cta_link", "buy-link", "order-link", "checkout-link", "affiliate-link"]
 DATA_ATTRS = ["data-offer", "data-href", "data-redirect-url", "data-offer-url", "data-link", "data-url", "data-target"]
