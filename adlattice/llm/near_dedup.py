@@ -227,8 +227,9 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     led = cut(shared.join(leaders, "sketch"))
     star = led.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     wanted = star.select(F.col("a").alias("key")).union(star.select("b")).distinct()
-    texts = docs.select(text_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
-    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")))
+    # copies are one before they meet: each task hands on a text once
+    texts = docs.select(text_key("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(wanted, "key", "left_semi"))
     met = compared(star, texts, least)
     links = met.where("similar").select("a", "b")
     roots = components(links)
