@@ -37,7 +37,7 @@ def _plain(name: str) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term in each group."""
+    """(lang, source, term, n, docs): occurrences and documents of each term, in UTF-8, in each group."""
 
     def run(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -70,8 +70,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(_plain("lang"), _plain("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = map_rows(rows, run, "lang string, source string, term binary, n long, docs long")
-    rows = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return rows.withColumn("term", F.col("term").cast("string"))
+    # tasks have counted already; rows are dealt by term once, for this sum and the one over sources
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: str) -> Column:
@@ -162,7 +162,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     """
     counts = term_counts(docs).groupBy("lang", "term")
     kept = counts.agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("row"))
-    kept = cut(kept.where(F.col("docs") >= least_docs).select("lang", "term", "n", "row"))
+    kept = cut(kept.where(F.col("docs") >= least_docs).select("lang", F.col("term").cast("string").alias("term"), "n", "row"))
     flat = kept.select("lang", "term", F.col("n").alias("lang_n"), F.inline("row"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     totals = flat.groupBy("lang", "source").agg(F.sum("n").alias("total"))
