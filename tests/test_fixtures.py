@@ -110,9 +110,8 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, "user_id long, event_type string, s long").select("user_id", "event_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     batch = spark.read.parquet(f"{tmp_path}/in")
     stream = sightings.read_stream(spark, f"{tmp_path}/in", batch)
-    run = sightings.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", "user_id", ["event_type"])
-    run.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/v{run.lastProgress['batchId']}").select("user_id", "impressions", "first_seen", "last_seen")
+    sightings.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", "user_id", ["event_type"]).awaitTermination()
+    got = sightings.snapshot(spark, f"{tmp_path}/out").select("user_id", "impressions", "first_seen", "last_seen")
     want = store.fold_sightings(batch, ["user_id"], "ts", ["event_type"]).select("user_id", "impressions", "first_seen", "last_seen")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
