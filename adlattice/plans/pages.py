@@ -202,7 +202,7 @@ def _(s, d):
 _CHAINED = f"concat(landing, ' ', final_url, ' ', {B.pick([w.upper() if i % 2 else w for i, w in enumerate(R.FALSE_POSITIVES)] + [''] * 7, 'id')})"
 
 
-@query("n08_false_positives", f"""b AS (SELECT *, ad_type = 'Affiliate' AND {B.any_in(f'lower({_CHAINED})', R.FALSE_POSITIVES)} AS bad FROM ads) SELECT id, CASE WHEN bad THEN 'Arbitrage' ELSE ad_type END AS ad_type, CASE WHEN bad THEN 'high' END AS confidence, CASE WHEN bad THEN 'ad-tech noise in redirect chain' END AS reason, CASE WHEN bad THEN false END AS needs_review,
+@query("n08_false_positives", f"""b AS (SELECT *, ad_type = 'Affiliate' AND {B.any_in(f'lower({_CHAINED})', R.FALSE_POSITIVES)} AS bad FROM ads) SELECT id, CASE WHEN bad THEN 'Arbitrage' ELSE ad_type END AS ad_type, CASE WHEN bad THEN 'high' END AS confidence, CASE WHEN bad THEN 'ad-tech noise in redirect chain' END AS reason, CASE WHEN bad THEN false ELSE id % 5 = 0 END AS needs_review,
  CASE WHEN NOT bad THEN affiliate_network END AS affiliate_network, CASE WHEN bad THEN 'No Tracker' ELSE tracker_tool END AS tracker_tool, CASE WHEN NOT bad THEN {B.first_param('landing', R.AFFILIATE_ALIASES)} END AS affiliate_id, CASE WHEN NOT bad THEN {B.first_param('landing', R.OFFER_ALIASES)} END AS offer_id, CASE WHEN bad THEN landing ELSE final_url END AS final_url FROM b""")
 def _(s, d):
     rows = B.ads(s, d).withColumn("chain", F.expr(_CHAINED)).withColumn("affiliate_id", U.first_param(F.col("landing"), R.AFFILIATE_ALIASES)).withColumn("offer_id", U.first_param(F.col("landing"), R.OFFER_ALIASES))
@@ -210,7 +210,7 @@ def _(s, d):
     reset = {
         "ad_type": F.lit("Arbitrage"), "affiliate_network": F.lit(None).cast("string"), "tracker_tool": F.lit("No Tracker"), "affiliate_id": F.lit(None).cast("string"), "offer_id": F.lit(None).cast("string"), "final_url": F.col("landing"),
     }
-    return rows.select("id", *(F.when(bad, v).otherwise(F.col(c)).alias(c) for c, v in reset.items()), F.when(bad, "high").alias("confidence"), F.when(bad, "ad-tech noise in redirect chain").alias("reason"), F.when(bad, F.lit(False)).alias("needs_review"))
+    return rows.select("id", *(F.when(bad, v).otherwise(F.col(c)).alias(c) for c, v in reset.items()), F.when(bad, "high").alias("confidence"), F.when(bad, "ad-tech noise in redirect chain").alias("reason"), (~bad & (F.col("id") % 5 == 0)).alias("needs_review"))
 
 
 # ---- ad cards ----
