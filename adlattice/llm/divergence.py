@@ -26,6 +26,7 @@ from .common import bounded, cut, map_rows, word_lists
 LEAST_DOCS = 30  # of a language, for a term that is kept
 TOP = 50  # terms reported of a group
 PRIOR, SCALE = 5, 1_000_000_000
+RANGES = 256  # of sorted rows at most: a sample of their rows, a hundred or so for each, reaches the driver
 HELD = 400_000  # entries that a task counts, or pair sums that it holds, before it hands them on
 
 #: Letters stay, A-Z in lower case; anything else of ASCII separates terms.
@@ -124,8 +125,9 @@ def tree_corrections(rows: DataFrame) -> DataFrame:
         close(0)
         yield all_of()
 
-    sorted_rows = rows.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    flat = sorted_rows.select("lang", "path.source", "path.p", "path.zero", "m")
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= RANGES
+    ranges = rows.repartitionByRange("lang", "path") if few else rows.repartitionByRange(RANGES, "lang", "path")
+    flat = ranges.sortWithinPartitions("lang", "path").select("lang", "path.source", "path.p", "path.zero", "m")
     return map_rows(flat, run, "lang string, a string, b string, value long")
 
 

@@ -71,6 +71,7 @@ def test_divergence_flushes_and_ranges(spark, monkeypatch):
     rows = [("en", f"s{rng.randint(0, 5)}", " ".join(rng.choice("abcdefgh") * 2 for _ in range(9))) for _ in range(60)]
     frame = spark.createDataFrame(rows, "lang string, source string, text string")
     monkeypatch.setattr(divergence, "HELD", 3)
+    monkeypatch.setattr(divergence, "RANGES", 5)
     assert sorted(tuple(r) for r in divergence.audit(frame, 2, 4).collect()) == audited(rows, 2, 4)
 
 
