@@ -13,7 +13,8 @@ def top_folder(spark: SparkSession) -> str:
     a single machine only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = spark.conf.get("spark.sql.warehouse.dir")
     return top.rstrip("/")
