@@ -40,6 +40,17 @@ def test_toggles_keep_their_state_over_a_restart(spark, folder):
     assert {tuple(r) for r in ST.toggles_on(spark, out).collect()} == {(2, "a"), (3, "b")}
 
 
+def test_toggles_are_kept_by_built_in_state(spark, folder):
+    source, out, state = folder("in"), folder("out"), folder("state")
+    schema = put(spark, source, [(1, "a", 0), (None, "a", 0), (2, None, 0), (None, None, 0)])
+    put(spark, source, [(1, "a", 1), (1, "a", 2), (None, None, 1), (3, "b", 1), (3, "b", 2)])
+    query = ST.toggle_stream(stream(spark, source, schema), out, state)
+    query.awaitTermination()
+    # no call of Python for each pair
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
+    assert sorted(map(str, map(tuple, ST.toggles_on(spark, out).collect()))) == sorted(map(str, [(1, "a"), (None, "a"), (2, None)]))
+
+
 def files(path):
     return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
