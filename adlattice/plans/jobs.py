@@ -16,6 +16,7 @@ from ..operators import profiles as PR
 from ..operators import rules as O
 from ..operators import score as S
 from ..operators import store as N
+from ..operators.shared import numbered
 from ..rules import tables as R
 from ..sources import feeds
 from ..sources import html as G
@@ -102,9 +103,9 @@ _MARK = B.pick([*R.NATIVE_MARKS, "none", "x"], "page_id")
  f AS (SELECT DISTINCT concat(array_to_string(list_slice(string_split(l.url, '/'), 1, 3), '/'), '/') AS site FROM l JOIN i ON i.url = l.url WHERE i.mark NOT IN ('none', 'x') AND NOT {B.any_in('lower(l.url)', R.TARGET_BLACKLIST)}) SELECT site FROM f WHERE site NOT IN (SELECT concat(array_to_string(list_slice(string_split(url, '/'), 1, 3), '/'), '/') FROM i WHERE i % 5 = 0))""", ads=False)
 def _(s, d):
     pages = t(s, d, "pages")
-    i = pages.select("page_id", "url", "html", (F.row_number().over(Window.orderBy("page_id")) - 1).alias("i"))  # numbers the few pages of the fixture
+    i = numbered(pages.select("page_id", "url", "html"), "page_id", "i")
     n = pages.count()
-    to = i.select(F.col("i").alias("j"), F.col("url").alias("to_url"))
+    to = numbered(pages.select("page_id", "url"), "page_id", "j").select("j", F.col("url").alias("to_url"))
     linked = i.join(to, F.col("j") == (F.col("i") * 7 + 3) % n).withColumn("to_url", F.when(F.col("page_id") % 9 == 0, F.concat("to_url", F.lit("?via=Facebook"))).otherwise(F.col("to_url")))
     shown = linked.select("page_id", "url", F.concat("html", F.lit('<a href="'), "to_url", F.lit('">next</a>'), F.expr(_MARK)).alias("html"), "i")
     known = shown.where("i % 5 = 0").select(U.origin(F.col("url")).alias("site"))

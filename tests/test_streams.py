@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from adlattice import catalog
 from adlattice.operators import chains, profiles, shared
 from adlattice.streaming import sightings as ST
 
@@ -147,6 +148,24 @@ def test_samples_and_targets(spark):
     assert [r.site for r in profiles.discover_targets(links, pages, known, ["google"], ["taboola", "mgid"]).collect()] == ["https://a.com/"]
 
 
+def test_rows_are_numbered_in_ranges(spark):
+    ids = [*range(0, 3000, 3), *range(10**12, 10**12 + 500), -5, 2**40, None]
+    frame = spark.createDataFrame([(x, f"p{x}") for x in ids], "id long, text string").repartition(7)
+    for ranges in (1, 7, 256):
+        rows = shared.numbered(frame, "id", "i", ranges).collect()
+        order = sorted(x for x in ids if x is not None) + [None]
+        assert {r.i: (r.id, r.text) for r in rows} == {i: (x, f"p{x}") for i, x in enumerate(order)} and len(rows) == len(ids)
+    assert shared.numbered(frame.where("false"), "id", "i").count() == 0
+    assert [r.i for r in shared.numbered(frame.where("id is null"), "id", "i").collect()] == [0]
+
+
+def test_no_task_holds_all_pages_of_the_targets(spark, sf_dir):
+    plan = catalog.queries()["a14_targets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window " in line]
+    # the one that isn't within ranges sums their counts
+    assert windows and all("_range" in w for w in windows) and "row_number() windowspecdefinition(page_id" not in plan
+
+
 def test_matches_of_ads_by_hand(spark):
     rows = [(i, "g1", t, n, 1, d) for i, t, n, d in ((1, "A long title of an ad", "x", 1), (2, " a LONG title of  an ad ", "y", 2), (3, "See: A long title of an ad!", "x", 3), (4, "other", None, 4), (5, "other", "x", 5))]
     rows += [(6, "g2", "A long title of an ad", "z", None, 1), (7, None, "other", "q", 1, 1), (8, "g2", "See: A long title of an ad!", "z", 1, 2), (9, "g2", None, "z", 1, 3)]
