@@ -55,7 +55,7 @@ def best_capture(tabs: Column, final: Column, responses: Column, landing: Column
         F.transform(F.filter(F.array(final), lambda u: u != landing), lambda u: row(u, F.lit(10), "page_final")),
         F.transform(other, lambda u: row(u, F.lit(5) + marks(u), "network")),
     )
-    fine = F.filter(found, lambda x: O.reject_reason(x["url"]).isNull())
+    fine = F.filter(found, lambda x: O.valid_in_list(x["url"]))
     return F.array_max(F.transform(fine, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("nth"), x["url"].alias("url"), x["source"].alias("source"))))
 
 
@@ -156,7 +156,7 @@ def offer_choice(final: Column, chain: Column, real_domain: Column, offer_domain
     noise = lambda u: O.contains_any(F.lower(u), R.NOISE)
     named = F.when(real_domain.startswith("http"), real_domain).otherwise(F.concat(F.lit("https://"), real_domain))
     home = F.coalesce(U.registered_domain(landing), F.lit(""))
-    fit = F.filter(chain, lambda u: ~dead(u) & ~noise(u) & valid(u) & (U.registered_domain(u) != home))
+    fit = F.filter(chain, lambda u: ~dead(u) & ~noise(u) & O.valid_in_list(u) & (U.registered_domain(u) != home))
 
     def step(test: Column, url: Column, method: str) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), F.struct(url.alias("offer"), F.lit(method).alias("method"), F.lit(False).alias("needs_review")))

@@ -31,7 +31,8 @@ def _of(urls: Column, method: str, score: int) -> Column:
 
 
 def valid(url: Column) -> Column:
-    return O.reject_reason(url).isNull()
+    """Of a URL of a list."""
+    return O.valid_in_list(url)
 
 
 def best_links(pages: DataFrame, *keep: str, fits: Callable[[Column], Column] = valid) -> DataFrame:

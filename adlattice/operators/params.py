@@ -132,12 +132,19 @@ def config_offers(value: Column) -> Column:
     by place. Anything else than base64 holds none."""
     text = F.try_to_binary(U.unescape(value), F.lit("base64")).cast("string")
     pair = r'(?:"([^"\\\\]*)"\s*:\s*)?"(https?://[^"\\\\]*)"'
-    keys, urls = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
     order = F.array(*map(F.lit, R.OFFER_KEYS))
-    ranked = F.transform(F.arrays_zip(keys.alias("key"), urls.alias("url")), lambda x, i: F.struct(F.nullif(F.array_position(order, x["key"]), F.lit(0)).alias("rank"), i.alias("nth"), x["url"].alias("url")))
-    fine = F.filter(ranked, lambda x: (x["rank"].isNotNull() | (F.length(x["url"]) > 20)) & O.reject_reason(x["url"]).isNull())
-    late = F.transform(fine, lambda x: F.struct(F.coalesce(x["rank"], F.lit(len(R.OFFER_KEYS) + 1)).alias("rank"), x["nth"].alias("nth"), x["url"].alias("url")))
-    return F.struct(F.array_min(late)["url"].alias("best"), F.coalesce(F.size(F.array_distinct(F.transform(late, lambda x: x["url"]))), F.lit(0)).cast("long").alias("n"))
+
+    def found(text: Column) -> Column:
+        keys, urls = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
+        ranked = F.transform(F.arrays_zip(keys.alias("key"), urls.alias("url")), lambda x, i: F.struct(F.nullif(F.array_position(order, x["key"]), F.lit(0)).alias("rank"), i.alias("nth"), x["url"].alias("url")))
+        fine = F.filter(ranked, lambda x: (x["rank"].isNotNull() | (F.length(x["url"]) > 20)) & O.valid_in_list(x["url"]))
+        return F.transform(fine, lambda x: F.struct(F.coalesce(x["rank"], F.lit(len(R.OFFER_KEYS) + 1)).alias("rank"), x["nth"].alias("nth"), x["url"].alias("url")))
+
+    def told(late: Column) -> Column:
+        return F.struct(F.array_min(late)["url"].alias("best"), F.coalesce(F.size(F.array_distinct(F.transform(late, lambda x: x["url"]))), F.lit(0)).cast("long").alias("n"))
+
+    # lists of one bind the text and the ranked URLs, so that each is computed once
+    return F.get(F.transform(F.transform(F.array(text), found), told), F.lit(0))
 
 
 def widget_config(url: Column) -> dict[str, Column]:

@@ -150,6 +150,18 @@ def test_best_links_by_pattern(spark):
     assert got == {i: (u, m, n, None) for i, _, u, m, n in rows} | {9: (None, None, None, "https://trkflstr.com/2"), 10: (None,) * 4, 11: (None,) * 4}
 
 
+def test_valid_urls_of_lists(spark, sf_dir):
+    words = [*R.STRICT_BLOCK, *R.AD_TECH_HOSTS, *R.INTERMEDIARIES, *R.INVALID_HOSTS, *R.INFRASTRUCTURE]
+    urls = [*ODD_URLS, *(f"https://{w}/p?x=1" for w in words), *(f"https://h.com{p}?{q}" for p in (*R.EXACT_PATHS, *R.INVALID_PATHS, *R.BARE_PATHS, "/p", "/a.png") for q in ("", "x=1", "AFF_ID=1", "u={m}"))]
+    frame = spark.createDataFrame([(urls,)], "urls array<string>")
+    kept = frame.select(F.filter("urls", rules.valid_in_list).alias("x")).first().x
+    one_by_one = frame.select(F.explode("urls").alias("u")).where(rules.reject_reason(F.col("u")).isNull())
+    assert kept == [r.u for r in one_by_one.collect()] and 0 < len(kept) < len(urls)
+    # a URL is split once for each part (the path also for its ending), and configurations are read once for both results
+    plan = catalog.queries()["e03_config_payload"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(U.SPLIT) == 4 and plan.count("regexp_extract_all(") == 2
+
+
 def test_links_to_known_trackers(spark, tmp_path):
     # ids whose final URL is a known tracker, in a page of each kind
     ids = [1496, 1816, 2776, 9056, 11176, 11296, 12256, *range(3161, 3202, 5), *range(60006, 60047, 5)]
